@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gatewright import dims as D
+from gatewright.functions.patterns import RULES as D
 
 
 def basename(path: Column) -> Column:

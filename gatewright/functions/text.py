@@ -49,7 +49,7 @@ def shannon_entropy(token: Column) -> Column:
 
 
 def strip_urls(value: Column) -> Column:
-    return F.regexp_replace(value, r"(?i)\bhttps?://[^\s)>\]}\"'`]+", " ")
+    return F.regexp_replace(value, r"(?i)(?<!\w)https?://[^\s)>\]}\"'`]+", " ")
 
 
 def assignment_value(token: Column) -> Column:

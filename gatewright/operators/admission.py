@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatewright import dims as D
+from gatewright.functions.patterns import RULES as D
 from gatewright.functions import paths as P
 from gatewright.functions import text as X
 from gatewright.operators.scale import running_total, top_k

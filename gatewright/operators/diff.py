@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gatewright import dims as D
+from gatewright.functions.patterns import RULES as D
 from gatewright.functions.numbers import round1
 from gatewright.operators.findings import finding_key, first_file, first_line, rule_of, severity_rank
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gatewright import dims as D
+from gatewright.functions.patterns import RULES as D
+from gatewright.functions.patterns import ascii_boundaries
 from gatewright.functions import paths as P
 from gatewright.functions import text as X
 from gatewright.operators.admission import explode_lines
@@ -14,7 +15,7 @@ from gatewright.operators.scale import top_k
 
 # Per language (pattern on the trimmed line, prefix for non-relative specifiers).
 LINE_RULES = {
-    "Solidity": [(r"^import\b[^\"']*[\"']([^\"']+)[\"']", "")],
+    "Solidity": [(ascii_boundaries(r"^import\b[^\"']*[\"']([^\"']+)[\"']"), "")],
     "Go": [(r'^import\s+(?:[\w.]+\s+)?"([^"]+)"', "")],
     "Rust": [
         (r"^use\s+([\w:]+)", ""),
@@ -34,7 +35,7 @@ LINE_RULES = {
     "GraphQL": [(r"^#import\s+[\"']([^\"']+)[\"']", "")],
 }
 SCRIPT_LANGUAGES = ["TypeScript", "JavaScript"]
-SCRIPT_IMPORT = r"(?:\bfrom|\bimport|\brequire)\s*\(?\s*[\"']([^\"']+)[\"']"
+SCRIPT_IMPORT = ascii_boundaries(r"(?:\bfrom|\bimport|\brequire)\s*\(?\s*[\"']([^\"']+)[\"']")
 GO_OPEN, GO_CLOSE, GO_INNER = r"^import\s*\(", r"^\s*\)", r'(?:[\w.]+\s+)?"([^"]+)"'
 PY_FROM = r"(?m)^[ \t]*from[ \t]+([.\w]+)[ \t]+import[ \t]+(\([^)]*\)|[^\n]*)"
 PY_IMPORT = r"^import\s+(.+)\z"

@@ -14,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gatewright import dims as D
+from gatewright.functions.patterns import RULES as D
+from gatewright.functions.patterns import ascii_boundaries, convert
 from gatewright.functions import paths as P
 from gatewright.functions import text as X
 from gatewright.operators.admission import explode_lines
@@ -218,7 +219,7 @@ def declarations(levels: DataFrame) -> DataFrame:
     """First matching rule per line, as rule number, name, kind and scope flag."""
     t, lang = F.col("t"), F.col("language")
     options = []
-    for language, (_, _, _, rules) in PROFILES.items():
+    for language, (_, _, _, rules) in convert(PROFILES).items():
         hits = [
             F.when(
                 t.rlike(pattern),
@@ -267,7 +268,7 @@ def block_ends(decls: DataFrame, ends: DataFrame) -> DataFrame:
         .when(F.col("open_level") <= F.col("base"), F.col("first_open"))
         .otherwise(F.coalesce(closed, F.col("line")))
     )
-    terminator = ((F.col("language") == "Ruby") & F.col("c.close_text").rlike(r"^end\b")) | (
+    terminator = ((F.col("language") == "Ruby") & F.col("c.close_text").rlike(ascii_boundaries(r"^end\b"))) | (
         (F.col("language") == "Shell") & F.col("c.close_text").startswith("}")
     )
     flat = F.col("next_level").isNull() | (F.col("next_level") <= F.col("base"))
@@ -365,16 +366,16 @@ def extract_symbols(files: DataFrame, limit: int = D.MAX_SYMBOLS) -> DataFrame:
         .otherwise(F.lit(True))
     )
     keep = F.coalesce(keep, F.lit(False))
-    constant = F.when(python, name.rlike(r"^[A-Z][A-Z0-9_]*\z")).otherwise(F.col("t").rlike(r"\bconstant\b"))
+    constant = F.when(python, name.rlike(r"^[A-Z][A-Z0-9_]*\z")).otherwise(F.col("t").rlike(ascii_boundaries(r"\bconstant\b")))
     final_kind = (
         F.when(python & (kind == "function") & F.col("parent_name").isNotNull(), "method")
         .when(kind.isin("assignment", "state"), F.when(constant, "constant").otherwise("variable"))
         .otherwise(kind)
     )
-    outside = F.col("t").rlike(r"\b(public|external)\b")
+    outside = F.col("t").rlike(ascii_boundaries(r"\b(public|external)\b"))
     visible = {
         "capitalised": name.rlike("^[A-Z]"),
-        "keyword": F.col("t").rlike(r"^(?:pub\b|public\b|export\b|open\b)"),
+        "keyword": F.col("t").rlike(ascii_boundaries(r"^(?:pub\b|public\b|export\b|open\b)")),
         "underscore": ~name.startswith("_"),
         "solidity": kind.isin("contract", "interface") | outside,
         "always": F.lit(True),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gatewright.operators.scale import top_k
 
@@ -51,34 +52,55 @@ def audit_history(jobs: DataFrame, limit: int = 20) -> DataFrame:
 def job_rollup(events: DataFrame, retry_limit: int = 2) -> DataFrame:
     """Current state per job from its events (job_id, repo_id, ts, event, retryable).
 
-    The state follows from counters and latest timestamps, all of which combine
-    map-side, so a job with many events never gathers anywhere:
-    a completion is final; a failure is final when it is not retryable or the
-    attempts are used up; otherwise the job is queued again.
+    Legal transitions are queued -> processing -> completed / failed, so legal
+    events alternate between a start and an outcome: of a run of events of one
+    class only the first counts, and outcomes before the first start do not
+    count at all.  An outcome ends the job when it is a completion, a failure
+    that cannot be retried, or a failure with all attempts used up.  Repeated
+    deliveries of one event collapse before the windows.
     """
-    started = F.col("event") == "processing"
-    failed = F.col("event") == "failed"
-    state = events.groupBy("job_id").agg(
-        F.min("repo_id").alias("repo_id"),
-        F.count_if(started).alias("attempts"),
-        F.min(F.when(F.col("event") == "completed", F.col("ts"))).alias("completed_at"),
-        F.max(F.when(started, F.col("ts"))).alias("last_start"),
-        F.max(F.when(failed, F.col("ts"))).alias("last_failure"),
-        F.min(F.when(failed & ~F.col("retryable"), F.col("ts"))).alias("fatal_at"),
-        F.min("ts").alias("created_at"),
+    start = F.col("event") == "processing"
+    created = events.groupBy("job_id").agg(F.min("repo_id").alias("repo_id"), F.min("ts").alias("created_at"))
+    steps = (
+        events.where(F.col("event").isin("processing", "completed", "failed"))
+        .groupBy("job_id", "ts", "event")
+        .agg(F.bool_and("retryable").alias("retryable"))
     )
-    used_up = (F.col("attempts") > retry_limit) & F.col("last_failure").isNotNull()
-    status = (
-        F.when(F.col("completed_at").isNotNull() & (F.col("attempts") > 0), "completed")
-        .when(F.col("fatal_at").isNotNull() | used_up, "failed")
-        .when(
-            F.col("last_start").isNotNull()
-            & (F.col("last_failure").isNull() | (F.col("last_start") > F.col("last_failure"))),
-            "processing",
+    w = Window.partitionBy("job_id").orderBy("ts", F.col("event").desc())
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    legal = (
+        steps.withColumn("prev_start", F.lag(start).over(w))
+        .where(F.when(F.col("prev_start").isNull(), start).otherwise(F.col("prev_start") != start))
+        .withColumn("attempt", F.count_if(start).over(upto))
+    )
+    ends = (F.col("event") == "completed") | (
+        (F.col("event") == "failed") & (~F.col("retryable") | (F.col("attempt") > retry_limit))
+    )
+    marked = legal.withColumn("ended", F.coalesce(F.max(ends).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False)))
+    last = (
+        marked.where(~F.col("ended"))
+        .withColumn("ends", ends)
+        .groupBy("job_id")
+        .agg(
+            F.max("attempt").alias("attempts"),
+            F.max_by(F.struct("event", "ends", "ts"), F.struct("ts", F.col("attempt"), (~start).cast("int"))).alias("l"),
         )
+    )
+    status = (
+        F.when(F.col("l").isNull(), "queued")
+        .when(F.col("l.event") == "processing", "processing")
+        .when(F.col("l.event") == "completed", "completed")
+        .when(F.col("l.ends"), "failed")
         .otherwise("queued")
     )
-    return state.select("job_id", "repo_id", status.alias("status"), "attempts", "created_at", "completed_at")
+    return created.join(last, "job_id", "left").select(
+        "job_id",
+        "repo_id",
+        status.alias("status"),
+        F.coalesce("attempts", F.lit(0)).alias("attempts"),
+        "created_at",
+        F.when(F.col("l.event") == "completed", F.col("l.ts")).alias("completed_at"),
+    )
 
 
 def dedupe_requests(requests: DataFrame, key: str = "idempotency_key") -> DataFrame:

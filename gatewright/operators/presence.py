@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatewright import dims as D
+from gatewright.functions.patterns import RULES as D
 from gatewright.functions import paths as P
 from gatewright.functions import text as X
 from gatewright.operators.findings import SECURITY_ORD, draft, evidence, explode_drafts
@@ -38,7 +38,8 @@ def _readme_code(path: Column, content: Column) -> Column:
     )
     return F.when(
         path.isin(*D.README_NAMES),
-        priority * F.lit(_PRIORITY) + F.coalesce(features, F.lit(_UNREAD).cast("bigint")),
+        priority * F.lit(_PRIORITY)
+        + F.when(body.isNull(), F.lit(_UNREAD)).otherwise(features).cast("bigint"),
     )
 
 

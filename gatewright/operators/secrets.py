@@ -6,14 +6,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gatewright import dims as D
+from gatewright.functions.patterns import RULES as D
+from gatewright.functions.patterns import ascii_boundaries
 from gatewright.functions import paths as P
 from gatewright.functions import text as X
 from gatewright.operators.admission import explode_lines
 from gatewright.operators.findings import draft, evidence, explode_drafts
 from gatewright.operators.scale import bounded_values
 
-_EXTENSION_NEXT = r"(?i)^\.(?:" + "|".join(D.FILE_SUFFIXES) + r")\b"
+_EXTENSION_NEXT = ascii_boundaries(r"(?i)^\.(?:" + "|".join(D.FILE_SUFFIXES) + r")\b")
 _ANY_RULE = "|".join("(?:" + r[3] + ")" for r in D.SECRET_RULES)
 
 
@@ -132,7 +133,7 @@ def mnemonic_hits(lines: DataFrame, wordlist: DataFrame) -> DataFrame:
     listed = _listed(lines.sparkSession, wordlist)
     keys = [c for c in lines.columns if c != "text"]
     shortest = D.MNEMONIC_LENGTHS[0]
-    rows = lines.where(F.lower("text").rlike(rf"(?:\b[a-z]{{3,8}}\b[\s,]+){{{shortest - 1}}}\b[a-z]{{3,8}}\b"))
+    rows = lines.where(F.lower("text").rlike(rf"(?:[a-z]{{3,8}}[\s,]+){{{shortest - 1}}}[a-z]{{3,8}}"))
     words = F.filter(F.split(F.lower("text"), r"[\s,]+"), lambda w: w != "")
     known = rows.select(*keys, F.posexplode(words).alias("pos", "word")).join(listed, "word")
     line_key = ["repo_id", "path", "line"]

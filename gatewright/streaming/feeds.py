@@ -39,9 +39,35 @@ def secret_introductions(
     return history.earliest_hits(history.history_line_hits(commits, floor, min_length))
 
 
+JOB_SCHEMA = "job_id string, status string, attempts long"
+OUTCOMES = ("completed", "failed")
+
+
+def _advance(status: str, attempts: int, event: str, retryable: bool, retry_limit: int) -> tuple[str, int]:
+    """One legal transition; anything else leaves the job as it is."""
+    if status == "queued" and event == "processing":
+        return "processing", attempts + 1
+    if status == "processing" and event == "completed":
+        return "completed", attempts
+    if status == "processing" and event == "failed":
+        return ("queued" if retryable and attempts <= retry_limit else "failed"), attempts
+    return status, attempts
+
+
 def job_states(events: DataFrame, retry_limit: int = 2) -> DataFrame:
-    """Current job states, for update mode; the batch rollup works unchanged on a stream."""
-    return jobs.job_rollup(events, retry_limit)
+    """Current state per job, for update mode; state per job is its status and attempts."""
+
+    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        status, attempts = state.get if state.exists else ("queued", 0)
+        rows = pd.concat(list(batches))
+        for r in rows.sort_values(["ts", "event"], ascending=[True, False]).itertuples():
+            status, attempts = _advance(status, attempts, r.event, bool(r.retryable), retry_limit)
+        state.update((status, attempts))
+        yield pd.DataFrame([(key[0], status, attempts)], columns=["job_id", "status", "attempts"])
+
+    return events.groupBy("job_id").applyInPandasWithState(
+        fold, JOB_SCHEMA, "status string, attempts long", "update", GroupStateTimeout.NoTimeout
+    )
 
 
 def dedupe_stream(requests: DataFrame, key: str = "idempotency_key", late: str = "1 hour") -> DataFrame:

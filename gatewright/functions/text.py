@@ -39,13 +39,13 @@ def shannon_entropy(token: Column) -> Column:
     One count per distinct character, taken as the length lost when that
     character is removed; no explode and no Python.
     """
-    size = F.length(token).cast("double")
+    size = F.length(token)
+    counts = F.transform(distinct_chars(token), lambda ch: size - F.length(F.replace(token, ch, F.lit(""))))
+    return F.aggregate(counts, F.lit(0.0), lambda acc, n: acc - (n / size) * F.log2(n / size))
 
-    def add(acc: Column, ch: Column) -> Column:
-        share = (size - F.length(F.replace(token, ch, F.lit("")))) / size
-        return acc - share * F.log2(share)
 
-    return F.aggregate(F.array_distinct(F.split(token, "")), F.lit(0.0), add)
+def distinct_chars(token: Column) -> Column:
+    return F.array_distinct(F.split(token, ""))
 
 
 def strip_urls(value: Column) -> Column:
@@ -61,7 +61,7 @@ def assignment_value(token: Column) -> Column:
     found = F.regexp_extract(
         bare, r"\A(?:[A-Za-z_]+|(?=[A-Za-z0-9]*_)[A-Za-z_][A-Za-z0-9_]*)=(.+)\z", 1
     )
-    return F.when(found != "", found)
+    return F.nullif(found, F.lit(""))
 
 
 def match_lines(content: Column, pattern: str) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -98,6 +100,17 @@ def secret_pattern_hits(lines: DataFrame) -> DataFrame:
     return rows.select(*keys, F.explode(hits).alias("h")).select(*keys, "h.*")
 
 
+def entropy_tokens(text: Column, min_length: int = D.MIN_TOKEN_LENGTH) -> Column:
+    """Tokens to judge, values of assignments already taken out.
+
+    Done inside the array so that the exploded token is a plain column: the
+    filters that follow mention it many times.
+    """
+    found = F.regexp_extract_all(text, F.lit(token_pattern(min_length)), F.lit(0))
+    values = F.transform(found, lambda t: F.coalesce(X.assignment_value(t), t))
+    return F.filter(values, lambda v: F.length(v) >= min_length)
+
+
 def entropy_hits(
     lines: DataFrame, floor: float = D.ENTROPY_FLOOR, min_length: int = D.MIN_TOKEN_LENGTH
 ) -> DataFrame:
@@ -110,13 +123,10 @@ def entropy_hits(
     keys = [c for c in lines.columns if c != "text"]
     rows = lines.where(F.col("text").rlike(pattern) & ~P.is_allowlisted_template(F.col("path")))
     rows = rows.withColumn("text", X.strip_urls(F.col("text")))
-    tokens = rows.select(
-        *keys, "text", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("token")
-    )
-    value = F.coalesce(X.assignment_value(F.col("token")), F.col("token"))
     judged = (
-        tokens.withColumn("token", value)
-        .where(F.length("token") >= min_length)
+        rows.select(*keys, "text", F.explode(entropy_tokens(F.col("text"), min_length)).alias("token"))
+        # Entropy cannot pass log2 of the alphabet: rules out most plain hex at once.
+        .where(F.size(X.distinct_chars(F.col("token"))) >= math.floor(2**floor))
         .where(X.shannon_entropy(F.col("token")) >= floor)
         .where(non_credential_shape(F.col("token"), F.col("text")).isNull())
     )
@@ -150,17 +160,19 @@ def _listed(spark, wordlist: DataFrame) -> DataFrame:
     return F.broadcast(spark.createDataFrame([(w,) for w in words], "word string"))
 
 
-def wordlist_files(files: DataFrame, wordlist: DataFrame) -> DataFrame:
+def wordlist_files(
+    files: DataFrame, wordlist: DataFrame, min_words: int = D.WORDLIST_MIN_WORDS, share: float = D.WORDLIST_SHARE
+) -> DataFrame:
     """Files that are themselves word lists: (repo_id, path, words, known_share)."""
     listed = _listed(files.sparkSession, wordlist).withColumn("known", F.lit(1))
     tokens = F.regexp_extract_all(F.lower("content"), F.lit(D.WORD_TOKEN), F.lit(0))
     rows = files.where(F.col("content").isNotNull()).select("repo_id", "path", tokens.alias("tokens"))
-    long_enough = rows.where(F.size("tokens") >= D.WORDLIST_MIN_WORDS)
+    long_enough = rows.where(F.size("tokens") >= min_words)
     known = long_enough.select("repo_id", "path", F.explode("tokens").alias("word")).join(listed, "word", "left")
     shares = known.groupBy("repo_id", "path").agg(
         F.count(F.lit(1)).alias("words"), F.avg(F.coalesce("known", F.lit(0))).alias("known_share")
     )
-    return shares.where(F.col("known_share") >= D.WORDLIST_SHARE)
+    return shares.where(F.col("known_share") >= share)
 
 
 # --- files and findings --------------------------------------------------------------------

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from gatewright.queries import scans  # noqa: F401
+from gatewright.queries import content, scans  # noqa: F401
 from gatewright.queries.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,7 +27,24 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.sql(views.spark_sql(name, sf_dir))
+    return spark.sql(views.spark_sql(name, lambda t: _source(spark, sf_dir, t)))
+
+
+def _source(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """Name of a temporary view over a driver table, spread over the cores.
+
+    A file with fewer splits than the cluster has slots is redistributed so that
+    scanning its text is not left to one core; a large table has far more splits
+    than slots and is read as it is.
+    """
+    label = f"gw_{name}_{zlib.crc32(sf_dir.encode())}"
+    if not spark.catalog.tableExists(label):
+        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+        slots = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < slots:
+            df = df.repartition(slots)
+        df.createOrReplaceTempView(label)
+    return label
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -110,7 +110,7 @@ FROM {conversations}""",
     # One patch per document: added, context and removed lines.
     "commit_files": """
 SELECT source AS repo_id, md5(cast(doc_id as string)) AS sha, 'change ' || cast(doc_id as string) AS subject,
-       lang || '/d' || cast(doc_id % 40 as string) || '.ts' AS filename, doc_id AS at,
+       lang || '/d' || cast(doc_id % 40 as string) || '.ts' AS filename, doc_id AS seq,
        '@@ -1,2 +' || cast(doc_id % 9 + 1 as string) || ',3 @@ head' || chr(10) || '--- a' || chr(10) || '+++ b' || chr(10) ||
        ' ctx' || chr(10) || '+' || replace(replace(text, chr(10), chr(10) || '+'), '. ', '.' || chr(10) || '-') ||
        chr(10) || '@@ -9 +' || cast(doc_id % 5 + 90 as string) || ' @@' || chr(10) || '+tail' || chr(10) || ' end' AS patch
@@ -265,9 +265,10 @@ def _fill(sql: str, table, aggregate: str) -> str:
     return _TABLE.sub(lambda m: table(m.group(1)), joined)
 
 
-def spark_sql(name: str, sf_dir: str) -> str:
+def spark_sql(name: str, table) -> str:
+    """The view as one Spark statement; ``table`` maps a driver table to its name in the session."""
     within = "string_agg({value}, {sep}) WITHIN GROUP (ORDER BY {order})"
-    return _with(f"SELECT * FROM {name}", lambda s: _fill(s, lambda t: f"parquet.`{sf_dir}/{t}.parquet`", within))
+    return _with(f"SELECT * FROM {name}", lambda s: _fill(s, table, within))
 
 
 def oracle(sql: str) -> str:

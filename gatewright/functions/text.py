@@ -102,13 +102,14 @@ def fnv1a64_pair(value: Column) -> Column:
     """
     encoded = F.encode(value, "UTF-16BE")
     count = (F.octet_length(encoded) / 2).cast("int")
-    units = F.when(
-        count > 0,
-        F.transform(
-            F.sequence(F.lit(1), count),
-            lambda i: F.conv(F.hex(F.substring(encoded, i * 2 - 1, F.lit(2))), 16, 10).cast("bigint"),
-        ),
-    ).otherwise(F.array().cast("array<bigint>"))
+    # Without characters outside the BMP a character is one unit, and ascii() is its code.
+    plain = F.transform(F.split(value, ""), lambda ch: F.ascii(ch).cast("bigint"))
+    wide = F.transform(
+        F.sequence(F.lit(1), count),
+        lambda i: F.conv(F.hex(F.substring(encoded, i * 2 - 1, F.lit(2))), 16, 10).cast("bigint"),
+    )
+    none = F.array().cast("array<bigint>")
+    units = F.when(value == "", none).when(value.rlike(r"[\x{10000}-\x{10FFFF}]"), wide).otherwise(plain)
     prefix = F.aggregate(units, F.lit(FNV_OFFSET).cast("bigint"), _fnv_step)
 
     def finish(acc: Column) -> Column:

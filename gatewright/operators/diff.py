@@ -16,7 +16,8 @@ def fixable_findings(lists: DataFrame) -> DataFrame:
     """First occurrence per (repo, id) over lists tagged ``list_ord`` (blockers, documents, security)."""
     rest = [c for c in lists.columns if c not in ("repo_id", "id")]
     usable = [c for c in rest if c not in ("verification",)]
-    first = F.min_by(F.struct(*usable), F.struct("list_ord", "ord"))
+    order = F.struct("list_ord", "ord", severity_rank(F.col("severity")), first_file(), first_line())
+    first = F.min_by(F.struct(*usable), order)
     return lists.groupBy("repo_id", "id").agg(first.alias("f")).select("repo_id", "id", "f.*")
 
 
@@ -88,25 +89,22 @@ def finding_status(base: DataFrame, head: DataFrame) -> DataFrame:
     )
 
 
-def _pair_lines(group: pd.DataFrame, reach: int) -> pd.DataFrame:
+def _pair(lines, resolved, fresh, reach: int) -> list[tuple[int, int, int]]:
     """Nearest-first one-to-one pairing of line counters, ties by from-line then to-line."""
-    left = {int(r.line): int(r.resolved) for r in group.itertuples() if r.resolved}
-    right = {int(r.line): int(r.fresh) for r in group.itertuples() if r.fresh}
-    starts = sorted(left)
+    left = {a: n for a, n in zip(lines, resolved) if n}
+    right = {b: n for b, n in zip(lines, fresh) if n}
     out = []
     for distance in range(reach + 1):
-        for a in starts:
-            for b in ((a,) if distance == 0 else (a - distance, a + distance)):
+        for a in lines:
+            if not left.get(a):
+                continue
+            for b in (a,) if distance == 0 else (a - distance, a + distance):
                 n = min(left[a], right.get(b, 0))
                 if n:
                     left[a] -= n
                     right[b] -= n
-                    out.append((a, b, n))
-    rows = pd.DataFrame(out, columns=["from_line", "to_line", "n"])
-    keys = group.iloc[0]
-    return rows.assign(repo_id=keys.repo_id, rule_id=keys.rule_id, file=keys.file)[
-        ["repo_id", "rule_id", "file", "from_line", "to_line", "n"]
-    ]
+                    out.append((int(a), int(b), int(n)))
+    return out
 
 
 def moved_findings(status: DataFrame, reach: int = D.MAX_MOVE_DISTANCE) -> DataFrame:
@@ -137,13 +135,27 @@ def moved_findings(status: DataFrame, reach: int = D.MAX_MOVE_DISTANCE) -> DataF
         .where((F.col("r") > 0) & (F.col("f") > 0))
         .select(*keys, "cluster", "line", "resolved", "fresh")
     )
-    paired = both.groupBy(*keys, "cluster").applyInPandas(
-        lambda g: _pair_lines(g, reach),
-        "repo_id string, rule_id string, file string, from_line int, to_line int, n bigint",
+    # Small clusters are packed into Arrow batches: one row per cluster.
+    packed = both.groupBy(*keys, "cluster").agg(
+        F.array_sort(F.collect_list(F.struct("line", "resolved", "fresh"))).alias("c")
     )
-    return paired.select(
-        *keys, "from_line", "to_line", F.explode(F.array_repeat(F.lit(1), F.col("n").cast("int"))).alias("_one")
-    ).drop("_one")
+
+    @F.pandas_udf("array<struct<from_line:int,to_line:int,n:bigint>>")
+    def pair(lines: pd.Series, resolved: pd.Series, fresh: pd.Series) -> pd.Series:
+        return pd.Series(
+            [
+                [{"from_line": a, "to_line": b, "n": n} for a, b, n in _pair(x.tolist(), r.tolist(), f.tolist(), reach)]
+                for x, r, f in zip(lines, resolved, fresh)
+            ],
+            dtype=object,
+        )
+
+    get = lambda name: F.transform("c", lambda x: x[name])
+    paired = packed.select(*keys, pair(get("line"), get("resolved"), get("fresh")).alias("p"))
+    flat = paired.select(*keys, F.explode("p").alias("m"))
+    return flat.select(
+        *keys, "m.from_line", "m.to_line", F.explode(F.sequence(F.lit(1), F.col("m.n").cast("int"))).alias("_i")
+    ).drop("_i")
 
 
 def metrics_drift(metrics: DataFrame, baseline: DataFrame, names: list[str]) -> DataFrame:

@@ -7,6 +7,8 @@ so they are kept apart.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,10 +66,15 @@ def package_name_of(specifier: Column) -> Column:
 
 
 def language_of(path: Column) -> Column:
-    table = F.create_map(*[F.lit(x) for kv in D.LANGUAGE_BY_EXTENSION.items() for x in kv])
+    table = F.from_json(F.lit(json.dumps(D.LANGUAGE_BY_EXTENSION)), "map<string,string>")
     return F.element_at(table, extension(path))
 
 
+def among(value: Column, names: list[str]) -> Column:
+    """Membership in a fixed list, as one folded constant instead of one literal per name."""
+    return F.array_contains(F.split(F.lit("\n".join(names)), "\n"), value)
+
+
 def is_programming_language(language: Column) -> Column:
     return language.isNotNull() & ~language.isin(*D.NON_PROGRAMMING_LANGUAGES)
 
@@ -91,8 +98,8 @@ def is_document(path: Column) -> Column:
 def is_prose(path: Column) -> Column:
     base = basename(path)
     ext = F.lower(F.regexp_extract(base, r"\A.+(\.[^.]*)\z", 1))
-    return F.when(ext == "", F.lower(base).isin(*D.PROSE_BASENAMES)).otherwise(
-        ext.isin(*D.PROSE_EXTENSIONS)
+    return F.when(ext == "", among(F.lower(base), D.PROSE_BASENAMES)).otherwise(
+        among(ext, D.PROSE_EXTENSIONS)
     )
 
 
@@ -111,15 +118,15 @@ def is_test_file(path: Column) -> Column:
 
 
 def is_config(path: Column) -> Column:
-    return F.lower(basename(path)).isin(*D.CONFIG_BASENAMES) | path.rlike(D.CONFIG_PATH)
+    return among(F.lower(basename(path)), D.CONFIG_BASENAMES) | path.rlike(D.CONFIG_PATH)
 
 
 def is_documentation(path: Column) -> Column:
     base = basename(path)
     ext = F.lower(F.regexp_extract(base, r"(\.[^.]*)\z", 1))
     return (
-        ext.isin(*D.DOCUMENTATION_EXTENSIONS)
-        | F.lower(base).isin(*D.DOCUMENTATION_BASENAMES)
+        among(ext, D.DOCUMENTATION_EXTENSIONS)
+        | among(F.lower(base), D.DOCUMENTATION_BASENAMES)
         | path.startswith("docs/")
     )
 

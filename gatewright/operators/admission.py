@@ -21,9 +21,9 @@ def file_kind(path: Column, size: Column) -> Column:
         F.when(p.rlike(D.SKIP_DIR_ANYWHERE) | p.rlike(D.SKIP_DIR_AT_ROOT) | p.contains(".."), F.lit("ignore"))
         .when(dotfile & (env | base.isin(*D.TEXT_DOTFILES)), F.lit("text"))
         .when(dotfile, F.lit("ignore"))
-        .when(ext.isin(*D.BINARY_EXTENSIONS), F.lit("binary"))
-        .when(ext.isin(*D.TEXT_EXTENSIONS), F.lit("text"))
-        .when(F.lower(base).isin(*D.BARE_TEXT_NAMES), F.lit("text"))
+        .when(P.among(ext, D.BINARY_EXTENSIONS), F.lit("binary"))
+        .when(P.among(ext, D.TEXT_EXTENSIONS), F.lit("text"))
+        .when(P.among(F.lower(base), D.BARE_TEXT_NAMES), F.lit("text"))
         .when(size <= D.SMALL_TEXT_BYTES, F.lit("text"))
         .otherwise(F.lit("binary"))
     )

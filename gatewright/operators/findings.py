@@ -9,6 +9,8 @@ ordering always ends in ``id`` so that ties are settled the same way everywhere.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -78,23 +80,23 @@ def severity_name(rank: Column) -> Column:
 
 
 # --- rules and keys ---------------------------------------------------------------
-def _rule(row: tuple) -> Column:
+VERIFICATION = "struct<kind:string,target:string,expected:string,note:string>"
+
+
+_RULE = f"struct<rule_id:string,source:string,confidence:double,verification:{VERIFICATION}>"
+
+
+def _rule_row(row: tuple) -> dict:
     rule_id, source, confidence, kind, target, note = row
-    verification = F.struct(
-        F.lit(kind).cast("string").alias("kind"),
-        F.lit(target).cast("string").alias("target"),
-        F.lit(None).cast("string").alias("expected"),
-        F.lit(note).cast("string").alias("note"),
-    )
-    return F.struct(
-        F.lit(rule_id).alias("rule_id"),
-        F.lit(source).alias("source"),
-        F.lit(confidence).alias("confidence"),
-        (verification if kind else F.lit(None).cast(VERIFICATION)).alias("verification"),
-    )
+    check = {"kind": kind, "target": target, "expected": None, "note": note} if kind else None
+    return {"rule_id": rule_id, "source": source, "confidence": confidence, "verification": check}
 
 
-VERIFICATION = "struct<kind:string,target:string,expected:string,note:string>"
+# One JSON literal each: the optimizer folds it to a constant, and plans stay small.
+_EXACT = json.dumps({k: _rule_row(v) for k, v in D.EXACT_RULES.items()})
+_PREFIXES = json.dumps(
+    [{"prefix": k, "rule": _rule_row(v)} for k, v in sorted(D.PREFIX_RULES.items(), key=lambda kv: -len(kv[0]))]
+)
 
 
 def rule_of(finding_id: Column) -> Column:
@@ -103,17 +105,16 @@ def rule_of(finding_id: Column) -> Column:
     The registry is a few dozen fixed rows, so it is an expression, not a join:
     mapping never shuffles findings.
     """
-    exact = F.create_map(*[c for k, v in D.EXACT_RULES.items() for c in (F.lit(k), _rule(v))])
-    mapped = F.element_at(exact, finding_id)
-    longest_first = sorted(D.PREFIX_RULES.items(), key=lambda kv: -len(kv[0]))
-    by_prefix = F.coalesce(*[F.when(finding_id.startswith(p), _rule(v)) for p, v in longest_first])
+    exact = F.element_at(F.from_json(F.lit(_EXACT), f"map<string,{_RULE}>"), finding_id)
+    prefixes = F.from_json(F.lit(_PREFIXES), f"array<struct<prefix:string,rule:{_RULE}>>")
+    longest = F.get(F.filter(prefixes, lambda p: F.startswith(finding_id, p["prefix"])), F.lit(0))["rule"]
     unmapped = F.struct(
         F.concat(F.lit("UNMAPPED-"), F.regexp_replace(F.upper(finding_id), "[^A-Z0-9]+", "-")).alias("rule_id"),
         F.lit("file").alias("source"),
         F.lit(1.0).alias("confidence"),
         F.lit(None).cast(VERIFICATION).alias("verification"),
     )
-    return F.coalesce(mapped, by_prefix, unmapped)
+    return F.coalesce(exact, longest, unmapped)
 
 
 def fingerprint(rule_id: Column, proof: Column) -> Column:

@@ -37,7 +37,7 @@ def _readme_code(path: Column, content: Column) -> Column:
         + sum(bits[1:], bits[0])
     )
     return F.when(
-        path.isin(*D.README_NAMES),
+        P.among(path, D.README_NAMES),
         priority * F.lit(_PRIORITY)
         + F.when(body.isNull(), F.lit(_UNREAD)).otherwise(features).cast("bigint"),
     )
@@ -76,12 +76,12 @@ def repo_facts(corpus: DataFrame, lockfiles_from: str = "admitted") -> DataFrame
     )
     pyproject = read & (p == "pyproject.toml") & (body != "")
 
-    aggs = [_has(F.col("_clean").isin(*names)).alias(flag) for _, flag, _, _, names in D.REQUIRED_DOCS]
+    aggs = [_has(P.among(F.col("_clean"), names)).alias(flag) for _, flag, _, _, names in D.REQUIRED_DOCS]
     aggs += [
         _has(p.rlike(D.SCREENSHOT)).alias("has_screenshots"),
         _has(p.rlike(D.HACK_LICENSE_PATH)).alias("hack_license"),
         F.min(_readme_code(F.col("_clean"), F.when(entry, body))).alias("_readme"),
-        _has(lock_scope & F.col("_clean").isin(*D.LOCKFILES)).alias("has_lockfile"),
+        _has(lock_scope & P.among(F.col("_clean"), D.LOCKFILES)).alias("has_lockfile"),
         _has(entry & p.rlike(D.CI_WORKFLOW)).alias("has_ci"),
         _has(entry & p.rlike(D.DOCKER_PATH)).alias("has_docker"),
         _has(pkg_read).alias("pkg_read"),
@@ -434,9 +434,9 @@ def free_check(tree: DataFrame) -> DataFrame:
     p = F.col("path")
     base = P.basename(p)
     checks = [
-        ("has-readme", base.isin(*D.README_NAMES), True, "No README anywhere in the repository"),
-        ("has-license", base.isin(*D.LICENSE_NAMES), True, "No LICENSE file anywhere in the repository"),
-        ("has-env-example", base.isin(*D.ENV_EXAMPLE_NAMES), True, "No .env.example"),
+        ("has-readme", P.among(base, D.README_NAMES), True, "No README anywhere in the repository"),
+        ("has-license", P.among(base, D.LICENSE_NAMES), True, "No LICENSE file anywhere in the repository"),
+        ("has-env-example", P.among(base, D.ENV_EXAMPLE_NAMES), True, "No .env.example"),
         ("has-lockfile", p.rlike(D.FREE_LOCKFILE), False, "No lockfile"),
         ("has-ci", p.rlike(D.FREE_CI), False, "No CI configuration"),
     ]

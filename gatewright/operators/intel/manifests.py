@@ -70,24 +70,16 @@ def manifests(files: DataFrame) -> DataFrame:
 # --- package.json --------------------------------------------------------------------
 def _package_json(rows: DataFrame) -> DataFrame:
     doc = rows.where(F.col("kind") == "package_json").withColumn("doc", F.try_parse_json("content"))
-    tables = [
-        F.transform(
-            F.map_entries(
-                F.coalesce(
-                    F.try_variant_get("doc", f"$.{section}", "map<string,variant>"),
-                    F.from_json(F.lit("{}"), "map<string,string>").cast("map<string,variant>"),
-                )
-            ),
-            lambda e, kind=kind: F.struct(
-                e["key"].alias("name"),
-                F.when(F.schema_of_variant(e["value"]) == "STRING", F.try_variant_get(e["value"], "$", "string")).alias(
-                    "version"
-                ),
-                F.lit(kind).alias("kind"),
-            ),
-        )
-        for section, kind in PACKAGE_SECTIONS.items()
-    ]
+
+    def table(section: str, kind: str) -> Column:
+        def row(e: Column) -> Column:
+            text = F.when(F.schema_of_variant(e["value"]) == "STRING", F.try_variant_get(e["value"], "$", "string"))
+            return F.struct(e["key"].alias("name"), text.alias("version"), F.lit(kind).alias("kind"))
+
+        entries = F.map_entries(F.try_variant_get("doc", f"$.{section}", "map<string,variant>"))
+        return F.coalesce(F.transform(entries, row).cast(DEPENDENCY), F.array().cast(DEPENDENCY))
+
+    tables = [table(section, kind) for section, kind in PACKAGE_SECTIONS.items()]
     globs = F.coalesce(
         F.try_variant_get("doc", "$.workspaces", "array<string>"),
         F.try_variant_get("doc", "$.workspaces.packages", "array<string>"),

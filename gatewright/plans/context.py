@@ -14,9 +14,10 @@ from gatewright.operators.scale import top_k
 
 def repo_map(corpus: DataFrame, repos: DataFrame | None = None) -> dict[str, DataFrame]:
     """``corpus(repo_id, path, size, list_pos, admitted, content)``; ``repos(repo_id, name, primary_language)``."""
-    text = inventory.text_files(corpus.where(F.col("admitted")).drop("content"))
+    # Listing and parsed manifests are narrow and feed most sections; contents are read once for them.
+    text = inventory.text_files(corpus.where(F.col("admitted")).drop("content")).persist()
     files = corpus.where(F.col("admitted") & F.col("content").isNotNull()).select("repo_id", "path", "content")
-    parsed = manifests.parse_manifests(files)
+    parsed = manifests.parse_manifests(files).persist()
     usage = inventory.language_usage(text)
     entry = ep.entrypoints(ep.entrypoint_signals(corpus.where(F.col("admitted"))))
     listed = inventory.listed_files(text)

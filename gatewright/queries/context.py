@@ -16,8 +16,9 @@ from gatewright.queries.registry import query, view
 _TEXT = f"{S.GRADED}, text AS (SELECT repo_id, path, size FROM graded WHERE kind = 'text')"
 
 
-def _text(spark, d):
-    return inventory.text_files(view(spark, d, "tree"))
+def _text(spark, d, keep: bool = False):
+    text = inventory.text_files(view(spark, d, "tree"))
+    return text.persist() if keep else text
 
 
 def _files(spark, d):
@@ -92,7 +93,7 @@ def external_dependencies(spark, d):
     return manifests.external_dependencies(manifests.parse_manifests(_files(spark, d)))
 
 
-@query("unparsed_manifests", f"WITH {_TEXT} SELECT repo_id, path FROM text WHERE {S.hit('path', manifests.UNPARSED)} OR path = 'Jenkinsfile' AND false")
+@query("unparsed_manifests", f"WITH {_TEXT} SELECT repo_id, path FROM text WHERE {S.hit('path', manifests.UNPARSED)}")
 def unparsed_manifests(spark, d):
     return manifests.unparsed_manifests(_text(spark, d))
 
@@ -109,7 +110,8 @@ def package_managers(spark, d):
 
 # --- modules --------------------------------------------------------------------------------------
 def _parsed(spark, d):
-    return manifests.parse_manifests(_files(spark, d))
+    """Parsed manifests are a sliver of the corpus and feed several branches: kept."""
+    return manifests.parse_manifests(_files(spark, d)).persist()
 
 
 _DIRS = "dirs AS (SELECT DISTINCT repo_id, array_to_string(p[1:i], '/') AS dir FROM (SELECT repo_id, p, unnest(range(1, len(p))) AS i FROM (SELECT repo_id, string_split(path, '/') AS p FROM text)))"
@@ -129,7 +131,7 @@ def workspace_dirs(spark, d):
 
 @query("detect_modules")
 def detect_modules(spark, d):
-    return modules.detect_modules(_text(spark, d), _parsed(spark, d))
+    return modules.detect_modules(_text(spark, d, True), _parsed(spark, d))
 
 
 @query(
@@ -162,12 +164,12 @@ def module_files(spark, d):
 @query("module_dependencies")
 def module_dependencies(spark, d):
     parsed = _parsed(spark, d)
-    return modules.module_dependencies(modules.detect_modules(_text(spark, d), parsed), parsed)
+    return modules.module_dependencies(modules.detect_modules(_text(spark, d, True), parsed), parsed)
 
 
 @query("module_importance")
 def module_importance(spark, d):
-    text, parsed = _text(spark, d), _parsed(spark, d)
+    text, parsed = _text(spark, d, True), _parsed(spark, d)
     found = modules.detect_modules(text, parsed)
     entry = ep.entrypoints(ep.entrypoint_signals(scans.corpus(spark, d).where("admitted")))
     edges = modules.module_dependencies(found, parsed)

@@ -243,12 +243,12 @@ def _needed(text: str) -> list[str]:
 
 def _with(text: str, resolve) -> str:
     names = _needed(text)
-    own = re.match(r"(?i)\s*WITH\s", text)
+    own = re.match(r"(?i)\s*WITH\s+(RECURSIVE\s)?", text)
     ctes = ", ".join(f"{n} AS ({resolve(VIEWS[n])})" for n in names)
     if not ctes:
         return text
     if own:
-        return f"WITH {ctes}, " + text[own.end() :]
+        return f"WITH {own.group(1) or ''}{ctes}, " + text[own.end() :]
     return f"WITH {ctes} {text}"
 
 

@@ -189,8 +189,13 @@ def with_levels(lines: DataFrame) -> DataFrame:
     w = Window.partitionBy(*FILE).orderBy("line")
     opened = F.when(F.col("opens") > 0, F.col("line"))
     ahead = w.rowsBetween(0, Window.unboundedFollowing)
+    # Python: a declaration starts at the first of the decorators directly above it.
+    above = F.lag(F.when(F.col("t").startswith("@"), F.col("indent"))).over(w)
+    fresh = F.when(~F.coalesce(F.col("above") == F.col("indent"), F.lit(False)), F.col("line"))
     return (
         deep.withColumn("level", level)
+        .withColumn("above", above)
+        .withColumn("start_line", F.last(fresh, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
         .withColumn("base", base)
         .withColumn("prev_level", F.lag("level").over(w))
         .withColumn("prev_line", F.lag("line").over(w))
@@ -217,18 +222,25 @@ def closers(levels: DataFrame) -> DataFrame:
 
 def declarations(levels: DataFrame) -> DataFrame:
     """First matching rule per line, as rule number, name, kind and scope flag."""
-    t, lang = F.col("t"), F.col("language")
-    options = []
-    for language, (_, _, _, rules) in convert(PROFILES).items():
-        hits = [
-            F.when(
-                t.rlike(pattern),
-                F.struct(F.regexp_extract(t, pattern, 1).alias("name"), F.lit(kind).alias("kind"), F.lit(scope).alias("scope")),
-            )
-            for pattern, kind, scope in rules
-        ]
-        options.append(F.when(lang == language, F.coalesce(*hits)))
-    found = levels.where(~F.col("ignorable")).withColumn("d", F.coalesce(*options)).where(F.col("d").isNotNull())
+    lang = F.col("language")
+
+    def first_rule(t: Column) -> Column:
+        options = []
+        for language, (_, _, _, rules) in convert(PROFILES).items():
+            hits = [
+                F.when(
+                    t.rlike(pattern),
+                    F.struct(F.regexp_extract(t, pattern, 1).alias("name"), F.lit(kind).alias("kind"), F.lit(scope).alias("scope")),
+                )
+                for pattern, kind, scope in rules
+            ]
+            options.append(F.when(lang == language, F.coalesce(*hits)))
+        return F.coalesce(*options)
+
+    # Some sixty patterns would outgrow one generated method; inside a lambda they are
+    # evaluated rule by rule, and most lines stop at their language's few rules.
+    hit = F.filter(F.transform(F.array("t"), first_rule), lambda h: h.isNotNull())
+    found = levels.where(~F.col("ignorable")).select("*", F.explode(hit).alias("d"))
     return found.select("*", "d.name", "d.kind", "d.scope").drop("d")
 
 
@@ -241,25 +253,26 @@ def block_ends(decls: DataFrame, ends: DataFrame) -> DataFrame:
     by_indent = F.col("language").isin(*INDENT_LANGUAGES)
     # A brace block can only close from its first "{" on; an indented one after its own line.
     looks_from = F.when(by_indent, F.col("line") + 1).otherwise(F.col("first_open"))
-    d = decls.withColumn("seek", looks_from)
-    events = d.select(
-        *FILE, "base", F.coalesce("seek", F.col("last_line") + 1).alias("at"), F.col("line").alias("decl_line"),
-        F.lit(None).cast("int").alias("close_line"), F.lit(None).cast("int").alias("close_prev"),
-        F.lit(None).cast("int").alias("close_level"), F.lit(None).cast("string").alias("close_text"),
-    ).unionByName(
-        ends.select(
-            *FILE, "base", F.col("close_line").alias("at"), F.lit(None).cast("int").alias("decl_line"),
-            "close_line", "close_prev", "close_level", "close_text",
-        )
+    closer = F.struct("close_line", "close_prev", "close_level", "close_text")
+    row = F.struct(*[c for c in decls.columns if c not in (*FILE, "base")])
+    asks = decls.select(
+        *FILE,
+        "base",
+        F.coalesce(looks_from, F.col("last_line") + 1).alias("at"),
+        row.alias("row"),
+        F.lit(None).cast("struct<close_line:int,close_prev:int,close_level:int,close_text:string>").alias("close"),
+    )
+    answers = ends.select(
+        *FILE, "base", F.col("close_line").alias("at"), F.lit(None).cast(asks.schema["row"].dataType).alias("row"),
+        closer.alias("close"),
     )
-    # On equal positions the closer must stay visible: look from the declaration forward by range.
+    # A range frame, so a closer on the very line asked from stays visible.
     w = Window.partitionBy(*FILE, "base").orderBy("at").rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    closer = F.struct("close_line", "close_prev", "close_level", "close_text")
-    nearest = events.withColumn(
-        "c", F.min(F.when(F.col("close_line").isNotNull(), closer)).over(w)
-    ).where(F.col("decl_line").isNotNull())
-    joined = d.join(
-        nearest.select(*FILE, F.col("decl_line").alias("line"), "c"), [*FILE, "line"]
+    joined = (
+        asks.unionByName(answers)
+        .withColumn("c", F.min("close").over(w))
+        .where(F.col("row").isNotNull())
+        .select(*FILE, "base", "row.*", "c")
     )
     closed = F.col("c.close_line")
     # Depth can be back at the base on the very line that first opens ("{}").
@@ -284,7 +297,7 @@ def block_ends(decls: DataFrame, ends: DataFrame) -> DataFrame:
     # Ruby and Shell scopes need an indentation of two more; Python any.
     indent_scope = F.when(flat, F.col("next_line")).otherwise(closed)
     return joined.select(
-        *d.columns,
+        *decls.columns,
         F.when(by_indent, indent_end).otherwise(brace_end).alias("end_line"),
         F.when(by_indent, indent_scope).otherwise(brace_scope).alias("scope_end"),
     )
@@ -296,55 +309,50 @@ def _nesting(decls: DataFrame, opener: Column, label: str) -> DataFrame:
     Scopes nest properly, so the innermost open scope is the latest one whose
     nesting number equals the number of open scopes.
     """
-    opens = decls.where(opener)
-    events = (
-        opens.select(*FILE, F.col("line").alias("at"), F.lit(2).alias("o"), F.lit(1).alias("step"))
-        .unionByName(
-            opens.where(F.col("scope_end").isNotNull()).select(
-                *FILE, F.col("scope_end").alias("at"), F.lit(0).alias("o"), F.lit(-1).alias("step")
-            )
-        )
-        .unionByName(decls.select(*FILE, F.col("line").alias("at"), F.lit(1).alias("o"), F.lit(0).alias("step")))
-    )
-    w = Window.partitionBy(*FILE).orderBy("at", "o").rowsBetween(Window.unboundedPreceding, 0)
-    depth = events.withColumn("n", F.sum("step").over(w)).where(F.col("o") == 1)
-    numbered = decls.join(
-        depth.select(*FILE, F.col("at").alias("line"), F.col("n").alias(f"{label}_open")), [*FILE, "line"]
+    kept = F.struct(*[c for c in decls.columns if c not in FILE])
+    none = F.when(F.lit(False), kept)
+    event = lambda at, o, step, payload: F.struct(
+        at.alias("at"), F.lit(o).alias("o"), F.lit(step).alias("step"), payload.alias("row")
     )
-    none = F.lit(None).cast("struct<name:string,base:int>")
-    merged = numbered.select(
-        *FILE, "line", F.lit(1).alias("o"), F.col(f"{label}_open").alias("nest"), none.alias("scope")
-    ).unionByName(
-        numbered.where(opener).select(
-            *FILE, "line", F.lit(2).alias("o"), (F.col(f"{label}_open") + 1).alias("nest"),
-            F.struct("name", "base").alias("scope"),
+    line, end = F.col("line"), F.col("scope_end")
+    events = F.array_compact(
+        F.array(
+            event(line, 1, 0, kept),
+            F.when(opener, event(line, 2, 1, none)),
+            F.when(opener & end.isNotNull(), event(end, 0, -1, none)),
         )
     )
-    last = Window.partitionBy(*FILE, "nest").orderBy("line", "o").rowsBetween(Window.unboundedPreceding, 0)
-    named = (
-        merged.withColumn("inner", F.last("scope", ignorenulls=True).over(last))
+    w = Window.partitionBy(*FILE).orderBy("at", "o").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = (
+        decls.select(*FILE, F.explode(events).alias("e"))
+        .select(*FILE, "e.*")
+        .withColumn("open", F.sum("step").over(w).cast("int"))
         .where(F.col("o") == 1)
-        .select(*FILE, "line", "inner")
+        .select(*FILE, "row.*", "open")
     )
-    out = numbered.join(named, [*FILE, "line"])
-    inner = F.when(F.col(f"{label}_open") > 0, F.col("inner"))
-    return out.select(
-        *numbered.columns, inner["name"].alias(f"{label}_name"), inner["base"].alias(f"{label}_base")
+    scope = F.struct("name", "base")
+    mark = lambda nest, o, payload, inner: F.struct(
+        nest.alias("nest"), F.lit(o).alias("o"), payload.alias("row"), inner.alias("scope")
     )
-
-
-def _decorator_start(lines: DataFrame) -> DataFrame:
-    """Python: first line of the run of decorators directly above each code line."""
-    code = lines.where((F.col("language") == "Python") & ~F.col("ignorable"))
-    w = Window.partitionBy(*FILE).orderBy("line")
-    deco = F.col("t").startswith("@")
-    breaks = ~F.coalesce(F.lag(deco).over(w) & (F.lag("indent").over(w) == F.col("indent")), F.lit(False))
-    run = code.withColumn("run_start", F.when(breaks, F.col("line")))
-    return run.select(
-        *FILE,
-        "line",
-        F.last("run_start", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("start_line"),
+    kept = F.struct(*[c for c in numbered.columns if c not in FILE])
+    marks = F.array_compact(
+        F.array(
+            mark(F.col("open"), 1, kept, F.when(F.lit(False), scope)),
+            F.when(opener, mark(F.col("open") + 1, 2, F.when(F.lit(False), kept), scope)),
+        )
     )
+    last = Window.partitionBy(*FILE, "nest").orderBy("at", "o").rowsBetween(Window.unboundedPreceding, 0)
+    inner = F.when(F.col("row.open") > 0, F.col("inner"))
+    return (
+        numbered.select(*FILE, line.alias("at"), F.explode(marks).alias("m"))
+        .select(*FILE, "at", "m.*")
+        .withColumn("inner", F.last("scope", ignorenulls=True).over(last))
+        .where(F.col("o") == 1)
+        .select(
+            *FILE, "row.*", inner["name"].alias(f"{label}_name"), inner["base"].alias(f"{label}_base")
+        )
+        .withColumnRenamed("open", f"{label}_open")
+    )
 
 
 def extract_symbols(files: DataFrame, limit: int = D.MAX_SYMBOLS) -> DataFrame:
@@ -385,8 +393,7 @@ def extract_symbols(files: DataFrame, limit: int = D.MAX_SYMBOLS) -> DataFrame:
         names = [k for k, v in PROFILES.items() if v[1] == style]
         exported = F.when(lang.isin(*names), test).otherwise(exported)
     single = kind.isin("assignment", "state")
-    starts = _decorator_start(lines)
-    rows = nested.where(keep).join(starts, [*FILE, "line"], "left")
+    rows = nested.where(keep)
     decorated = python & ~single
     parser = F.when(lang.isin(*PARSERS), "regex").otherwise("heuristic")
     confidence = F.when(python, 0.75).when(lang == "Solidity", 0.7).otherwise(0.5)

@@ -357,7 +357,8 @@ def _decl_sql() -> str:
 @query("symbol_declarations", f"WITH {_CL}, dc AS ({_decl_sql()}) SELECT * FROM dc WHERE name IS NOT NULL")
 def symbol_declarations(spark, d):
     langs = ["TypeScript", "JavaScript", "Go", "Rust", "Java"]
-    out = symbols.declarations(symbols.symbol_lines(_code(spark, d)))
+    lines = symbols.symbol_lines(_code(spark, d))
+    out = symbols.declarations(lines)
     return out.where(F.col("language").isin(langs)).select("repo_id", "path", "line", "name", "kind")
 
 

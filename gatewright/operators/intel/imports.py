@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -165,34 +167,45 @@ def is_relative(spec: Column) -> Column:
     return spec.isin(".", "..") | spec.startswith("./") | spec.startswith("../")
 
 
-def _with_extensions(base: Column, language: str) -> list[Column]:
-    rewrites = []
-    if language in SCRIPT_LANGUAGES:
-        for old, news in REWRITES.items():
-            stem = F.substring(base, F.lit(1), F.length(base) - len(old))
-            rewrites += [F.when(base.endswith(old), F.concat(stem, F.lit(n))) for n in news]
-    return [base, *rewrites, *[F.concat(base, F.lit(e)) for e in EXTENSIONS[language]]]
+_EMPTY = "array<string>"
+
+
+def _extensions() -> Column:
+    table = F.from_json(F.lit(json.dumps(EXTENSIONS)), "map<string,array<string>>")
+    return F.coalesce(F.element_at(table, F.col("language")), F.array().cast(_EMPTY))
+
+
+def _with_extensions(base: Column) -> Column:
+    """The path itself, its source rewrites (script languages), then every extension."""
+    suffix = F.regexp_extract(base, r"(\.(?:js|jsx|mjs|cjs))\z", 1)
+    table = F.from_json(F.lit(json.dumps(REWRITES)), "map<string,array<string>>")
+    stem = F.substring(base, F.lit(1), F.length(base) - F.length(suffix))
+    rewritten = F.when(
+        F.col("language").isin(*SCRIPT_LANGUAGES),
+        F.transform(F.element_at(table, suffix), lambda e: F.concat(stem, e)),
+    )
+    return F.concat(
+        F.array(base),
+        F.coalesce(rewritten, F.array().cast(_EMPTY)),
+        F.transform(_extensions(), lambda e: F.concat(base, e)),
+    )
 
 
-def _relative_candidates(spec: Column, language: str) -> Column:
-    base = P.normalise_path(F.concat(P.dirname(F.col("path")), F.lit("/"), spec))
-    index = [F.concat(base, F.lit("/index" + e)) for e in EXTENSIONS[language]]
-    return F.array(*_with_extensions(base, language), *index)
+def _relative_candidates(base: Column) -> Column:
+    index = F.transform(_extensions(), lambda e: F.concat(base, F.lit("/index"), e))
+    return F.concat(_with_extensions(base), index)
 
 
-def _entry_candidates(directory: Column, language: str) -> Column:
-    out: list[Column] = []
-    for name in INDEX_NAMES:
-        out += _with_extensions(F.concat(directory, F.lit("/" + name)), language)
-    return F.array(*out, *_with_extensions(F.concat(directory, F.lit("/src/index")), language))
+def _entry_candidates(directory: Column) -> Column:
+    names = F.array(*[F.concat(directory, F.lit("/" + n)) for n in [*INDEX_NAMES, "src/index"]])
+    return F.flatten(F.transform(names, _with_extensions))
 
 
-def _absolute_candidates(spec: Column, language: str) -> Column:
+def _absolute_candidates(spec: Column) -> Column:
+    table = F.from_json(F.lit(json.dumps(SOURCE_ROOTS)), "map<string,array<string>>")
     path = F.replace(spec, F.lit("."), F.lit("/"))
-    out: list[Column] = []
-    for root in SOURCE_ROOTS[language]:
-        out += _with_extensions(F.concat(F.lit(root), path), language)
-    return F.array(*out)
+    roots = F.element_at(table, F.col("language"))
+    return F.flatten(F.transform(roots, lambda r: _with_extensions(F.concat(r, path))))
 
 
 def _python_candidates(spec: Column) -> Column:
@@ -224,9 +237,8 @@ def _rust_candidates(spec: Column) -> Column:
     )
     local = P.normalise_path(F.concat_ws("/", climb, rest))
     path = F.when(in_crate, crate).when(clean.startswith("self::") | clean.startswith("super::"), local)
-    return F.array(
-        F.concat(path, F.lit(".rs")), F.concat(path, F.lit("/mod.rs")), *_with_extensions(path, "Rust")
-    )
+    forms = F.array(F.concat(path, F.lit(".rs")), F.concat(path, F.lit("/mod.rs")))
+    return F.when(path.isNotNull(), F.concat(forms, _with_extensions(path)))
 
 
 def _strip_prefix(spec: Column, prefixes: Column) -> Column:
@@ -271,23 +283,18 @@ def resolve_imports(
     base = base.withColumn("stripped", stripped).withColumn(
         "module_dir", F.when(lang == "Go", F.col("stripped")).when(bare, F.col("named_dir"))
     )
-    options = [
-        F.when(lang == "Python", _python_candidates(spec)),
-        F.when(lang == "Rust", _rust_candidates(spec)),
-        *[F.when(lang == name, _absolute_candidates(spec, name)) for name in SOURCE_ROOTS],
-    ]
-    for name in EXTENSIONS:
-        if name in SOURCE_ROOTS or name == "Rust":
-            continue
-        options.append(
-            F.when(
-                lang == name,
-                F.when(is_relative(spec), _relative_candidates(spec, name))
-                .when(F.col("module_dir").isNotNull(), _entry_candidates(F.col("module_dir"), name))
-                .when(F.col("stripped").isNotNull(), F.array(*_with_extensions(F.col("stripped"), name))),
-            )
-        )
-    probes = base.select(*key, F.posexplode(F.coalesce(*options)).alias("pos", "candidate")).where(
+    joined = P.normalise_path(F.concat(P.dirname(F.col("path")), F.lit("/"), spec))
+    base = base.withColumn("near", F.when(is_relative(spec), joined))
+    candidates = (
+        F.when(lang == "Python", _python_candidates(spec))
+        .when(lang == "Rust", _rust_candidates(spec))
+        .when(lang.isin(*SOURCE_ROOTS), _absolute_candidates(spec))
+        .when(lang == "Go", F.array().cast(_EMPTY))
+        .when(is_relative(spec), _relative_candidates(F.col("near")))
+        .when(F.col("module_dir").isNotNull(), _entry_candidates(F.col("module_dir")))
+        .when(F.col("stripped").isNotNull(), _with_extensions(F.col("stripped")))
+    )
+    probes = base.select(*key, F.posexplode(candidates).alias("pos", "candidate")).where(
         F.col("candidate").isNotNull()
     )
     listed = tree.select("repo_id", F.col("path").alias("candidate")).distinct()

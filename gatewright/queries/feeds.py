@@ -124,7 +124,8 @@ def document_gate(spark: SparkSession, d: str) -> DataFrame:
     files = view(spark, d, "doc_files").select("repo_id", "path", "list_pos", "content")
     repos = files.select("repo_id").distinct()
     hits = secrets.secret_hits(files, floor=3.5)
-    found = fm.enrich_findings(secrets.secret_findings(hits))
+    # Narrow next to the text, and read by scoring and by the gate: kept, so the text is scanned once.
+    found = fm.enrich_findings(secrets.secret_findings(hits)).persist()
     routed = found.withColumn("bucket", F.lit("security"))
     penalty = scoring.severity_penalty(routed)
     rules = penalty.select(

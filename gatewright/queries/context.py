@@ -8,7 +8,6 @@ from gatewright import dims as D
 from gatewright.operators import presence
 from gatewright.operators.intel import entrypoints as ep
 from gatewright.operators.intel import graph, imports, inventory, manifests, modules, symbols
-from gatewright.plans import context as plan
 from gatewright.queries import scans
 from gatewright.queries import sql as S
 from gatewright.queries.registry import query, view
@@ -161,22 +160,6 @@ def module_files(spark, d):
     return modules.module_files(text, every)
 
 
-@query("module_dependencies")
-def module_dependencies(spark, d):
-    parsed = _parsed(spark, d)
-    return modules.module_dependencies(modules.detect_modules(_text(spark, d, True), parsed), parsed)
-
-
-@query("module_importance")
-def module_importance(spark, d):
-    text, parsed = _text(spark, d, True), _parsed(spark, d)
-    found = modules.detect_modules(text, parsed)
-    entry = ep.entrypoints(ep.entrypoint_signals(scans.corpus(spark, d).where("admitted")))
-    edges = modules.module_dependencies(found, parsed)
-    out = modules.module_importance(found, modules.module_files(text, found), edges, entry)
-    return out.withColumn("languages", F.array_join("languages", ","))
-
-
 # --- entrypoints ------------------------------------------------------------------------------------
 _SIG = "sig AS (" + " UNION ALL ".join(
     f"SELECT repo_id, path, '{k}' AS kind, CAST({c} AS DOUBLE) AS confidence, {S.q(r)} AS reason FROM tree WHERE {S.hit('path', rx)}" for rx, k, c, r in ep.PATH_RULES
@@ -394,12 +377,3 @@ def symbol_coverage(spark, d):
 )
 def symbol_view(spark, d):
     return symbols.symbol_view(symbols.extract_symbols(_code(spark, d)), "src", limit=10)[1]
-
-
-@query("repository_context")
-def repository_context(spark, d):
-    code = _code(spark, d).withColumn("admitted", F.lit(True))
-    corpus = scans.corpus(spark, d)
-    out = plan.repo_context(plan.repo_map(corpus), plan.dependency_graph(corpus), plan.symbol_map(code))
-    sizes = [F.coalesce(F.size(c), F.lit(0)).alias(c) for c in ("modules", "files", "edges", "dependencies")]
-    return out.select("repo_id", "primary_language", *sizes)

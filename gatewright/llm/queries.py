@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, packing
+from . import bpe, chat, html, langid, packing, pii, quality, rules, vafile
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -14,13 +15,99 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_vector_approximation_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = vafile.integer_vectors(_read(spark, sf_dir, "embeddings"))
+    return vafile.search(vectors, F.col("vec_id") % 50 == 0, k=5)
+
+
+def op2_prefix_target_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_conversations(_read(spark, sf_dir, "conversations"))
+
+
 def op3_sum_of_squares_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op4_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
+def op5_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_read(spark, sf_dir, "documents"))
+
+
+def op6_checked_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(_read(spark, sf_dir, "documents"))
+
+
+def op7_likelihood_ratio_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rules.assess(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op8_prefix_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(_read(spark, sf_dir, "documents"), TOKENIZER)
 
 
-QUERIES = {f.__name__: f for f in (op3_sum_of_squares_packing, op8_prefix_bpe)}
-ORACLES: dict[str, str] = {}
+def op9_two_pass_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_read(spark, sf_dir, "pages"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_vector_approximation_topk,
+        op2_prefix_target_chat,
+        op3_sum_of_squares_packing,
+        op4_subword_quality,
+        op5_rank_order_language,
+        op6_checked_pii,
+        op7_likelihood_ratio_rules,
+        op8_prefix_bpe,
+        op9_two_pass_html,
+    )
+}
+
+ORACLES = {
+    "op1_vector_approximation_topk": """
+        WITH sound AS (
+            SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS v
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+              AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(CAST(x AS DOUBLE))]) = 0
+        ), pairs AS (
+            SELECT q.vec_id AS query_id, c.vec_id, CAST(max(list_inner_product(q.v, c.v)) AS BIGINT) AS score
+            FROM sound q JOIN sound c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v)
+            WHERE q.vec_id % 50 = 0
+            GROUP BY 1, 2
+        ), ranked AS (
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+                   vec_id, score
+            FROM pairs
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+    """,
+    "op2_prefix_target_chat": r"""
+        WITH t AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]'
+            UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+        ), sized AS (
+            SELECT *, row_number() OVER w AS i,
+                   length(role) + length(text) + 22
+                   + len(regexp_extract_all(role, '[<\[]\\*(?:s>|/s>|INST\]|/INST\])'))
+                   + len(regexp_extract_all(text, '[<\[]\\*(?:s>|/s>|INST\]|/INST\])')) AS size
+            FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY turn, role, text)
+        ), run AS (
+            SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY i) AS upto,
+                   max(i) OVER (PARTITION BY conv_id) AS last
+            FROM sized
+        )
+        SELECT conv_id, count(*) AS n_turns,
+               sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY i)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY i) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               CAST(sum(upto) FILTER (role = 'assistant' OR i = last) AS BIGINT) AS formatted_chars,
+               count(*) FILTER (role = 'assistant' OR i = last) AS n_examples
+        FROM run GROUP BY conv_id
+    """,
+}

@@ -83,8 +83,8 @@ def ascii_words(text: str | None) -> list[bytes]:
     return text.encode().split() if text else []
 
 
-_NEAR_SPACE = re.compile(r"\s | \s")
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+_BESIDE_SPACE = [pair for c in map(chr, range(0x3001)) if c.isspace() for pair in (c + " ", " " + c)]
 
 
 def lone_space_parts(text: str) -> list[str]:
@@ -93,7 +93,10 @@ def lone_space_parts(text: str) -> list[str]:
     The byte-level pre-tokenizer always starts a new piece at such a space, so each part can be encoded by itself,
     with the space put back in front of every part but the first.
     """
-    return _LONE_SPACE.split(text) if _NEAR_SPACE.search(text) else text.split(" ")
+    for pair in _BESIDE_SPACE:
+        if pair in text:
+            return _LONE_SPACE.split(text)
+    return text.split(" ")
 
 
 class TwoGenerations(dict):

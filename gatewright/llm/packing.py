@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import SPECIAL, TwoGenerations, lone_space_parts, prepare
 
 CAPACITY = 1024
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 400_000
 MAX_OPEN = 4096
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -23,7 +24,7 @@ SCHEMA = (
 
 
 class SegmentIds:
-    """Ids (unsigned 32-bit, little-endian bytes) of texts, by the tokenizers library.
+    """Ids (unsigned 32-bit numbers as bytes) of texts, by the tokenizers library.
 
     Words repeat, so the ids of each distinct part between lone spaces are kept in a bounded cache; only new parts
     reach the tokenizer, in one batch.
@@ -37,7 +38,7 @@ class SegmentIds:
         self.tok.no_truncation()
         self.tok.no_padding()
         special = self.tok.token_to_id(SPECIAL)
-        self.special = None if special is None else np.uint32(special).astype("<u4").tobytes()
+        self.special = None if special is None else array("I", [special]).tobytes()
         self.first = TwoGenerations(CACHE_ENTRIES // 4)
         self.later = TwoGenerations(CACHE_ENTRIES)
 
@@ -45,7 +46,7 @@ class SegmentIds:
         new = known.missing(parts)
         # parts holding the special string never come here
         for part, enc in zip(new, self.tok.encode_batch_fast([lead + p for p in new], add_special_tokens=False)):
-            known[part] = np.array(enc.ids, "<u4").tobytes()
+            known[part] = array("I", enc.ids).tobytes()
 
     def batch(self, texts: list[str]) -> list[bytes]:
         split: list[list[list[str]]] = []

@@ -73,6 +73,24 @@ def struct_array(names: list[str], types: list[pa.DataType], columns: list[list]
     return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=names)
 
 
+ID_SLOTS = 1 << 19
+
+
+def with_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows of `df` whose `key` (a long) is among `ids`, at every size by the same plan.
+
+    A fixed number of hash slots, which may be broadcast because of that, first drops most other rows; those left are
+    shuffled for an exact semi-join, so that wide rows without a partner do not travel.
+    """
+
+    def slot(d: DataFrame) -> Column:
+        return F.pmod(F.xxhash64(d[key]), F.lit(ID_SLOTS)).cast("int")
+
+    slots = ids.select(slot(ids).alias("__slot")).distinct()
+    near = df.withColumn("__slot", slot(df)).join(F.broadcast(slots), "__slot", "left_semi").drop("__slot")
+    return near.join(ids.select(key).distinct().hint("merge"), key, "left_semi")
+
+
 def fold_of(key: Column, parts: int) -> Column:
     """crc32 of the key as text, modulo `parts`; null for a null key."""
     return F.crc32(key.cast("string").cast("binary")) % parts

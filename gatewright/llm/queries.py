@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html, langid, packing, pii, quality, rules, vafile
+from . import bpe, chat, html, langid, neardup, packing, pii, quality, rules, vafile
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -52,6 +52,10 @@ def op9_two_pass_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_read(spark, sf_dir, "pages"))
 
 
+def op10_signature_inverted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -64,10 +68,38 @@ QUERIES = {
         op7_likelihood_ratio_rules,
         op8_prefix_bpe,
         op9_two_pass_html,
+        op10_signature_inverted_join,
     )
 }
 
 ORACLES = {
+    "op10_signature_inverted_join": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(
+                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w
+            FROM documents
+        ), sets AS (
+            SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+                   ELSE list_distinct([array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s
+            FROM words
+        ), posted AS (
+            SELECT doc_id, len(s) AS n, unnest(s) AS shingle FROM sets
+        ), shared AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS na, any_value(b.n) AS nb, count(*) AS common
+            FROM posted a JOIN posted b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+            GROUP BY 1, 2
+        ), links AS (
+            SELECT a, b FROM shared WHERE 100 * common >= 85 * (na + nb - common)
+        ), reach AS (
+            SELECT doc_id AS node, doc_id AS seen FROM sets
+            UNION SELECT r.node, l.b FROM reach r JOIN links l ON l.a = r.seen
+        ), found AS (
+            SELECT node, min(seen) AS component_id FROM reach GROUP BY node
+        )
+        SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, f.component_id, s.doc_id = f.component_id AS kept
+        FROM sets s JOIN found f ON f.node = s.doc_id
+    """,
     "op1_vector_approximation_topk": """
         WITH sound AS (
             SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS v

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ascii_words, per_text, prepare, struct_array
+from .common import ascii_words, per_text, prepare, struct_array, with_ids
 
 BUCKETS_LOG2 = 18
 PRIOR = 20.0
@@ -103,9 +103,10 @@ def learn_ratio(docs: DataFrame, labels: DataFrame) -> Ratio:
 
     Only the bucket counts, 2 ** BUCKETS_LOG2 at most, reach the driver.
     """
-    good = labels.where("quality = 1").select("doc_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    good = labels.where("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id"))
     counted = []
-    for part in (docs.join(good, "doc_id", "left_semi"), docs):
+    for part in (with_ids(texts, good, "doc_id"), texts):
         rows = bucket_counts(part).toArrow()
         total = np.zeros(1 << BUCKETS_LOG2)
         total[rows.column("bucket").to_numpy()] = rows.column("n").to_numpy()
@@ -148,5 +149,5 @@ def assess(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
     corpus); without trusted rows every ratio is 0; other columns are not read; an empty table gives no rows.
     """
     prepare(docs.sparkSession)
-    verdict = judge(learn_ratio(docs.select("doc_id", "text"), labels), threshold)
+    verdict = judge(learn_ratio(docs, labels), threshold)
     return docs.select("doc_id", verdict(F.col("text")).alias("r")).select("doc_id", "r.*")

@@ -16,7 +16,7 @@ from .common import fold_of, per_text, prepare, struct_array
 BUCKETS_LOG2 = 17
 DIMENSIONS = 16
 SAMPLE_ROWS = 2000
-EPOCHS = 5
+STEPS = 10_000
 RATE = 0.5
 _BLANK = 1
 _MAX_POWER = 1 << 12
@@ -81,12 +81,16 @@ class Model:
 
 
 def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: int = BUCKETS_LOG2, seed: int = 1) -> Model:
-    """Stochastic gradient descent over documents given as (buckets, counts); the rate falls linearly to 0."""
+    """Stochastic gradient descent over documents given as (buckets, counts).
+
+    At least STEPS steps in whole passes, one document each; the rate falls linearly to 0.
+    """
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1.0 / DIMENSIONS, 1.0 / DIMENSIONS, (1 << bits, DIMENSIONS)).astype(np.float32)
     weights = np.zeros((DIMENSIONS, 2), np.float32)
-    steps, step = EPOCHS * len(docs), 0
-    for _ in range(EPOCHS):
+    passes = -(-STEPS // len(docs))
+    steps, step = passes * len(docs), 0
+    for _ in range(passes):
         for i in rng.permutation(len(docs)):
             rate = RATE * (1.0 - step / steps)
             step += 1

@@ -213,43 +213,35 @@ def _counts(block: Block) -> bool:
     return block.label == "good" or (block.label == "bad" and not block.boilerplate and not block.content)
 
 
+def _settle(blocks: list[Block], kinds: tuple[str, ...]) -> None:
+    """Label the blocks of these kinds by their nearest decided neighbour on either side in the same content element."""
+    sides: list[list[tuple[int, str]]] = [[] for _ in blocks]
+    for order in (range(len(blocks)), range(len(blocks) - 1, -1, -1)):
+        nearest: dict[int, int] = {}
+        for i in order:
+            block = blocks[i]
+            if block.label in kinds and block.content in nearest:
+                at = nearest[block.content]
+                sides[i].append((abs(i - at), blocks[at].label))
+            if _counts(block):
+                nearest[block.content] = i
+    for block, known in zip(blocks, sides):
+        if block.label == "near":
+            block.label = "bad" if [label for _, label in known] == ["bad", "bad"] else "good"
+        elif block.label in kinds:
+            edge = "good" if block.content else "bad"
+            block.label = min(known, key=lambda k: (k[0], k[1] != "good"), default=(0, edge))[1]
+
+
 def second_pass(blocks: list[Block]) -> None:
     """Settle the undecided blocks by their nearest decided neighbours, on both sides, in the same content element.
 
-    Near blocks become good unless both neighbours are bad.  Short and open ones take the label both neighbours share,
-    and else that of the nearer one (in blocks; good if as near).  A block without a decided neighbour is good inside
-    an article or main element and bad outside.
+    Near blocks, which come first, become good unless both neighbours are bad.  Short and open ones then take the
+    label of the nearer neighbour (good if both are as near).  One without a decided neighbour is good inside an
+    article or main element and bad outside.
     """
-    far = len(blocks) + 1
-    before: list[tuple[str, int]] = []
-    last: dict[int, tuple[str, int]] = {}
-    for i, b in enumerate(blocks):
-        label, at = last.get(b.content, ("", -far))
-        before.append((label, i - at))
-        if _counts(b):
-            last[b.content] = b.label, i
-    last.clear()
-    settled = []
-    for i in range(len(blocks) - 1, -1, -1):
-        b = blocks[i]
-        label, at = last.get(b.content, ("", i + far))
-        left, right = before[i], (label, at - i)
-        if b.label in ("good", "bad"):
-            settled.append((i, b.label))
-            if _counts(b):
-                last[b.content] = b.label, i
-            continue
-        edge = "good" if b.content else "bad"
-        known = [x for x in (left, right) if x[0]]
-        if not known:
-            choice = "good" if b.label == "near" else edge
-        elif b.label == "near":
-            choice = "bad" if len(known) == 2 and all(k[0] == "bad" for k in known) else "good"
-        else:
-            choice = min(known, key=lambda k: (k[1], k[0] != "good"))[0]
-        settled.append((i, choice))
-    for i, label in settled:
-        blocks[i].label = label
+    _settle(blocks, ("near",))
+    _settle(blocks, ("short", "open"))
 
 
 def main_text(page: str | None, stop_words: frozenset[str] = STOP_WORDS) -> str:

@@ -1,3 +1,4 @@
+import html as references
 import random
 import re
 from collections import Counter
@@ -206,7 +207,7 @@ def test_html_articles(tables):
     assert len(got) == len(pages)
     for page in pages:
         inside = re.search(r"(?s)<article>(.*)</article>", page.html)[1]
-        words = re.sub(r"<[^>]*>", " ", inside).replace("&amp;", "&").split()
+        words = references.unescape(re.sub(r"<[^>]*>", " ", inside)).split()
         text = got[page.page_id].text
         assert text.split() == words and len(text) == got[page.page_id].n_chars
 

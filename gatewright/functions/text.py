@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -64,24 +66,63 @@ def assignment_value(token: Column) -> Column:
     return F.nullif(found, F.lit(""))
 
 
+_BLOCK = 256
+
+
+def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once: a lambda variable holds a value, not an expression."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0), lambda a, x: a + x)
+
+
+def running_totals(counts: Column) -> Column:
+    """Inclusive running sums of an array<int>: block sums first, then at most one block per element."""
+    starts = F.sequence(F.lit(0), F.floor((F.size(counts) - 1) / _BLOCK).cast("int"))
+    sums = F.transform(starts, lambda k: _total(F.slice(counts, k * _BLOCK + 1, _BLOCK)))
+
+    def place(before: Column) -> Column:
+        def at(_: Column, i: Column) -> Column:
+            first = i - i % _BLOCK
+            return F.get(before, (first / _BLOCK).cast("int")) + _total(F.slice(counts, first + 1, i % _BLOCK + 1))
+
+        return F.transform(counts, at)
+
+    before = _bind(sums, lambda s: F.transform(s, lambda _, k: _total(F.slice(s, F.lit(1), k))))
+    return F.when(F.size(counts) > 0, _bind(before, place)).otherwise(counts)
+
+
 def match_lines(content: Column, pattern: str) -> Column:
     """array<struct<match, line>> of all non-overlapping matches with 1-based lines.
 
-    Splitting by the same pattern yields the text between the matches, so a
-    match's line is one more than the line breaks in everything before it.
-    The running count is carried through one fold over the pieces.
+    Splitting by the same pattern yields the text between the matches, so a match's line is one more than the line
+    breaks in the pieces and matches before it.
     """
-    pieces = F.split(content, pattern, -1)
+    pieces = F.transform(F.split(content, pattern, -1), newline_count)
     found = F.regexp_extract_all(content, F.lit(pattern), F.lit(0))
-    gaps = F.transform(pieces, lambda p: newline_count(p))
-    spans = F.transform(found, lambda m: newline_count(m))
-
-    def place(match: Column, i: Column) -> Column:
-        before = F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0), lambda a, x: a + x)
-        inside = F.aggregate(F.slice(spans, 1, i), F.lit(0), lambda a, x: a + x)
-        return F.struct(match.alias("match"), (before + inside + 1).alias("line"))
 
-    return F.transform(found, place)
+    def placed(matches: Column) -> Column:
+        own = F.transform(matches, newline_count)
+        # Line breaks since the start of the match before: its own, and those of the piece between.
+        steps = F.zip_with(
+            F.slice(pieces, F.lit(1), F.size(matches)),
+            F.concat(F.array(F.lit(0)), F.slice(own, F.lit(1), F.greatest(F.size(matches) - 1, F.lit(0)))),
+            lambda piece, inside: F.coalesce(piece, F.lit(0)) + F.coalesce(inside, F.lit(0)),
+        )
+        lines = _bind(F.slice(steps, F.lit(1), F.size(matches)), running_totals)
+        return F.zip_with(matches, lines, lambda m, n: F.struct(m.alias("match"), (n + 1).alias("line")))
+
+    return _bind(found, placed)
+
+
+def first_match(content: Column, pattern: str) -> Column:
+    """struct<match, line> of the first match, null without one."""
+    at = F.regexp_instr(content, F.lit(pattern))
+    line = newline_count(F.substr(content, F.lit(1), at - 1)) + 1
+    match = F.regexp_extract(content, pattern, 0)
+    return F.when(at > 0, F.struct(match.alias("match"), line.alias("line")))
 
 
 # FNV-1a, 32 bit: offset basis and prime (fixed values of the published hash).

@@ -33,21 +33,20 @@ def classify_files(tree: DataFrame) -> DataFrame:
     return tree.withColumn("kind", file_kind(F.col("path"), F.col("size")))
 
 
-def admit_files(
-    tree: DataFrame, max_files: int = D.MAX_FILES, max_file_bytes: int = D.MAX_FILE_BYTES
-) -> DataFrame:
+def admit_files(tree: DataFrame, max_files: int | None = None, max_file_bytes: int | None = None) -> DataFrame:
     """Every listed file with ``skip_reason`` (null when admitted).
 
-    The "first N in listing order" rule needs only the position of the N-th
-    passing file of each repository, found by a salted top-k over the passing
-    rows; the tree itself is never ordered.
+    Sizes and counts turn a file away only where the caller asks for it.  "The first N in listing order" then needs
+    only the position of the N-th passing file of each repository; the tree itself is never ordered.
     """
-    reason = (
-        F.when(F.col("kind") == "ignore", F.lit("noise-directory-or-hidden"))
-        .when(F.col("kind") == "binary", F.lit("binary-extension"))
-        .when(F.col("size") > max_file_bytes, F.lit("exceeds-max-file-bytes"))
+    reason = F.when(F.col("kind") == "ignore", F.lit("noise-directory-or-hidden")).when(
+        F.col("kind") == "binary", F.lit("binary-extension")
     )
+    if max_file_bytes is not None:
+        reason = reason.when(F.col("size") > max_file_bytes, F.lit("exceeds-max-file-bytes"))
     graded = classify_files(tree).withColumn("skip_reason", reason)
+    if max_files is None:
+        return graded
     passing = graded.where(F.col("skip_reason").isNull()).select("repo_id", "list_pos", "path")
     ranked = top_k(passing, ["repo_id"], [F.col("list_pos"), F.col("path")], max_files)
     cutoff = ranked.where(F.col("rank") == max_files).select(
@@ -71,17 +70,17 @@ def admitted(tree: DataFrame, **limits: int) -> DataFrame:
     return admit_files(tree, **limits).where(F.col("skip_reason").isNull()).drop("skip_reason", "kind")
 
 
-def cap_total_bytes(
-    tree: DataFrame, max_total: int = D.MAX_TOTAL_BYTES, max_file_bytes: int = D.MAX_FILE_BYTES
-) -> DataFrame:
-    """Keep files in listing order until the running byte count would pass the cap.
+def cap_total_bytes(tree: DataFrame, max_total: int | None = None, max_file_bytes: int | None = None) -> DataFrame:
+    """All files with the bytes listed so far (``bytes_so_far``) and, with a cap, only those before it.
 
-    Files over the single-file limit are skipped and not counted.  The running
+    Files over a single-file limit are skipped and not counted.  The running
     sum never decreases, so "sum <= cap" is exactly the prefix before the stop.
     ``truncated`` tells whether the repository lost files to the cap.
     """
-    small = tree.where(F.col("size") <= max_file_bytes)
+    small = tree if max_file_bytes is None else tree.where(F.col("size") <= max_file_bytes)
     summed = running_total(small, ["repo_id"], "list_pos", "size", "bytes_so_far")
+    if max_total is None:
+        return summed.withColumn("truncated", F.lit(False))
     cut = (
         summed.groupBy("repo_id")
         .agg(F.bool_or(F.col("bytes_so_far") > max_total).alias("truncated"))

@@ -206,12 +206,12 @@ def route_findings(findings: DataFrame) -> DataFrame:
 
 
 # --- grouping -----------------------------------------------------------------------
-def group_findings(findings: DataFrame, max_lines: int = D.MAX_GROUP_LINES) -> DataFrame:
-    """Per (repo, file, rule): count, worst severity, first title, first distinct lines.
+def group_findings(findings: DataFrame, max_lines: int | None = None) -> DataFrame:
+    """Per (repo, file, rule): count, worst severity, first title, distinct lines.
 
-    Lines are made distinct first and then cut to ``max_lines`` per group, so a
-    group holding most of the rows is combined before each shuffle and no
-    unbounded list is collected.
+    Lines are made distinct first, so a group holding most of the rows is
+    combined before each shuffle; the list has one entry per line of one file
+    (``max_lines`` keeps the first of them).
     """
     keys = ["repo_id", "file", "rule_id"]
     rows = findings.select(
@@ -244,8 +244,8 @@ def group_findings(findings: DataFrame, max_lines: int = D.MAX_GROUP_LINES) -> D
     )
 
 
-def condense_evidence(groups: DataFrame, limit: int = D.MAX_EVIDENCE_GROUPS) -> DataFrame:
-    """Per repo: the first groups as text, then one line for the rest."""
+def condense_evidence(groups: DataFrame, limit: int | None = None) -> DataFrame:
+    """Per repo: all groups as text; with ``limit`` the first of them, then one line for the rest."""
     order = [severity_rank(F.col("severity")), F.collate("file", "UNICODE"), F.collate("rule_id", "UNICODE")]
     top = top_k(groups, ["repo_id"], [*order, F.col("file"), F.col("rule_id")], limit)
     text = F.concat(
@@ -275,8 +275,8 @@ def condense_evidence(groups: DataFrame, limit: int = D.MAX_EVIDENCE_GROUPS) ->
 
 
 # --- blockers and tasks -----------------------------------------------------------------
-def collect_blockers(routed: DataFrame, limit: int = D.MAX_BLOCKERS) -> DataFrame:
-    """Critical and high findings of six lists in order, duplicates kept, first 25."""
+def collect_blockers(routed: DataFrame, limit: int | None = None) -> DataFrame:
+    """Critical and high findings of six lists in order, duplicates kept, ranked."""
     position = F.array_position(F.array(*[F.lit(b) for b in BLOCKER_LISTS]), F.col("bucket"))
     severe = routed.where(F.col("severity").isin("critical", "high")).withColumn("list_ord", position)
     severe = severe.where(F.col("list_ord") > 0)
@@ -284,10 +284,12 @@ def collect_blockers(routed: DataFrame, limit: int = D.MAX_BLOCKERS) -> DataFram
     return top_k(severe, ["repo_id"], order, limit, rank="blocker_ord").drop("list_ord")
 
 
-def recommended_tasks(blockers: DataFrame, facts: DataFrame, limit: int = D.MAX_TASKS) -> DataFrame:
+def recommended_tasks(blockers: DataFrame, facts: DataFrame, limit: int | None = None) -> DataFrame:
+    """A task for every blocker (with ``limit`` for the first ones), then those that the facts ask for."""
     sev = F.col("severity")
     columns = ["repo_id", "task_ord", "task_id", "title", "effort", "related", "criteria"]
-    from_blockers = blockers.where(F.col("blocker_ord") <= limit).select(
+    shown = blockers if limit is None else blockers.where(F.col("blocker_ord") <= limit)
+    from_blockers = shown.select(
         "repo_id",
         F.col("blocker_ord").cast("int").alias("task_ord"),
         F.concat(F.lit("task-"), "id").alias("task_id"),
@@ -302,7 +304,7 @@ def recommended_tasks(blockers: DataFrame, facts: DataFrame, limit: int = D.MAX_
             F.when(
                 contract,
                 F.struct(
-                    F.lit(limit + 1).alias("task_ord"),
+                    (F.col("n") + 1).alias("task_ord"),
                     F.lit("task-add-contract-tests").alias("task_id"),
                     F.lit("Add Foundry or Hardhat contract tests").alias("title"),
                     F.lit("L").alias("effort"),
@@ -313,7 +315,7 @@ def recommended_tasks(blockers: DataFrame, facts: DataFrame, limit: int = D.MAX_
             F.when(
                 ~F.col("hack_demo_url"),
                 F.struct(
-                    F.lit(limit + 2).alias("task_ord"),
+                    (F.col("n") + 2).alias("task_ord"),
                     F.lit("task-add-demo-url").alias("task_id"),
                     F.lit("Deploy a preview and link the demo URL in the README").alias("title"),
                     F.lit("M").alias("effort"),
@@ -323,7 +325,9 @@ def recommended_tasks(blockers: DataFrame, facts: DataFrame, limit: int = D.MAX_
             ),
         )
     )
-    from_facts = facts.select("repo_id", F.explode(extra).alias("t")).select("repo_id", "t.*")
+    counts = shown.groupBy("repo_id").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    counted = facts.join(counts, "repo_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    from_facts = counted.select("repo_id", F.explode(extra).alias("t")).select("repo_id", "t.*")
     return from_blockers.select(*columns).unionByName(from_facts.select(*columns))
 
 

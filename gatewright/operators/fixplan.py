@@ -11,8 +11,8 @@ from gatewright.operators.findings import effort, first_file, severity_rank
 from gatewright.operators.scale import top_k
 
 
-def fix_plan_candidates(fixable: DataFrame, limit: int = D.MAX_FIX_PLANS) -> DataFrame:
-    """Worst finding per (rule, file), then the first ``limit`` per repository.
+def fix_plan_candidates(fixable: DataFrame, limit: int | None = None) -> DataFrame:
+    """Worst finding per (rule, file), ranked per repository; with ``limit`` the first of them.
 
     The first step is an aggregate (min of an ordered struct), so a rule that
     fires everywhere in one file is combined before the shuffle.
@@ -35,9 +35,11 @@ def fix_priority(severity: Column) -> Column:
     return F.when(severity.isin("critical", "high"), "P0").when(severity == "medium", "P1").otherwise("P2")
 
 
-def _sentence(text: Column, limit: int = D.WHY_LENGTH) -> Column:
+def _sentence(text: Column, limit: int | None = None) -> Column:
     """Whole text when short; else cut at the last sentence end, or with an ellipsis."""
     flat = F.regexp_replace(X.strip_space(text), X.SPACE + "+", " ")
+    if limit is None:
+        return flat
     cut = F.substring(flat, 1, limit)
     # Greedy match up to the last ". " or "; ".
     head = F.regexp_extract(cut, r"(?s)\A(.*[.;]) ", 1)

@@ -15,11 +15,11 @@ def target_id(kind, target):
     return F.when(kind == "file", target).otherwise(F.concat(kind, F.lit(":"), target))
 
 
-def dependency_edges(resolved: DataFrame, limit: int = D.MAX_EDGES, evidence_limit: int | None = None) -> DataFrame:
-    """(repo_id, src, dst, kind, weight, confidence, lines), first ``limit`` per repository.
+def dependency_edges(resolved: DataFrame, limit: int | None = None) -> DataFrame:
+    """(repo_id, src, dst, kind, weight, confidence, lines); with ``limit`` the first per repository.
 
-    Unresolved imports and uncertain externals give no edge.  Lines per edge are
-    bounded: an edge leaves one file, and a file keeps at most 500 imports.
+    Unresolved imports and uncertain externals give no edge.  An edge
+    leaves one file, so its lines are as many as that file's imports.
     """
     kept = resolved.where(
         (F.col("kind") != "unresolved") & (F.col("certain") | (F.col("kind") != "external"))
@@ -35,7 +35,7 @@ def dependency_edges(resolved: DataFrame, limit: int = D.MAX_EDGES, evidence_lim
     return top_k(edges, ["repo_id"], [F.col("src"), F.col("dst")], limit).drop("rank")
 
 
-def dependency_nodes(edges: DataFrame, limit: int = D.MAX_NODES) -> DataFrame:
+def dependency_nodes(edges: DataFrame, limit: int | None = None) -> DataFrame:
     """(repo_id, id, kind, name, path) of everything that takes part in an edge."""
     ends = F.array(
         F.struct(F.col("src").alias("id"), F.lit("file").alias("kind")),
@@ -52,13 +52,14 @@ def dependency_nodes(edges: DataFrame, limit: int = D.MAX_NODES) -> DataFrame:
 
 
 def graph_limitations(
-    text: DataFrame, resolved: DataFrame, max_file_bytes: int = D.MAX_FILE_BYTES, examples: int = 10
+    text: DataFrame, resolved: DataFrame, max_file_bytes: int | None = None, examples: int | None = None
 ) -> DataFrame:
     """Counts of what the graph could not cover: (repo_id, reason, language, n, examples)."""
     langs = text.withColumn("language", P.language_of(F.col("path"))).where(
         P.is_programming_language(F.col("language"))
     )
-    reason = F.when(F.col("size") > max_file_bytes, "oversize").when(
+    oversize = F.lit(False) if max_file_bytes is None else F.col("size") > max_file_bytes
+    reason = F.when(oversize, "oversize").when(
         ~F.col("language").isin(*IMPORT_LANGUAGES), "no-extractor"
     )
     files = langs.withColumn("reason", reason).where(F.col("reason").isNotNull())
@@ -85,11 +86,11 @@ def graph_view(
     nodes: DataFrame,
     edges: DataFrame,
     prefix: str | None = None,
-    max_nodes: int = 1000,
-    max_edges: int = 500,
-    max_external: int = 200,
+    max_nodes: int | None = None,
+    max_edges: int | None = None,
+    max_external: int | None = None,
 ) -> dict[str, DataFrame]:
-    """Trimmed nodes, edges between kept nodes, externals, and the accounting of each."""
+    """Nodes, edges between kept nodes, externals, and the accounting of each."""
     internal = nodes.where((F.col("kind") != "external-dependency") & P.under_prefix(F.col("id"), prefix))
     external = nodes.where(F.col("kind") == "external-dependency").select("repo_id", "name").distinct()
     kept = top_k(internal, ["repo_id"], [F.col("id")], max_nodes)
@@ -107,13 +108,14 @@ def graph_view(
     return {"nodes": kept, "edges": kept_edges, "externals": kept_external, "accounting": account}
 
 
-def trimmed(rows: DataFrame, limit: int, label: str) -> DataFrame:
+def trimmed(rows: DataFrame, limit: int | None, label: str) -> DataFrame:
     """returned / total / omitted per repository, from a count alone."""
     total = F.count(F.lit(1))
+    cut = F.col("total") if limit is None else F.lit(limit)
     return rows.groupBy("repo_id").agg(total.alias("total")).select(
         "repo_id",
         F.lit(label).alias("section"),
-        F.least(F.col("total"), F.lit(limit)).alias("returned"),
+        F.least(F.col("total"), cut).alias("returned"),
         "total",
-        F.greatest(F.col("total") - limit, F.lit(0)).alias("omitted"),
+        F.greatest(F.col("total") - cut, F.lit(0)).alias("omitted"),
     )

@@ -154,8 +154,8 @@ def _python_from(files: DataFrame) -> DataFrame:
     )
 
 
-def extract_imports(files: DataFrame, limit: int = D.MAX_IMPORTS_PER_FILE) -> DataFrame:
-    """Import records, the first ``limit`` per file in (line, specifier) order."""
+def extract_imports(files: DataFrame, limit: int | None = None) -> DataFrame:
+    """Import records, numbered per file in (line, specifier) order; with ``limit`` the first of them."""
     sources = _import_sources(files)
     rows = _by_line(explode_lines(sources)).unionByName(_go_blocks(sources)).unionByName(_python_from(sources))
     ordered = top_k(rows, ["repo_id", "path"], [F.col("line"), F.col("specifier"), F.col("nth")], limit, rank="n")

@@ -42,8 +42,8 @@ def primary_language(usage: DataFrame, repos: DataFrame | None = None) -> DataFr
 LISTS = {"config": P.is_config, "test": P.is_test_file, "documentation": P.is_documentation}
 
 
-def listed_files(text: DataFrame, limit: int = D.MAX_LISTED_FILES) -> DataFrame:
-    """(repo_id, list, rank, path, total): the first ``limit`` paths per list and the true total."""
+def listed_files(text: DataFrame, limit: int | None = None) -> DataFrame:
+    """(repo_id, list, rank, path, total): the paths of each list (with ``limit`` the first) and their number."""
     member = F.array_compact(F.array(*[F.when(f(F.col("path")), F.lit(n)) for n, f in LISTS.items()]))
     rows = text.select("repo_id", "path", F.explode(member).alias("list"))
     totals = rows.groupBy("repo_id", "list").agg(F.count(F.lit(1)).alias("total"))

@@ -295,7 +295,7 @@ def _go(rows: DataFrame) -> DataFrame:
     )
 
 
-def parse_manifests(files: DataFrame, max_notes: int = 5) -> DataFrame:
+def parse_manifests(files: DataFrame, max_notes: int | None = None) -> DataFrame:
     """(repo_id, path, priority, package_name, globs, deps, notes), one row per manifest."""
     rows = manifests(files)
     head = rows.where(F.col("kind").isin("pyproject", "cargo")).select("repo_id", "path", "priority")
@@ -306,7 +306,7 @@ def parse_manifests(files: DataFrame, max_notes: int = 5) -> DataFrame:
         F.array().cast("array<string>").alias("notes"),
     )
     parsed = _package_json(rows).unionByName(toml).unionByName(_lines(rows)).unionByName(_go(rows))
-    return parsed.withColumn("notes", F.slice("notes", 1, max_notes))
+    return parsed if max_notes is None else parsed.withColumn("notes", F.slice("notes", 1, max_notes))
 
 
 def manifest_dependencies(parsed: DataFrame) -> DataFrame:
@@ -315,8 +315,8 @@ def manifest_dependencies(parsed: DataFrame) -> DataFrame:
     )
 
 
-def external_dependencies(parsed: DataFrame, limit: int = D.MAX_DEPENDENCIES) -> DataFrame:
-    """First per (manifest, kind, name), sorted by manifest, name, kind; first ``limit`` per repository."""
+def external_dependencies(parsed: DataFrame, limit: int | None = None) -> DataFrame:
+    """First per (manifest, kind, name), ranked by manifest, name, kind; with ``limit`` the first per repository."""
     keys = ["repo_id", "manifest", "kind", "name"]
     first = manifest_dependencies(parsed).groupBy(*keys).agg(F.min_by("version", "nth").alias("version"))
     return top_k(first, ["repo_id"], [F.col("manifest"), F.col("name"), F.col("kind")], limit)

@@ -166,9 +166,9 @@ def module_importance(
     contained: DataFrame,
     edges: DataFrame,
     entry: DataFrame,
-    limit: int = D.MAX_MODULES,
+    limit: int | None = None,
 ) -> DataFrame:
-    """Importance from fan-in, size and entrypoints; first ``limit`` modules per repository."""
+    """Importance from fan-in, size and entrypoints; ranked per repository; with ``limit`` the first modules."""
     fan_in = edges.groupBy("repo_id", F.col("depends_on").alias("name")).agg(F.count(F.lit(1)).alias("fan_in"))
     lang = P.language_of(F.col("path"))
     sizes = contained.groupBy("repo_id", "module").agg(

@@ -355,7 +355,7 @@ def _nesting(decls: DataFrame, opener: Column, label: str) -> DataFrame:
     )
 
 
-def extract_symbols(files: DataFrame, limit: int = D.MAX_SYMBOLS) -> DataFrame:
+def extract_symbols(files: DataFrame, limit: int | None = None) -> DataFrame:
     """(repo_id, path, name, kind, start_line, end_line, parent, exported, parser, confidence)."""
     lines = symbol_lines(files)
     levels = with_levels(lines)
@@ -412,14 +412,15 @@ def extract_symbols(files: DataFrame, limit: int = D.MAX_SYMBOLS) -> DataFrame:
     return top_k(symbols, ["repo_id"], [F.col("path"), F.col("start_line"), F.col("name")], limit).drop("rank")
 
 
-def symbol_coverage(text: DataFrame, files: DataFrame, max_file_bytes: int = D.MAX_FILE_BYTES) -> DataFrame:
+def symbol_coverage(text: DataFrame, files: DataFrame, max_file_bytes: int | None = None) -> DataFrame:
     """Per (repo, language): parsed files, the parser used, files skipped and why."""
     rows = (
         text.withColumn("language", P.language_of(F.col("path")))
         .where(P.is_programming_language(F.col("language")))
         .join(files.where(F.col("content").isNotNull()).select(*FILE), FILE, "left_semi")
     )
-    big, known = F.col("size") > max_file_bytes, F.col("language").isin(*PROFILES)
+    big = F.lit(False) if max_file_bytes is None else F.col("size") > max_file_bytes
+    known = F.col("language").isin(*PROFILES)
     parser = F.when(~known, F.lit(None)).when(F.col("language").isin(*PARSERS), "regex").otherwise("heuristic")
     return rows.groupBy("repo_id", "language").agg(
         F.count_if(known & ~big).alias("file_count"),
@@ -430,8 +431,8 @@ def symbol_coverage(text: DataFrame, files: DataFrame, max_file_bytes: int = D.M
     )
 
 
-def symbol_view(symbols: DataFrame, prefix: str | None = None, limit: int = 500) -> tuple[DataFrame, DataFrame]:
-    """First symbols under a path prefix, and the accounting of what was left out."""
+def symbol_view(symbols: DataFrame, prefix: str | None = None, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Symbols under a path prefix (with ``limit`` the first), and the accounting of what was left out."""
     inside = symbols.where(P.under_prefix(F.col("path"), prefix))
     kept = top_k(inside, ["repo_id"], [F.col("path"), F.col("start_line"), F.col("name")], limit)
     return kept, trimmed(inside, limit, "symbols")

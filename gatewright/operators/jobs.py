@@ -42,11 +42,10 @@ def audit_key() -> Column:
     return F.concat(F.lit(KEY_VERSION + ":"), F.sha2(payload, 256))
 
 
-def audit_history(jobs: DataFrame, limit: int = 20) -> DataFrame:
-    """Newest completed audits per repository; the limit is held within 1..100."""
-    k = max(1, min(100, limit))
+def audit_history(jobs: DataFrame, limit: int | None = None) -> DataFrame:
+    """Completed audits per repository, newest first, with their rank; with ``limit`` the newest of them."""
     order = [F.col("created_at").desc(), F.col("job_id")]
-    return top_k(jobs.where(F.col("status") == "completed"), ["repo_id"], order, k)
+    return top_k(jobs.where(F.col("status") == "completed"), ["repo_id"], order, limit)
 
 
 def job_rollup(events: DataFrame, retry_limit: int = 2) -> DataFrame:

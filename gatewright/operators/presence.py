@@ -18,8 +18,7 @@ from gatewright.operators.findings import SECURITY_ORD, draft, evidence, explode
 
 # README facts packed into one integer so that min() picks the preferred file
 # name and carries its features along:  priority | unread | length | url | sections
-_PRIORITY, _UNREAD, _LENGTH, _URL = 10**12, 10**11, 10**3, 2**4
-_LENGTH_CAP = 10**7
+_PRIORITY, _UNREAD, _LENGTH, _URL = 10**16, 10**15, 10**3, 2**4
 
 
 def _has(cond: Column) -> Column:
@@ -32,7 +31,7 @@ def _readme_code(path: Column, content: Column) -> Column:
     body = X.strip_space(content)
     bits = [F.when(body.rlike(p), F.lit(2**i)).otherwise(0) for i, p in enumerate(D.README_SECTIONS.values())]
     features = (
-        F.least(X.utf16_length(body), F.lit(_LENGTH_CAP)).cast("bigint") * _LENGTH
+        X.utf16_length(body).cast("bigint") * _LENGTH
         + F.when(body.rlike(D.README_URL), F.lit(_URL)).otherwise(0)
         + sum(bits[1:], bits[0])
     )

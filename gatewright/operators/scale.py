@@ -8,45 +8,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-# spark.sql.optimizer.windowGroupLimitThreshold
-GROUP_LIMIT = 1000
+def top_k(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int | None = None, rank: str = "rank") -> DataFrame:
+    """All rows with their rank per key; with ``k`` the first ``k`` of each key.
 
-
-def top_k(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, rank: str = "rank", salts: int = 64
-) -> DataFrame:
-    """First ``k`` rows per key, with their rank.
-
-    Up to Spark's group-limit threshold one window is enough: each map task
-    already cuts every key to ``k`` rows before the shuffle.  For larger ``k``
-    the rows are first ranked within (key, salt) and cut, so the window over the
-    whole key sees at most ``salts * k`` rows.  Exact either way: the global
-    first ``k`` of a key are among the first ``k`` of their salts.
+    With ``k`` Spark's group limit cuts every key in the map tasks.  A rank that nobody reads costs nothing: the
+    optimizer drops the window.
     """
-    final = Window.partitionBy(*keys).orderBy(*order)
-    if k > GROUP_LIMIT:
-        hashed = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
-        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*hashed), F.lit(salts)))
-        local = Window.partitionBy(*keys, "_salt").orderBy(*order)
-        df = (
-            salted.withColumn("_local", F.row_number().over(local))
-            .where(F.col("_local") <= k)
-            .drop("_salt", "_local")
-        )
-    return df.withColumn(rank, F.row_number().over(final)).where(F.col(rank) <= k)
+    ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return ranked if k is None else ranked.where(F.col(rank) <= k)
 
 
-def running_total(
-    df: DataFrame, keys: Sequence[str], position: str, value: str, out: str, block: int = 8192
-) -> DataFrame:
+def running_total(df: DataFrame, keys: Sequence[str], position: str, value: str, out: str, blocks: int = 256) -> DataFrame:
     """Inclusive running sum of ``value`` in ``position`` order, per key.
 
-    Two levels: sums per block of positions (pre-aggregated before the shuffle),
-    a running sum over the few block totals, then a running sum inside each
-    block.  No window ever holds a whole key.  ``position`` must be unique and
-    integral within a key.
+    Two levels: each key is cut into at most ``blocks`` blocks at approximate quantiles of its own positions, so the
+    blocks are even however sparse the positions are; a running sum over the block totals, then one inside each
+    block.  No window holds a whole key.  Where the cuts fall does not change the sums.  ``position`` must be unique
+    and numeric within a key.
     """
-    blocked = df.withColumn("_block", F.floor(F.col(position) / block).cast("bigint"))
+    shares = F.lit([i / blocks for i in range(1, blocks)])
+    cuts = df.groupBy(*keys).agg(F.percentile_approx(position, shares, 10_000).alias("_cuts"))
+    blocked = df.join(cuts, list(keys)).withColumn("_block", F.size(F.filter("_cuts", lambda c: c < F.col(position)))).drop("_cuts")
     totals = blocked.groupBy(*keys, "_block").agg(F.sum(value).alias("_total"))
     before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*keys, "_block", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_offset"))

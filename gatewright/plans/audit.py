@@ -78,7 +78,7 @@ def audit(
     targets: tuple[str, ...] = ("open_source",),
     contract: dict | None = None,
     truncated: DataFrame | None = None,
-    history_commits: int = D.HISTORY_COMMITS,
+    history_commits: int | None = None,
     lockfiles_from: str = "admitted",
     entropy_floor: float = D.ENTROPY_FLOOR,
     keep: bool = True,
@@ -155,7 +155,7 @@ def reports(result: Audit, mode: str = "full") -> DataFrame:
             "quality_findings": of("quality"),
             "fixture_findings": result.fixtures,
         },
-        {"blockers_list": D.MAX_BLOCKERS, "tasks": D.MAX_TASKS + 2, "checklist": 10},
+        {"checklist": 10},
     )
     return rows.join(limitations, "repo_id", "left")
 

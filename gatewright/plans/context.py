@@ -62,7 +62,7 @@ def symbol_map(corpus: DataFrame) -> dict[str, DataFrame]:
 
 
 def repo_context(
-    parts: dict[str, DataFrame], graph_parts: dict[str, DataFrame], symbol_parts: dict[str, DataFrame], limit: int = 20
+    parts: dict[str, DataFrame], graph_parts: dict[str, DataFrame], symbol_parts: dict[str, DataFrame], limit: int | None = None
 ) -> DataFrame:
     """One row per repository: top modules, files, edges, dependencies and symbol counts.
 

@@ -99,7 +99,7 @@ def placeholder_returns(spark, d):
     return out.select("repo_id", "path", "line", F.col("what").alias("name"))
 
 
-_WINDOWS = f"""ls AS (SELECT repo_id, path, list_transform(string_split_regex(content, '\\r?\\n'), LAMBDA s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')) AS a FROM doc_files WHERE size < {D.DUPLICATE_FILE_BYTES}),
+_WINDOWS = f"""ls AS (SELECT repo_id, path, list_transform(string_split_regex(content, '\\r?\\n'), LAMBDA s: regexp_replace(s, '^\\s+|\\s+$', '', 'g')) AS a FROM doc_files),
 w AS (SELECT repo_id, path, i AS start, a[i:i+4] AS b FROM (SELECT *, unnest(range(1, len(a) - 3)) AS i FROM ls WHERE len(a) >= 5)),
 k AS (SELECT repo_id, path, CAST(start AS INT) AS start, sha256(array_to_string(b, chr(10))) AS key FROM w WHERE NOT list_contains(b, '') AND length(regexp_replace(array_to_string(b, ''), '\\s', '', 'g')) >= {D.DUPLICATE_MIN_CHARS})"""
 
@@ -155,7 +155,7 @@ u AS (SELECT repo_id, path, line, nth, 'ai-placeholder-return-' AS f, 'high' AS
  UNION ALL SELECT repo_id, path, line, nth, 'ai-mock-in-production-', 'medium' FROM k WHERE nth = 1 AND NOT {S.hit('path', D.RESIDUE_TEST_FILE)}
  UNION ALL SELECT repo_id, path, line, nth, 'ai-todo-in-implementation-', 'low' FROM m),
 r AS (SELECT *, row_number() OVER (PARTITION BY repo_id, path, f ORDER BY nth) AS n FROM u)
-SELECT repo_id, f || {S.slug("path")} || CASE WHEN f LIKE 'ai-mock%' THEN '' ELSE '-' || CAST(line AS VARCHAR) END AS id, {S.severity_for("path", "s")} AS severity, path AS file, line FROM r WHERE n <= 3""",
+SELECT repo_id, f || {S.slug("path")} || CASE WHEN f LIKE 'ai-mock%' THEN '' ELSE '-' || CAST(line AS VARCHAR) END AS id, {S.severity_for("path", "s")} AS severity, path AS file, line FROM r""",
 )
 def residue_findings(spark, d):
     files = _sources(spark, d)
@@ -364,16 +364,16 @@ def history_findings(spark, d):
 
 @query(
     "history_scope",
-    "WITH n AS (SELECT repo_id, count(DISTINCT sha) AS n FROM commit_files GROUP BY 1), r AS (SELECT DISTINCT source AS repo_id FROM documents) SELECT r.repo_id, CAST(50 AS INT) AS requested, CAST(least(n, 50) AS INT) AS scanned, n < 50 AS complete FROM r JOIN n ON n.repo_id = r.repo_id",
+    "WITH n AS (SELECT repo_id, count(DISTINCT sha) AS n FROM commit_files GROUP BY 1), r AS (SELECT DISTINCT source AS repo_id FROM documents) SELECT r.repo_id, CAST(NULL AS INT) AS requested, CAST(n AS INT) AS scanned, n > 0 AS complete FROM r JOIN n ON n.repo_id = r.repo_id",
 )
 def history_scope(spark, d):
     commits = _commits(spark, d)
-    return history.history_scope(commits.select("repo_id").distinct(), commits, depth=50).drop("note")
+    return history.history_scope(commits.select("repo_id").distinct(), commits).drop("note")
 
 
 @query(
     "recent_commits",
-    "SELECT repo_id, sha FROM (SELECT repo_id, sha, row_number() OVER (PARTITION BY repo_id ORDER BY seq DESC, sha) AS n FROM commit_files) WHERE n <= 20",
+    "SELECT DISTINCT repo_id, sha FROM commit_files",
 )
 def recent_commits(spark, d):
     return history.recent_commits(_commits(spark, d)).select("repo_id", "sha")

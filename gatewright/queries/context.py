@@ -48,10 +48,10 @@ def primary_language(spark, d):
     "listed_files",
     f"WITH {_TEXT}, m AS (" + " UNION ALL ".join(
         f"SELECT repo_id, '{n}' AS list, path FROM text WHERE {scans._PRED[k]}" for n, k in [("config", "is_config"), ("test", "is_test"), ("documentation", "is_documentation")]
-    ) + "), r AS (SELECT *, row_number() OVER (PARTITION BY repo_id, list ORDER BY path) AS rank, count(*) OVER (PARTITION BY repo_id, list) AS total FROM m) SELECT * FROM r WHERE rank <= 5",
+    ) + "), r AS (SELECT *, row_number() OVER (PARTITION BY repo_id, list ORDER BY path) AS rank, count(*) OVER (PARTITION BY repo_id, list) AS total FROM m) SELECT * FROM r",
 )
 def listed_files(spark, d):
-    return inventory.listed_files(_text(spark, d), limit=5)
+    return inventory.listed_files(_text(spark, d))
 
 
 # --- manifests -----------------------------------------------------------------------------------
@@ -169,12 +169,12 @@ _KIND_RANK = "list_position([" + ", ".join(f"'{k}'" for k in ep.KINDS) + "], kin
 
 @query(
     "entrypoint_paths",
-    f"WITH {_SIG}, b AS (SELECT *, row_number() OVER (PARTITION BY repo_id, path ORDER BY confidence DESC, {_KIND_RANK}, reason) AS n, string_agg(reason, '; ' ORDER BY 0 - confidence, {_KIND_RANK}, reason) OVER (PARTITION BY repo_id, path) AS reasons FROM sig), r AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY confidence DESC, path) AS rank, count(*) OVER (PARTITION BY repo_id) AS total FROM b WHERE n = 1) SELECT repo_id, path, kind, confidence, rank, total FROM r WHERE rank <= 4".replace(
+    f"WITH {_SIG}, b AS (SELECT *, row_number() OVER (PARTITION BY repo_id, path ORDER BY confidence DESC, {_KIND_RANK}, reason) AS n, string_agg(reason, '; ' ORDER BY 0 - confidence, {_KIND_RANK}, reason) OVER (PARTITION BY repo_id, path) AS reasons FROM sig), r AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY confidence DESC, path) AS rank, count(*) OVER (PARTITION BY repo_id) AS total FROM b WHERE n = 1) SELECT repo_id, path, kind, confidence, rank, total FROM r".replace(
         f", string_agg(reason, '; ' ORDER BY 0 - confidence, {_KIND_RANK}, reason) OVER (PARTITION BY repo_id, path) AS reasons", ""
     ),
 )
 def entrypoint_paths(spark, d):
-    out = ep.entrypoints(ep.path_signals(view(spark, d, "tree")), limit=4)
+    out = ep.entrypoints(ep.path_signals(view(spark, d, "tree")))
     return out.drop("reasons", "lines")
 
 
@@ -209,12 +209,12 @@ def resolve_manifest_target(spark, d):
     f"""WITH {_TEXT}, {_SIG}, b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id, path ORDER BY confidence DESC, {_KIND_RANK}, reason) AS n FROM sig) WHERE n = 1),
 c AS (SELECT repo_id, path FROM text WHERE {scans._PRED["is_config"]}),
 j AS (SELECT coalesce(b.repo_id, c.repo_id) AS repo_id, coalesce(b.path, c.path) AS path, floor((0.55 + 0.35 * b.confidence) * 10000 + 0.5) / 10000 AS e, CASE WHEN c.path IS NOT NULL THEN CASE WHEN contains(c.path, '/') THEN 0.6 ELSE 0.8 END END AS k FROM b FULL JOIN c ON b.repo_id = c.repo_id AND b.path = c.path),
-s AS (SELECT repo_id, path, CAST(greatest(coalesce(e, 0), coalesce(k, 0)) AS DOUBLE) AS importance FROM j), r AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY importance DESC, path) AS rank FROM s) SELECT * FROM r WHERE rank <= 8""",
+s AS (SELECT repo_id, path, CAST(greatest(coalesce(e, 0), coalesce(k, 0)) AS DOUBLE) AS importance FROM j), r AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY importance DESC, path) AS rank FROM s) SELECT * FROM r""",
 )
 def important_files(spark, d):
     entry = ep.entrypoints(ep.path_signals(view(spark, d, "tree")))
     config = inventory.listed_files(_text(spark, d)).where(F.col("list") == "config")
-    return ep.important_files(entry, config, limit=8).drop("reason")
+    return ep.important_files(entry, config).drop("reason")
 
 
 # --- imports and graph -------------------------------------------------------------------------------
@@ -301,14 +301,14 @@ def graph_limitations(spark, d):
 
 @query(
     "graph_view",
-    f"""WITH {_NODES}, i AS (SELECT repo_id, id, row_number() OVER (PARTITION BY repo_id ORDER BY id) AS n FROM nd WHERE kind <> 'external-dependency' AND starts_with(id, 'src/')),
-k AS (SELECT * FROM i WHERE n <= 6), e AS (SELECT ed.repo_id FROM ed JOIN k a ON a.repo_id = ed.repo_id AND a.id = src JOIN k b ON b.repo_id = ed.repo_id AND b.id = dst),
-x AS (SELECT repo_id, 'nodes' AS section, count(*) AS total, 6 AS lim FROM i GROUP BY 1 UNION ALL SELECT repo_id, 'edges', count(*), 3 FROM e GROUP BY 1 UNION ALL SELECT repo_id, 'externals', count(*), 5 FROM nd WHERE kind = 'external-dependency' GROUP BY 1)
-SELECT repo_id, section, total, least(total, lim) AS returned, greatest(total - lim, 0) AS omitted FROM x""",
+    f"""WITH {_NODES}, i AS (SELECT repo_id, id, row_number() OVER (PARTITION BY repo_id ORDER BY id) AS n FROM nd WHERE kind <> 'external-dependency'),
+k AS (SELECT * FROM i), e AS (SELECT ed.repo_id FROM ed JOIN k a ON a.repo_id = ed.repo_id AND a.id = src JOIN k b ON b.repo_id = ed.repo_id AND b.id = dst),
+x AS (SELECT repo_id, 'nodes' AS section, count(*) AS total FROM i GROUP BY 1 UNION ALL SELECT repo_id, 'edges', count(*) FROM e GROUP BY 1 UNION ALL SELECT repo_id, 'externals', count(*) FROM nd WHERE kind = 'external-dependency' GROUP BY 1)
+SELECT repo_id, section, total, total AS returned, CAST(0 AS BIGINT) AS omitted FROM x""",
 )
 def graph_view(spark, d):
     edges = graph.dependency_edges(_resolved(spark, d))
-    parts = graph.graph_view(graph.dependency_nodes(edges), edges, "src", max_nodes=6, max_edges=3, max_external=5)
+    parts = graph.graph_view(graph.dependency_nodes(edges), edges)
     return parts["accounting"]
 
 
@@ -373,7 +373,7 @@ def symbol_coverage(spark, d):
 
 @query(
     "symbol_view",
-    f"WITH {_CL}, dc AS ({_decl_sql()}) SELECT repo_id, 'symbols' AS section, count(*) AS total, least(count(*), 10) AS returned, greatest(count(*) - 10, 0) AS omitted FROM dc WHERE name IS NOT NULL AND starts_with(path, 'src/') GROUP BY 1",
+    f"WITH {_CL}, dc AS ({_decl_sql()}) SELECT repo_id, 'symbols' AS section, count(*) AS total, count(*) AS returned, CAST(0 AS BIGINT) AS omitted FROM dc WHERE name IS NOT NULL GROUP BY 1",
 )
 def symbol_view(spark, d):
-    return symbols.symbol_view(symbols.extract_symbols(_code(spark, d)), "src", limit=10)[1]
+    return symbols.symbol_view(symbols.extract_symbols(_code(spark, d)))[1]

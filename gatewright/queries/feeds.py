@@ -19,7 +19,7 @@ from gatewright.streaming import feeds
 
 @query(
     "audit_history",
-    "SELECT repo_id, job_id, CAST(overall AS DOUBLE) AS overall, rank FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY created_at DESC, job_id) AS rank FROM audit_jobs WHERE status = 'completed') WHERE rank <= 20",
+    "SELECT repo_id, job_id, CAST(overall AS DOUBLE) AS overall, rank FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY created_at DESC, job_id) AS rank FROM audit_jobs WHERE status = 'completed')",
 )
 def audit_history(spark, d):
     return jobs.audit_history(view(spark, d, "audit_jobs")).select("repo_id", "job_id", "overall", "rank")

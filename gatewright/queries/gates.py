@@ -94,7 +94,7 @@ def route_findings(spark, d):
 
 
 _GROUPS = f"""g AS (SELECT repo_id, file, rule_id, count(*) AS count, min({S.rank('severity')}) AS r,
- min_by('Title of ' || id, (ord, id)) AS title, array_to_string(list_sort(list_distinct(list(line)))[1:10], ',') AS lines FROM f GROUP BY ALL)"""
+ min_by('Title of ' || id, (ord, id)) AS title, array_to_string(list_sort(list_distinct(list(line))), ',') AS lines FROM f GROUP BY ALL)"""
 
 
 @query(
@@ -110,8 +110,8 @@ def group_findings(spark, d):
     "condense_evidence",
     f"""WITH {_F}, {_GROUPS}, o AS (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY r, lower(file), file, rule_id) AS n, count(*) OVER (PARTITION BY repo_id) AS gs, sum(count) OVER (PARTITION BY repo_id) AS fs,
  title || CASE WHEN count > 1 THEN ' ×' || CAST(count AS VARCHAR) ELSE '' END || ' in ' || file AS t FROM g),
-s AS (SELECT repo_id, string_agg(t, '; ' ORDER BY n) AS shown, any_value(gs) AS gs, any_value(fs) AS fs, sum(count) AS c FROM o WHERE n <= 5 GROUP BY 1)
-SELECT repo_id, shown || CASE WHEN gs > 5 THEN '; +' || CAST(gs - 5 AS VARCHAR) || ' more rule/file group' || CASE WHEN gs = 6 THEN '' ELSE 's' END || ' (' || CAST(CAST(fs - c AS BIGINT) AS VARCHAR) || ' findings)' ELSE '' END AS lines FROM s""",
+s AS (SELECT repo_id, string_agg(t, '; ' ORDER BY n) AS shown, any_value(gs) AS gs, any_value(fs) AS fs, sum(count) AS c FROM o GROUP BY 1)
+SELECT repo_id, shown AS lines FROM s""",
 )
 def condense_evidence(spark, d):
     out = fm.condense_evidence(fm.group_findings(_enriched(spark, d)))
@@ -120,7 +120,7 @@ def condense_evidence(spark, d):
 
 _BLOCK = f"""sev AS (SELECT *, CASE bucket WHEN 'documentation' THEN 1 WHEN 'reproducibility_all' THEN 2 WHEN 'security' THEN 3 WHEN 'deployment' THEN 4 WHEN 'web3' THEN 5 WHEN 'hackathon' THEN 6 END AS bo
  FROM routed WHERE severity IN ('critical', 'high')),
-blockers AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY {S.rank('severity')}, bo, ord, id, line) AS blocker_ord FROM sev WHERE bo IS NOT NULL) WHERE blocker_ord <= 25)"""
+blockers AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY {S.rank('severity')}, bo, ord, id, line) AS blocker_ord FROM sev WHERE bo IS NOT NULL))"""
 
 
 @query(
@@ -432,7 +432,7 @@ def metrics_drift(spark, d):
 
 # --- fix plans -----------------------------------------------------------------------------------
 _CAND = f"""gr AS (SELECT *, row_number() OVER (PARTITION BY repo_id, rule_id, file ORDER BY {S.rank('severity')}, id) AS g FROM fixable),
-cand AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY {S.rank('severity')}, id) AS plan_ord FROM gr WHERE g = 1) WHERE plan_ord <= 20)"""
+cand AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY repo_id ORDER BY {S.rank('severity')}, id) AS plan_ord FROM gr WHERE g = 1))"""
 
 
 @query("fix_plan_candidates", f"WITH {_F}, {_FIX_LISTS}, {_CAND} SELECT repo_id, plan_ord, id, severity, file FROM cand")

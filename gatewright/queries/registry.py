@@ -31,19 +31,10 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _source(spark: SparkSession, sf_dir: str, name: str) -> str:
-    """Name of a temporary view over a driver table, spread over the cores.
-
-    A file with fewer splits than the cluster has slots is redistributed so that
-    scanning its text is not left to one core; a large table has far more splits
-    than slots and is read as it is.
-    """
+    """Name of a temporary view over a driver table, read as it is (split sizes are the session's)."""
     label = f"gw_{name}_{zlib.crc32(sf_dir.encode())}"
     if not spark.catalog.tableExists(label):
-        df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-        slots = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < slots:
-            df = df.repartition(slots)
-        df.createOrReplaceTempView(label)
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(label)
     return label
 
 

@@ -74,13 +74,11 @@ def classify_file(spark, d):
 @query(
     "admit_files",
     f"""
-WITH {S.GRADED}, r AS (SELECT *, CASE WHEN kind = 'ignore' THEN 'noise-directory-or-hidden' WHEN kind = 'binary' THEN 'binary-extension'
- WHEN size > 1000000 THEN 'exceeds-max-file-bytes' END AS reason FROM graded),
-n AS (SELECT *, count(CASE WHEN reason IS NULL THEN 1 END) OVER (PARTITION BY repo_id ORDER BY list_pos, path ROWS UNBOUNDED PRECEDING) AS n FROM r)
-SELECT repo_id, path, CASE WHEN reason IS NULL AND n > 12 THEN 'exceeds-max-files' ELSE reason END AS skip_reason FROM n""",
+WITH {S.GRADED}, r AS (SELECT *, CASE WHEN kind = 'ignore' THEN 'noise-directory-or-hidden' WHEN kind = 'binary' THEN 'binary-extension' END AS reason FROM graded)
+SELECT repo_id, path, reason AS skip_reason FROM r""",
 )
 def admit_files(spark, d):
-    out = admission.admit_files(view(spark, d, "tree"), max_files=12, max_file_bytes=1_000_000)
+    out = admission.admit_files(view(spark, d, "tree"))
     return out.select("repo_id", "path", "skip_reason")
 
 
@@ -88,13 +86,12 @@ def admit_files(spark, d):
     "cap_total_bytes",
     """
 WITH s AS (SELECT *, sum(size) OVER (PARTITION BY repo_id ORDER BY list_pos ROWS UNBOUNDED PRECEDING) AS total
- FROM doc_files WHERE size <= 20000),
-t AS (SELECT repo_id, bool_or(total > 60000) AS truncated FROM s GROUP BY 1)
-SELECT s.repo_id, s.path, CAST(s.total AS BIGINT) AS bytes_so_far, t.truncated FROM s JOIN t ON t.repo_id = s.repo_id WHERE s.total <= 60000""",
+ FROM doc_files)
+SELECT repo_id, path, CAST(total AS BIGINT) AS bytes_so_far, false AS truncated FROM s""",
 )
 def cap_total_bytes(spark, d):
     tree = view(spark, d, "doc_files").drop("content")
-    out = admission.cap_total_bytes(tree, max_total=60_000, max_file_bytes=20_000)
+    out = admission.cap_total_bytes(tree)
     return out.select("repo_id", "path", "bytes_so_far", "truncated")
 
 

@@ -122,6 +122,6 @@ def rule_source(fid: str) -> str:
 # Graded tree and corpus, as the audit sees them.
 GRADED = f"graded AS (SELECT *, {kind()} AS kind FROM tree)"
 CORPUS = f"""{GRADED}, corpus AS (
-SELECT g.repo_id, g.path, g.size, g.list_pos, g.kind = 'text' AND g.size <= {D.MAX_FILE_BYTES} AS admitted,
- CASE WHEN g.kind = 'text' AND g.size <= {D.MAX_FILE_BYTES} THEN f.content END AS content
+SELECT g.repo_id, g.path, g.size, g.list_pos, g.kind = 'text' AS admitted,
+ CASE WHEN g.kind = 'text' THEN f.content END AS content
 FROM graded AS g LEFT JOIN files AS f ON f.repo_id = g.repo_id AND f.path = g.path)"""

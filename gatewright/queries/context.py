@@ -373,7 +373,7 @@ def symbol_coverage(spark, d):
 
 @query(
     "symbol_view",
-    f"WITH {_CL}, dc AS ({_decl_sql()}) SELECT repo_id, 'symbols' AS section, count(*) AS total, count(*) AS returned, CAST(0 AS BIGINT) AS omitted FROM dc WHERE name IS NOT NULL GROUP BY 1",
+    f"WITH {_CL}, dc AS ({_decl_sql()}) SELECT repo_id, 'symbols' AS section, count(*) AS total, count(*) AS returned, CAST(0 AS BIGINT) AS omitted FROM dc WHERE name IS NOT NULL AND starts_with(path, 'src/') GROUP BY 1",
 )
 def symbol_view(spark, d):
-    return symbols.symbol_view(symbols.extract_symbols(_code(spark, d)))[1]
+    return symbols.symbol_view(symbols.extract_symbols(_code(spark, d)), "src")[1]

@@ -7,11 +7,11 @@ A node is posted under each (coordinate, value); two nodes linked at the similar
 * prefix: of a node's values that others share, taken rarest first, all but MATCHES - 1 are posted; a pair that
   agrees on MATCHES values meets in at least one list, and a node with fewer shared values meets nobody;
 * skip: a node whose shingles are too often its own cannot reach the similarity with any other posted node;
-* leaders: in each list every node is first compared with the list's smallest.  Pairs inside one component need no
-  look any more, so only lists that hold several components are joined, nodes outside the list's largest component
-  against the rest.
-
-A candidate's collisions over all coordinates are counted, and a pair with MATCHES or more is confirmed on its sets.
+* leaders: in each list every node is first compared with the list's smallest, its leader: the collisions over all
+  coordinates are counted, and a pair with MATCHES or more is confirmed on its sets.  Pairs inside one component need
+  no look any more.  Two nodes of different components that met in a list have its leader in common, and what each
+  lacks of the leader and has beyond it gives their overlap exactly; so the join by leader, of nodes outside the
+  leader's largest component against all, makes a row only for a link.
 """
 
 from __future__ import annotations
@@ -186,6 +186,27 @@ def _confirm(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.where(F.when(collisions >= MATCHES, similar).otherwise(False)).select("a", "b")
 
 
+def _differences(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Of pairs(a, b, component, main): what node b lacks of its leader a, and what it has beyond it."""
+    node = nodes.select(F.col("node").alias("b"), "n_shingles", "common", F.col("shingles").alias("own"))
+    leader = nodes.select(F.col("node").alias("a"), F.col("n_shingles").alias("n_leader"), F.col("shingles").alias("led"))
+    return (
+        pairs.join(node, "b")
+        .join(leader, "a")
+        .select(
+            F.col("a").alias("leader"), "n_leader", F.col("b").alias("node"), "component", "main", "n_shingles", "common",
+            F.array_except("led", "own").alias("missing"), F.array_except("own", "led").alias("extra"),
+        )
+    )
+
+
+def _overlap_by_differences() -> Column:
+    """The exact number of common shingles of two nodes, from what sets them apart from one leader."""
+    shared_loss = F.size(F.array_intersect("missing_a", "missing_b"))
+    shared_gain = F.size(F.array_intersect("extra_a", "extra_b"))
+    return F.col("n_leader") - F.size("missing_a") - F.size("missing_b") + shared_loss + shared_gain
+
+
 def _links(scratch: Scratch, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """node, component of all nodes that are linked with another."""
     posted = _posted(scratch, nodes)
@@ -194,28 +215,29 @@ def _links(scratch: Scratch, docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     leaders = scratch.table(lists.groupBy("token").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1"), "leaders")
     pairs = lists.join(leaders.select("token", "a"), "token").where("a <> node").select("a", F.col("node").alias("b")).distinct()
-    first = scratch.table(_confirm(scratch.table(pairs, "leader-pairs"), full), "leader-links")
+    pairs = scratch.table(pairs, "leader-pairs")
+    first = scratch.table(_confirm(pairs, full), "leader-links")
     known = components(scratch, first)
 
-    held = scratch.table(
-        lists.join(known, "node", "left").withColumn("component", F.coalesce("component", "node")), "lists-by-component"
-    )
-    sizes = held.groupBy("token", "component").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("token").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts"))
-    mixed = scratch.table(mixed.where("parts > 1").select("token", "main"), "mixed-lists")
-    rest = scratch.table(held.join(mixed, "token"), "mixed")
+    met = pairs.join(known.withColumnRenamed("node", "b"), "b", "left").select("a", "b", F.coalesce("component", "b").alias("component"))
+    met = scratch.table(met, "pairs-by-component")
+    sizes = met.groupBy("a", "component").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("a").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts"))
+    mixed = scratch.table(mixed.where("parts > 1").select("a", "main"), "mixed-leaders")
+    members = scratch.table(_differences(met.join(mixed, "a"), full), "differences")
 
     def side(name: str) -> DataFrame:
-        return rest.select("token", *(F.col(c).alias(f"{c}_{name}") for c in ("node", "component", "n_shingles", "common", "main")))
+        own = ("node", "component", "n_shingles", "common", "missing", "extra")
+        return members.select("leader", "n_leader", "main", *(F.col(c).alias(f"{c}_{name}") for c in own))
 
-    a, b = side("a").where("component_a <> main_a"), side("b")
-    met = a.join(b, "token").where(
+    one = side("a").where("component_a <> main")
+    met = one.join(side("b").drop("n_leader", "main"), "leader").where(
         (F.col("component_a") != F.col("component_b"))
-        & ((F.col("component_b") == F.col("main_b")) | (F.col("node_a") < F.col("node_b")))
+        & ((F.col("component_b") == F.col("main")) | (F.col("node_a") < F.col("node_b")))
         & _reaches(F.least("common_a", "common_b"), F.col("n_shingles_a"), F.col("n_shingles_b"))
+        & _reaches(_overlap_by_differences(), F.col("n_shingles_a"), F.col("n_shingles_b"))
     )
-    met = met.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
-    second = _confirm(scratch.table(met, "other-pairs"), full)
+    second = met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
     return components(scratch, first.unionByName(second))
 
 

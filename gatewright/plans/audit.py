@@ -11,6 +11,7 @@ from gatewright import dims as D
 from gatewright.operators import admission, findings as fm, gate, history, injection, presence, residue
 from gatewright.operators import report, scoring, secrets
 from gatewright.sources.corpus import attach_content
+from gatewright.sources.tables import stored
 
 
 @dataclass
@@ -81,12 +82,12 @@ def audit(
     history_commits: int | None = None,
     lockfiles_from: str = "admitted",
     entropy_floor: float = D.ENTROPY_FLOOR,
-    keep: bool = True,
+    folder: str | None = None,
 ) -> Audit:
     """Audit every repository of ``tree``/``files`` in one job.
 
-    With ``keep`` the facts and the enriched findings are persisted to memory and
-    disk: both are small next to the corpus and feed several sections.
+    With ``folder`` (shared by all executors) the facts and the enriched findings, both small next to the corpus, are
+    written there once and read by every section; without it each section computes them anew.
     """
     corpus = corpus_of(tree, files)
     facts = presence.repo_facts(corpus, lockfiles_from)
@@ -95,11 +96,9 @@ def audit(
         recent = history.recent_commits(commit_files, history_commits).select("repo_id", "sha")
         scope = history.history_scope(facts, commit_files, history_commits)
         commit_files = commit_files.join(recent, ["repo_id", "sha"], "left_semi")
-    if keep:
-        facts = facts.persist()
+    facts = stored(facts, folder, "facts")
     everything = fm.enrich_findings(raw_findings(corpus, facts, commit_files, wordlist, entropy_floor))
-    if keep:
-        everything = everything.persist()
+    everything = stored(everything, folder, "findings")
     real, fixtures = fm.split_fixtures(everything)
     routed = fm.route_findings(real)
     rules = scoring.score_rules(facts, scoring.severity_penalty(routed))
@@ -155,11 +154,24 @@ def reports(result: Audit, mode: str = "full") -> DataFrame:
             "quality_findings": of("quality"),
             "fixture_findings": result.fixtures,
         },
-        {"checklist": 10},
+        nested=("checklist",),
     )
     return rows.join(limitations, "repo_id", "left")
 
 
+def report_sections(result: Audit) -> DataFrame:
+    """The finding lists of every report as one table: repo_id, section, ord and the finding's columns."""
+    columns = ["id", "rule_id", "severity", "title", "evidence", "action", "criteria"]
+
+    def rows(df: DataFrame, section: str, ord_: str = "ord") -> DataFrame:
+        return df.select("repo_id", F.lit(section).alias("section"), F.col(ord_).cast("bigint").alias("ord"), *columns)
+
+    out = rows(result.blockers, "blockers", "blocker_ord").unionByName(rows(result.fixtures, "fixture_findings"))
+    for section, name in (("doc", "documentation_gaps"), ("security", "security_findings"), ("quality", "quality_findings")):
+        out = out.unionByName(rows(result.findings.where(F.col("section") == section), name))
+    return out
+
+
 def quality_status(result: Audit) -> DataFrame:
     """Verdict per repository together with its section statuses."""
     rows = gate.gate_sections(result.checks)

@@ -12,6 +12,7 @@ from gatewright.plans import audit as plan
 from gatewright.queries import scans
 from gatewright.queries import sql as S
 from gatewright.queries.registry import query, view
+from gatewright.sources.tables import run_folder
 
 
 def _findings(spark, d, side: int | None = None) -> DataFrame:
@@ -468,7 +469,7 @@ def findings_rollup(spark, d):
 
 # --- whole audits ----------------------------------------------------------------------------------
 def _audit(spark, d) -> plan.Audit:
-    return plan.audit(view(spark, d, "tree"), view(spark, d, "files"), targets=tuple(D.TARGET_WEIGHTS), keep=False)
+    return plan.audit(view(spark, d, "tree"), view(spark, d, "files"), targets=tuple(D.TARGET_WEIGHTS), folder=run_folder(spark))
 
 
 @query("recommended_tasks")
@@ -504,11 +505,17 @@ def report_limitations(spark, d):
     return out.select("repo_id", F.size("limitations").alias("statements"))
 
 
+@query("report_sections")
+def report_sections(spark, d):
+    out = plan.report_sections(_audit(spark, d))
+    return out.select("repo_id", "section", "ord", "id", "rule_id", "severity", fm.first_file().alias("file"))
+
+
 @query("audit_reports")
 def audit_reports(spark, d):
     out = plan.reports(_audit(spark, d))
     return out.select(
-        "repo_id", "target", "overall", "status", "ship", F.size("blockers_list").alias("blockers_listed"),
-        F.size("tasks").alias("tasks"), F.size("checklist").alias("checklist"), "documentation_gaps_count",
+        "repo_id", "target", "overall", "status", "ship", F.col("blockers_list_count").alias("blockers_listed"),
+        F.col("tasks_count").alias("tasks"), F.size("checklist").alias("checklist"), "documentation_gaps_count",
         "security_findings_count", "quality_findings_count", "fixture_findings_count",
     )

@@ -2,10 +2,35 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def run_folder(spark: SparkSession) -> str:
+    """A new folder for one run's tables below ``spark.checkpoint.dir``, which all executors share.
+
+    Only in local mode, where one machine is the cluster, a folder of our own takes its place.
+    """
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="gw-shared-")
+    return f"{root.rstrip('/')}/gw-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, folder: str | None, name: str) -> DataFrame:
+    """``df`` written below ``folder`` and read back, which cuts its lineage; as it is without a folder."""
+    if folder is None:
+        return df
+    df.write.parquet(f"{folder}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"{folder}/{name}")
+
+
 def write_table(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """Overwrite only the partitions present in ``df`` (all of it when unpartitioned)."""
     writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")

@@ -22,14 +22,21 @@ def fixable_findings(lists: DataFrame) -> DataFrame:
 
 
 def score_deltas(base: DataFrame, head: DataFrame, epsilon: float = 0.0) -> DataFrame:
-    """Overall and per-dimension deltas with the verdict, per (repo, target)."""
+    """Overall and per-dimension deltas with the verdict, per (repo, target).
+
+    A pair found in one audit only keeps its row: null deltas, verdict ``added`` or ``removed``.
+    """
     names = ["overall", *D.DIMENSIONS]
     b = base.select("repo_id", "target", *[F.col(n).alias(f"base_{n}") for n in names])
     h = head.select("repo_id", "target", *[F.col(n).alias(f"head_{n}") for n in names])
-    joined = b.join(h, ["repo_id", "target"])
+    joined = b.withColumn("_b", F.lit(True)).join(h.withColumn("_h", F.lit(True)), ["repo_id", "target"], "full_outer")
     deltas = [round1(F.col(f"head_{n}") - F.col(f"base_{n}")).alias(f"{n}_delta") for n in names]
-    return joined.select("repo_id", "target", *deltas).withColumn(
-        "verdict", diff_verdict(F.col("overall_delta"), epsilon)
+    sided = F.when(F.col("_b").isNull(), "added").when(F.col("_h").isNull(), "removed")
+    return joined.select("repo_id", "target", *deltas, sided.alias("_side")).select(
+        "repo_id",
+        "target",
+        *[f"{n}_delta" for n in names],
+        F.coalesce("_side", diff_verdict(F.col("overall_delta"), epsilon)).alias("verdict"),
     )
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +11,7 @@ from gatewright.operators import gate as gates
 from gatewright.queries import content, views
 from gatewright.queries import sql as S
 from gatewright.queries.registry import query, table, view
-from gatewright.sources.tables import read_upserted, upsert_batch
+from gatewright.sources.tables import read_upserted, run_folder, upsert_batch
 from gatewright.streaming import feeds
 
 
@@ -152,10 +150,8 @@ def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def _run(spark: SparkSession, stream: DataFrame, mode: str, keys: list[str], order: list[str]) -> DataFrame:
-    """Run to the end of the data into an upsert table below the shared checkpoint folder."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    root = feeds.checkpoint_root(spark, None if named else tempfile.mkdtemp(prefix="gw-stream-"))
-    base = f"{root.rstrip('/')}/gw-{spark.sparkContext.applicationId}-{abs(hash((tuple(keys), id(stream))))}"
+    """Run to the end of the data into an upsert table in a new folder below the shared one."""
+    base = run_folder(spark)
     feeds.run_available(stream, f"{base}/state", mode, upsert_batch(f"{base}/out", keys, order))
     return read_upserted(spark, f"{base}/out", keys)
 

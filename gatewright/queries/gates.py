@@ -247,7 +247,7 @@ def _gate_sql(side: int | None, p: str = "") -> str:
         + (f"'{rules}'" if rules else "crit_rules") + f" AS rule_ids FROM {p}tot"
         for sec, cid, ok, rules in checks
     )
-    return f"""{p}gf AS (SELECT repo_id, key, id, min(rule_id) AS rule_id, min(severity) AS severity, any_value(file) AS file FROM fk {where} GROUP BY 1, 2, 3),
+    return f"""{p}gf AS (SELECT repo_id, key, id, min(rule_id) AS rule_id, min_by(severity, (ord, {S.rank('severity')})) AS severity, any_value(file) AS file FROM fk {where} GROUP BY 1, 2, 3),
 {p}tot AS (SELECT repo_id, count(*) FILTER (WHERE rule_id = 'SEC-SECRET-001' AND {own}) AS secrets, count(*) FILTER (WHERE rule_id = 'SEC-HISTORY-001' AND {own}) AS history,
  count(*) FILTER (WHERE severity = 'critical') AS critical, coalesce(string_agg(DISTINCT CASE WHEN severity = 'critical' THEN rule_id END, ',' ORDER BY CASE WHEN severity = 'critical' THEN rule_id END), '') AS crit_rules,
  {n("TEST-002")} AS t, {n("CI-001")} AS ci, {n("REPO-README-001")} AS rd, {n("REPO-LICENSE-001", "HACK-LICENSE-001")} AS lc, {n("BUILD-001")} AS dk, {n("BUILD-002")} AS rn FROM {p}gf GROUP BY 1),

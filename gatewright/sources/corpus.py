@@ -14,6 +14,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
+
+from gatewright.operators.admission import file_kind
 
 TREE_SCHEMA = T.StructType(
     [
@@ -44,7 +47,8 @@ def read_checkouts(spark: SparkSession, root: str, glob: str = "*") -> tuple[Dat
     """Checked-out repositories below ``root/<repo_id>/...`` as (tree, files).
 
     Only the path and length columns are touched for the tree, so the binary
-    source does not load contents there.  Listing order is scan order.
+    source does not load contents there; ``files`` reads only what classifies as
+    text.  Listing order is path order.  Bytes that are no UTF-8 become U+FFFD.
     """
     raw = (
         spark.read.format("binaryFile")
@@ -61,12 +65,12 @@ def read_checkouts(spark: SparkSession, root: str, glob: str = "*") -> tuple[Dat
         "repo_id",
         F.col("rel").alias("path"),
         F.col("length").cast("bigint").alias("size"),
-        F.monotonically_increasing_id().alias("list_pos"),
+        F.row_number().over(Window.partitionBy("repo_id").orderBy("rel")).cast("bigint").alias("list_pos"),
     )
-    files = keyed.select(
+    files = keyed.where(file_kind(F.col("rel"), F.col("length")) == "text").select(
         "repo_id",
         F.col("rel").alias("path"),
-        F.replace(F.decode("content", "UTF-8"), F.lit("�"), F.lit("?")).alias("content"),
+        F.make_valid_utf8(F.col("content").cast("string")).alias("content"),
     )
     return tree, files
 

@@ -86,7 +86,8 @@ def _flips(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
     """Emit a row whenever a repository's ship flag turns over; state is the last flag and time."""
     last_ts, last_ship = state.get if state.exists else (None, None)
     out = []
-    for batch in batches:
+    rows = pd.concat(list(batches)).sort_values(["ts", "ship"])  # the rows of a key come in no order
+    for batch in (rows,):
         for ts, ship in zip(batch["ts"], batch["ship"]):
             if last_ts is not None and ts.value <= last_ts:
                 continue

@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import zlib
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,59 +13,78 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPECIAL, TwoGenerations, lone_space_parts, prepare
+from .common import SPECIAL, lone_space_parts, prepare
 
 CAPACITY = 1024
 CACHE_ENTRIES = 400_000
 MAX_OPEN = 4096
+_MARKS = ".,;:!?$*&%#|)\""
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 )
 
 
+class _Known(dict):
+    """Ids of parts (with `lead` in front), asked of the tokenizer when new; two generations bound its size."""
+
+    def __init__(self, encode: Callable[[str], bytes], lead: str, tails: _Known | None = None) -> None:
+        super().__init__()
+        self.encode, self.lead, self.tails = encode, lead, tails
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.older.get(part)
+        if ids is None:
+            stem = part.rstrip(_MARKS) if self.tails is not None else part
+            # The pre-tokenizer always cuts between letters and marks.
+            if len(stem) < len(part) and stem.isalpha():
+                ids = self[stem] + self.tails[part[len(stem) :]]
+            else:
+                ids = self.encode(self.lead + part)
+        if len(part) <= 64:
+            self[part] = ids
+        return ids
+
+    def trim(self, entries: int) -> None:
+        if len(self) > entries:
+            self.older = dict(self)
+            self.clear()
+
+
 class SegmentIds:
     """Ids (unsigned 32-bit numbers as bytes) of texts, by the tokenizers library.
 
     Words repeat, so the ids of each distinct part between lone spaces are kept in a bounded cache; only new parts
-    reach the tokenizer, in one batch.
+    reach the tokenizer.
     """
 
     def __init__(self, tokenizer_path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok = Tokenizer.from_file(tokenizer_path)
-        self.tok.no_truncation()
-        self.tok.no_padding()
-        special = self.tok.token_to_id(SPECIAL)
+        tok = Tokenizer.from_file(tokenizer_path)
+        tok.no_truncation()
+        tok.no_padding()
+        special = tok.token_to_id(SPECIAL)
         self.special = None if special is None else array("I", [special]).tobytes()
-        self.first = TwoGenerations(CACHE_ENTRIES // 4)
-        self.later = TwoGenerations(CACHE_ENTRIES)
 
-    def _learn(self, known: TwoGenerations, parts: set[str], lead: str) -> None:
-        new = known.missing(parts)
-        # parts holding the special string never come here
-        for part, enc in zip(new, self.tok.encode_batch_fast([lead + p for p in new], add_special_tokens=False)):
-            known[part] = array("I", enc.ids).tobytes()
+        def encode(text: str) -> bytes:
+            return array("I", tok.encode(text, add_special_tokens=False).ids).tobytes()
+
+        self.tails = _Known(encode, "")
+        self.first = _Known(encode, "", self.tails)
+        self.later = _Known(encode, " ", self.tails)
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        split: list[list[list[str]]] = []
-        first: set[str] = set()
-        later: set[str] = set()
+        self.later.trim(CACHE_ENTRIES)
+        self.first.trim(CACHE_ENTRIES // 4)
+        self.tails.trim(CACHE_ENTRIES // 4)
+        first, later, out = self.first, self.later.__getitem__, []
         for text in texts:
-            pieces = text.split(SPECIAL) if self.special is not None and SPECIAL in text else (text,)
-            doc = []
-            for piece in pieces:
-                parts = lone_space_parts(piece)
-                first.add(parts[0])
-                later.update(parts[1:])
-                doc.append(parts)
-            split.append(doc)
-        self._learn(self.first, first, "")
-        self._learn(self.later, later, " ")
-        get, out = self.later.__getitem__, []
-        for doc in split:
-            pieces = [self.first[parts[0]] + b"".join(map(get, parts[1:])) for parts in doc]
+            pieces = []
+            for stretch in text.split(SPECIAL) if self.special is not None and SPECIAL in text else (text,):
+                parts = lone_space_parts(stretch)
+                pieces.append(first[parts[0]] + b"".join(map(later, parts[1:])))
             out.append(pieces[0] if len(pieces) == 1 else self.special.join(pieces))
         return out
 

@@ -75,7 +75,7 @@ def check_pieces(rows, docs, library, capacity):
 
 def test_packing_holds_every_id_once(spark, library):
     rng = random.Random(5)
-    docs = {i: " ".join(rng.choices(["alpha", "beta", "x", "y z", "<|endoftext|>"], k=rng.choice([0, 1, 5, 60, 700]))) for i in range(300)}
+    docs = {i: " ".join(rng.choices(["alpha", "beta,", "x!!", "y z", "z.1)", "<|endoftext|>", "it's\"", "*"], k=rng.choice([0, 1, 5, 60, 700]))) for i in range(300)}
     docs[300], docs[301] = None, "word " * 5000
     frame = spark.createDataFrame([(i, t, "x", "y") for i, t in docs.items()], DOCS).repartition(3)
     rows = [tuple(r) for r in packing.pack_documents(frame, PATH).collect()]

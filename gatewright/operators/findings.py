@@ -306,10 +306,10 @@ def recommended_tasks(blockers: DataFrame, facts: DataFrame, limit: int | None =
                 F.struct(
                     (F.col("n") + 1).alias("task_ord"),
                     F.lit("task-add-contract-tests").alias("task_id"),
-                    F.lit("Add Foundry or Hardhat contract tests").alias("title"),
+                    F.lit("Write tests for the contracts").alias("title"),
                     F.lit("L").alias("effort"),
                     F.array(F.lit("web3-no-contract-tests")).alias("related"),
-                    F.array(F.lit("The contract test suite passes.")).alias("criteria"),
+                    F.array(F.lit("All contract tests succeed.")).alias("criteria"),
                 ),
             ),
             F.when(
@@ -317,10 +317,10 @@ def recommended_tasks(blockers: DataFrame, facts: DataFrame, limit: int | None =
                 F.struct(
                     (F.col("n") + 2).alias("task_ord"),
                     F.lit("task-add-demo-url").alias("task_id"),
-                    F.lit("Deploy a preview and link the demo URL in the README").alias("title"),
+                    F.lit("Put a demo online and link to it from the README").alias("title"),
                     F.lit("M").alias("effort"),
                     F.array(F.lit("hack-no-demo")).alias("related"),
-                    F.array(F.lit("A live URL answers with 2xx.")).alias("criteria"),
+                    F.array(F.lit("The linked address answers.")).alias("criteria"),
                 ),
             ),
         )

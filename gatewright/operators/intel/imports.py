@@ -312,10 +312,10 @@ def resolve_imports(
         .otherwise("external")
     )
     reason = (
-        F.when(spec == "", "the specifier is empty")
-        .when(spec.startswith("/"), "an absolute filesystem path matches no repository path")
-        .when(spec.startswith("."), "no file in the repository matches the relative import")
-        .otherwise("the package directory is not in the repository")
+        F.when(spec == "", "nothing is named")
+        .when(spec.startswith("/"), "a path from the disk root leads out of the repository")
+        .when(spec.startswith("."), "the relative path leads to no file")
+        .otherwise("the repository lacks the package's directory")
     )
     resolved = rows.withColumn("kind", kind).select(
         *key,

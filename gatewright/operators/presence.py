@@ -149,7 +149,7 @@ def _urls(body: Column) -> Column:
 def doc_findings(facts: DataFrame) -> DataFrame:
     out = []
     for i, (fid, flag, sev, title, names) in enumerate(D.REQUIRED_DOCS):
-        proof = F.array(evidence(names[0], None, "No matching file in the repository tree"))
+        proof = F.array(evidence(names[0], None, "nothing in the tree fits"))
         out.append(
             (
                 ~F.col(flag),
@@ -175,7 +175,7 @@ def doc_findings(facts: DataFrame) -> DataFrame:
                 (length >= D.README_MIN_CHARS) & missing,
                 draft("doc", 11 + i, f"doc-readme-section-{name}", "documentation", "low",
                       f'README is missing a "{name}" section',
-                      at_readme("No matching heading or reference found")),
+                      at_readme("no heading or link fits")),
             )
         )
     return explode_drafts(facts, out)
@@ -281,7 +281,7 @@ def hygiene_findings(corpus: DataFrame, facts: DataFrame) -> DataFrame:
         (
             F.col("has_test_files") & ~F.col("has_test_runner"),
             draft("hygiene", 10**18, "test-no-runner", "reproducibility", "medium",
-                  "Test files exist but no test runner is declared",
+                  "There are tests, but nothing to run them with",
                   F.array(evidence(F.col("first_test")["path"], None,
                                    "test files present, but no test runner dependency found",
                                    "dependency_manifest"))),

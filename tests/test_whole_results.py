@@ -77,7 +77,7 @@ def test_comparisons_keep_one_sided_repositories(spark):
     keys = spark.createDataFrame([("both", "k")], "repo_id string, key string")
     out = {r.repo_id: r for r in gate.compare_gates(before, after, keys, keys.where("false")).collect()}
     assert set(out) == {"both", "gone", "fresh"}
-    assert out["both"].ship_changed and out["both"].resolved == 1 and out["both"].summary.startswith("Unblocked")
+    assert out["both"].ship_changed and out["both"].resolved == 1 and out["both"].summary.startswith("Free to ship")
     assert out["gone"].after_ship is None and out["fresh"].before_ship is None
 
 

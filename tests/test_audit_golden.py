@@ -13,9 +13,9 @@ REPOS = {
 
 
 @pytest.fixture(scope="module")
-def result(spark):
+def result(spark, tmp_path_factory):
     tree, files = corpus(spark, REPOS)
-    return plan.audit(tree, files)
+    return plan.audit(tree, files, folder=str(tmp_path_factory.mktemp("audit") / "run"))
 
 
 def test_scores(result):
@@ -52,6 +52,9 @@ def test_gate(result):
 def test_reports(result):
     got = {r["repo_id"]: r for r in plan.reports(result).collect()}
     assert got["g1"].documentation_gaps_count == 8
-    assert len(got["g1"].blockers_list) == 4
+    assert got["g1"].blockers_list_count == 4
+    listed = [r for r in plan.report_sections(result).collect() if r.repo_id == "g1"]
+    assert sum(r.section == "blockers" for r in listed) == 4
+    assert sum(r.section == "documentation_gaps" for r in listed) == 8
     assert got["g1"].status == "blocked" and not got["g1"].ship
     assert len(got["g1"].checklist) == 9

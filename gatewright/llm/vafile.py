@@ -20,7 +20,8 @@ CELLS = 64
 BLOCK = 2048
 QUERY_BLOCK = 1024
 QUERY_CHUNK = 128
-SPREAD = 64
+LANES = 64
+LANE_BLOCKS = 64
 OPEN_BLOCKS = 4
 
 
@@ -186,7 +187,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, cells: int = CELLS,
     any other.  A vec_id on several rows is one item with several vectors, of which the best counts; a repeated row
     adds nothing.  A score beyond a long is an error.  An empty table gives no rows.
 
-    Query blocks meet blocks of the approximation file in tasks of bounded size; scores, candidates and queries stay
+    Query blocks meet blocks of the approximation file lane by lane; a lane holds about LANE_BLOCKS blocks, so there
+    are as many lanes as the file needs.  Scores, candidates and queries stay
     distributed, and only the cell limits (two numbers a component) reach the driver.
     """
     spark = vectors.sparkSession
@@ -203,14 +205,17 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, cells: int = CELLS,
     queries = scratch.table(asking.select("v").distinct().withColumn("query", F.monotonically_increasing_id()), "queries")
 
     grid = {size: Cells(low, high, cells) for size, (low, high) in cell_limits(distinct).items()}
-    file = _blocks(distinct, BLOCK, grid).withColumn("lane", F.pmod(F.xxhash64("keys"), F.lit(SPREAD)).cast("int"))
+    file = scratch.table(_blocks(distinct, BLOCK, grid), "cells")
+    held = file.count()
+    lanes = max(1, min(held, LANES), -(-held // LANE_BLOCKS))
+    file = file.withColumn("lane", F.pmod(F.xxhash64("keys"), F.lit(lanes)).cast("int"))
     blocks = _blocks(queries.withColumnRenamed("query", "key"), QUERY_BLOCK, None)
     blocks = scratch.table(
         blocks.select("size", F.col("keys").alias("names"), F.col("data").alias("queries"), F.monotonically_increasing_id().alias("number")),
         "query-blocks",
     )
-    asked = blocks.select("size", "number", "names", "queries", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("lane"))
-    bounds = _scan(asked.join(file, ["size", "lane"]), grid, keep)
+    asked = blocks.select("size", "number", "names", "queries", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"))
+    bounds = _scan(asked.join(file.hint("merge"), ["size", "lane"]), grid, keep)
     own = Window.partitionBy("query")
     ranked = bounds.withColumn("n", F.row_number().over(own.orderBy(F.desc("low"), "key")))
     certain = ranked.withColumn("floor", F.max(F.when(F.col("n") == keep, F.col("low"))).over(own))

@@ -13,6 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import byte_symbols
 from .common import SPECIAL, lone_space_parts, prepare
 
 CAPACITY = 1024
@@ -27,20 +28,22 @@ SCHEMA = (
 class _Known(dict):
     """Ids of parts (with `lead` in front), asked of the tokenizer when new; two generations bound its size."""
 
-    def __init__(self, encode: Callable[[str], bytes], lead: str, tails: _Known | None = None) -> None:
+    def __init__(self, encode: Callable[[str], bytes], word: Callable[[str], bytes], lead: str, tails: _Known | None = None) -> None:
         super().__init__()
-        self.encode, self.lead, self.tails = encode, lead, tails
+        self.encode, self.word, self.lead, self.tails = encode, word, lead, tails
         self.older: dict[str, bytes] = {}
 
     def __missing__(self, part: str) -> bytes:
         ids = self.older.get(part)
         if ids is None:
             stem = part.rstrip(_MARKS) if self.tails is not None else part
-            # The pre-tokenizer always cuts between letters and marks.
-            if len(stem) < len(part) and stem.isalpha():
+            # The pre-tokenizer always cuts between letters and marks, and never between letters.
+            if not stem.isalpha():
+                ids = self.encode(self.lead + part)
+            elif len(stem) < len(part):
                 ids = self[stem] + self.tails[part[len(stem) :]]
             else:
-                ids = self.encode(self.lead + part)
+                ids = self.word(self.lead + part)
         if len(part) <= 64:
             self[part] = ids
         return ids
@@ -71,9 +74,15 @@ class SegmentIds:
         def encode(text: str) -> bytes:
             return array("I", tok.encode(text, add_special_tokens=False).ids).tobytes()
 
-        self.tails = _Known(encode, "")
-        self.first = _Known(encode, "", self.tails)
-        self.later = _Known(encode, " ", self.tails)
+        model, symbols = tok.model, dict(enumerate(byte_symbols()))
+
+        def word(text: str) -> bytes:
+            """The ids of letters, with or without a space in front: one piece, so the BPE model alone does."""
+            return array("I", [t.id for t in model.tokenize(text.encode().decode("latin-1").translate(symbols))]).tobytes()
+
+        self.tails = _Known(encode, word, "")
+        self.first = _Known(encode, word, "", self.tails)
+        self.later = _Known(encode, word, " ", self.tails)
 
     def batch(self, texts: list[str]) -> list[bytes]:
         self.later.trim(CACHE_ENTRIES)

@@ -37,10 +37,22 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+# The start of an account number and all that could belong to it; `accounts` finds where it ends.
+_IBAN = re.compile(r"(?<![A-Za-z0-9])([A-Z]{2})[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _DIGIT = re.compile(r"[0-9]")
-
+_ALNUM = re.compile(r"[A-Za-z0-9]")
+
+# Characters of an account number by country; one of another country may end after any word.
+IBAN_LENGTH = {
+    c: int(entry[:2])
+    for entry in """
+    15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA
+    23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM
+    28:AL,AZ,BY,CY,DO,GT,HN,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU
+    """.split()
+    for c in entry[3:].split(",")
+}
 
 class Span(NamedTuple):
     kind: str
@@ -105,10 +117,22 @@ def phones(text: str) -> Iterator[tuple[int, int]]:
 
 
 def accounts(text: str) -> Iterator[tuple[int, int]]:
-    for m in _IBAN.finditer(text):
-        whole = m.group().replace(" ", "")
-        if 15 <= len(whole) <= 34 and mod97(whole):
-            yield m.span()
+    """Leftmost, non-overlapping account numbers.  Each start is tried with the length of its country, or with every
+    end of a word if the country has none; the furthest end of a word is always tried."""
+    at = 0
+    while m := _IBAN.search(text, at):
+        places = [i for i in range(*m.span()) if text[i] != " "]
+        ends = [n for n in range(len(places), 14, -1) if not _ALNUM.match(text, places[n - 1] + 1)]
+        fixed = IBAN_LENGTH.get(m[1])
+        if fixed:
+            ends = [n for n in ends if n == fixed] + [n for n in ends[:1] if n != fixed]
+        for n in ends:
+            if mod97("".join(text[i] for i in places[:n])):
+                at = places[n - 1] + 1
+                yield m.start(), at
+                break
+        else:
+            at = m.start() + 1
 
 
 def social_numbers(text: str) -> Iterator[tuple[int, int]]:

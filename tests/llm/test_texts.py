@@ -140,6 +140,19 @@ def test_pii_checks_and_context():
     assert pii.redact(text, pii.find_spans(text)) == "mail [EMAIL] or [IP]"
 
 
+def test_pii_account_ends():
+    for number in ("DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO93 8601 1117 947"):
+        for tail in ("", " BIC: COBADEFFXXX", " 2024", " OR call", " A 1 B 2 C 3", " " + number, ". END"):
+            for head in ("", "IBAN: ", "AB12 3456 7890 1234 "):
+                text = head + number + tail
+                spans = [(s.start, s.end) for s in pii.find_spans(text) if s.kind == "iban"]
+                assert spans[:1] == [(len(head), len(head + number))] and len(spans) == 1 + (tail == " " + number)
+    unlisted = next(f"QQ{n:02d}1234567890AB" for n in range(100) if pii.mod97(f"QQ{n:02d}1234567890AB"))
+    assert list(pii.accounts(f"{unlisted} 2024 X")) == [(0, len(unlisted))]
+    assert not list(pii.accounts("DE89370400440532013000OR")) and not list(pii.accounts("DE89 3704 0044 0532 0130 01 2024"))
+    assert not list(pii.accounts("AA11 " * 20_000))
+
+
 def test_pii_rows(spark):
     rows = [(1, "a@b.c", "", "", "", ""), (1, "a@b.c", "", "", "", ""), (None, "é 1.2.3.4", "", "", "", ""), (2, None, "", "", "", "")]
     got = pii.report(spark.createDataFrame(rows, DOCS)).collect()

@@ -98,8 +98,9 @@ class Cells:
         return plus @ bottom.T + minus @ top.T - slack, plus @ top.T + minus @ bottom.T + slack
 
 
-def _blocks(keyed: DataFrame, rows: int, code: dict[int, Cells] | None) -> DataFrame:
-    """size, keys, data: the vectors of keyed(key, v) in blocks of one length; cells if `code`, else int64."""
+def _blocks(keyed: DataFrame, names: list[str], rows: int, code: dict[int, Cells] | None) -> DataFrame:
+    """size, keys, data: the vectors v in blocks of one length, with a row of the long columns `names` for each; cells
+    if `code`, else int64."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
@@ -113,7 +114,7 @@ def _blocks(keyed: DataFrame, rows: int, code: dict[int, Cells] | None) -> DataF
             )
 
         for batch in batches:
-            keys, vectors = batch.column(0).to_numpy(), batch.column(1)
+            keys, vectors = np.stack([batch.column(n).to_numpy() for n in names], axis=1), batch.column("v")
             sizes = vectors.value_lengths().to_numpy()
             for size, matrix in _by_length(vectors):
                 own = keys[sizes == size]
@@ -125,27 +126,44 @@ def _blocks(keyed: DataFrame, rows: int, code: dict[int, Cells] | None) -> DataF
         for size in list(waiting):
             yield block(size)
 
-    return keyed.select("key", "v").mapInArrow(run, "size int, keys binary, data binary")
+    return keyed.select(*names, "v").mapInArrow(run, "size int, keys binary, data binary")
+
+
+def _best_items(best: np.ndarray, owners: np.ndarray, low: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The k best lower bounds of each query and their items, an item once: of those held and of a block's (an item a column)."""
+    k = best.shape[1]
+    if low.shape[1] > k:
+        top = np.argpartition(low, low.shape[1] - k, axis=1)[:, -k:]
+        low, items = np.take_along_axis(low, top, axis=1), items[top]
+    low = np.concatenate((best, low), axis=1)
+    items = np.concatenate((owners, np.broadcast_to(items, (len(best), low.shape[1] - k))), axis=1)
+    order = np.argsort(-low, axis=1, kind="stable")
+    low, items = np.take_along_axis(low, order, axis=1), np.take_along_axis(items, order, axis=1)
+    again = np.tril(items[:, :, None] == items[:, None, :], -1).any(axis=2)
+    top = np.argsort(np.where(again, np.inf, -low), axis=1, kind="stable")[:, :k]
+    low = np.where(again, -np.inf, low)
+    return np.take_along_axis(low, top, axis=1), np.take_along_axis(items, top, axis=1)
 
 
 def _scan(pairs: DataFrame, cells: dict[int, Cells], k: int) -> DataFrame:
-    """query, key, low, high: for each query those vectors of the approximation file that its own bounds don't rule out.
+    """query, key, owner, alone, low, high: for each query those vectors of the approximation file that its own bounds
+    don't rule out.
 
-    A task keeps the k best lower bounds of every query of the blocks it is working on and forgets a vector whose
-    upper bound is below them.
+    A task keeps the best lower bounds of k items for every query of the blocks it is working on and forgets a vector
+    whose upper bound is below them, or, of a vector with one item, below another vector of that item in the block.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        work: dict[int, tuple[np.ndarray, np.ndarray, list]] = {}
+        work: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, list]] = {}
 
         def finish(number: int) -> Iterator[pa.RecordBatch]:
-            names, best, found = work.pop(number)
+            names, best, _, found = work.pop(number)
             if found:
-                at, key, low, high = (np.concatenate(c) for c in zip(*found))
+                at, keys, low, high = (np.concatenate(c) for c in zip(*found))
                 live = high >= best[at].min(axis=1)
+                columns = [names[at[live]], *keys[live].T, low[live], high[live]]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names[at[live]]), pa.array(key[live]), pa.array(low[live]), pa.array(high[live])],
-                    names=["query", "key", "low", "high"],
+                    [pa.array(np.ascontiguousarray(c)) for c in columns], names=["query", "key", "owner", "alone", "low", "high"]
                 )
 
         for batch in batches:
@@ -154,23 +172,28 @@ def _scan(pairs: DataFrame, cells: dict[int, Cells], k: int) -> DataFrame:
                     while len(work) >= OPEN_BLOCKS:
                         yield from finish(next(iter(work)))
                     own = np.frombuffer(names, np.int64)
-                    work[number] = own, np.full((len(own), k), -np.inf), []
-                own, best, found = work[number]
+                    work[number] = own, np.full((len(own), k), -np.inf), np.zeros((len(own), k), np.int64), []
+                own, best, owners, found = work[number]
                 matrix = np.frombuffer(queries, np.int64).reshape(len(own), size)
-                block = np.frombuffer(keys, np.int64)
-                codes = np.frombuffer(data, np.uint8).reshape(len(block), size)
+                block = np.frombuffer(keys, np.int64).reshape(-1, 3)
+                block = block[order := np.argsort(block[:, 1], kind="stable")]
+                codes = np.frombuffer(data, np.uint8).reshape(len(block), size)[order]
+                items, first, item = np.unique(block[:, 1], return_index=True, return_inverse=True)
                 for at in range(0, len(own), QUERY_CHUNK):
                     part = slice(at, at + QUERY_CHUNK)
                     low, high = cells[size].bounds(matrix[part], codes)
-                    both = np.concatenate((best[part], low), axis=1)
-                    best[part] = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
-                    q, v = np.nonzero(high >= best[part].min(axis=1)[:, None])
+                    of_item = low if len(items) == len(block) else np.maximum.reduceat(low, first, axis=1)
+                    best[part], owners[part] = _best_items(best[part], owners[part], of_item, items)
+                    live = high >= best[part].min(axis=1)[:, None]
+                    if len(items) < len(block):
+                        live &= (high >= of_item[:, item]) | (block[:, 2] == 0)
+                    q, v = np.nonzero(live)
                     found.append((q + at, block[v], low[q, v], high[q, v]))
         for number in list(work):
             yield from finish(number)
 
     return pairs.select("number", "size", "names", "queries", "keys", "data").mapInArrow(
-        run, "query long, key long, low double, high double"
+        run, "query long, key long, owner long, alone long, low double, high double"
     )
 
 
@@ -205,20 +228,24 @@ def search(vectors: DataFrame, is_query: Column, k: int = 5, cells: int = CELLS,
     queries = scratch.table(asking.select("v").distinct().withColumn("query", F.monotonically_increasing_id()), "queries")
 
     grid = {size: Cells(low, high, cells) for size, (low, high) in cell_limits(distinct).items()}
-    file = scratch.table(_blocks(distinct, BLOCK, grid), "cells")
+    owned = distinct.select("key", F.col("ids")[0].alias("owner"), (F.size("ids") == 1).cast("long").alias("alone"), "v")
+    file = scratch.table(_blocks(owned, ["key", "owner", "alone"], BLOCK, grid), "cells")
     held = file.count()
     lanes = max(1, min(held, LANES), -(-held // LANE_BLOCKS))
     file = file.withColumn("lane", F.pmod(F.xxhash64("keys"), F.lit(lanes)).cast("int"))
-    blocks = _blocks(queries.withColumnRenamed("query", "key"), QUERY_BLOCK, None)
+    blocks = _blocks(queries, ["query"], QUERY_BLOCK, None)
     blocks = scratch.table(
         blocks.select("size", F.col("keys").alias("names"), F.col("data").alias("queries"), F.monotonically_increasing_id().alias("number")),
         "query-blocks",
     )
     asked = blocks.select("size", "number", "names", "queries", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"))
     bounds = _scan(asked.join(file.hint("merge"), ["size", "lane"]), grid, keep)
-    own = Window.partitionBy("query")
-    ranked = bounds.withColumn("n", F.row_number().over(own.orderBy(F.desc("low"), "key")))
-    certain = ranked.withColumn("floor", F.max(F.when(F.col("n") == keep, F.col("low"))).over(own))
+    # Items that differ count towards the floor: of each smallest id the vector with the best lower bound.
+    own, item = Window.partitionBy("query"), Window.partitionBy("query", "owner")
+    led = bounds.repartition("query").withColumn("lead", F.row_number().over(item.orderBy(F.desc("low"), "key")) == 1)
+    led = led.withColumn("most", F.max("low").over(item)).where((F.col("alone") == 0) | (F.col("high") >= F.col("most")))
+    ranked = led.withColumn("n", F.row_number().over(own.orderBy(F.desc("lead"), F.desc("low"), "key")))
+    certain = ranked.withColumn("floor", F.max(F.when(F.col("lead") & (F.col("n") == keep), F.col("low"))).over(own))
     alive = certain.where(F.col("floor").isNull() | (F.col("high") >= F.col("floor")))
     left = scratch.table(
         alive.withColumn("n", F.row_number().over(own.orderBy(F.desc("high"), "key"))).select("query", "key", "high", "n"),

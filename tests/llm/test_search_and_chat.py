@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -46,6 +47,20 @@ def test_topk_matches_brute_force(spark):
     assert run(spark, rows, cells=2, first_read=1) == expected  # loose bounds, many rounds
 
 
+@pytest.mark.parametrize("hot", (7, 10))  # 10 is also a query
+def test_topk_counts_items(spark, hot):
+    rng = np.random.default_rng(4)
+    lead = rng.normal(size=8)
+    rows = [(i, np.float32(rng.normal(size=8)).tolist()) for i in range(60)] + [(15, np.float32(lead).tolist())]
+    rows += [(hot, np.float32(4 * lead + rng.normal(size=8) / 50).tolist()) for _ in range(10)]
+    rows += [(hot, np.float32(rng.normal(size=8)).tolist()) for _ in range(25)]  # a third of the rows
+    rows += [(40 + n, rows[62 + n][1]) for n in range(3)]  # vectors of two ids
+    expected = brute(rows, 5, 5)
+    assert len(expected) == 5 * 12
+    assert run(spark, rows) == expected
+    assert run(spark, rows, cells=2, first_read=1) == expected
+
+
 def test_topk_of_few_and_of_none(spark):
     assert run(spark, [(0, [1.0]), (1, [2.0])]) == [(0, 1, 1, 131072)]
     assert run(spark, [(0, [1.0])]) == []

@@ -53,17 +53,25 @@ _BOILERPLATE_NAME = re.compile(
     r"|commentlist|disqus|replies|respond|reactions?|share|sharing|social|related|recommend\w*|newsletter|subscri\w*"
     r"|signup|login|search|widgets?|pagination|pager|toolbar|disclaimer|copyright|skip)(?=$|[\s_-])"
 )
+# What says only how a container is laid out or what state it is in, and a widget of a page builder.
+_MODIFIER = re.compile(
+    r"(?:^|(?<=[\s_-]))(?:has|with|without|no)[_-]\S*|\S+[_-](?:open|closed|enabled|disabled|visible|hidden|active)(?=$|\s)"
+    r"|(?<=\w[_-])widget(?=$|[\s_-])"
+)
+# Containers of these names hold no article, however much text they hold.
+_NEVER_ARTICLE = re.compile(
+    r"\s*(?:\S*[_-])?(?:comments?|commentlist|disqus|replies|respond|reactions?|related|recommend\w*|cookies?|consent|gdpr)(?=$|[\s_-])"
+)
 _BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert menu menubar form".split())
 
-# A quoted value reaches over a `<` for at most 400 characters, and a tag without quotes never does, so that a stray
-# quote or bracket costs no more than a bounded look ahead.
 _MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
-    r"|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^<>\"']|\"[^\"<]*\"|'[^'<]*'|\"[^\"]{0,400}\"|'[^']{0,400}')*+)>"
-    r"|<(?P<close2>/?)(?P<name2>[A-Za-z][^\s/>]*)(?P<attrs2>[^<>]*)>",
-    re.S,
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<name>[A-Za-z][^\s/>]*+)", re.S
 )
-_ATTRIBUTE = re.compile(r"([A-Za-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_IN_TAG = re.compile(r"[<>\"']")
+_NO_QUOTES = re.compile(r"[^<>]*>")
+_OPENS_VALUE = re.compile(r"=\s{0,8}\Z")
+_AFTER_VALUE = re.compile(r"[\s/>]")
+_ATTRIBUTE = re.compile(r"(?<![A-Za-z-])([A-Za-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 _SPACE = re.compile(r"\s+")
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -76,36 +84,126 @@ class Block:
     content: int  # number of the article or main element that holds the block; 0 outside
     heading: bool
     label: str = ""
+    region: int = 0
 
 
 @dataclass
 class _Open:
     tag: str
-    boilerplate: bool
+    region: int
     content: int
 
 
-def _is_boilerplate(tag: str, attrs: str, inside_content: bool) -> bool:
+@dataclass
+class _Region:
+    """A container that looks like boilerplate, or (tag set) an article or main element inside one."""
+
+    above: int
+    sure: bool
+    tag: str = ""
+    near: bool = False  # holds an article or main element or stands in one
+    stops: int = 0
+    boilerplate: bool = False
+
+
+class _Ends:
+    """Ends of the tags of a page.  A quote that led to no end is not followed again, so all take linear time."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.dead, self.last = page, set(), {q: page.rfind(q) for q in "\"'"}
+
+    def of(self, at: int) -> int:
+        """The place behind the tag whose name ends at `at`; -1 if there is none.
+
+        A quoted value reaches over a `<` if it is short, or if it stands as a value does: behind a `=`, and with
+        white space, a slash or the end of the tag behind it.
+        """
+        page, start, seen = self.page, at, []
+        while (m := _IN_TAG.search(page, at)) and m.start() not in self.dead:
+            i, c = m.start(), m.group()
+            if c == ">":
+                return i + 1
+            seen.append(i)
+            if c == "<" or self.last[c] <= i:
+                break
+            end = page.find(c, i + 1)
+            if end - i > 401 and page.find("<", i, end) >= 0:
+                if not (_OPENS_VALUE.search(page[max(start, i - 9) : i]) and _AFTER_VALUE.match(page, end + 1)):
+                    break
+            at = end + 1
+        self.dead.update(seen)
+        plain = _NO_QUOTES.match(page, start)
+        return plain.end() if plain else -1
+
+
+def _boilerplate(tag: str, attrs: str, inside_content: bool) -> str:
+    """sure, maybe (it may still hold the article) or nothing."""
     if tag in _BOILERPLATE_TAGS or (tag == "header" and not inside_content):
-        return True
+        return "maybe" if tag == "form" else "sure"
     if tag in ("html", "body", *_CONTENT_TAGS) or not attrs or "=" not in attrs:
-        return False
+        return ""
+    found = ""
     for name, *values in _ATTRIBUTE.findall(attrs):
         value = "".join(values).lower()
         if name.lower() in ("class", "id"):
             if tag == "header" and inside_content:
                 continue
-            if _BOILERPLATE_NAME.search(value):
-                return True
+            if _BOILERPLATE_NAME.search(_MODIFIER.sub(" ", value)):
+                if _NEVER_ARTICLE.match(_MODIFIER.sub(" ", value)):
+                    return "sure"
+                found = "maybe"
         elif name.lower() == "role" and value in _BOILERPLATE_ROLES:
-            return True
-    return False
+            if value != "form":
+                return "sure"
+            found = "maybe"
+    return found
+
+
+def _stops(text: str, stop_words: frozenset[str]) -> tuple[int, int]:
+    """How many words of a text are stop words, and how many there are."""
+    words = _WORD.findall(text.lower())
+    return sum(w in stop_words for w in words), len(words)
+
 
+def _settle_regions(blocks: list[Block], regions: list[_Region], stop_words: frozenset[str]) -> None:
+    """Which blocks are boilerplate by their containers.
 
-def split_blocks(page: str) -> list[Block]:
+    A container that only may be boilerplate is none if it holds most stop words of the page, unless all articles are
+    elsewhere.  Inside one, an article that has no fewer of them than the articles outside is no boilerplate, and a main
+    element never is.
+    """
+    if len(regions) > 1:
+        outside = whole = 0
+        anywhere = not any(b.content for b in blocks)
+        for block in blocks:
+            if block.link_chars <= MAX_LINK_DENSITY * len(block.text):
+                n = _stops(block.text, stop_words)[0]
+                whole += n
+                regions[block.region].stops += n
+                if not block.region and block.content:
+                    outside += n
+        for region in reversed(regions[1:]):
+            regions[region.above].stops += region.stops
+            regions[region.above].near |= region.near
+        for region in regions[1:]:
+            above = regions[region.above]
+            if region.tag:
+                region.sure = above.sure and region.tag != "main"
+                kept = region.tag == "main" or (not above.sure and region.stops >= outside)
+                region.boilerplate = above.boilerplate and not kept
+            else:
+                region.boilerplate = above.boilerplate or region.sure or 2 * region.stops <= whole or not (anywhere or region.near)
+                region.sure = region.sure or above.sure
+    for block in blocks:
+        block.boilerplate = regions[block.region].boilerplate
+
+
+def split_blocks(page: str, stop_words: frozenset[str] = STOP_WORDS) -> list[Block]:
     """Text blocks of a page in order, with references decoded and white space collapsed; never-shown elements left out."""
     blocks: list[Block] = []
-    stack: list[_Open] = [_Open("", False, 0)]
+    regions = [_Region(0, False)]
+    ends = _Ends(page)
+    stack: list[_Open] = [_Open("", 0, 0)]
     open_of: dict[str, int] = {}
     unclosed: set[str] = set()
     text: list[str] = []
@@ -118,7 +216,7 @@ def split_blocks(page: str) -> list[Block]:
         whole = _SPACE.sub(" ", references.unescape("".join(text))).strip()
         if whole:
             linked = _SPACE.sub(" ", references.unescape("".join(links))).strip()
-            blocks.append(Block(whole, len(linked), stack[-1].boilerplate, stack[-1].content, heading))
+            blocks.append(Block(whole, len(linked), False, stack[-1].content, heading, region=stack[-1].region))
         text, links, breaks = [], [], 0
 
     def add(piece: str) -> None:
@@ -130,26 +228,32 @@ def split_blocks(page: str) -> list[Block]:
             if breaks and not piece.isspace():
                 breaks = 0
 
-    at, size = 0, len(page)
+    at = look = 0
+    size = len(page)
     while at < size:
-        found = _MARKUP.search(page, at)
+        found = _MARKUP.search(page, look)
         if not found:
             add(page[at:])
             break
+        tag, end = found["name"], found.end()
+        if tag:
+            end = ends.of(found.end())
+            if end < 0:
+                look = found.start() + 1
+                continue
         add(page[at : found.start()])
-        at = found.end()
-        tag = found["name"] or found["name2"]
+        at = look = end
         if not tag:
             continue
         tag = tag.lower()
-        closing = bool(found["close"] or found["close2"])
-        attrs = found["attrs"] or found["attrs2"] or ""
+        closing = bool(found["close"])
+        attrs = page[found.end() : end - 1]
         if tag in _NEVER_TEXT and not closing:
             if tag == "head" or attrs.rstrip().endswith("/"):
                 continue
             end = None if tag in unclosed else re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             if end:
-                at = end.end()
+                at = look = end.end()
             elif tag in ("script", "style"):
                 at = size
             else:
@@ -178,7 +282,14 @@ def split_blocks(page: str) -> list[Block]:
                     inside = contents
                 else:
                     inside = above.content
-                stack.append(_Open(tag, above.boilerplate or _is_boilerplate(tag, attrs, bool(above.content)), inside))
+                region = above.region
+                if kind := _boilerplate(tag, attrs, bool(above.content)):
+                    regions.append(_Region(region, kind == "sure", near=bool(above.content)))
+                    region = len(regions) - 1
+                elif region and tag in _CONTENT_TAGS:
+                    regions.append(_Region(region, False, tag, near=True))
+                    region = len(regions) - 1
+                stack.append(_Open(tag, region, inside))
                 open_of[tag] = open_of.get(tag, 0) + 1
             elif open_of.get(tag):
                 while True:
@@ -187,6 +298,7 @@ def split_blocks(page: str) -> list[Block]:
                     if last.tag == tag:
                         break
     end_block()
+    _settle_regions(blocks, regions, stop_words)
     return blocks
 
 
@@ -199,8 +311,8 @@ def first_pass(block: Block, stop_words: frozenset[str] = STOP_WORDS) -> str:
         return "bad"
     if size < SHORT_CHARS:
         return "short"
-    words = _WORD.findall(block.text.lower())
-    share = sum(w in stop_words for w in words) / max(1, len(words))
+    stops, words = _stops(block.text, stop_words)
+    share = stops / max(1, words)
     if share >= STOP_HIGH:
         return "good" if size > LONG_CHARS else "near"
     if share >= STOP_LOW:
@@ -246,7 +358,7 @@ def second_pass(blocks: list[Block]) -> None:
 
 def main_text(page: str | None, stop_words: frozenset[str] = STOP_WORDS) -> str:
     """The main text of one page: its good blocks in order, one a line."""
-    blocks = split_blocks(page or "")
+    blocks = split_blocks(page or "", stop_words)
     for block in blocks:
         block.label = first_pass(block, stop_words)
     second_pass(blocks)

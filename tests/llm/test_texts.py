@@ -214,6 +214,32 @@ def test_html_templates():
         html.main_text(hostile)
 
 
+def test_html_containers_of_articles():
+    inner = f"<article>{TEXT}</article>"
+    for name in ("container has-sidebar", "layout with-sidebar", "layout--with-sidebar", "post has-comments", "post comments-open",
+                 "elementor-widget elementor-widget-text-editor", "content-sidebar-wrap", "page-header"):
+        assert html.main_text(PAGE.format(article=f'<div class="{name}">{inner}</div>')) == MAIN, name
+        assert html.main_text(f'<body><nav>A b</nav><div class="{name}"><div>{TEXT}</div></div>') == MAIN, name
+        assert html.main_text(PAGE.format(article=f'<div class="{name}"><main>{TEXT}<div class="share">of the</div></main></div>')) == MAIN, name
+    for page in (f"<form>{inner}</form>", f"<form><div>{TEXT}</div></form>", f"<main><form>{TEXT}</form></main>", f"<form role=form><main>{TEXT}</main></form>"):
+        assert html.main_text(f"<body>{page}</body>") == MAIN
+    assert html.main_text(f'<div class="ad"><div>{TEXT}</div></div><article><p>It is.</p></article>') == "It is."
+    teaser = "<article><p>The best of the week and of the month, for you and for all of the people here.</p></article>"
+    for name in ("sidebar", "comments", "related-posts", "widget-area"):
+        assert html.main_text(PAGE.format(article=f'{inner}<div class="{name}">{teaser}</div>')) == MAIN, name
+
+
+def test_html_long_values():
+    for n in (10, 400, 5000):
+        value = "<p>of the and to in a is that</p>" * n
+        for start in (f'<div data-x="{value}">', f"<div data-x='{value}' id=a>", f'<div data-x = "{value}"/>'):
+            assert html.main_text(f"<article>{start}{TEXT}</div></article>") == MAIN
+    stray = '<p title="x>' + "It was the best of times and it was the worst of times. " * 20 + '</p><p class="y">The end of it was that it was.</p>'
+    assert "worst of times" in html.main_text(f"<article>{stray}</article>")
+    for hostile in ('<a b="' * 20_000, "<a b='\"" * 20_000, '<a b="<" ' * 20_000, '<a b="' + "<c d='" * 20_000, "<a '\"" * 20_000):
+        html.main_text(hostile)
+
+
 def test_html_articles(tables):
     got = {r.page_id: r for r in html.extract(tables["pages"]).collect()}
     pages = tables["pages"].collect()

@@ -195,8 +195,7 @@ dims AS (SELECT f.repo_id, """ + ", ".join(
 
 def _score_inputs(spark, d):
     facts = scans.facts(spark, d)
-    low = _routed(spark, d).where(F.col("severity") == "low")
-    return facts, scoring.score_rules(facts, scoring.severity_penalty(low))
+    return facts, scoring.score_rules(facts, scoring.severity_penalty(_routed(spark, d)))
 
 
 @query("score_rules", f"WITH {_RULES} SELECT * FROM rules")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gatewright.functions import text as X
 from gatewright.operators import admission, diff, gate, history, residue, scale
+from gatewright.queries import catalogue, gates
 from gatewright.sources.corpus import read_checkouts
 
 
@@ -92,3 +93,21 @@ def test_read_checkouts(spark, tmp_path):
     assert {(r.repo_id, r.path): r.content for r in files.collect()} == {
         ("one", "README.md"): "# � é", ("one", "src/b.ts"): "let b = 1", ("two", "bad.md"): "a�b",
     }
+
+
+def test_scores_take_all_severities(spark):
+    small = "/root/testdata/sf0.001"
+    weight = {"critical": 25.0, "high": 12.0, "medium": 5.0}
+    dimension = {"documentation": "documentation", "reproducibility": "reproducibility", "security": "securityHygiene", "deployment": "deploymentReadiness"}
+    groups, severities = {}, set()
+    for r in gates._routed(spark, small).collect():
+        if r.bucket in dimension:
+            severities.add(r.severity)
+            first = r.evidence[0].file if r.evidence else None
+            groups.setdefault((r.repo_id, dimension[r.bucket], first, r.rule_id), []).append(weight.get(r.severity, 1.5))
+    expected = {}
+    for (repo, name, _, _), ws in groups.items():
+        expected[repo, name] = expected.get((repo, name), 0) - sum(sorted(ws)[-3:])
+    got = catalogue.QUERIES["score_rules"](spark, small).where("rule = 'severity-penalty'").collect()
+    assert severities == {"critical", "high", "medium", "low"}
+    assert {(r.repo_id, r.dimension): r.delta for r in got} == expected

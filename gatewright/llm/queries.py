@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html, langid, neardup, packing, pii, quality, rules, vafile
+from . import bpe, chat, html, langid, neardup, packing, pii, quality, repair, rules, vafile
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -56,6 +56,10 @@ def op10_signature_inverted_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op11_four_russians_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_conversations(_read(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -69,9 +73,15 @@ QUERIES = {
         op8_prefix_bpe,
         op9_two_pass_html,
         op10_signature_inverted_join,
+        op11_four_russians_repair,
     )
 }
 
+def _more(best: str, cost: str, edit: str) -> str:
+    """SQL that adds an edit to twelve digits of cost and the edits so far."""
+    return f"lpad(CAST(CAST(left({best}, 12) AS BIGINT) + {cost} AS VARCHAR), 12, '0') || substr({best}, 13) || '{edit}'"
+
+
 ORACLES = {
     "op10_signature_inverted_join": r"""
         WITH RECURSIVE words AS (
@@ -142,4 +152,77 @@ ORACLES = {
                count(*) FILTER (role = 'assistant' OR i = last) AS n_examples
         FROM run GROUP BY conv_id
     """,
+    "op11_four_russians_repair": rf"""
+        WITH RECURSIVE bytes AS (
+            SELECT list(list_reduce([b] || range(8), lambda c, n:
+                       CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS tab
+            FROM range(256) t(b)
+        ), hashed AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   xor(4294967295, list_reduce([4294967295] || [CAST(ascii(x) AS BIGINT) FOR x IN string_split(
+                       coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), '')],
+                       lambda c, x: xor(c >> 8, tab[1 + (xor(c, x) & 255)]))) % 20 AS k
+            FROM conversations, bytes
+        ), damaged AS (
+            SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+                   CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+                   unnest(range(CASE k WHEN 3 THEN 2 ELSE 1 END)) AS copy
+            FROM hashed WHERE k <> 0
+        ), placed AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(length(role) || ':' || role || text)) AS i,
+                   rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare
+            FROM damaged
+        ), judged AS (
+            SELECT *, CASE WHEN bare = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd'
+                           WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 't' ELSE 'k' END AS fault,
+                   lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair
+            FROM placed
+        ), whole AS (
+            SELECT conv_id, max(turn) - min(turn) + 1 - count(DISTINCT turn) AS gaps,
+                   count(*) FILTER (fault = 'b') AS blank, count(*) FILTER (fault = 'd') AS duplicate,
+                   count(*) FILTER (fault = 't') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal,
+                   list(fault ORDER BY i) AS faults, list(role ORDER BY i) AS roles, list(text ORDER BY i) AS texts
+            FROM judged GROUP BY conv_id
+        ), conv AS (
+            SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+                   coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+                   coalesce(faults, []) AS faults, coalesce(roles, []) AS roles, coalesce(texts, []) AS texts
+            FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN whole w ON w.conv_id IS NOT DISTINCT FROM o.conv_id
+        ), step AS (
+            -- Cost (12 digits) and edits of the best way to write nothing, a system, a user, an assistant turn last.
+            SELECT conv_id, 0 AS i, [repeat('0', 12), '900000000000', '000000000002I', '000000000004II'] AS best FROM conv
+            UNION ALL
+            SELECT conv_id, i, [n[1], n[2], u, least(n[4], {_more("u", "2", "I")})] FROM (
+                SELECT conv_id, i, n, least(n[3], {_more("n[1]", "2", "I")}, {_more("n[2]", "2", "I")}, {_more("n[4]", "2", "I")}) AS u FROM (
+                    SELECT conv_id, i, CASE WHEN fault IN ('b', 'd') THEN [{_more("x", "3", "D")} FOR x IN best] ELSE [
+                        {_more("best[1]", "3", "D")},
+                        least({_more("best[2]", "3", "D")}, CASE WHEN r = 's' THEN {_more("best[1]", "e", "K")} ELSE '99' END),
+                        least({_more("best[3]", "3", "D")}, {_more("least(best[1], best[2], best[4])", "2 + e", "R")},
+                              CASE WHEN r = 'u' THEN {_more("least(best[1], best[2], best[4])", "e", "K")} ELSE '99' END),
+                        least({_more("best[4]", "3", "D")}, {_more("best[3]", "2 + e", "R")}, CASE WHEN r = 'a' THEN {_more("best[3]", "e", "K")} ELSE '99' END)
+                    ] END AS n FROM (
+                        SELECT s.conv_id, s.i + 1 AS i, s.best, c.faults[s.i + 1] AS fault, left(c.roles[s.i + 1], 1) AS r,
+                               CASE WHEN c.faults[s.i + 1] = 't' THEN 1 ELSE 0 END AS e
+                        FROM step s JOIN conv c ON s.conv_id IS NOT DISTINCT FROM c.conv_id WHERE s.i < len(c.faults)
+                    )
+                )
+            )
+        ), chosen AS (
+            SELECT c.*, CAST(left(least(best[1], best[4]), 12) AS BIGINT) AS cost, substr(least(best[1], best[4]), 13) AS audit
+            FROM step s JOIN conv c ON s.conv_id IS NOT DISTINCT FROM c.conv_id AND s.i = len(c.faults)
+        ), written AS (
+            SELECT conv_id, 0 AS p, 0 AS i, '' AS last, [''][:0] AS lines, audit, roles, texts FROM chosen
+            UNION ALL
+            SELECT conv_id, p + 1, CASE WHEN e = 'I' THEN i ELSE i + 1 END,
+                   CASE e WHEN 'D' THEN last WHEN 'K' THEN left(roles[i + 1], 1) ELSE left(fit, 1) END,
+                   CASE e WHEN 'D' THEN lines WHEN 'I' THEN lines || [fit || ':']
+                          WHEN 'K' THEN lines || [roles[i + 1] || ':' || texts[i + 1]] ELSE lines || [fit || ':' || texts[i + 1]] END,
+                   audit, roles, texts
+            FROM (SELECT *, substr(audit, p + 1, 1) AS e, CASE WHEN last = 'u' THEN 'assistant' ELSE 'user' END AS fit
+                  FROM written WHERE p < length(audit))
+        )
+        SELECT c.conv_id, CAST(gaps AS BIGINT) AS gaps, blank, duplicate, truncated, illegal, cost, c.audit,
+               sha256(array_to_string(lines, chr(10))) AS repaired_sha256
+        FROM chosen c JOIN written w ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND w.p = length(c.audit)
+    """,
 }

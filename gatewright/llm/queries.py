@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html, langid, neardup, packing, pii, quality, repair, rules, vafile
+from . import bpe, chat, html, langid, neardup, packing, pii, quality, repair, resampling, rules, sharding, vafile
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -60,6 +60,14 @@ def op11_four_russians_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_conversations(_read(spark, sf_dir, "conversations"))
 
 
+def op12_bounded_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_documents(_read(spark, sf_dir, "documents"))
+
+
+def op13_regular_sampling_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -74,6 +82,8 @@ QUERIES = {
         op9_two_pass_html,
         op10_signature_inverted_join,
         op11_four_russians_repair,
+        op12_bounded_ring_sharding,
+        op13_regular_sampling_resample,
     )
 }
 
@@ -225,4 +235,46 @@ ORACLES = {
                sha256(array_to_string(lines, chr(10))) AS repaired_sha256
         FROM chosen c JOIN written w ON w.conv_id IS NOT DISTINCT FROM c.conv_id AND w.p = length(c.audit)
     """,
+    "op13_regular_sampling_resample": r"""
+        WITH bytes AS (
+            SELECT list(list_reduce([b] || range(8), lambda c, n:
+                       CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS tab
+            FROM range(256) t(b)
+        ), words AS (
+            SELECT row_number() OVER () AS id, doc_id, aim, list_filter(regexp_split_to_array(
+                       translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                       '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS w
+            FROM (SELECT doc_id, text, false AS aim FROM documents UNION ALL SELECT NULL, text, true FROM benchmark)
+        ), featured AS (
+            SELECT id, aim, unnest(w || [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]
+                                     || [w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] FOR i IN range(1, len(w) - 1)]) AS f
+            FROM words
+        ), hexed AS (
+            SELECT f, hex(encode(f)) AS x FROM (SELECT DISTINCT f FROM featured)
+        ), hashed AS (
+            SELECT f, xor(4294967295, list_reduce([4294967295] || [CAST('0x' || substr(x, CAST(2 * i - 1 AS BIGINT), 2) AS BIGINT)
+                       FOR i IN range(1, length(x) // 2 + 1)], lambda c, b: xor(c >> 8, tab[1 + (xor(c, b) & 255)]))) % 10000 AS bucket
+            FROM hexed, bytes
+        ), held AS (
+            SELECT id, aim, bucket, count(*) AS n FROM featured JOIN hashed USING (f) GROUP BY ALL
+        ), counted AS (
+            SELECT bucket, coalesce(sum(n) FILTER (aim), 0) AS t, coalesce(sum(n) FILTER (NOT aim), 0) AS s FROM held GROUP BY bucket
+        ), gained AS (
+            SELECT bucket, CAST(floor(1000 * ln((t + 1.0::DOUBLE) * ((SELECT sum(s) FROM counted) + 10000.0::DOUBLE)
+                       / ((s + 1.0::DOUBLE) * ((SELECT sum(t) FROM counted) + 10000.0::DOUBLE)))) AS BIGINT) AS gain
+            FROM counted
+        ), weighed AS (
+            SELECT id, sum(n) AS n, sum(n * gain) AS weight FROM held JOIN gained USING (bucket) WHERE NOT aim GROUP BY id
+        ), scored AS (
+            SELECT doc_id, len(w) AS n_words, CAST(coalesce(n, 0) AS BIGINT) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+                   CAST(coalesce(weight, 0) AS BIGINT) + CAST(floor(-1000 * ln(-ln((CAST('0x' || left(sha256('42:'
+                       || coalesce(CAST(doc_id AS VARCHAR), '')), 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score
+            FROM words LEFT JOIN weighed USING (id) WHERE NOT aim
+        ), drawn AS (
+            SELECT *, n_words >= 20 AS fit, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id NULLS FIRST) AS place,
+                   count(*) OVER (PARTITION BY n_words >= 20) AS n
+            FROM scored
+        )
+        SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= 5 * n // 100 THEN place END AS rank FROM drawn
+    """,
 }

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, TwoGenerations, per_text, prepare
+from .common import Scratch, per_text, prepare
 
 BUCKETS = 10_000
 LONGEST = 3  # words of a feature
@@ -90,7 +90,7 @@ class Features:
     """
 
     def __init__(self) -> None:
-        self.known = TwoGenerations(WORD_CACHE)
+        self.known: dict[bytes, int] = {}
 
     def __call__(self, text: str | None) -> tuple[int, np.ndarray]:
         """The number of words, and the buckets of all features."""
@@ -99,7 +99,7 @@ class Features:
             return 0, np.zeros(0, np.int64)
         # A word's CRC-32 alone (upper half) and behind a space.
         known, long = self.known, {}
-        for word in known.missing(set(words)):
+        for word in [w for w in set(words) if w not in known]:
             (known if len(word) <= 64 else long)[word] = zlib.crc32(word) << 32 | zlib.crc32(word, _SPACE)
         if long:
             hashed = np.fromiter((long[w] if w in long else known[w] for w in words), np.uint64, len(words))
@@ -112,6 +112,8 @@ class Features:
         for size in range(1, min(LONGEST, len(words))):
             run = joined_crc(run[:-1], behind[size:], length[size:])
             runs.append(run)
+        if len(known) > WORD_CACHE:
+            known.clear()
         return len(words), np.concatenate(runs) % BUCKETS
 
 

@@ -1,126 +1,117 @@
 """Declarations found by line rules, with their parents and extents.
 
-Blocks are measured by a *level* per line: brace depth after the line, or the
-line's indentation.  "Where does this block end" is "the first later line whose
-level is at most b".  Each drop from level u to v closes the levels v..u-1, so
-drops are exploded into (file, level) events and every declaration looks up the
-next event of its own level with one window.  No pairs of lines are formed and
-all windows live inside one file, whose size is limited by admission.
+A file stays one row throughout: its lines become an array of facts (indentation, braces, the rule that matches), one
+fold over that array keeps the open blocks on stacks and gives the extent and the parent of each declaration, and only
+the declarations found are exploded.  Nothing is shuffled and no window is needed.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
-from gatewright.functions.patterns import RULES as D
 from gatewright.functions.patterns import ascii_boundaries, convert
 from gatewright.functions import paths as P
 from gatewright.functions import text as X
-from gatewright.operators.admission import explode_lines
 from gatewright.operators.intel.graph import trimmed
 from gatewright.operators.scale import top_k
 
-_ID, _JSID = r"([A-Za-z_]\w*)", r"([A-Za-z_$][\w$]*)"
 # Language -> (block style, visibility, comment prefixes, rules).
-# A rule is (pattern on the trimmed line, kind, opens a scope).
-_EXP, _DECL = r"^(?:export\s+)?", r"^(?:export\s+)?(?:declare\s+)?"
-_PUB = r"^(?:pub(?:\([^)]*\))?\s+)?"
+# A rule is (pattern on the trimmed line, kind, opens a scope); the first that matches counts.
 PROFILES: dict[str, tuple[str, str, list[str], list[tuple[str, str, bool]]]] = {
     "TypeScript": ("brace", "keyword", ["//"], [
-        (_DECL + r"class\s+" + _JSID, "class", True),
-        (_DECL + r"interface\s+" + _JSID, "interface", True),
-        (_DECL + r"(?:const\s+)?enum\s+" + _JSID, "enum", True),
-        (_DECL + r"type\s+" + _JSID, "type", False),
-        (_DECL + r"(?:async\s+)?function\s+" + _JSID, "function", False),
-        (_DECL + r"const\s+" + _JSID, "constant", False),
-        (_DECL + r"let\s+" + _JSID, "variable", False),
+        (r"^(?:export\s+)?(?:declare\s+)?class\s+([A-Za-z_$][\w$]*)", "class", True),
+        (r"^(?:export\s+)?(?:declare\s+)?interface\s+([A-Za-z_$][\w$]*)", "interface", True),
+        (r"^(?:export\s+)?(?:declare\s+)?(?:const\s+)?enum\s+([A-Za-z_$][\w$]*)", "enum", True),
+        (r"^(?:export\s+)?(?:declare\s+)?type\s+([A-Za-z_$][\w$]*)", "type", False),
+        (r"^(?:export\s+)?(?:declare\s+)?(?:async\s+)?function\s+([A-Za-z_$][\w$]*)", "function", False),
+        (r"^(?:export\s+)?(?:declare\s+)?const\s+([A-Za-z_$][\w$]*)", "constant", False),
+        (r"^(?:export\s+)?(?:declare\s+)?let\s+([A-Za-z_$][\w$]*)", "variable", False),
     ]),
     "JavaScript": ("brace", "keyword", ["//"], [
-        (_EXP + r"class\s+" + _JSID, "class", True),
-        (_EXP + r"(?:async\s+)?function\s+" + _JSID, "function", False),
-        (_EXP + r"const\s+" + _JSID, "constant", False),
-        (_EXP + r"let\s+" + _JSID, "variable", False),
-        (_EXP + r"var\s+" + _JSID, "variable", False),
+        (r"^(?:export\s+)?class\s+([A-Za-z_$][\w$]*)", "class", True),
+        (r"^(?:export\s+)?(?:async\s+)?function\s+([A-Za-z_$][\w$]*)", "function", False),
+        (r"^(?:export\s+)?const\s+([A-Za-z_$][\w$]*)", "constant", False),
+        (r"^(?:export\s+)?let\s+([A-Za-z_$][\w$]*)", "variable", False),
+        (r"^(?:export\s+)?var\s+([A-Za-z_$][\w$]*)", "variable", False),
     ]),
     "Go": ("brace", "capitalised", ["//"], [
-        (r"^type\s+" + _ID + r"\s+struct\b", "struct", True),
-        (r"^type\s+" + _ID + r"\s+interface\b", "interface", True),
-        (r"^func\s+(?:\([^)]*\)\s*)?" + _ID + r"\s*\(", "function", False),
-        (r"^const\s+" + _ID, "constant", False),
-        (r"^var\s+" + _ID, "variable", False),
+        (r"^type\s+([A-Za-z_]\w*)\s+struct\b", "struct", True),
+        (r"^type\s+([A-Za-z_]\w*)\s+interface\b", "interface", True),
+        (r"^func\s+(?:\([^)]*\)\s*)?([A-Za-z_]\w*)\s*\(", "function", False),
+        (r"^const\s+([A-Za-z_]\w*)", "constant", False),
+        (r"^var\s+([A-Za-z_]\w*)", "variable", False),
     ]),
     "Rust": ("brace", "keyword", ["//"], [
-        (_PUB + r"struct\s+" + _ID, "struct", True),
-        (_PUB + r"enum\s+" + _ID, "enum", True),
-        (_PUB + r"trait\s+" + _ID, "interface", True),
-        (_PUB + r"(?:async\s+)?(?:unsafe\s+)?fn\s+" + _ID, "function", False),
-        (r"^(?:pub\s+)?const\s+" + _ID, "constant", False),
+        (r"^(?:pub(?:\([^)]*\))?\s+)?struct\s+([A-Za-z_]\w*)", "struct", True),
+        (r"^(?:pub(?:\([^)]*\))?\s+)?enum\s+([A-Za-z_]\w*)", "enum", True),
+        (r"^(?:pub(?:\([^)]*\))?\s+)?trait\s+([A-Za-z_]\w*)", "interface", True),
+        (r"^(?:pub(?:\([^)]*\))?\s+)?(?:async\s+)?(?:unsafe\s+)?fn\s+([A-Za-z_]\w*)", "function", False),
+        (r"^(?:pub\s+)?const\s+([A-Za-z_]\w*)", "constant", False),
     ]),
     "Java": ("brace", "keyword", ["//"], [
-        (r"^(?:public\s+|private\s+|protected\s+|final\s+|abstract\s+|static\s+)*class\s+" + _ID, "class", True),
-        (r"^(?:public\s+|private\s+|protected\s+|abstract\s+)*interface\s+" + _ID, "interface", True),
-        (r"^(?:public\s+|private\s+|protected\s+)*enum\s+" + _ID, "enum", True),
-        (r"^(?:public\s+|private\s+|protected\s+|static\s+|final\s+|abstract\s+|synchronized\s+|native\s+)*"
-         r"[A-Za-z_][\w<>\[\],.\s]*\s+" + _ID + r"\s*\(", "function", False),
+        (r"^(?:public\s+|private\s+|protected\s+|final\s+|abstract\s+|static\s+)*class\s+([A-Za-z_]\w*)", "class", True),
+        (r"^(?:public\s+|private\s+|protected\s+|abstract\s+)*interface\s+([A-Za-z_]\w*)", "interface", True),
+        (r"^(?:public\s+|private\s+|protected\s+)*enum\s+([A-Za-z_]\w*)", "enum", True),
+        (r"^(?:public\s+|private\s+|protected\s+|static\s+|final\s+|abstract\s+|synchronized\s+|native\s+)*[A-Za-z_][\w<>\[\],.\s]*\s+([A-Za-z_]\w*)\s*\(", "function", False),
     ]),
     "Kotlin": ("brace", "keyword", ["//"], [
-        (r"^(?:public\s+|private\s+|internal\s+|open\s+|sealed\s+|data\s+|abstract\s+|annotation\s+)*"
-         r"(?:class|object)\s+" + _ID, "class", True),
-        (r"^(?:public\s+|private\s+|internal\s+)*interface\s+" + _ID, "interface", True),
-        (r"^(?:public\s+|private\s+|internal\s+|suspend\s+|inline\s+|operator\s+|override\s+|open\s+)*"
-         r"fun\s+(?:<[^>]*>\s*)?" + _ID, "function", False),
-        (r"^(?:public\s+|private\s+|internal\s+)*enum\s+class\s+" + _ID, "enum", True),
+        (r"^(?:public\s+|private\s+|internal\s+|open\s+|sealed\s+|data\s+|abstract\s+|annotation\s+)*(?:class|object)\s+([A-Za-z_]\w*)", "class", True),
+        (r"^(?:public\s+|private\s+|internal\s+)*interface\s+([A-Za-z_]\w*)", "interface", True),
+        (r"^(?:public\s+|private\s+|internal\s+|suspend\s+|inline\s+|operator\s+|override\s+|open\s+)*fun\s+(?:<[^>]*>\s*)?([A-Za-z_]\w*)", "function", False),
+        (r"^(?:public\s+|private\s+|internal\s+)*enum\s+class\s+([A-Za-z_]\w*)", "enum", True),
     ]),
     "Swift": ("brace", "keyword", ["//"], [
-        (r"^(?:public\s+|private\s+|internal\s+|fileprivate\s+|open\s+|final\s+)*class\s+" + _ID, "class", True),
-        (r"^(?:public\s+|private\s+|internal\s+|fileprivate\s+)*struct\s+" + _ID, "struct", True),
-        (r"^(?:public\s+|private\s+|internal\s+|fileprivate\s+)*enum\s+" + _ID, "enum", True),
-        (r"^(?:public\s+|private\s+|internal\s+|fileprivate\s+)*protocol\s+" + _ID, "interface", True),
-        (r"^(?:public\s+|private\s+|internal\s+|fileprivate\s+|open\s+|static\s+|class\s+|override\s+|mutating\s+)*"
-         r"func\s+" + _ID, "function", False),
+        (r"^(?:public\s+|private\s+|internal\s+|fileprivate\s+|open\s+|final\s+)*class\s+([A-Za-z_]\w*)", "class", True),
+        (r"^(?:public\s+|private\s+|internal\s+|fileprivate\s+)*struct\s+([A-Za-z_]\w*)", "struct", True),
+        (r"^(?:public\s+|private\s+|internal\s+|fileprivate\s+)*enum\s+([A-Za-z_]\w*)", "enum", True),
+        (r"^(?:public\s+|private\s+|internal\s+|fileprivate\s+)*protocol\s+([A-Za-z_]\w*)", "interface", True),
+        (r"^(?:public\s+|private\s+|internal\s+|fileprivate\s+|open\s+|static\s+|class\s+|override\s+|mutating\s+)*func\s+([A-Za-z_]\w*)", "function", False),
     ]),
     "Ruby": ("indent", "always", ["#"], [
         (r"^def\s+(?:self\.)?([A-Za-z_]\w*[?!=]?)", "function", False),
-        (r"^class\s+" + _ID, "class", True),
-        (r"^module\s+" + _ID, "class", True),
+        (r"^class\s+([A-Za-z_]\w*)", "class", True),
+        (r"^module\s+([A-Za-z_]\w*)", "class", True),
         (r"^([A-Z][A-Z0-9_]*)\s*=", "constant", False),
     ]),
     "Shell": ("indent", "always", ["#"], [
-        (r"^(?:function\s+)?" + _ID + r"\s*\(\)\s*\{?", "function", False),
+        (r"^(?:function\s+)?([A-Za-z_]\w*)\s*\(\)\s*\{?", "function", False),
         (r"^([A-Z][A-Z0-9_]*)=", "constant", False),
     ]),
     "Protobuf": ("brace", "always", ["//"], [
-        (r"^message\s+" + _ID, "struct", True),
-        (r"^enum\s+" + _ID, "enum", True),
-        (r"^service\s+" + _ID, "interface", True),
-        (r"^rpc\s+" + _ID, "function", False),
+        (r"^message\s+([A-Za-z_]\w*)", "struct", True),
+        (r"^enum\s+([A-Za-z_]\w*)", "enum", True),
+        (r"^service\s+([A-Za-z_]\w*)", "interface", True),
+        (r"^rpc\s+([A-Za-z_]\w*)", "function", False),
     ]),
     "GraphQL": ("brace", "always", ["#"], [
-        (r"^type\s+" + _ID, "struct", True),
-        (r"^interface\s+" + _ID, "interface", True),
-        (r"^enum\s+" + _ID, "enum", True),
-        (r"^input\s+" + _ID, "struct", True),
+        (r"^type\s+([A-Za-z_]\w*)", "struct", True),
+        (r"^interface\s+([A-Za-z_]\w*)", "interface", True),
+        (r"^enum\s+([A-Za-z_]\w*)", "enum", True),
+        (r"^input\s+([A-Za-z_]\w*)", "struct", True),
     ]),
     "Python": ("indent", "underscore", ["#"], [
-        (r"^class\s+" + _ID, "class", True),
-        (r"^(?:async\s+)?def\s+" + _ID, "function", True),
-        (r"^" + _ID + r"\s*(?::[^=]*)?=(?!=)", "assignment", False),
+        (r"^class\s+([A-Za-z_]\w*)", "class", True),
+        (r"^(?:async\s+)?def\s+([A-Za-z_]\w*)", "function", True),
+        (r"^([A-Za-z_]\w*)\s*(?::[^=]*)?=(?!=)", "assignment", False),
     ]),
     "Solidity": ("brace", "solidity", ["//", "/*", "*"], [
-        (r"^(?:abstract\s+)?contract\s+" + _ID, "contract", True),
-        (r"^library\s+" + _ID, "contract", True),
-        (r"^interface\s+" + _ID, "interface", True),
-        (r"^function\s+" + _ID, "function", False),
+        (r"^(?:abstract\s+)?contract\s+([A-Za-z_]\w*)", "contract", True),
+        (r"^library\s+([A-Za-z_]\w*)", "contract", True),
+        (r"^interface\s+([A-Za-z_]\w*)", "interface", True),
+        (r"^function\s+([A-Za-z_]\w*)", "function", False),
         (r"^(constructor|fallback|receive)\s*\(", "function", False),
-        (r"^modifier\s+" + _ID, "function", False),
-        (r"^event\s+" + _ID, "type", False),
-        (r"^error\s+" + _ID, "type", False),
-        (r"^struct\s+" + _ID, "struct", False),
-        (r"^enum\s+" + _ID, "enum", False),
-        (r"^(?:mapping\s*\([^)]*\)|[A-Za-z_]\w*(?:\[\])?)\s+(?:public|private|internal|external|immutable"
-         r"|constant|override|virtual|\s)*\s*" + _ID + r"\s*(?:=|;)", "state", False),
+        (r"^modifier\s+([A-Za-z_]\w*)", "function", False),
+        (r"^event\s+([A-Za-z_]\w*)", "type", False),
+        (r"^error\s+([A-Za-z_]\w*)", "type", False),
+        (r"^struct\s+([A-Za-z_]\w*)", "struct", False),
+        (r"^enum\s+([A-Za-z_]\w*)", "enum", False),
+        (r"^(?:mapping\s*\([^)]*\)|[A-Za-z_]\w*(?:\[\])?)\s+(?:public|private|internal|external|immutable|constant|override|virtual|\s)*\s*([A-Za-z_]\w*)\s*(?:=|;)", "state", False),
     ]),
 }
 PARSERS = {"Python": ("regex", 0.75), "Solidity": ("regex", 0.7)}
@@ -129,37 +120,13 @@ INDENT_LANGUAGES = [k for k, v in PROFILES.items() if v[0] == "indent"]
 TAB_WIDTH = 4
 FILE = ["repo_id", "path"]
 
-
-def symbol_lines(files: DataFrame) -> DataFrame:
-    """Lines of supported languages with trimmed text, indentation and brace counts."""
-    rows = (
-        files.where(F.col("content").isNotNull())
-        .withColumn("language", P.language_of(F.col("path")))
-        .where(F.col("language").isin(*PROFILES))
-        .select(*FILE, "language", "content")
-    )
-    lines = explode_lines(rows)
-    text = F.col("text")
-    lead = F.regexp_extract(text, r"\A([ \t]*)", 1)
-    indent = F.length(lead) + (TAB_WIDTH - 1) * (F.length(lead) - F.length(F.replace(lead, F.lit("\t"), F.lit(""))))
-    trimmed_text = X.strip_space(text)
-    blank = trimmed_text == ""
-    ignorable = blank
-    for language, (_, _, prefixes, _) in PROFILES.items():
-        for prefix in prefixes:
-            ignorable = ignorable | ((F.col("language") == language) & trimmed_text.startswith(prefix))
-    code = strip_non_code(text)
-    braces = lambda ch: F.length(code) - F.length(F.replace(code, F.lit(ch), F.lit("")))
-    return lines.select(
-        *FILE,
-        "language",
-        "line",
-        trimmed_text.alias("t"),
-        indent.alias("indent"),
-        ignorable.alias("ignorable"),
-        braces("{").alias("opens"),
-        braces("}").alias("closes"),
-    )
+# How a language's blocks are told: by braces; by braces, left on ignorable lines too; by indentation; by indentation,
+# where a scope's content is two columns further in.
+BRACE, SOLIDITY, INDENT, INDENT_BY_TWO = range(4)
+# What a line declares: nothing, something, a scope, a Python function, a Python assignment, a state variable.
+NOTHING, PLAIN, SCOPE, FUNCTION, ASSIGNMENT, STATE = range(6)
+# Bits of a line's mark, below what it declares.
+_IGNORABLE, _OPENS, _DECORATOR, _TERMINATOR, _SHIFT = 1, 2, 4, 8, 4
 
 
 def strip_non_code(text: Column) -> Column:
@@ -168,246 +135,266 @@ def strip_non_code(text: Column) -> Column:
     return F.regexp_replace(bare, r"""("[^"]*("|\z))|('[^']*('|\z))|(//.*)""", "")
 
 
-def brace_depth(lines: DataFrame) -> DataFrame:
-    """Adds ``depth_after`` and ``depth_before`` each line."""
-    w = Window.partitionBy(*FILE).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
-    net = F.col("opens") - F.col("closes")
-    return lines.withColumn("depth_after", F.sum(net).over(w)).withColumn("depth_before", F.col("depth_after") - net)
+def _first_rule(language: Column, line: Column) -> Column:
+    """struct(name, kind, scope) of the first rule of the line's language that matches; null if none does."""
+    options = []
+    for name, (_, _, _, rules) in convert(PROFILES).items():
+        hits = [
+            F.when(
+                line.rlike(pattern),
+                F.struct(F.regexp_extract(line, pattern, 1).alias("name"), F.lit(kind).alias("kind"), F.lit(scope).alias("scope")),
+            )
+            for pattern, kind, scope in rules
+        ]
+        options.append(F.when(language == name, F.coalesce(*hits)))
+    return F.coalesce(*options)
 
 
-def with_levels(lines: DataFrame) -> DataFrame:
-    """``level`` after each code line and ``base``, the level a block starting there returns to.
+def line_facts(files: DataFrame) -> DataFrame:
+    """(repo_id, path, language, lines): one row per file of a supported language, with the facts of all its lines.
 
-    Ignorable lines do not end indented blocks; for brace languages they keep
-    their depth (comments hold no braces after stripping).
+    A line is a struct of t (trimmed text), indent, opens, closes (braces outside strings and comments), ignorable
+    (blank or a comment) and rule (name, kind, scope; null without a declaration).
     """
-    deep = brace_depth(lines)
-    by_indent = F.col("language").isin(*INDENT_LANGUAGES)
-    deep = deep.where(~by_indent | ~F.col("ignorable"))
-    level = F.when(by_indent, F.col("indent")).otherwise(F.col("depth_after")).cast("int")
-    base = F.when(by_indent, F.col("indent")).otherwise(F.col("depth_before")).cast("int")
-    w = Window.partitionBy(*FILE).orderBy("line")
-    opened = F.when(F.col("opens") > 0, F.col("line"))
-    ahead = w.rowsBetween(0, Window.unboundedFollowing)
-    # Python: a declaration starts at the first of the decorators directly above it.
-    above = F.lag(F.when(F.col("t").startswith("@"), F.col("indent"))).over(w)
-    fresh = F.when(~F.coalesce(F.col("above") == F.col("indent"), F.lit(False)), F.col("line"))
-    return (
-        deep.withColumn("level", level)
-        .withColumn("above", above)
-        .withColumn("start_line", F.last(fresh, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        .withColumn("base", base)
-        .withColumn("prev_level", F.lag("level").over(w))
-        .withColumn("prev_line", F.lag("line").over(w))
-        .withColumn("next_level", F.lead("level").over(w))
-        .withColumn("next_line", F.lead("line").over(w))
-        .withColumn("first_open", F.first(opened, ignorenulls=True).over(ahead))
-        .withColumn("open_level", F.first(F.when(F.col("opens") > 0, F.col("level")), ignorenulls=True).over(ahead))
-        .withColumn("last_line", F.last("line").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
-    )
+    language = F.col("language")
+
+    def cut(line: Column) -> Column:
+        lead = F.regexp_extract(line, r"\A([ \t]*)", 1)
+        return F.struct(X.strip_space(line).alias("t"), lead.alias("lead"), strip_non_code(line).alias("code"))
+
+    def measured(line: Column) -> Column:
+        t, lead, code = line["t"], line["lead"], line["code"]
+        ignorable = t == ""
+        for name, (_, _, prefixes, _) in PROFILES.items():
+            for prefix in prefixes:
+                ignorable = ignorable | ((language == name) & t.startswith(prefix))
+        braces = lambda ch: F.length(code) - F.length(F.replace(code, F.lit(ch), F.lit("")))
+        tabs = F.length(lead) - F.length(F.replace(lead, F.lit("\t"), F.lit("")))
+        return F.struct(
+            t.alias("t"),
+            (F.length(lead) + (TAB_WIDTH - 1) * tabs).alias("indent"),
+            braces("{").alias("opens"),
+            braces("}").alias("closes"),
+            ignorable.alias("ignorable"),
+        )
 
+    def ruled(line: Column) -> Column:
+        return line.withField("rule", F.when(~line["ignorable"], _first_rule(language, line["t"])))
 
-def closers(levels: DataFrame) -> DataFrame:
-    """(file, level, line): line where blocks standing on ``level`` end."""
-    drop = levels.where(F.col("level") < F.col("prev_level"))
-    return drop.select(
-        *FILE,
-        F.explode(F.sequence(F.col("level"), F.col("prev_level") - 1)).alias("base"),
-        F.col("line").alias("close_line"),
-        F.col("prev_line").alias("close_prev"),
-        F.col("level").alias("close_level"),
-        F.col("t").alias("close_text"),
-    )
+    rows = files.where(F.col("content").isNotNull()).withColumn("language", P.language_of(F.col("path")))
+    lines = F.transform(F.transform(F.transform(X.lines_of(F.col("content")), cut), measured), ruled)
+    return rows.where(language.isin(*PROFILES)).select(*FILE, "language", lines.alias("lines"))
 
 
-def declarations(levels: DataFrame) -> DataFrame:
-    """First matching rule per line, as rule number, name, kind and scope flag."""
-    lang = F.col("language")
+def _running(values: list[int]) -> list[int]:
+    return np.cumsum(np.array(values, np.int64)).tolist() if values else []
 
-    def first_rule(t: Column) -> Column:
-        options = []
-        for language, (_, _, _, rules) in convert(PROFILES).items():
-            hits = [
-                F.when(
-                    t.rlike(pattern),
-                    F.struct(F.regexp_extract(t, pattern, 1).alias("name"), F.lit(kind).alias("kind"), F.lit(scope).alias("scope")),
-                )
-                for pattern, kind, scope in rules
-            ]
-            options.append(F.when(lang == language, F.coalesce(*hits)))
-        return F.coalesce(*options)
-
-    # Some sixty patterns would outgrow one generated method; inside a lambda they are
-    # evaluated rule by rule, and most lines stop at their language's few rules.
-    hit = F.filter(F.transform(F.array("t"), first_rule), lambda h: h.isNotNull())
-    found = levels.where(~F.col("ignorable")).select("*", F.explode(hit).alias("d"))
-    return found.select("*", "d.name", "d.kind", "d.scope").drop("d")
-
-
-def block_ends(decls: DataFrame, ends: DataFrame) -> DataFrame:
-    """Adds end_line and scope_end (first line outside; null when the file ends first).
-
-    Declarations and closers are merged per (file, base level); the next closer
-    at or after the first opening line is the block's end.
-    """
-    by_indent = F.col("language").isin(*INDENT_LANGUAGES)
-    # A brace block can only close from its first "{" on; an indented one after its own line.
-    looks_from = F.when(by_indent, F.col("line") + 1).otherwise(F.col("first_open"))
-    closer = F.struct("close_line", "close_prev", "close_level", "close_text")
-    row = F.struct(*[c for c in decls.columns if c not in (*FILE, "base")])
-    asks = decls.select(
-        *FILE,
-        "base",
-        F.coalesce(looks_from, F.col("last_line") + 1).alias("at"),
-        row.alias("row"),
-        F.lit(None).cast("struct<close_line:int,close_prev:int,close_level:int,close_text:string>").alias("close"),
-    )
-    answers = ends.select(
-        *FILE, "base", F.col("close_line").alias("at"), F.lit(None).cast(asks.schema["row"].dataType).alias("row"),
-        closer.alias("close"),
-    )
-    # A range frame, so a closer on the very line asked from stays visible.
-    w = Window.partitionBy(*FILE, "base").orderBy("at").rangeBetween(Window.currentRow, Window.unboundedFollowing)
-    joined = (
-        asks.unionByName(answers)
-        .withColumn("c", F.min("close").over(w))
-        .where(F.col("row").isNotNull())
-        .select(*FILE, "base", "row.*", "c")
-    )
-    closed = F.col("c.close_line")
-    # Depth can be back at the base on the very line that first opens ("{}").
-    brace_end = (
-        F.when(F.col("first_open").isNull(), F.col("line"))
-        .when(F.col("open_level") <= F.col("base"), F.col("first_open"))
-        .otherwise(F.coalesce(closed, F.col("line")))
-    )
-    terminator = ((F.col("language") == "Ruby") & F.col("c.close_text").rlike(ascii_boundaries(r"^end\b"))) | (
-        (F.col("language") == "Shell") & F.col("c.close_text").startswith("}")
-    )
-    flat = F.col("next_level").isNull() | (F.col("next_level") <= F.col("base"))
-    direct_end = F.when(flat, F.col("line"))
-    indent_end = F.coalesce(
-        direct_end,
-        F.when(closed.isNull(), F.col("last_line")),
-        F.when(terminator & (F.col("c.close_level") == F.col("base")), closed),
-        F.col("c.close_prev"),
-    )
-    # Scope: lines after the declaration while the level before them stays above the base.
-    brace_scope = F.when(F.col("level") <= F.col("base"), F.col("line") + 1).otherwise(closed + 1)
-    # Ruby and Shell scopes need an indentation of two more; Python any.
-    indent_scope = F.when(flat, F.col("next_line")).otherwise(closed)
-    return joined.select(
-        *decls.columns,
-        F.when(by_indent, indent_end).otherwise(brace_end).alias("end_line"),
-        F.when(by_indent, indent_scope).otherwise(brace_scope).alias("scope_end"),
+
+def _depths(nets: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in nets:
+        yield pa.array([None if n is None else _running(n) for n in batch.to_pylist()], pa.list_(pa.int64()))
+
+
+_depths.__annotations__ = {"nets": Iterator[pa.Array], "return": Iterator[pa.Array]}
+_depths_of = F.arrow_udf(_depths, T.ArrayType(T.LongType()))
+
+
+def _nets(lines: Column) -> Column:
+    return F.transform(lines, lambda x: x["opens"] - x["closes"])
+
+
+def brace_depth(facts: DataFrame) -> DataFrame:
+    """(repo_id, path, line, depth_after, depth_before): open braces around every line of facts(..., lines)."""
+    deep = facts.select(*FILE, _nets(F.col("lines")).alias("net"), _depths_of(_nets(F.col("lines"))).alias("after"))
+    each = deep.select(*FILE, F.posexplode(F.arrays_zip("net", "after")).alias("at", "x"))
+    return each.select(
+        *FILE, (F.col("at") + 1).alias("line"), F.col("x.after").alias("depth_after"), (F.col("x.after") - F.col("x.net")).alias("depth_before")
     )
 
 
-def _nesting(decls: DataFrame, opener: Column, label: str) -> DataFrame:
-    """Adds ``<label>_open`` (scopes open around the line) and ``<label>_name`` (the innermost one).
+def declarations(facts: DataFrame) -> DataFrame:
+    """(repo_id, path, language, line, name, kind, scope): every line of facts(..., lines) that a rule matches."""
+    numbered = F.transform("lines", lambda x, i: F.struct((i + 1).alias("line"), x["rule"].alias("rule")))
+    found = facts.select(*FILE, "language", F.explode(F.filter(numbered, lambda x: x["rule"].isNotNull())).alias("d"))
+    return found.select(*FILE, "language", "d.line", "d.rule.*")
+
+
+def fold_braces(style: int, nets: list[int], marks: list[int]) -> Iterator[tuple[int, int, int, int]]:
+    """(line, start, end, line of the parent or 0) of the declarations of a file whose blocks stand in braces.
 
-    Scopes nest properly, so the innermost open scope is the latest one whose
-    nesting number equals the number of open scopes.
+    A block ends on the first line, from the first opening brace on, after which no more braces are open than before
+    its declaration; one that opens or closes nowhere ends on its own line.  A scope lasts while as many braces are
+    open as inside it.
     """
-    kept = F.struct(*[c for c in decls.columns if c not in FILE])
-    none = F.when(F.lit(False), kept)
-    event = lambda at, o, step, payload: F.struct(
-        at.alias("at"), F.lit(o).alias("o"), F.lit(step).alias("step"), payload.alias("row")
-    )
-    line, end = F.col("line"), F.col("scope_end")
-    events = F.array_compact(
-        F.array(
-            event(line, 1, 0, kept),
-            F.when(opener, event(line, 2, 1, none)),
-            F.when(opener & end.isNotNull(), event(end, 0, -1, none)),
-        )
-    )
-    w = Window.partitionBy(*FILE).orderBy("at", "o").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = (
-        decls.select(*FILE, F.explode(events).alias("e"))
-        .select(*FILE, "e.*")
-        .withColumn("open", F.sum("step").over(w).cast("int"))
-        .where(F.col("o") == 1)
-        .select(*FILE, "row.*", "open")
-    )
-    scope = F.struct("name", "base")
-    mark = lambda nest, o, payload, inner: F.struct(
-        nest.alias("nest"), F.lit(o).alias("o"), payload.alias("row"), inner.alias("scope")
+    found: list[list[int]] = []
+    waiting: list[tuple[int, list[int]]] = []  # (depth before, row) of declarations without a brace so far
+    standing: dict[int, list[list[int]]] = {}  # those with one, by the depth that ends them
+    scopes: list[tuple[int, int]] = []
+    depth = 0
+    for line, (net, mark) in enumerate(zip(nets, marks), 1):
+        if style == SOLIDITY or not mark & _IGNORABLE:
+            while scopes and depth < scopes[-1][0]:
+                scopes.pop()
+        role = mark >> _SHIFT
+        inside = scopes[-1] if scopes else (None, 0)
+        if role and (role != STATE or depth == inside[0]):
+            row = [line, line, line, inside[1]]
+            found.append(row)
+            if role != STATE:
+                waiting.append((depth, row))
+            if role == SCOPE:
+                scopes.append((depth + 1, line))
+        after = depth + net
+        if mark & _OPENS:
+            for base, row in waiting:
+                if after <= base:
+                    row[2] = line
+                else:
+                    standing.setdefault(base, []).append(row)
+            waiting = []
+        for base in range(after, depth) if standing else ():
+            for row in standing.pop(base, ()):
+                row[2] = line
+        depth = after
+    return map(tuple, found)
+
+
+def fold_indents(style: int, indents: list[int], marks: list[int]) -> Iterator[tuple[int, int, int, int]]:
+    """The same for a file whose blocks are told by indentation.
+
+    A block ends on the last line of code before the next one that is not further in, or on that one if it is the
+    block's terminator.  It starts at the first of the decorators right above.  Python assignments count outside
+    functions alone and scopes that are functions are no parents.
+    """
+    found: list[list[int]] = []
+    standing: list[tuple[int, list[int]]] = []
+    scopes: list[tuple[int, int, bool]] = []  # (indent, line, whether a function)
+    functions = last = 0
+    decorated: tuple[int, int] | None = None  # (indent, first line) of the decorators right above
+    for line, (indent, mark) in enumerate(zip(indents, marks), 1):
+        if mark & _IGNORABLE:
+            continue
+        while standing and standing[-1][0] >= indent:
+            base, row = standing.pop()
+            row[2] = line if base == indent and mark & _TERMINATOR else last
+        while scopes and scopes[-1][0] + (style == INDENT_BY_TWO) >= indent:
+            functions -= scopes.pop()[2]
+        start = decorated[1] if decorated and decorated[0] == indent else line
+        role = mark >> _SHIFT
+        if role and (role != ASSIGNMENT or not functions):
+            parent = next((at for _, at, function in reversed(scopes) if not function), 0)
+            row = [line, line if role == ASSIGNMENT else start, line, parent]
+            found.append(row)
+            if role != ASSIGNMENT:
+                standing.append((indent, row))
+            if role in (SCOPE, FUNCTION):
+                scopes.append((indent, line, role == FUNCTION))
+                functions += role == FUNCTION
+        decorated = (indent, start) if mark & _DECORATOR else None
+        last = line
+    for _, row in standing:
+        row[2] = last
+    return map(tuple, found)
+
+
+_EXTENT = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("line", "start", "end", "parent")]))
+_EXTENT_ARROW = pa.list_(pa.struct([(n, pa.int32()) for n in ("line", "start", "end", "parent")]))
+
+
+def _extents(files: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+    names = _EXTENT_ARROW.value_type.names
+    for styles, places, marks in files:
+        out = []
+        for style, place, mark in zip(styles.to_pylist(), places.to_pylist(), marks.to_pylist()):
+            fold = fold_braces if style in (BRACE, SOLIDITY) else fold_indents
+            out.append([dict(zip(names, row)) for row in fold(style, place, mark)])
+        yield pa.array(out, _EXTENT_ARROW)
+
+
+_extents.__annotations__ = {"files": Iterator[tuple[pa.Array, ...]], "return": Iterator[pa.Array]}
+_extents_of = F.arrow_udf(_extents, _EXTENT)
+
+
+def extents(facts: DataFrame) -> DataFrame:
+    """`facts` with `found`: array of (line, start, end, parent) of the declarations that count, in order of lines.
+
+    Only two numbers a line leave the JVM.
+    """
+    language = F.col("language")
+    style = (
+        F.when(language == "Solidity", SOLIDITY)
+        .when(language.isin("Ruby", "Shell"), INDENT_BY_TWO)
+        .when(language.isin(*INDENT_LANGUAGES), INDENT)
+        .otherwise(BRACE)
     )
-    kept = F.struct(*[c for c in numbered.columns if c not in FILE])
-    marks = F.array_compact(
-        F.array(
-            mark(F.col("open"), 1, kept, F.when(F.lit(False), scope)),
-            F.when(opener, mark(F.col("open") + 1, 2, F.when(F.lit(False), kept), scope)),
+    by_indent = language.isin(*INDENT_LANGUAGES)
+    places = F.transform("lines", lambda x: F.when(by_indent, x["indent"]).otherwise(x["opens"] - x["closes"]))
+
+    def mark(x: Column) -> Column:
+        kind = x["rule"]["kind"]
+        role = (
+            F.when(kind.isNull(), NOTHING)
+            .when(kind == "assignment", ASSIGNMENT)
+            .when(kind == "state", STATE)
+            .when((language == "Python") & (kind == "function"), FUNCTION)
+            .when(x["rule"]["scope"], SCOPE)
+            .otherwise(PLAIN)
         )
-    )
-    last = Window.partitionBy(*FILE, "nest").orderBy("at", "o").rowsBetween(Window.unboundedPreceding, 0)
-    inner = F.when(F.col("row.open") > 0, F.col("inner"))
-    return (
-        numbered.select(*FILE, line.alias("at"), F.explode(marks).alias("m"))
-        .select(*FILE, "at", "m.*")
-        .withColumn("inner", F.last("scope", ignorenulls=True).over(last))
-        .where(F.col("o") == 1)
-        .select(
-            *FILE, "row.*", inner["name"].alias(f"{label}_name"), inner["base"].alias(f"{label}_base")
+        ends = ((language == "Ruby") & x["t"].rlike(ascii_boundaries(r"^end\b"))) | ((language == "Shell") & x["t"].startswith("}"))
+        bits = (
+            F.when(x["ignorable"], _IGNORABLE).otherwise(0)
+            + F.when(x["opens"] > 0, _OPENS).otherwise(0)
+            + F.when((language == "Python") & x["t"].startswith("@"), _DECORATOR).otherwise(0)
+            + F.when(ends, _TERMINATOR).otherwise(0)
         )
-        .withColumnRenamed("open", f"{label}_open")
-    )
+        return bits + F.shiftleft(role, _SHIFT)
+
+    return facts.withColumn("found", _extents_of(style, places, F.transform("lines", mark)))
 
 
 def extract_symbols(files: DataFrame, limit: int | None = None) -> DataFrame:
-    """(repo_id, path, name, kind, start_line, end_line, parent, exported, parser, confidence)."""
-    lines = symbol_lines(files)
-    levels = with_levels(lines)
-    decls = block_ends(declarations(levels), closers(levels))
-    lang, kind, name = F.col("language"), F.col("kind"), F.col("name")
+    """(repo_id, path, name, kind, start_line, end_line, parent, exported, language, parser, confidence)."""
+    lang = F.col("language")
+
+    def described(x: Column) -> Column:
+        line = F.element_at("lines", x["line"])
+        parent = F.when(x["parent"] > 0, F.element_at("lines", x["parent"])["rule"]["name"])
+        return F.struct(
+            line["rule"]["name"].alias("name"), line["rule"]["kind"].alias("kind"), line["t"].alias("t"),
+            x["start"].alias("start_line"), x["end"].alias("end_line"), parent.alias("parent"),
+        )
+
+    rows = extents(line_facts(files)).select(*FILE, "language", F.explode(F.transform("found", described)).alias("d")).select(*FILE, "language", "d.*")
+    kind, name, t = F.col("kind"), F.col("name"), F.col("t")
     python = lang == "Python"
-    # Ruby and Shell pop a scope at indentation <= its own + 1.
-    near = lang.isin("Ruby", "Shell") & (F.col("next_level") <= F.col("base") + 1)
-    decls = decls.withColumn("scope_end", F.when(near, F.col("next_line")).otherwise(F.col("scope_end")))
-    is_scope = F.col("scope") & ~(python & (kind == "function"))
-    nested = _nesting(decls, is_scope, "parent")
-    nested = _nesting(nested, python & (kind == "function"), "fn")
-    keep = (
-        F.when(python & (kind == "assignment"), F.col("fn_open") == 0)
-        .when(kind == "state", F.col("base") == F.col("parent_base") + 1)
-        .otherwise(F.lit(True))
-    )
-    keep = F.coalesce(keep, F.lit(False))
-    constant = F.when(python, name.rlike(r"^[A-Z][A-Z0-9_]*\z")).otherwise(F.col("t").rlike(ascii_boundaries(r"\bconstant\b")))
+    constant = F.when(python, name.rlike(r"^[A-Z][A-Z0-9_]*\z")).otherwise(t.rlike(ascii_boundaries(r"\bconstant\b")))
     final_kind = (
-        F.when(python & (kind == "function") & F.col("parent_name").isNotNull(), "method")
+        F.when(python & (kind == "function") & F.col("parent").isNotNull(), "method")
         .when(kind.isin("assignment", "state"), F.when(constant, "constant").otherwise("variable"))
         .otherwise(kind)
     )
-    outside = F.col("t").rlike(ascii_boundaries(r"\b(public|external)\b"))
+    outside = t.rlike(ascii_boundaries(r"\b(public|external)\b"))
     visible = {
         "capitalised": name.rlike("^[A-Z]"),
-        "keyword": F.col("t").rlike(ascii_boundaries(r"^(?:pub\b|public\b|export\b|open\b)")),
+        "keyword": t.rlike(ascii_boundaries(r"^(?:pub\b|public\b|export\b|open\b)")),
         "underscore": ~name.startswith("_"),
         "solidity": kind.isin("contract", "interface") | outside,
-        "always": F.lit(True),
     }
     exported = F.lit(True)
     for style, test in visible.items():
         names = [k for k, v in PROFILES.items() if v[1] == style]
         exported = F.when(lang.isin(*names), test).otherwise(exported)
-    single = kind.isin("assignment", "state")
-    rows = nested.where(keep)
-    decorated = python & ~single
-    parser = F.when(lang.isin(*PARSERS), "regex").otherwise("heuristic")
-    confidence = F.when(python, 0.75).when(lang == "Solidity", 0.7).otherwise(0.5)
     symbols = rows.select(
         *FILE,
         "name",
         final_kind.alias("kind"),
-        F.when(decorated, F.col("start_line")).otherwise(F.col("line")).cast("int").alias("start_line"),
-        F.when(single, F.col("line")).otherwise(F.col("end_line")).cast("int").alias("end_line"),
-        F.col("parent_name").alias("parent"),
+        "start_line",
+        "end_line",
+        "parent",
         exported.alias("exported"),
         "language",
-        parser.alias("parser"),
-        confidence.alias("confidence"),
+        F.when(lang.isin(*PARSERS), "regex").otherwise("heuristic").alias("parser"),
+        F.when(python, 0.75).when(lang == "Solidity", 0.7).otherwise(0.5).alias("confidence"),
     )
     return top_k(symbols, ["repo_id"], [F.col("path"), F.col("start_line"), F.col("name")], limit).drop("rank")
 

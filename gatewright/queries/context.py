@@ -320,7 +320,7 @@ da AS (SELECT *, CAST(sum(o - c) OVER (PARTITION BY repo_id, path ORDER BY line
 
 @query("brace_depth", f"WITH {_DEPTH} SELECT repo_id, path, line, depth_after, CAST(depth_after - (o - c) AS INT) AS depth_before FROM da")
 def brace_depth(spark, d):
-    out = symbols.brace_depth(symbols.symbol_lines(_code(spark, d)))
+    out = symbols.brace_depth(symbols.line_facts(_code(spark, d)))
     return out.select(
         "repo_id", "path", "line", F.col("depth_after").cast("int").alias("depth_after"),
         F.col("depth_before").cast("int").alias("depth_before"),
@@ -340,8 +340,7 @@ def _decl_sql() -> str:
 @query("symbol_declarations", f"WITH {_CL}, dc AS ({_decl_sql()}) SELECT * FROM dc WHERE name IS NOT NULL")
 def symbol_declarations(spark, d):
     langs = ["TypeScript", "JavaScript", "Go", "Rust", "Java"]
-    lines = symbols.symbol_lines(_code(spark, d))
-    out = symbols.declarations(lines)
+    out = symbols.declarations(symbols.line_facts(_code(spark, d)))
     return out.where(F.col("language").isin(langs)).select("repo_id", "path", "line", "name", "kind")
 
 

@@ -102,7 +102,7 @@ def ascii_words(text: str | None) -> list[bytes]:
 
 
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
-_BESIDE_SPACE = [pair for c in map(chr, range(0x3001)) if c.isspace() for pair in (c + " ", " " + c)]
+_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace()]
 
 
 def lone_space_parts(text: str) -> list[str]:
@@ -111,8 +111,8 @@ def lone_space_parts(text: str) -> list[str]:
     The byte-level pre-tokenizer always starts a new piece at such a space, so each part can be encoded by itself,
     with the space put back in front of every part but the first.
     """
-    for pair in _BESIDE_SPACE:
-        if pair in text:
+    for c in _SPACES:
+        if c in text and (c + " " in text or " " + c in text):
             return _LONE_SPACE.split(text)
     return text.split(" ")
 
@@ -132,9 +132,9 @@ class TwoGenerations(dict):
         if len(self) > self.limit:
             self.older = dict(self)
             self.clear()
-        absent = keys.difference(self)
+        absent = [key for key in keys if key not in self]
         if not self.older:
-            return list(absent)
+            return absent
         older, lost = self.older, []
         for key in absent:
             if key in older:

@@ -26,24 +26,31 @@ SCHEMA = (
 
 
 class _Known(dict):
-    """Ids of parts (with `lead` in front), asked of the tokenizer when new; two generations bound its size."""
+    """Ids of parts (with `lead` in front), asked of the tokenizer when new; two generations bound its size.
+
+    The pre-tokenizer always cuts between letters and marks, never between letters, and on both sides of a line end
+    that stands between two other characters.  So a new part is put together from words, marks and lines that may be
+    known: `tails` has the marks and `first` the parts at the start of a line.
+    """
 
     def __init__(self, encode: Callable[[str], bytes], word: Callable[[str], bytes], lead: str, tails: _Known | None = None) -> None:
         super().__init__()
         self.encode, self.word, self.lead, self.tails = encode, word, lead, tails
+        self.first: _Known = self
+        self.line_end = encode("\n")
         self.older: dict[str, bytes] = {}
 
     def __missing__(self, part: str) -> bytes:
         ids = self.older.get(part)
         if ids is None:
             stem = part.rstrip(_MARKS) if self.tails is not None else part
-            # The pre-tokenizer always cuts between letters and marks, and never between letters.
-            if not stem.isalpha():
-                ids = self.encode(self.lead + part)
-            elif len(stem) < len(part):
-                ids = self[stem] + self.tails[part[len(stem) :]]
+            if stem.isalpha():
+                ids = self.word(self.lead + part) if len(stem) == len(part) else self[stem] + self.tails[part[len(stem) :]]
+            elif "\n" in part and (lines := part.split("\n")) == part.split():
+                first = self.first
+                return self.line_end.join([self[lines[0]], *(first[line] for line in lines[1:])])
             else:
-                ids = self.word(self.lead + part)
+                ids = self.encode(self.lead + part)
         if len(part) <= 64:
             self[part] = ids
         return ids
@@ -74,15 +81,21 @@ class SegmentIds:
         def encode(text: str) -> bytes:
             return array("I", tok.encode(text, add_special_tokens=False).ids).tobytes()
 
-        model, symbols = tok.model, dict(enumerate(byte_symbols()))
+        tokenize, symbols = tok.model.tokenize, byte_symbols()
+        blank, symbol_of = symbols[32], dict(enumerate(symbols))
 
         def word(text: str) -> bytes:
             """The ids of letters, with or without a space in front: one piece, so the BPE model alone does."""
-            return array("I", [t.id for t in model.tokenize(text.encode().decode("latin-1").translate(symbols))]).tobytes()
+            if text.isascii():  # letters stand for themselves
+                text = blank + text[1:] if text[0] == " " else text
+            else:
+                text = text.encode().decode("latin-1").translate(symbol_of)
+            return array("I", [t.id for t in tokenize(text)]).tobytes()
 
         self.tails = _Known(encode, word, "")
         self.first = _Known(encode, word, "", self.tails)
         self.later = _Known(encode, word, " ", self.tails)
+        self.later.first = self.first
 
     def batch(self, texts: list[str]) -> list[bytes]:
         self.later.trim(CACHE_ENTRIES)
@@ -98,6 +111,16 @@ class SegmentIds:
         return out
 
 
+_CODERS: dict[str, SegmentIds] = {}
+
+
+def coder(path: str) -> SegmentIds:
+    """One per worker process and file, so that tasks find the words that earlier ones have met."""
+    if path not in _CODERS:
+        _CODERS[path] = SegmentIds(path)
+    return _CODERS[path]
+
+
 class SumOfSquares:
     """Places items into windows so that the sum over levels of (open windows at that level)² stays smallest.
 
@@ -207,14 +230,14 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = SegmentIds(tokenizer_path)
+        segment_ids = coder(tokenizer_path)
         names = [f.split()[0] for f in SCHEMA.split(", ")]
         end = b"\0\0\0\0"
 
         def documents() -> Iterator[tuple[int | None, bytes]]:
             for batch in batches:
                 texts = [t or "" for t in batch.column(1).to_pylist()]
-                for doc_id, ids in zip(batch.column(0).to_pylist(), coder.batch(texts)):
+                for doc_id, ids in zip(batch.column(0).to_pylist(), segment_ids.batch(texts)):
                     yield doc_id, ids + end
 
         chunk: list[tuple] = []

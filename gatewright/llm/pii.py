@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -31,6 +33,8 @@ FOR = {
 }
 AGAINST = ("order", "invoice", "isbn", "serial", "version", "build", "example", "sample", "test", "part no")
 RAISE, LOWER = 0.3, 0.3
+_FOR = {kind: re.compile(rf"\b(?:{'|'.join(map(re.escape, words))})") for kind, words in FOR.items()}
+_AGAINST = re.compile(rf"\b(?:{'|'.join(map(re.escape, AGAINST))})\b")
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -43,16 +47,18 @@ _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _DIGIT = re.compile(r"[0-9]")
 _ALNUM = re.compile(r"[A-Za-z0-9]")
 
-# Characters of an account number by country; one of another country may end after any word.
+# Characters of an account number by country; one of another country may end after any word.
 IBAN_LENGTH = {
-    c: int(entry[:2])
-    for entry in """
-    15:NO 16:BE 18:DK,FI,FK,FO,GL,NL,SD 19:MK,SI 20:AT,BA,EE,KZ,LT,LU,MN,XK 21:CH,HR,LI,LV 22:BG,BH,CR,DE,GB,GE,IE,ME,RS,VA
-    23:AE,GI,IL,IQ,OM,SO,TL 24:AD,CZ,ES,MD,PK,RO,SA,SE,SK,TN,VG 25:LY,PT,ST 26:IS,TR 27:BI,DJ,FR,GR,IT,MC,MR,SM
-    28:AL,AZ,BY,CY,DO,GT,HN,HU,LB,NI,PL,SV 29:BR,EG,PS,QA,UA 30:JO,KW,MU,YE 31:MT,SC 32:LC 33:RU
-    """.split()
-    for c in entry[3:].split(",")
-}
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28,
+    "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DJ": 27, "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18,
+    "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HN": 28, "HR": 21, "HU": 28,
+    "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20,
+    "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22, "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28,
+    "NL": 18, "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24,
+    "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26,
+    "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
+}
+
 
 class Span(NamedTuple):
     kind: str
@@ -146,13 +152,26 @@ def context_score(text: str, kind: str, start: int, end: int) -> float:
     """The prior of the kind, raised and lowered by words within CONTEXT characters of the span."""
     near = f"{text[max(0, start - CONTEXT) : start]} {text[end : end + CONTEXT]}".lower()
     score = PRIOR[kind]
-    if any(re.search(rf"\b{re.escape(w)}", near) for w in FOR[kind]):
+    if _FOR[kind].search(near):
         score += RAISE
-    if any(re.search(rf"\b{re.escape(w)}\b", near) for w in AGAINST):
+    if _AGAINST.search(near):
         score -= LOWER
     return min(1.0, max(0.0, score))
 
 
+class _Taken:
+    """Tells whether a span overlaps any of those given, by bisection."""
+
+    def __init__(self, spans: list[tuple[int, int]]) -> None:
+        ordered = sorted(spans)
+        self.starts = [s for s, _ in ordered]
+        self.furthest = list(accumulate((e for _, e in ordered), max))  # end of the first 1, 2, ... spans
+
+    def overlaps(self, start: int, end: int) -> bool:
+        before = bisect_left(self.starts, end)
+        return before > 0 and self.furthest[before - 1] > start
+
+
 def find_spans(text: str) -> list[Span]:
     """All spans of a whole text by start, then kind.  Spans of the base kinds stay whatever their context says; of
     the others those with a score of at least KEEP stay that no base span overlaps."""
@@ -163,9 +182,9 @@ def find_spans(text: str) -> list[Span]:
         found += [("ip", *s) for s in addresses(text)] + [("card", *s) for s in cards(text)]
         if "+" in text:
             found += [("phone", *s) for s in phones(text)]
-        taken = sorted((s, e) for _, s, e in found)
+        taken = _Taken([(s, e) for _, s, e in found])
         more = [("iban", *s) for s in accounts(text)] + ([("ssn", *s) for s in social_numbers(text)] if "-" in text else [])
-        found += [x for x in more if not any(s < x[2] and x[1] < e for s, e in taken)]
+        found += [x for x in more if not taken.overlaps(x[1], x[2])]
     spans = [Span(k, s, e, context_score(text, k, s, e)) for k, s, e in found]
     spans = [s for s in spans if s.kind in BASE_KINDS or s.score >= KEEP]
     return sorted(spans, key=lambda s: (s.start, KINDS.index(s.kind)))

@@ -23,6 +23,7 @@ LONG_CHARS = 200
 MAX_LINK_DENSITY = 0.33
 STOP_LOW = 0.10
 STOP_HIGH = 0.20
+STOP_KNOWN = 0.03  # share of stop words from which on a page's language counts as known
 
 # Frequent function words of the languages to expect; a parameter of `extract`.
 STOP_WORDS = frozenset(
@@ -165,19 +166,26 @@ def _stops(text: str, stop_words: frozenset[str]) -> tuple[int, int]:
     return sum(w in stop_words for w in words), len(words)
 
 
+def knows_language(blocks: list[Block], stop_words: frozenset[str]) -> bool:
+    """Whether the page's text outside links has a fair share of the stop words; if not, they say nothing about it."""
+    counts = [_stops(b.text, stop_words) for b in blocks if b.link_chars <= MAX_LINK_DENSITY * len(b.text)]
+    return sum(n for n, _ in counts) >= STOP_KNOWN * sum(words for _, words in counts)
+
+
 def _settle_regions(blocks: list[Block], regions: list[_Region], stop_words: frozenset[str]) -> None:
     """Which blocks are boilerplate by their containers.
 
     A container that only may be boilerplate is none if it holds most stop words of the page, unless all articles are
     elsewhere.  Inside one, an article that has no fewer of them than the articles outside is no boilerplate, and a main
-    element never is.
+    element never is.  On a page whose language is unknown, characters count instead of stop words.
     """
     if len(regions) > 1:
         outside = whole = 0
         anywhere = not any(b.content for b in blocks)
+        known = knows_language(blocks, stop_words)
         for block in blocks:
             if block.link_chars <= MAX_LINK_DENSITY * len(block.text):
-                n = _stops(block.text, stop_words)[0]
+                n = _stops(block.text, stop_words)[0] if known else len(block.text)
                 whole += n
                 regions[block.region].stops += n
                 if not block.region and block.content:
@@ -302,8 +310,11 @@ def split_blocks(page: str, stop_words: frozenset[str] = STOP_WORDS) -> list[Blo
     return blocks
 
 
-def first_pass(block: Block, stop_words: frozenset[str] = STOP_WORDS) -> str:
-    """good, bad, near (probably good), short or open (undecided) by the block alone."""
+def first_pass(block: Block, stop_words: frozenset[str] = STOP_WORDS, known: bool = True) -> str:
+    """good, bad, near (probably good), short or open (undecided) by the block alone.
+
+    Where the page's language is not `known`, length and link density decide as if stop words were dense enough.
+    """
     if block.boilerplate:
         return "bad"
     size = len(block.text)
@@ -312,7 +323,7 @@ def first_pass(block: Block, stop_words: frozenset[str] = STOP_WORDS) -> str:
     if size < SHORT_CHARS:
         return "short"
     stops, words = _stops(block.text, stop_words)
-    share = stops / max(1, words)
+    share = stops / max(1, words) if known else 1.0
     if share >= STOP_HIGH:
         return "good" if size > LONG_CHARS else "near"
     if share >= STOP_LOW:
@@ -359,8 +370,9 @@ def second_pass(blocks: list[Block]) -> None:
 def main_text(page: str | None, stop_words: frozenset[str] = STOP_WORDS) -> str:
     """The main text of one page: its good blocks in order, one a line."""
     blocks = split_blocks(page or "", stop_words)
+    known = knows_language([b for b in blocks if not b.boilerplate], stop_words)
     for block in blocks:
-        block.label = first_pass(block, stop_words)
+        block.label = first_pass(block, stop_words, known)
     second_pass(blocks)
     return "\n".join(b.text for b in blocks if b.label == "good")
 

@@ -9,9 +9,10 @@ A node is posted under each (coordinate, value); two nodes linked at the similar
 * skip: a node whose shingles are too often its own cannot reach the similarity with any other posted node;
 * leaders: in each list every node is first compared with the list's smallest, its leader: the collisions over all
   coordinates are counted, and a pair with MATCHES or more is confirmed on its sets.  Pairs inside one component need
-  no look any more.  Two nodes of different components that met in a list have its leader in common, and what each
-  lacks of the leader and has beyond it gives their overlap exactly; so the join by leader, of nodes outside the
-  leader's largest component against all, makes a row only for a link.
+  no look any more.  Two nodes of different components that met in a list have its leader in common.  What each lacks
+  of the shingles that most nodes of a leader hold, and has beyond them, gives their overlap exactly (`_second_links`):
+  nodes near that middle link through the nearest of them, and others must share what sets them apart from it, so they
+  meet under (leader, shingle) by a prefix rule.  Texts of one template share only the middle and so meet nowhere.
 """
 
 from __future__ import annotations
@@ -186,25 +187,75 @@ def _confirm(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.where(F.when(collisions >= MATCHES, similar).otherwise(False)).select("a", "b")
 
 
-def _differences(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Of pairs(a, b, component, main): what node b lacks of its leader a, and what it has beyond it."""
+def _middles(met: DataFrame, nodes: DataFrame) -> DataFrame:
+    """leader, members, middle: the shingles that more than half of the nodes of met(a, b) with one leader hold."""
+    held = met.join(nodes.select(F.col("node").alias("b"), F.explode("shingles").alias("shingle")), "b")
+    counts = held.groupBy(F.col("a").alias("leader"), "shingle").agg(F.count("*").alias("n"))
+    members = met.groupBy(F.col("a").alias("leader")).agg(F.count("*").alias("members"))
+    most = counts.join(members, "leader").where(2 * F.col("n") > F.col("members"))
+    middles = most.groupBy("leader").agg(F.collect_list("shingle").alias("middle"))
+    return members.join(middles, "leader", "left").withColumn("middle", F.coalesce("middle", F.array().cast("array<long>")))
+
+
+def _differences(met: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Of met(a, b, component): what node b lacks of the middle of its leader a, and what it has beyond it.
+
+    With `size` of the middle, a pair x, y of one leader is linked if (100 + PERCENT) * (differences that both share)
+    is at least due_x + due_y - (100 + PERCENT) * size.
+    """
     node = nodes.select(F.col("node").alias("b"), "n_shingles", "common", F.col("shingles").alias("own"))
-    leader = nodes.select(F.col("node").alias("a"), F.col("n_shingles").alias("n_leader"), F.col("shingles").alias("led"))
-    return (
-        pairs.join(node, "b")
-        .join(leader, "a")
-        .select(
-            F.col("a").alias("leader"), "n_leader", F.col("b").alias("node"), "component", "main", "n_shingles", "common",
-            F.array_except("led", "own").alias("missing"), F.array_except("own", "led").alias("extra"),
-        )
+    joined = met.select("b", F.col("a").alias("leader"), "component").join(node, "b").join(_middles(met, nodes), "leader")
+    missing = F.size(F.array_except("middle", "own"))
+    return joined.select(
+        "leader", F.size("middle").alias("size"), F.col("b").alias("node"), "component", "n_shingles", "common",
+        ((100 + PERCENT) * missing + PERCENT * F.col("n_shingles")).alias("due"),
+        F.concat(F.array_except("middle", "own"), F.array_except("own", "middle")).alias("apart"),
+    )
+
+
+def _second_links(scratch: Scratch, members: DataFrame) -> DataFrame:
+    """a, b: links between the nodes of a leader that connect all whom links between them connect.
+
+    * Two nodes with due_x + due_y <= (100 + PERCENT) * size are linked whatever they share.  Then each of them is
+      linked with the node of the smallest due, so links with that one stand for all of these pairs.
+    * Any other link shares at least one difference, and as many as the smallest due asks for: of a node's differences
+      that others of the leader have too, rarest first, all but that many less one are posted under (leader, shingle).
+    """
+    whole = 100 + PERCENT
+    nearest = members.groupBy("leader").agg(F.min(F.struct("due", "node")).alias("least"))
+    nearest = nearest.select("leader", F.col("least.due").alias("least_due"), F.col("least.node").alias("least_node"))
+    known = scratch.table(members.join(nearest, "leader"), "members")
+    star = known.where((F.col("due") + F.col("least_due") <= whole * F.col("size")) & (F.col("node") != F.col("least_node")))
+    star = star.select(F.col("node").alias("a"), F.col("least_node").alias("b"))
+
+    needed = F.greatest(F.lit(1), F.ceil((F.col("due") + F.col("least_due") - whole * F.col("size")) / whole))
+    tokens = known.where(F.size("apart") >= needed).select("leader", "node", needed.alias("needed"), F.explode("apart").alias("shingle"))
+    shared = scratch.table(tokens.groupBy("leader", "shingle").agg(F.count("*").alias("n")).where("n > 1"), "shared-differences")
+    own = Window.partitionBy("leader", "node")
+    placed = tokens.join(shared, ["leader", "shingle"]).select(
+        "leader", "node", "shingle", "needed",
+        F.count("*").over(own).alias("held"),
+        F.row_number().over(own.orderBy("n", "shingle")).alias("place"),
     )
+    facts = known.select("leader", "node", "component", "due", "size", "common", "n_shingles")
+    posted = placed.where(F.col("place") <= F.col("held") - F.col("needed") + 1).select("leader", "shingle", "node")
+    posted = scratch.table(posted.join(facts, ["leader", "node"]), "posted-differences")
 
+    def side(name: str, *also: str) -> DataFrame:
+        own = ("node", "component", "due", "common", "n_shingles")
+        return posted.select("leader", "shingle", *also, *(F.col(c).alias(f"{c}_{name}") for c in own))
 
-def _overlap_by_differences() -> Column:
-    """The exact number of common shingles of two nodes, from what sets them apart from one leader."""
-    shared_loss = F.size(F.array_intersect("missing_a", "missing_b"))
-    shared_gain = F.size(F.array_intersect("extra_a", "extra_b"))
-    return F.col("n_leader") - F.size("missing_a") - F.size("missing_b") + shared_loss + shared_gain
+    met = side("a", "size").join(side("b"), ["leader", "shingle"]).where(
+        (F.col("node_a") < F.col("node_b"))
+        & (F.col("component_a") != F.col("component_b"))
+        & _reaches(F.least("common_a", "common_b"), F.col("n_shingles_a"), F.col("n_shingles_b"))
+    )
+    pairs = scratch.table(met.select("leader", "size", "node_a", "node_b", "due_a", "due_b").distinct(), "second-pairs")
+    apart = known.select("leader", "node", "apart")
+    both = pairs.join(apart.select("leader", F.col("node").alias("node_a"), F.col("apart").alias("apart_a")), ["leader", "node_a"])
+    both = both.join(apart.select("leader", F.col("node").alias("node_b"), F.col("apart").alias("apart_b")), ["leader", "node_b"])
+    enough = whole * F.size(F.array_intersect("apart_a", "apart_b")) >= F.col("due_a") + F.col("due_b") - whole * F.col("size")
+    return star.unionByName(both.where(enough).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))).distinct()
 
 
 def _links(scratch: Scratch, docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -222,23 +273,9 @@ def _links(scratch: Scratch, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     met = pairs.join(known.withColumnRenamed("node", "b"), "b", "left").select("a", "b", F.coalesce("component", "b").alias("component"))
     met = scratch.table(met, "pairs-by-component")
     sizes = met.groupBy("a", "component").agg(F.count("*").alias("n"))
-    mixed = sizes.groupBy("a").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts"))
-    mixed = scratch.table(mixed.where("parts > 1").select("a", "main"), "mixed-leaders")
+    mixed = scratch.table(sizes.groupBy("a").agg(F.count("*").alias("parts")).where("parts > 1").select("a"), "mixed-leaders")
     members = scratch.table(_differences(met.join(mixed, "a"), full), "differences")
-
-    def side(name: str) -> DataFrame:
-        own = ("node", "component", "n_shingles", "common", "missing", "extra")
-        return members.select("leader", "n_leader", "main", *(F.col(c).alias(f"{c}_{name}") for c in own))
-
-    one = side("a").where("component_a <> main")
-    met = one.join(side("b").drop("n_leader", "main"), "leader").where(
-        (F.col("component_a") != F.col("component_b"))
-        & ((F.col("component_b") == F.col("main")) | (F.col("node_a") < F.col("node_b")))
-        & _reaches(F.least("common_a", "common_b"), F.col("n_shingles_a"), F.col("n_shingles_b"))
-        & _reaches(_overlap_by_differences(), F.col("n_shingles_a"), F.col("n_shingles_b"))
-    )
-    second = met.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct()
-    return components(scratch, first.unionByName(second))
+    return components(scratch, first.unionByName(_second_links(scratch, members)))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

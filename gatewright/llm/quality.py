@@ -11,11 +11,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold_of, per_text, prepare, struct_array
+from .common import Scratch, fold_of, per_text, prepare, struct_array
 
 BUCKETS_LOG2 = 17
 DIMENSIONS = 16
 SAMPLE_ROWS = 2000
+SAMPLE_COUNTS = 16_000_000  # bucket counts of all sampled rows together
 STEPS = 10_000
 RATE = 0.5
 _BLANK = 1
@@ -107,48 +108,58 @@ def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: i
     return Model(vectors, weights)
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, parts: int = 3, held: int = 1) -> Model:
+def learn(
+    docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_counts: int = SAMPLE_COUNTS, parts: int = 3, held: int = 1
+) -> Model:
     """A model from at most `sample_rows` labelled rows outside the held-out fold, chosen by a hash of doc_id.
 
-    The chosen labels are bounded by `sample_rows` and so may be broadcast.  A sampled document reaches the driver as
-    bucket counts, at most 2 ** BUCKETS_LOG2 of them.  Without rows of both classes the model says 0.5 throughout.
+    The chosen labels are bounded by `sample_rows` and so may be broadcast; a (doc_id, label) that comes several times
+    counts once.  Of the texts that one doc_id has, the one with the smallest hash is learned from.  A sampled document
+    reaches the driver as bucket counts; those that would bring them over `sample_counts` together, 8 bytes each, are
+    left out in the order of the hash.  So the sample does not depend on how rows are laid out.  Without rows of both
+    classes the model says 0.5 throughout.
     """
+    order = F.xxhash64("doc_id")
     chosen = (
         labels.where(F.col("quality").isin(0, 1) & (fold_of(F.col("doc_id"), parts) != held))
         .select("doc_id", F.col("quality").cast("int").alias("quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "quality")
+        .distinct()
+        .orderBy(order, "doc_id", "quality")
         .limit(sample_rows)
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            seen = [np.unique(features(t), return_counts=True) for t in batch.column(2).to_pylist()]
+            seen = [np.unique(features(t), return_counts=True) for t in batch.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0),
-                    batch.column(1),
+                    *batch.columns[:3],
+                    pa.array([len(s[0]) for s in seen], pa.int32()),
                     pa.array([s[0].astype(np.int32) for s in seen], pa.list_(pa.int32())),
                     pa.array([s[1].astype(np.int32) for s in seen], pa.list_(pa.int32())),
                 ],
-                names=["doc_id", "quality", "buckets", "counts"],
+                names=["place", "doc_id", "quality", "size", "buckets", "counts"],
             )
 
-    rows = (
-        docs.select("doc_id", "text")
-        .join(F.broadcast(chosen), "doc_id")
-        .select(F.col("doc_id").cast("long").alias("doc_id"), "quality", "text")
-        .mapInArrow(run, "doc_id long, quality int, buckets array<int>, counts array<int>")
-        .limit(2 * sample_rows)
-        .toArrow()
-        .sort_by([("doc_id", "ascending"), ("quality", "ascending")])
-    )
-    y = np.array(rows.column("quality").to_pylist(), np.int64)
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality")
+    text = F.min(F.struct(F.xxhash64("text").alias("hash"), "text"))["text"]  # a null text, with the seed's hash, too
+    rows = texts.agg(text.alias("text")).select(order.alias("place"), F.col("doc_id").cast("long").alias("doc_id"), "quality", "text")
+    counted = rows.mapInArrow(run, "place long, doc_id long, quality int, size int, buckets array<int>, counts array<int>")
+    counted = Scratch(docs.sparkSession).table(counted, "sample")
+    taken, room = [], sample_counts
+    sizes = sorted(counted.select("place", "doc_id", "quality", "size").collect())  # at most sample_rows
+    for r in sizes:
+        if r.size <= room:
+            room -= r.size
+            taken.append(r)
+    y = np.array([r.quality for r in sorted(taken, key=lambda r: (r.doc_id, r.quality))], np.int64)
     if len(set(y.tolist())) < 2:
         return Model(np.zeros((1 << BUCKETS_LOG2, DIMENSIONS), np.float32), np.zeros((DIMENSIONS, 2), np.float32))
-    data = [
-        (np.array(b.values), np.array(c.values)) for b, c in zip(rows.column("buckets"), rows.column("counts"))
-    ]
-    return train(data, y)
+    if len(taken) < len(sizes):
+        ids = docs.sparkSession.createDataFrame([(r.doc_id, r.quality) for r in taken], "doc_id long, quality int")
+        counted = counted.join(F.broadcast(ids), ["doc_id", "quality"], "left_semi")
+    table = counted.select("doc_id", "quality", "buckets", "counts").toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")])
+    return train([(np.array(b.values), np.array(c.values)) for b, c in zip(table.column("buckets"), table.column("counts"))], y)
 
 
 _RESULT = T.StructType([T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
@@ -175,7 +186,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted: one row per input row, from the whole text alone.
 
     Null text counts as empty and gets the score of a document without words.  A null doc_id is not held out and not
-    learned from.  A label that comes twice counts twice; other columns are not read; an empty table gives no rows.
+    learned from.  A label that comes twice counts once; other columns are not read; an empty table gives no rows.
     """
     prepare(docs.sparkSession)
     rate = score(learn(docs, labels))

@@ -277,4 +277,53 @@ ORACLES = {
         )
         SELECT doc_id, n_features, weight, score, CASE WHEN fit AND place <= 5 * n // 100 THEN place END AS rank FROM drawn
     """,
+    "op12_bounded_ring_sharding": r"""
+        WITH RECURSIVE spots AS (
+            SELECT s AS shard, CAST('0x' || left(sha256('shard ' || s || ' node ' || n), 4) AS BIGINT) AS position
+            FROM range(40) a(s), range(64) b(n)
+        ), nodes AS (
+            SELECT shard, position, row_number() OVER (ORDER BY position, shard) - 1 AS node FROM spots
+        ), bytes AS (
+            SELECT list(list_reduce([b] || range(8), lambda c, n:
+                       CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY b) AS tab
+            FROM range(256) t(b)
+        ), hexed AS (
+            SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents
+        ), sized AS (
+            SELECT doc_id, length(x) // 2 + 16 AS size, xor(4294967295, list_reduce([4294967295]
+                       || [CAST('0x' || substr(x, CAST(2 * i - 1 AS BIGINT), 2) AS BIGINT) FOR i IN range(1, length(x) // 2 + 1)],
+                       lambda c, b: xor(c >> 8, tab[1 + (xor(c, b) & 255)]))) AS text_crc32,
+                   CAST('0x' || left(sha256(coalesce(CAST(doc_id AS VARCHAR), '')), 4) AS BIGINT) AS spot
+            FROM hexed, bytes
+        ), mixed AS (
+            SELECT *, CAST('0x' || left(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || size || ':' || text_crc32 || ':' || spot), 15) AS BIGINT) AS m,
+                   (SELECT count(*) FROM nodes WHERE position < spot) % 2560 AS arc
+            FROM sized
+        ), ranked AS (
+            SELECT *, row_number() OVER (PARTITION BY arc ORDER BY m % 256, m, doc_id, size, text_crc32) - 1 AS place FROM mixed
+        ), step AS (
+            -- The arcs with keys that still wait, where they are now, and the room left in every shard.
+            SELECT 0 AS k, arc, 0::BIGINT AS low, 0::BIGINT AS take, -1::BIGINT AS shard, count(*) AS waiting, 0::BIGINT AS done,
+                   (SELECT [n // 40 + CASE WHEN s < n % 40 THEN 1 ELSE 0 END FOR s IN range(40)] FROM (SELECT count(*) AS n FROM ranked)) AS room, 0::BIGINT AS base
+            FROM ranked GROUP BY arc
+            UNION ALL
+            (WITH met AS (
+                SELECT s.*, n.shard AS at_shard, coalesce(sum(waiting) OVER (PARTITION BY n.shard ORDER BY n.node ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead
+                FROM step s JOIN nodes n ON n.node = (s.arc + s.k) % 2560 WHERE waiting > 0
+            ), taken AS (
+                SELECT *, greatest(0, least(waiting, room[at_shard + 1] - ahead)) AS now FROM met
+            ), rooms AS (
+                SELECT list(r ORDER BY i) AS new_room FROM (
+                    SELECT i, any_value(room[i + 1]) - coalesce(sum(now) FILTER (at_shard = i), 0) AS r FROM taken, range(40) t(i) GROUP BY i)
+            )
+            SELECT k + 1, arc, done, CAST(now AS BIGINT), at_shard, CAST(waiting - now AS BIGINT), CAST(done + now AS BIGINT), CAST(new_room AS BIGINT[]),
+                   CAST(room[at_shard + 1] - least(ahead, room[at_shard + 1]) AS BIGINT)
+            FROM taken, rooms)
+        ), pieces AS (
+            SELECT arc, low, low + take AS high, shard, base FROM step WHERE take > 0
+        ), total AS (SELECT count(*) AS n FROM ranked)
+        SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(p.shard AS INTEGER) AS shard,
+               n // 40 + CASE WHEN p.shard < n % 40 THEN 1 ELSE 0 END - base + place - low AS slot, CAST(NULL AS INTEGER) AS grown_shard
+        FROM ranked r JOIN pieces p ON p.arc = r.arc AND r.place >= p.low AND r.place < p.high, total
+    """,
 }

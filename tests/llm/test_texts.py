@@ -1,6 +1,8 @@
 import html as references
+import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -54,6 +56,73 @@ def test_quality_features_by_hand():
     assert len(quality.features("ab " * 50_000)) > 100_000
 
 
+def plain_features(text, bits):
+    """The same buckets from Python numbers: one word, pair and gram after another."""
+    mask, c = (1 << 64) - 1, [int(x) for x in quality._C]
+    words = [w for w in re.split("[\x00-\x20\x85\xa0\u2000-\u200a\u3000]+", text or "") if w]
+    if not words:
+        return [0]
+
+    def bucket(h):
+        return max(2, (((h ^ (h >> 31)) * c[4]) & mask) >> (64 - bits))
+
+    power = [pow(0x9E3779B97F4A7C15 | 1, n + 1, 1 << 64) for n in range(quality._MAX_POWER)]
+    # The blank behind a word adds its power less itself.
+    hashes = [(sum(ord(x) * power[n + 1] for n, x in enumerate(w)) + power[0] - 1) & mask for w in words]
+    out = [0] + [1] * sum(a == b for a, b in zip(hashes, hashes[1:]))
+    out += [bucket(((h ^ (h >> 29)) * c[5]) & mask) for h in hashes]
+    out += [bucket(((a * c[6] + b) * c[7]) & mask) for a, b in zip(hashes, hashes[1:])]
+    for w in words:
+        padded = [1, *map(ord, w), 1]
+        for n in range(len(padded) - 2):
+            out.append(bucket(((padded[n] * c[0] + padded[n + 1] * c[1] + padded[n + 2] * c[2]) * c[5]) & mask))
+        for n in range(len(padded) - 3):
+            three = padded[n] * c[0] + padded[n + 1] * c[1] + padded[n + 2] * c[2]
+            out.append(bucket(((three * c[3] + padded[n + 3] * c[4]) * c[6]) & mask))
+    return out
+
+
+def test_quality_training_matches_a_plain_version(spark, monkeypatch):
+    for text in ("a", "ab cd", "hello hello world", "été  中文\n x"):
+        assert sorted(quality.features(text).tolist()) == sorted(plain_features(text, quality.BUCKETS_LOG2))
+    monkeypatch.setattr(quality, "STEPS", 120)
+    texts = ["fine words here", "&& ## **", "more fine words", "## $$ &&", "words", "** now"]
+    labels, bits, size = [1, 0, 1, 0, 1, 0], 9, quality.DIMENSIONS
+    docs = [np.unique([b % (1 << bits) for b in plain_features(t, quality.BUCKETS_LOG2)], return_counts=True) for t in texts]
+    learned = quality.train(docs, np.array(labels), bits=bits, seed=3)
+    rng = np.random.default_rng(3)
+    vectors = rng.uniform(-1.0 / size, 1.0 / size, (1 << bits, size)).tolist()
+    weights = [[0.0, 0.0] for _ in range(size)]
+    step = 0
+    for _ in range(20):
+        for i in rng.permutation(len(docs)):
+            rate = quality.RATE * (1 - step / 120)
+            step += 1
+            buckets, counts = docs[i][0].tolist(), docs[i][1].tolist()
+            share = [n / sum(counts) for n in counts]
+            hidden = [sum(s * vectors[b][d] for s, b in zip(share, buckets)) for d in range(size)]
+            z = [sum(hidden[d] * weights[d][k] for d in range(size)) for k in range(2)]
+            p = [math.exp(z[k] - max(z)) / sum(math.exp(y - max(z)) for y in z) - (k == labels[i]) for k in range(2)]
+            back = [sum(weights[d][k] * p[k] for k in range(2)) for d in range(size)]
+            for d in range(size):
+                for k in range(2):
+                    weights[d][k] -= rate * hidden[d] * p[k]
+                for s, b in zip(share, buckets):
+                    vectors[b][d] -= rate * s * back[d] * len(buckets) ** 0.5
+    logit = [sum(v[d] * (weights[d][1] - weights[d][0]) for d in range(size)) for v in vectors]
+    assert learned.logit == pytest.approx(logit, abs=1e-3) and max(map(abs, logit)) > 0.5
+
+
+def test_quality_sample_does_not_depend_on_the_layout(spark):
+    rows = [(i, ("fine words here" if i % 2 else "&&& ### ***") * 3, "", "", "", "") for i in range(60)]
+    rows += [(4, f"other text {n} of one id", "", "", "", "") for n in range(200)] + [(6, None, "", "", "", "")]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(i, i % 2, 0, "x") for i in range(60)] * 2 + [(4, 1, 0, "x")], LABELS)
+    models = [quality.learn(d, labels, sample_counts=n) for d in (docs.repartition(7), docs.orderBy(F.col("text").desc()).coalesce(1)) for n in (300, 1 << 30)]
+    assert np.array_equal(models[0].logit, models[2].logit) and np.array_equal(models[1].logit, models[3].logit)
+    assert not np.array_equal(models[0].logit, models[1].logit)
+
+
 def test_language_held_out(tables):
     found = langid.identify(tables["documents"]).withColumn("guess", F.col("lang_pred"))
     assert held_accuracy(found, tables["documents"].select("doc_id", F.col("lang").alias("truth"))) > 0.95
@@ -153,6 +222,26 @@ def test_pii_account_ends():
     assert not list(pii.accounts("AA11 " * 20_000))
 
 
+def test_pii_long_texts():
+    unit = "mail a.b@c-d.org or ssn 219-09-9999, card 4111 1111 1111 1111, iban DE89 3704 0044 0532 0130 00; 10.0.0.1 +1 743 555 3824\n"
+    text = unit * (5_000_000 // len(unit))
+    start = time.process_time()
+    spans = pii.find_spans(text)
+    assert time.process_time() - start < 60
+    assert Counter(s.kind for s in spans) == dict.fromkeys(pii.KINDS, text.count("\n"))
+    assert pii.redact(text, spans).count("[SSN]") == text.count("\n")
+
+
+def test_pii_overlaps_match_the_plain_way():
+    rng = random.Random(10)
+    for _ in range(300):
+        spans = [(s, s + rng.randint(1, 9)) for s in (rng.randrange(60) for _ in range(rng.randint(0, 8)))]
+        taken = pii._Taken(spans)
+        for start in range(0, 70, 3):
+            for end in range(start + 1, start + 9):
+                assert taken.overlaps(start, end) == any(s < end and start < e for s, e in spans)
+
+
 def test_pii_rows(spark):
     rows = [(1, "a@b.c", "", "", "", ""), (1, "a@b.c", "", "", "", ""), (None, "é 1.2.3.4", "", "", "", ""), (2, None, "", "", "", "")]
     got = pii.report(spark.createDataFrame(rows, DOCS)).collect()
@@ -229,6 +318,30 @@ def test_html_containers_of_articles():
         assert html.main_text(PAGE.format(article=f'{inner}<div class="{name}">{teaser}</div>')) == MAIN, name
 
 
+def test_html_in_other_languages():
+    texts = {
+        "ru": "Это было лучшее из времён и худшее из времён, и всё это стояло в книге, которую он читал вечером у окна своего дома.",
+        "pt": "Foi o melhor dos tempos e foi o pior dos tempos, e tudo isso estava no livro que ele lia à noite perto da janela.",
+        "tr": "Zamanların en iyisiydi, zamanların en kötüsüydü ve bunların hepsi akşamları pencerenin yanında okuduğu kitapta yazıyordu.",
+        "zh": "那是最美好的时代，那是最糟糕的时代。" * 6,
+    }
+    for text in texts.values():
+        body = f"<h1>{text[:20]}</h1><p>{text} {text}</p><p>{text[:30]}</p><p>{text} {text}</p>"
+        want = f"{text[:20].strip()}\n{text} {text}\n{text[:30].strip()}\n{text} {text}"
+        links = "".join(f"<li><a href=/{n}>{text[:25]}</a></li>" for n in range(9))
+        for tag in ("<div class=content>{}</div>", "<div>{}</div>", "<article>{}</article>", "<div class=widget>{}</div>"):
+            page = f"<body><nav><ul>{links}</ul></nav><div><ul>{links}</ul></div>{tag.format(body)}<footer><p>{text}</p></footer></body>"
+            assert html.main_text(page) == want, (tag, text)
+
+
+def test_html_ties_of_neighbours():
+    good, bad, short = (html.Block(t, 0, False, 0, False, label) for t, label in (("g", "good"), ("b", "bad"), ("s", "short")))
+    for order, want in (([good, short, bad], "good"), ([bad, short, good], "good"), ([bad, short, bad], "bad"), ([good, bad, short], "bad")):
+        blocks = [html.Block(b.text, 0, False, 0, False, b.label) for b in order]
+        html.second_pass(blocks)
+        assert next(b for b in blocks if b.text == "s").label == want
+
+
 def test_html_long_values():
     for n in (10, 400, 5000):
         value = "<p>of the and to in a is that</p>" * n

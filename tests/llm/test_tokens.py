@@ -45,6 +45,16 @@ def test_bpe_caches_change_nothing(library, monkeypatch):
         assert coder.encode(text)[0].decode() == ",".join(map(str, library.encode(text, add_special_tokens=False).ids))
 
 
+def test_bpe_caches_hold_short_texts_only(library):
+    coder, rng = bpe.PrefixBpe(PATH), random.Random(9)
+    texts = ["".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(3000)) for _ in range(60)] + ["x" * 70 + " " + "y" * 65 + " z"]
+    for text, (ids, decoded) in zip(texts, coder.encode_batch(texts)):
+        assert ids.decode() == ",".join(map(str, library.encode(text, add_special_tokens=False).ids)) and decoded == text
+    assert all(len(k) <= bpe.CACHED_CHARS for c in (coder._first, coder._later, coder._pieces) for k in c)
+    long = "long text, 中文 " * 40_000
+    assert coder.encode(long)[0].count(b",") + 1 == len(library.encode(long, add_special_tokens=False).ids)
+
+
 def test_bpe_rows(spark, library):
     rows = [(1, "one two", "x", "y"), (1, "one two", "x", "y"), (None, "z", "x", "y"), (2, None, "x", "y"), (3, "", "x", "y")]
     got = bpe.encode_digests(spark.createDataFrame(rows, DOCS), PATH).orderBy("doc_id").collect()
@@ -85,6 +95,18 @@ def test_packing_holds_every_id_once(spark, library):
     check_pieces(rows, docs, library, 64)
 
 
+def test_segment_ids_match_the_library(library, monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_ENTRIES", 30)
+    rng = random.Random(8)
+    marks = ["\n", "\n\n", "\t", " ", "  ", ". ", ".\n", "!)\n", "\x1c", "\x85", "'s", " <|endoftext|>", "\r\n"]
+    texts = ["".join(rng.choice(["word", "Été", "中文", "a1", "X"]) + rng.choice(marks) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    texts += odd_texts(2000)
+    coder = packing.SegmentIds(PATH)
+    for at in range(0, len(texts), 100):
+        for text, ids in zip(texts[at : at + 100], coder.batch(texts[at : at + 100])):
+            assert np.frombuffer(ids, np.uint32).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_packing_edges(spark):
     same = spark.createDataFrame([(1, "a", "", "")] * 3 + [(None, None, "", "")], DOCS).coalesce(1)
     rows = packing.pack_documents(same, PATH).collect()

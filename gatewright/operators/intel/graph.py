@@ -90,22 +90,36 @@ def graph_view(
     max_edges: int | None = None,
     max_external: int | None = None,
 ) -> dict[str, DataFrame]:
-    """Nodes, edges between kept nodes, externals, and the accounting of each."""
-    internal = nodes.where((F.col("kind") != "external-dependency") & P.under_prefix(F.col("id"), prefix))
+    """Nodes, edges between kept nodes, externals, and the accounting of each.
+
+    Without ``max_nodes`` the ends of an edge tell by themselves whether both are kept.
+    """
     external = nodes.where(F.col("kind") == "external-dependency").select("repo_id", "name").distinct()
-    kept = top_k(internal, ["repo_id"], [F.col("id")], max_nodes)
-    ids = kept.select("repo_id", "id")
-    inside = edges.join(ids.withColumnRenamed("id", "src"), ["repo_id", "src"], "left_semi").join(
-        ids.withColumnRenamed("id", "dst"), ["repo_id", "dst"], "left_semi"
+    inner = nodes.where((F.col("kind") != "external-dependency") & P.under_prefix(F.col("id"), prefix))
+    kept = top_k(inner, ["repo_id"], [F.col("id")], max_nodes)
+    ends = (F.col("kind") != "external") & P.under_prefix(F.col("src"), prefix) & P.under_prefix(F.col("dst"), prefix)
+    inside = edges.where(ends)
+    if max_nodes is not None:
+        ids = kept.select("repo_id", "id")
+        inside = inside.join(ids.withColumnRenamed("id", "src"), ["repo_id", "src"], "left_semi").join(
+            ids.withColumnRenamed("id", "dst"), ["repo_id", "dst"], "left_semi"
+        )
+    section = F.when(F.col("kind") == "external-dependency", "externals").when(P.under_prefix(F.col("id"), prefix), "nodes")
+    counted = nodes.select("repo_id", section.alias("section")).where(F.col("section").isNotNull())
+    counted = counted.unionByName(inside.select("repo_id", F.lit("edges").alias("section")))
+    limits = F.create_map(
+        *[x for k, v in (("nodes", max_nodes), ("edges", max_edges), ("externals", max_external)) for x in (F.lit(k), F.lit(v).cast("long"))]
     )
-    kept_edges = top_k(inside, ["repo_id"], [F.col("src"), F.col("dst")], max_edges)
-    kept_external = top_k(external, ["repo_id"], [F.col("name")], max_external)
-    account = (
-        trimmed(internal, max_nodes, "nodes")
-        .unionByName(trimmed(inside, max_edges, "edges"))
-        .unionByName(trimmed(external, max_external, "externals"))
+    cut = F.coalesce(F.element_at(limits, F.col("section")), F.col("total"))
+    account = counted.groupBy("repo_id", "section").agg(F.count(F.lit(1)).alias("total")).select(
+        "repo_id", "section", F.least("total", cut).alias("returned"), "total", F.greatest(F.col("total") - cut, F.lit(0)).alias("omitted")
     )
-    return {"nodes": kept, "edges": kept_edges, "externals": kept_external, "accounting": account}
+    return {
+        "nodes": kept,
+        "edges": top_k(inside, ["repo_id"], [F.col("src"), F.col("dst")], max_edges),
+        "externals": top_k(external, ["repo_id"], [F.col("name")], max_external),
+        "accounting": account,
+    }
 
 
 def trimmed(rows: DataFrame, limit: int | None, label: str) -> DataFrame:

@@ -6,14 +6,10 @@ import json
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from gatewright.functions.patterns import RULES as D
 from gatewright.functions.patterns import ascii_boundaries
 from gatewright.functions import paths as P
 from gatewright.functions import text as X
-from gatewright.operators.admission import explode_lines
-from gatewright.operators.scale import top_k
 
 # Per language (pattern on the trimmed line, prefix for non-relative specifiers).
 LINE_RULES = {
@@ -38,7 +34,8 @@ LINE_RULES = {
 }
 SCRIPT_LANGUAGES = ["TypeScript", "JavaScript"]
 SCRIPT_IMPORT = ascii_boundaries(r"(?:\bfrom|\bimport|\brequire)\s*\(?\s*[\"']([^\"']+)[\"']")
-GO_OPEN, GO_CLOSE, GO_INNER = r"^import\s*\(", r"^\s*\)", r'(?:[\w.]+\s+)?"([^"]+)"'
+# Lines are told by \n alone, so a blank before the bracket is any white space but that.
+GO_OPEN, GO_CLOSE, GO_INNER = r"(?md)^import[^\S\n]*\(", r"(?md)^[^\S\n]*\)", r'(?:[\w.]+\s+)?"([^"]+)"'
 PY_FROM = r"(?m)^[ \t]*from[ \t]+([.\w]+)[ \t]+import[ \t]+(\([^)]*\)|[^\n]*)"
 PY_IMPORT = r"^import\s+(.+)\z"
 
@@ -66,7 +63,8 @@ SOURCE_ROOTS = {
     "Java": ["", "src/main/java/", "src/test/java/", "src/", "app/src/main/java/"],
     "Kotlin": ["", "src/main/kotlin/", "src/test/kotlin/", "src/", "app/src/main/kotlin/"],
 }
-COLUMNS = ["repo_id", "path", "language", "line", "raw", "specifier", "certain"]
+_RECORDS = "array<struct<raw:string,specifier:string,certain:boolean>>"
+_PLACED = "array<struct<line:int,nth:int,raw:string,specifier:string,certain:boolean>>"
 
 
 def _import_sources(files: DataFrame) -> DataFrame:
@@ -82,9 +80,13 @@ def _record(raw: Column, specifier: Column, certain: bool = True) -> Column:
     return F.struct(raw.alias("raw"), specifier.alias("specifier"), F.lit(certain).alias("certain"))
 
 
-def _by_line(lines: DataFrame) -> DataFrame:
-    """Line rules: the first rule of the language that matches wins."""
-    text, lang = F.trim(F.col("text")), F.col("language")
+def _at(line: Column, records: Column) -> Column:
+    """Records with their line and their place among those of the line."""
+    return F.transform(records, lambda r, n: F.struct(line.cast("int").alias("line"), n.cast("int").alias("nth"), r["raw"].alias("raw"), r["specifier"].alias("specifier"), r["certain"].alias("certain")))
+
+
+def _line_records(text: Column, lang: Column) -> Column:
+    """Records of one trimmed line: the first rule of the language that matches wins."""
     options = []
     for language, rules in LINE_RULES.items():
         for pattern, prefix in rules:
@@ -100,66 +102,69 @@ def _by_line(lines: DataFrame) -> DataFrame:
     )
     names = F.filter(names, lambda s: s != "")
     options.append(F.when((lang == "Python") & text.rlike(PY_IMPORT), F.transform(names, lambda s: _record(s, s))))
-    hits = F.coalesce(*options)
-    return lines.select("repo_id", "path", "language", "line", F.posexplode(hits).alias("nth", "r")).select(
-        "repo_id", "path", "language", "line", "nth", "r.*"
-    )
+    return F.coalesce(*options, F.array().cast(_RECORDS))
+
 
+def _go_records(body: Column) -> Column:
+    """Specifiers inside ``import ( ... )``: from the line after the opening one up to the first that closes.
 
-def _go_blocks(files: DataFrame) -> DataFrame:
-    """Specifiers inside ``import ( ... )``; block state is carried down one file's lines."""
-    go = files.where((F.col("language") == "Go") & F.col("content").rlike("(?m)" + GO_OPEN))
-    lines = explode_lines(go)
-    text = F.col("text")
-    state = F.when(text.rlike(GO_OPEN), F.lit(1)).when(text.rlike(GO_CLOSE), F.lit(0))
-    before = Window.partitionBy("repo_id", "path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    inside = lines.withColumn("open", F.last(state, ignorenulls=True).over(before)).where(
-        (F.col("open") == 1) & ~text.rlike(GO_CLOSE) & text.rlike(GO_INNER)
+    Cutting the text at the opening lines leaves pieces that begin inside a block; `match_lines` counts their lines.
+    """
+    starts = X.match_lines(body, GO_OPEN)
+    blocks = F.zip_with(
+        F.slice(F.split(body, GO_OPEN, -1), F.lit(2), F.greatest(F.size(starts), F.lit(0))),
+        starts,
+        lambda piece, at: F.struct(F.split(F.element_at(F.split(piece, GO_CLOSE, 2), 1), r"\r?\n").alias("lines"), at["line"].alias("line")),
     )
-    found = F.regexp_extract("text", GO_INNER, 1)
-    return inside.select(
-        "repo_id", "path", "language", "line", F.lit(0).alias("nth"), found.alias("raw"), found.alias("specifier"),
-        F.lit(True).alias("certain"),
-    )
+
+    def inner(block: Column) -> Column:
+        def of_line(text: Column, n: Column) -> Column:
+            found = F.regexp_extract(text, GO_INNER, 1)
+            return _at(block["line"] + n, F.when((n > 0) & text.rlike(GO_INNER), F.array(_record(found, found))).otherwise(F.array().cast(_RECORDS)))
+
+        return F.flatten(F.transform(block["lines"], of_line))
+
+    return F.flatten(F.transform(blocks, inner))
 
 
-def _python_from(files: DataFrame) -> DataFrame:
+def _python_records(body: Column) -> Column:
     """``from m import a, b``: the module itself, and each name as an uncertain submodule."""
-    body = F.col("content")
-    rows = files.where((F.col("language") == "Python") & body.rlike(PY_FROM))
     modules = F.regexp_extract_all(body, F.lit(PY_FROM), F.lit(1))
     lists = F.regexp_extract_all(body, F.lit(PY_FROM), F.lit(2))
-    joined = F.zip_with(
-        X.match_lines(body, PY_FROM),
-        F.arrays_zip(modules.alias("m"), lists.alias("names")),
-        lambda a, b: F.struct(a["line"].alias("line"), b["m"].alias("m"), b["names"].alias("names")),
-    )
-    each = rows.select("repo_id", "path", "language", F.explode(joined).alias("j")).select(
-        "repo_id", "path", "language", "j.line", "j.m", "j.names"
-    )
-    names = F.filter(
-        F.transform(
-            F.split(F.regexp_replace("names", "[()\r\n]", " "), ","),
-            lambda s: F.trim(F.regexp_replace(F.trim(s), r"\s+as\s+.*\z", "")),
-        ),
-        lambda s: s != "",
-    )
-    dot = F.when(F.col("m").endswith("."), F.lit("")).otherwise(F.lit("."))
-    records = F.concat(
-        F.array(_record(F.col("m"), F.col("m"))),
-        F.transform(names, lambda n: _record(F.concat_ws(" ", F.col("m"), n), F.concat(F.col("m"), dot, n), False)),
-    )
-    return each.select("repo_id", "path", "language", "line", F.posexplode(records).alias("nth", "r")).select(
-        "repo_id", "path", "language", "line", "nth", "r.*"
-    )
+
+    def of_match(at: Column, said: Column) -> Column:
+        m = said["m"]
+        names = F.filter(
+            F.transform(
+                F.split(F.regexp_replace(said["names"], "[()\r\n]", " "), ","),
+                lambda s: F.trim(F.regexp_replace(F.trim(s), r"\s+as\s+.*\z", "")),
+            ),
+            lambda s: s != "",
+        )
+        dot = F.when(m.endswith("."), F.lit("")).otherwise(F.lit("."))
+        records = F.concat(F.array(_record(m, m)), F.transform(names, lambda n: _record(F.concat_ws(" ", m, n), F.concat(m, dot, n), False)))
+        return _at(at["line"], records)
+
+    return F.flatten(F.zip_with(X.match_lines(body, PY_FROM), F.arrays_zip(modules.alias("m"), lists.alias("names")), of_match))
 
 
 def extract_imports(files: DataFrame, limit: int | None = None) -> DataFrame:
-    """Import records, numbered per file in (line, specifier) order; with ``limit`` the first of them."""
-    sources = _import_sources(files)
-    rows = _by_line(explode_lines(sources)).unionByName(_go_blocks(sources)).unionByName(_python_from(sources))
-    ordered = top_k(rows, ["repo_id", "path"], [F.col("line"), F.col("specifier"), F.col("nth")], limit, rank="n")
-    return ordered.select(*COLUMNS, "n")
+    """Import records, numbered per file in (line, specifier) order; with ``limit`` the first of them.
+
+    A file stays one row until all its records are found, sorted and numbered: one scan and no shuffle.
+    """
+    body, lang = F.col("content"), F.col("language")
+    by_line = F.flatten(F.transform(X.lines_of(body), lambda text, n: _at(n + 1, _line_records(F.trim(text), lang))))
+    none = F.array().cast(_PLACED)
+    records = F.concat(
+        by_line,
+        F.when((lang == "Go") & body.rlike(GO_OPEN), _go_records(body)).otherwise(none),
+        F.when((lang == "Python") & body.rlike(PY_FROM), _python_records(body)).otherwise(none),
+    )
+    ordered = F.array_sort(F.transform(records, lambda r: F.struct(r["line"].alias("line"), r["specifier"].alias("specifier"), r["nth"].alias("nth"), r["raw"].alias("raw"), r["certain"].alias("certain"))))
+    kept = ordered if limit is None else F.slice(ordered, F.lit(1), F.lit(limit))
+    rows = _import_sources(files).select("repo_id", "path", "language", F.posexplode(kept).alias("at", "r"))
+    return rows.select("repo_id", "path", "language", "r.line", "r.raw", "r.specifier", "r.certain", (F.col("at") + 1).alias("n"))
 
 
 # --- resolution --------------------------------------------------------------------
@@ -168,6 +173,7 @@ def is_relative(spec: Column) -> Column:
 
 
 _EMPTY = "array<string>"
+_DIRECTORY = 1 << 20  # position of the directory probe, behind all files
 
 
 def _extensions() -> Column:
@@ -241,11 +247,37 @@ def _rust_candidates(spec: Column) -> Column:
     return F.when(path.isNotNull(), F.concat(forms, _with_extensions(path)))
 
 
-def _strip_prefix(spec: Column, prefixes: Column) -> Column:
-    """Specifier below the first root prefix it starts with; null when none."""
-    clean = F.transform(prefixes, lambda p: F.regexp_replace(p, r"/+\z", ""))
-    hit = F.get(F.filter(clean, lambda p: (p != "") & spec.startswith(F.concat(p, F.lit("/")))), F.lit(0))
-    return P.normalise_path(F.substring(spec, F.length(hit) + 2, F.length(spec)))
+def _own_directories(found: DataFrame, modules: DataFrame | None, root_prefixes: DataFrame | None) -> DataFrame:
+    """Adds ``named_dir``, the directory of the module that a specifier's package names, and ``prefix``, the longest
+    root prefix that it starts with.
+
+    Every specifier asks for its package and for each of its own leading paths; the answers meet them in one equi-join
+    on (repo, key), so no repository's list is gathered.
+    """
+    known = []
+    if modules is not None:
+        named = modules.groupBy("repo_id", "name").agg(F.min("path").alias("answer"))
+        known.append(named.select("repo_id", F.lit("module").alias("what"), F.col("name").alias("key"), "answer"))
+    if root_prefixes is not None:
+        clean = F.regexp_replace("prefix", r"/+\z", "")
+        prefixes = root_prefixes.select("repo_id", clean.alias("key")).where("key <> ''").distinct()
+        known.append(prefixes.select("repo_id", F.lit("prefix").alias("what"), "key", F.col("key").alias("answer")))
+    if not known:
+        return found.withColumn("named_dir", F.lit(None).cast("string")).withColumn("prefix", F.lit(None).cast("string"))
+    spec = F.col("spec")
+    bare = ~spec.startswith(".") & ~spec.startswith("/")
+    asks = F.concat(
+        F.array(F.struct(F.lit("module").alias("what"), F.when(bare, P.package_name_of(spec)).alias("key"))),
+        F.transform(P.ancestor_dirs(spec), lambda d: F.struct(F.lit("prefix").alias("what"), d.alias("key"))),
+    )
+    own = found.columns
+    asked = found.select(*own, F.explode(asks).alias("ask")).select(*own, "ask.what", "ask.key")
+    answers = known[0] if len(known) == 1 else known[0].unionByName(known[1])
+    told = asked.join(answers, ["repo_id", "what", "key"], "left")
+    longest = F.max(F.when(F.col("what") == "prefix", F.struct(F.length("answer").alias("size"), F.col("answer"))))
+    return told.groupBy(*own).agg(
+        F.max(F.when(F.col("what") == "module", F.col("answer"))).alias("named_dir"), longest["answer"].alias("prefix")
+    )
 
 
 def resolve_imports(
@@ -256,57 +288,46 @@ def resolve_imports(
 ) -> DataFrame:
     """Adds kind (file / module / external / unresolved), target and reason.
 
-    Resolution depends on (repo, path, specifier) only, so it runs on distinct
-    triples.  Every candidate path becomes a row and meets the tree in one
-    equi-join on (repo, path); the lowest candidate position wins.
-    ``modules(repo_id, name, path)``; ``root_prefixes(repo_id, prefix)``.
+    Every candidate path of an import, and the directory it may name, becomes a row and meets the tree's files and
+    directories in one equi-join; the lowest candidate position found wins.  The imports are read once.
+    ``modules(repo_id, name, path)``; ``root_prefixes(repo_id, prefix)``, of which the longest that fits counts.
     """
-    key = ["repo_id", "path", "specifier"]
-    base = imports.select(*key, "language").distinct().withColumn("spec", F.trim("specifier"))
+    own = imports.columns
+    base = _own_directories(imports.withColumn("spec", F.trim("specifier")), modules, root_prefixes)
     spec, lang = F.col("spec"), F.col("language")
-    base = base.withColumn("package", P.package_name_of(spec))
-    if root_prefixes is None:
-        base = base.withColumn("prefixes", F.array().cast("array<string>"))
-    else:
-        # A repository has as many prefixes as root manifests.
-        prefixes = root_prefixes.groupBy("repo_id").agg(F.array_sort(F.collect_set("prefix")).alias("prefixes"))
-        base = base.join(prefixes, "repo_id", "left").withColumn(
-            "prefixes", F.coalesce("prefixes", F.array().cast("array<string>"))
-        )
-    if modules is None:
-        base = base.withColumn("named_dir", F.lit(None).cast("string"))
-    else:
-        named = modules.groupBy("repo_id", F.col("name").alias("package")).agg(F.min("path").alias("named_dir"))
-        base = base.join(named, ["repo_id", "package"], "left")
     bare = ~spec.startswith(".") & ~spec.startswith("/")
-    stripped = _strip_prefix(spec, F.col("prefixes"))
-    base = base.withColumn("stripped", stripped).withColumn(
-        "module_dir", F.when(lang == "Go", F.col("stripped")).when(bare, F.col("named_dir"))
-    )
-    joined = P.normalise_path(F.concat(P.dirname(F.col("path")), F.lit("/"), spec))
-    base = base.withColumn("near", F.when(is_relative(spec), joined))
+    rest = F.substring(spec, F.length("prefix") + 2, F.length(spec))
+    base = base.withColumn("stripped", F.when(F.col("prefix").isNotNull(), P.normalise_path(rest)))
+    base = base.withColumn("module_dir", F.when(lang == "Go", F.col("stripped")).when(bare, F.col("named_dir")))
+    near = P.normalise_path(F.concat(P.dirname(F.col("path")), F.lit("/"), spec))
     candidates = (
         F.when(lang == "Python", _python_candidates(spec))
         .when(lang == "Rust", _rust_candidates(spec))
         .when(lang.isin(*SOURCE_ROOTS), _absolute_candidates(spec))
         .when(lang == "Go", F.array().cast(_EMPTY))
-        .when(is_relative(spec), _relative_candidates(F.col("near")))
+        .when(is_relative(spec), _relative_candidates(near))
         .when(F.col("module_dir").isNotNull(), _entry_candidates(F.col("module_dir")))
         .when(F.col("stripped").isNotNull(), _with_extensions(F.col("stripped")))
     )
-    probes = base.select(*key, F.posexplode(candidates).alias("pos", "candidate")).where(
-        F.col("candidate").isNotNull()
+    found = base.drop("named_dir", "prefix")
+    probe = lambda at, what, path: F.struct(at.cast("int").alias("at"), F.lit(what).alias("what"), path.alias("candidate"))
+    probes = F.concat(
+        F.transform(F.coalesce(candidates, F.array().cast(_EMPTY)), lambda c, n: probe(n, "file", c)),
+        F.array(probe(F.lit(_DIRECTORY), "dir", F.col("module_dir"))),
+    )
+    asked = found.select(*found.columns, F.explode(probes).alias("p")).select(*found.columns, "p.*")
+    entries = F.concat(
+        F.array(F.struct(F.lit("file").alias("what"), F.col("path").alias("candidate"))),
+        F.transform(P.ancestor_dirs(F.col("path")), lambda d: F.struct(F.lit("dir").alias("what"), d.alias("candidate"))),
     )
-    listed = tree.select("repo_id", F.col("path").alias("candidate")).distinct()
-    hits = probes.join(listed, ["repo_id", "candidate"])
-    files = hits.groupBy(*key).agg(F.min_by("candidate", "pos").alias("file"))
-    dirs = tree.select("repo_id", F.explode(P.ancestor_dirs(F.col("path"))).alias("module_dir")).distinct()
-    found_dirs = dirs.withColumn("dir_exists", F.lit(True))
-    rows = base.join(files, key, "left").join(found_dirs, ["repo_id", "module_dir"], "left")
+    there = tree.select("repo_id", F.explode(entries).alias("e")).select("repo_id", "e.*").distinct().withColumn("there", F.lit(True))
+    met = asked.join(there, ["repo_id", "what", "candidate"], "left")
+    hit = F.min(F.when(F.col("there"), F.struct("at", "candidate")))
+    rows = met.groupBy(*found.columns).agg(hit.alias("hit"))
     kind = (
         F.when(spec == "", "unresolved")
-        .when(F.col("file").isNotNull(), "file")
-        .when(F.col("dir_exists"), "module")
+        .when(F.col("hit.at") < _DIRECTORY, "file")
+        .when(F.col("hit").isNotNull(), "module")
         .when(spec.startswith("/") | spec.startswith("."), "unresolved")
         .when((lang == "Go") & F.col("stripped").isNotNull(), "unresolved")
         .otherwise("external")
@@ -317,13 +338,11 @@ def resolve_imports(
         .when(spec.startswith("."), "the relative path leads to no file")
         .otherwise("the repository lacks the package's directory")
     )
-    resolved = rows.withColumn("kind", kind).select(
-        *key,
+    return rows.withColumn("kind", kind).select(
+        *own,
         "kind",
-        F.when(F.col("kind") == "file", F.col("file"))
-        .when(F.col("kind") == "module", F.col("module_dir"))
-        .when(F.col("kind") == "external", F.col("package"))
+        F.when(F.col("kind").isin("file", "module"), F.col("hit.candidate"))
+        .when(F.col("kind") == "external", P.package_name_of(spec))
         .alias("target"),
         F.when(F.col("kind") == "unresolved", reason).alias("reason"),
     )
-    return imports.join(resolved, key)

@@ -11,6 +11,7 @@ from gatewright.operators.intel import graph, imports, inventory, manifests, mod
 from gatewright.queries import scans
 from gatewright.queries import sql as S
 from gatewright.queries.registry import query, view
+from gatewright.sources.tables import run_folder, stored
 
 _TEXT = f"{S.GRADED}, text AS (SELECT repo_id, path, size FROM graded WHERE kind = 'text')"
 
@@ -55,11 +56,6 @@ def listed_files(spark, d):
 
 
 # --- manifests -----------------------------------------------------------------------------------
-@query("manifest_dependencies")
-def manifest_dependencies(spark, d):
-    return manifests.manifest_dependencies(manifests.parse_manifests(_files(spark, d)))
-
-
 _PKG_DEPS = "pd AS (" + " UNION ALL ".join(
     f"SELECT repo_id, path, '{kind}' AS kind, unnest(json_keys(content, '$.{sec}')) AS name, content, '{sec}' AS sec FROM pj"
     for sec, kind in manifests.PACKAGE_SECTIONS.items()
@@ -87,11 +83,6 @@ def requirements_dependencies(spark, d):
     return out.select("repo_id", "manifest", "name", "version")
 
 
-@query("external_dependencies")
-def external_dependencies(spark, d):
-    return manifests.external_dependencies(manifests.parse_manifests(_files(spark, d)))
-
-
 @query("unparsed_manifests", f"WITH {_TEXT} SELECT repo_id, path FROM text WHERE {S.hit('path', manifests.UNPARSED)}")
 def unparsed_manifests(spark, d):
     return manifests.unparsed_manifests(_text(spark, d))
@@ -128,11 +119,6 @@ def workspace_dirs(spark, d):
     return modules.workspace_dirs(globs, modules.directories(_text(spark, d)))[0]
 
 
-@query("detect_modules")
-def detect_modules(spark, d):
-    return modules.detect_modules(_text(spark, d, True), _parsed(spark, d))
-
-
 @query(
     "top_level_modules",
     f"""WITH {_TEXT}, t AS (SELECT repo_id, split_part(path, '/', 1) AS path, count(*) AS n FROM text WHERE contains(path, '/') GROUP BY 1, 2),
@@ -245,9 +231,14 @@ def extract_imports(spark, d):
     return imports.extract_imports(_code(spark, d)).drop("n")
 
 
-def _resolved(spark, d):
+def _resolved(spark, d, modules=None, root_prefixes=None):
     code = _code(spark, d)
-    return imports.resolve_imports(imports.extract_imports(code), code)
+    return imports.resolve_imports(imports.extract_imports(code), code.drop("content"), modules, root_prefixes)
+
+
+def _edges(spark, d):
+    """Edges written once, for what reads them more than once."""
+    return stored(graph.dependency_edges(_resolved(spark, d)), run_folder(spark), "edges")
 
 
 _RES = f"""{_IMPORTS}, ctree AS (SELECT DISTINCT repo_id, path FROM code_lines),
@@ -272,6 +263,33 @@ def resolve_imports(spark, d):
     return _resolved(spark, d).select("repo_id", "path", "line", "specifier", "certain", "kind", "target")
 
 
+_OWN = """nm AS (SELECT DISTINCT repo_id, 'pkg' || CAST(ord % 9 AS VARCHAR) AS name, split_part(path, '/', 1) AS path FROM code_lines),
+rp AS (SELECT DISTINCT repo_id, CASE WHEN ord % 2 = 0 THEN 'example.com/x' ELSE 'example.com/' END AS prefix FROM code_lines)"""
+
+
+@query(
+    "resolve_module_imports",
+    f"""WITH {_RES}, {_OWN}, nd AS (SELECT repo_id, name, min(path) AS dir FROM nm GROUP BY 1, 2),
+dr AS (SELECT DISTINCT repo_id, array_to_string(p[1:i], '/') AS dir FROM (SELECT repo_id, p, unnest(range(1, len(p))) AS i FROM (SELECT repo_id, string_split(path, '/') AS p FROM ctree))),
+px AS (SELECT repo_id, regexp_replace(prefix, '/+$', '') AS prefix FROM rp),
+st AS (SELECT rs.repo_id, rs.path, rs.line, rs.specifier, arg_max(px.prefix, length(px.prefix)) AS prefix FROM rs JOIN px ON px.repo_id = rs.repo_id AND starts_with(rs.specifier, px.prefix || '/') GROUP BY ALL),
+al AS (SELECT rs.*, CASE WHEN rs.language = 'Go' THEN substr(rs.specifier, length(st.prefix) + 2) WHEN NOT starts_with(rs.specifier, '.') THEN nd.dir END AS dir
+ FROM rs LEFT JOIN st ON st.repo_id = rs.repo_id AND st.path = rs.path AND st.line = rs.line AND st.specifier = rs.specifier
+ LEFT JOIN nd ON nd.repo_id = rs.repo_id AND nd.name = CASE WHEN starts_with(rs.specifier, '@') THEN split_part(rs.specifier, '/', 1) || '/' || split_part(rs.specifier, '/', 2) ELSE split_part(rs.specifier, '/', 1) END)
+SELECT al.repo_id, al.path, al.line, al.specifier, CASE WHEN kind = 'file' THEN 'file' WHEN dr.dir IS NOT NULL THEN 'module' WHEN language = 'Go' AND al.dir IS NOT NULL THEN 'unresolved' ELSE kind END AS kind,
+ CASE WHEN kind = 'file' THEN target WHEN dr.dir IS NOT NULL THEN al.dir WHEN language = 'Go' AND al.dir IS NOT NULL THEN NULL ELSE target END AS target
+FROM al LEFT JOIN dr ON dr.repo_id = al.repo_id AND dr.dir = al.dir""",
+)
+def resolve_module_imports(spark, d):
+    """Imports of named modules and below root prefixes, of which the longest counts."""
+    lines = view(spark, d, "code_lines")
+    name = F.concat(F.lit("pkg"), (F.col("ord") % 9).cast("string"))
+    named = lines.select("repo_id", name.alias("name"), F.substring_index("path", "/", 1).alias("path")).distinct()
+    prefix = F.when(F.col("ord") % 2 == 0, "example.com/x").otherwise("example.com/")
+    prefixes = lines.select("repo_id", prefix.alias("prefix")).distinct()
+    return _resolved(spark, d, named, prefixes).select("repo_id", "path", "line", "specifier", "kind", "target")
+
+
 _EDGES = f"{_RES}, ed AS (SELECT repo_id, path AS src, CASE WHEN kind = 'file' THEN target ELSE kind || ':' || target END AS dst, kind, count(*) AS weight, string_agg(CAST(line AS VARCHAR), ',' ORDER BY line) AS lines FROM rs WHERE kind <> 'unresolved' AND (certain OR kind <> 'external') GROUP BY 1, 2, 3, 4)"
 
 
@@ -286,17 +304,19 @@ _NODES = f"{_EDGES}, nd AS (SELECT repo_id, src AS id, 'file' AS kind FROM ed UN
 
 @query("dependency_nodes", f"WITH {_NODES} SELECT * FROM nd")
 def dependency_nodes(spark, d):
-    return graph.dependency_nodes(graph.dependency_edges(_resolved(spark, d))).select("repo_id", "id", "kind")
+    return graph.dependency_nodes(_edges(spark, d)).select("repo_id", "id", "kind")
 
 
 @query(
     "graph_limitations",
-    f"WITH {_RES} SELECT repo_id, language, count(*) AS n FROM rs WHERE kind = 'unresolved' AND certain GROUP BY 1, 2",
+    f"""WITH {_RES}, lm AS (SELECT repo_id, 'unresolved-import' AS reason, language, path || ':' || line AS example FROM rs WHERE kind = 'unresolved' AND certain
+ UNION ALL SELECT repo_id, 'oversize', language, path FROM (SELECT repo_id, path, language, sum(length(text) + 1) AS size FROM cl GROUP BY 1, 2, 3) WHERE size > 120)
+SELECT repo_id, reason, language, count(*) AS n, string_agg(example, ',' ORDER BY example) AS examples FROM lm GROUP BY 1, 2, 3""",
 )
 def graph_limitations(spark, d):
-    code = _code(spark, d)
-    out = graph.graph_limitations(code, _resolved(spark, d))
-    return out.where(F.col("reason") == "unresolved-import").select("repo_id", "language", "n")
+    resolved = stored(_resolved(spark, d), run_folder(spark), "imports")
+    out = graph.graph_limitations(_code(spark, d).drop("content"), resolved, max_file_bytes=120)
+    return out.withColumn("examples", F.array_join("examples", ","))
 
 
 @query(
@@ -307,9 +327,9 @@ x AS (SELECT repo_id, 'nodes' AS section, count(*) AS total FROM i GROUP BY 1 UN
 SELECT repo_id, section, total, total AS returned, CAST(0 AS BIGINT) AS omitted FROM x""",
 )
 def graph_view(spark, d):
-    edges = graph.dependency_edges(_resolved(spark, d))
-    parts = graph.graph_view(graph.dependency_nodes(edges), edges)
-    return parts["accounting"]
+    edges = _edges(spark, d)
+    nodes = stored(graph.dependency_nodes(edges), run_folder(spark), "nodes")
+    return graph.graph_view(nodes, edges)["accounting"]
 
 
 # --- symbols -----------------------------------------------------------------------------------------

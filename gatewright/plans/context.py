@@ -36,6 +36,7 @@ def repo_map(corpus: DataFrame, repos: DataFrame | None = None, folder: str | No
         "frameworks": presence.frameworks(presence.detect_stack(corpus)),
         "package_managers": manifests.package_managers(corpus.where(F.col("admitted"))),
         "entrypoints": entry,
+        "detected": found,
         "modules": modules.module_importance(found, contained, edges, entry),
         "module_edges": edges,
         "important_files": ep.important_files(entry, config),

@@ -43,14 +43,15 @@ _README = f"""CASE WHEN t.seed % 7 = 0 THEN 'Hi ' || {_S} ELSE {_lines(
     "CASE t.seed % 5 WHEN 0 THEN '# Architecture' WHEN 1 THEN 'Built with care, see twitter' "
     "WHEN 2 THEN 'deployed on polygon at ' || " + _ADDRESS + " WHEN 3 THEN '12 passing' ELSE 'plain' END",
 )} END"""
+_NAME = f"CASE t.path WHEN 'packages/a/package.json' THEN 'mod-a' WHEN 'packages/b/package.json' THEN 'mod-b' ELSE 'pkg-' || {_S} END"
 _PACKAGE = f"""CASE t.seed % 7
- WHEN 0 THEN '{{"name": "pkg-' || {_S} || '"}}'
- WHEN 1 THEN '{{"name": "pkg-' || {_S} || '", "scripts": {{}}, "packageManager": "pnpm@9.1.0"}}'
- WHEN 2 THEN '{{"name": "pkg-' || {_S} || '", "scripts": {{"test": "vitest", "dev": "vite"}}, "dependencies": {{"react": "18", "next": "14", "pkg-' || cast(t.seed % 50 as string) || '": "*"}}, "devDependencies": {{"vitest": "1"}}, "main": "src/index"}}'
- WHEN 3 THEN '{{"name": "root", "workspaces": ["packages/*"], "scripts": {{"start": "node src/app.js"}}, "dependencies": {{"pg": "8", "ioredis": "5", "@scope/tool": "2"}}, "bin": {{"tool": "./src/app.js"}}}}'
+ WHEN 0 THEN '{{"name": "' || {_NAME} || '"}}'
+ WHEN 1 THEN '{{"name": "' || {_NAME} || '", "scripts": {{}}, "packageManager": "pnpm@9.1.0"}}'
+ WHEN 2 THEN '{{"name": "' || {_NAME} || '", "scripts": {{"test": "vitest", "dev": "vite"}}, "dependencies": {{"react": "18", "next": "14", "mod-b": "1", "pkg-' || cast(t.seed % 50 as string) || '": "*"}}, "devDependencies": {{"vitest": "1"}}, "main": "src/index"}}'
+ WHEN 3 THEN '{{"name": "root", "workspaces": ["packages/*"], "scripts": {{"start": "node src/app.js"}}, "dependencies": {{"pg": "8", "ioredis": "5", "@scope/tool": "2", "mod-a": "workspace:*", "mod-b": "workspace:*"}}, "bin": {{"tool": "./src/app.js"}}}}'
  WHEN 4 THEN '{{"name": '
- WHEN 5 THEN '{{"name": "pkg-' || {_S} || '", "scripts": {{"build": "tsc", "test:unit": "jest"}}, "peerDependencies": {{"vue": "3"}}, "optionalDependencies": {{"svelte": "4"}}, "exports": {{".": "./src/util/check.ts"}}}}'
- ELSE '{{"scripts": {{"dev": ""}}, "devDependencies": {{"hardhat": "2", "jest": "29"}}, "bin": "src/index.ts"}}' END"""
+ WHEN 5 THEN '{{"name": "' || {_NAME} || '", "scripts": {{"build": "tsc", "test:unit": "jest"}}, "peerDependencies": {{"vue": "3", "mod-a": "^1"}}, "optionalDependencies": {{"svelte": "4"}}, "exports": {{".": "./src/util/check.ts"}}}}'
+ ELSE '{{"scripts": {{"dev": ""}}, "devDependencies": {{"hardhat": "2", "jest": "29", "mod-a": "*"}}, "bin": "src/index.ts"}}' END"""
 _CODE = _lines(
     "'import { a } from \"./util/check.js\";'",
     "'import React from ''react'';'",

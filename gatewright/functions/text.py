@@ -69,7 +69,7 @@ def assignment_value(token: Column) -> Column:
 _BLOCK = 256
 
 
-def _bind(value: Column, use: Callable[[Column], Column]) -> Column:
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
     """``use(value)`` with ``value`` computed once: a lambda variable holds a value, not an expression."""
     return F.element_at(F.transform(F.array(value), use), 1)
 
@@ -90,8 +90,8 @@ def running_totals(counts: Column) -> Column:
 
         return F.transform(counts, at)
 
-    before = _bind(sums, lambda s: F.transform(s, lambda _, k: _total(F.slice(s, F.lit(1), k))))
-    return F.when(F.size(counts) > 0, _bind(before, place)).otherwise(counts)
+    before = bind(sums, lambda s: F.transform(s, lambda _, k: _total(F.slice(s, F.lit(1), k))))
+    return F.when(F.size(counts) > 0, bind(before, place)).otherwise(counts)
 
 
 def match_lines(content: Column, pattern: str) -> Column:
@@ -111,10 +111,10 @@ def match_lines(content: Column, pattern: str) -> Column:
             F.concat(F.array(F.lit(0)), F.slice(own, F.lit(1), F.greatest(F.size(matches) - 1, F.lit(0)))),
             lambda piece, inside: F.coalesce(piece, F.lit(0)) + F.coalesce(inside, F.lit(0)),
         )
-        lines = _bind(F.slice(steps, F.lit(1), F.size(matches)), running_totals)
+        lines = bind(F.slice(steps, F.lit(1), F.size(matches)), running_totals)
         return F.zip_with(matches, lines, lambda m, n: F.struct(m.alias("match"), (n + 1).alias("line")))
 
-    return _bind(found, placed)
+    return bind(found, placed)
 
 
 def first_match(content: Column, pattern: str) -> Column:

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import math
+import re
+from collections.abc import Iterator
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+from pyspark.sql import types as T
 
 from gatewright.functions.patterns import RULES as D
 from gatewright.functions.patterns import ascii_boundaries
@@ -17,7 +21,17 @@ from gatewright.operators.findings import draft, evidence, explode_drafts
 from gatewright.operators.scale import bounded_values
 
 _EXTENSION_NEXT = ascii_boundaries(r"(?i)^\.(?:" + "|".join(D.FILE_SUFFIXES) + r")\b")
-_ANY_RULE = "|".join("(?:" + r[3] + ")" for r in D.SECRET_RULES)
+# Text that every match of a rule holds, by kind: a rule's pattern is tried only where one of its literals occurs.
+LITERALS = {
+    "aws_access_key": ["AKIA"],
+    "github_pat": ["ghp_", "gho_", "ghu_", "ghs_", "ghr_"],
+    "stripe_live_key": ["sk_live_"],
+    "private_key": ["-----BEGIN "],
+    "db_url": ["://"],
+}
+LOWER_LITERALS = {"hardcoded_password": ["password", "passwd", "pwd"]}
+# A bot token has no literal; its own start is quick to look for.
+STARTS = {"telegram_bot_token": r"[0-9]:[A-Za-z0-9_-]{35}"}
 
 
 def token_pattern(min_length: int = D.MIN_TOKEN_LENGTH) -> str:
@@ -77,27 +91,52 @@ def _hit(kind: str, severity: str, reason) -> Column:
     )
 
 
-def _rule_hit(text: Column, template: Column, rule: tuple[str, str, str, str]) -> Column:
+def _may_match(kind: str, text: Column, lower: Column) -> Column:
+    """Whether a rule's literal occurs: far cheaper than its pattern."""
+    where = lower if kind in LOWER_LITERALS else text
+    tests = [where.contains(word) for word in LITERALS.get(kind) or LOWER_LITERALS.get(kind, [])]
+    return reduce(Column.__or__, tests or [text.rlike(STARTS[kind])])
+
+
+def _any_literal(text: Column) -> Column:
+    return X.bind(F.lower(text), lambda lower: reduce(Column.__or__, [_may_match(r[0], text, lower) for r in D.SECRET_RULES]))
+
+
+def _long_token(text: Column, min_length: int) -> Column:
+    """A run of token characters that is long enough; looked for at the start of a run only."""
+    chars = r"[A-Za-z0-9+/=_-]"
+    return text.rlike(rf"(?<!{chars}){chars}{{{min_length}}}")
+
+
+def _rule_hit(text: Column, lower: Column, template: Column, rule: tuple[str, str, str, str]) -> Column:
     """A hit when some match of the rule is not a sample value; null otherwise."""
     kind, severity, title, pattern = rule
+    may = _may_match(kind, text, lower)
     if kind in ("private_key",):
-        fires = text.rlike(pattern)
+        fires = may & text.rlike(pattern)
     else:
         sample = placeholder_db_url if kind == "db_url" else looks_like_sample
         found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-        fires = text.rlike(pattern) & F.exists(found, lambda m: ~sample(m))
+        fires = may & text.rlike(pattern) & F.exists(found, lambda m: ~sample(m))
     if kind in D.TEMPLATE_ONLY_KINDS:
         fires = fires & ~template
     return F.when(fires, _hit(kind, severity, f"{title} pattern"))
 
 
+def _pattern_hits(text: Column, path: Column) -> Column:
+    """Array of the pattern hits of one line."""
+    template = P.is_allowlisted_template(path)
+    return X.bind(F.lower(text), lambda lower: F.array_compact(F.array(*[_rule_hit(text, lower, template, r) for r in D.SECRET_RULES])))
+
+
+def _scan(lines: DataFrame, hits: Column) -> DataFrame:
+    keys = [c for c in lines.columns if c != "text"]
+    return lines.select(*keys, F.explode(hits).alias("h")).select(*keys, "h.*")
+
+
 def secret_pattern_hits(lines: DataFrame) -> DataFrame:
     """One hit per (line, pattern) of a lines table."""
-    text, template = F.col("text"), P.is_allowlisted_template(F.col("path"))
-    keys = [c for c in lines.columns if c != "text"]
-    rows = lines.where(text.rlike(_ANY_RULE))
-    hits = F.array_compact(F.array(*[_rule_hit(text, template, r) for r in D.SECRET_RULES]))
-    return rows.select(*keys, F.explode(hits).alias("h")).select(*keys, "h.*")
+    return _scan(lines.where(_any_literal(F.col("text"))), _pattern_hits(F.col("text"), F.col("path")))
 
 
 def entropy_tokens(text: Column, min_length: int = D.MIN_TOKEN_LENGTH) -> Column:
@@ -111,82 +150,132 @@ def entropy_tokens(text: Column, min_length: int = D.MIN_TOKEN_LENGTH) -> Column
     return F.filter(values, lambda v: F.length(v) >= min_length)
 
 
-def entropy_hits(
-    lines: DataFrame, floor: float = D.ENTROPY_FLOOR, min_length: int = D.MIN_TOKEN_LENGTH
-) -> DataFrame:
-    """One hit per line holding an unexplained token of high entropy.
+def _entropy_hit(text: Column, path: Column, floor: float, min_length: int) -> Column:
+    """The hit of a line that holds an unexplained token of high entropy; null otherwise.
 
     URLs go first; of ``NAME=value`` only the value is judged.
     """
     kind, severity, title = D.ENTROPY_KIND
-    pattern = token_pattern(min_length)
-    keys = [c for c in lines.columns if c != "text"]
-    rows = lines.where(F.col("text").rlike(pattern) & ~P.is_allowlisted_template(F.col("path")))
-    rows = rows.withColumn("text", X.strip_urls(F.col("text")))
-    judged = (
-        rows.select(*keys, "text", F.explode(entropy_tokens(F.col("text"), min_length)).alias("token"))
-        # Entropy cannot pass log2 of the alphabet: rules out most plain hex at once.
-        .where(F.size(X.distinct_chars(F.col("token"))) >= math.floor(2**floor))
-        .where(X.shannon_entropy(F.col("token")) >= floor)
-        .where(non_credential_shape(F.col("token"), F.col("text")).isNull())
-    )
-    return judged.select(*keys, _hit(kind, severity, f"{title} pattern").alias("h")).select(*keys, "h.*").distinct()
 
+    def judged(bare: Column) -> Column:
+        def high(token: Column) -> Column:
+            # Entropy cannot pass log2 of the alphabet: rules out most plain hex at once.
+            varied = F.size(X.distinct_chars(token)) >= math.floor(2**floor)
+            return varied & (X.shannon_entropy(token) >= floor) & non_credential_shape(token, bare).isNull()
 
-def mnemonic_hits(lines: DataFrame, wordlist: DataFrame) -> DataFrame:
-    """Lines with 12 or more consecutive words of the list.
+        return F.exists(entropy_tokens(bare, min_length), high)
 
-    The list is proven small, then broadcast.  Runs are islands of
-    (position - rank) inside one line, so the windows never outgrow a line.
-    """
+    fires = _long_token(text, min_length) & ~P.is_allowlisted_template(path) & X.bind(X.strip_urls(text), judged)
+    return F.when(fires, _hit(kind, severity, f"{title} pattern"))
+
+
+def entropy_hits(
+    lines: DataFrame, floor: float = D.ENTROPY_FLOOR, min_length: int = D.MIN_TOKEN_LENGTH
+) -> DataFrame:
+    """One hit per line holding an unexplained token of high entropy."""
+    hit = _entropy_hit(F.col("text"), F.col("path"), floor, min_length)
+    return _scan(lines.where(_long_token(F.col("text"), min_length)), F.array_compact(F.array(hit))).distinct()
+
+
+def _known_words(wordlist: DataFrame) -> frozenset[str]:
+    """The words of a list that is proven small, for the tasks' own use."""
+    return frozenset(bounded_values(wordlist, "word", 2 * D.WORDLIST_SIZE))
+
+
+_BETWEEN_WORDS = re.compile("[ \\t\\n\\x0b\\f\\r,]+")
+_SHARE = T.StructType([T.StructField("words", T.LongType()), T.StructField("known", T.LongType())])
+
+
+def _longest_run(known: frozenset[str]):
+    """A column function: the largest number of words of the list in a row."""
+
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in texts:
+            longest = []
+            for text in batch.to_pylist():
+                best = now = 0
+                for word in filter(None, _BETWEEN_WORDS.split(text)):
+                    now = now + 1 if word in known else 0
+                    best = max(best, now)
+                longest.append(best)
+            yield pa.array(longest, pa.int32())
+
+    run.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, T.IntegerType())
+
+
+def _word_share(known: frozenset[str]):
+    """A column function: how many words a text has, and how many of them are of the list."""
+
+    def share(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        token = re.compile(D.WORD_TOKEN)
+        for batch in texts:
+            words = [token.findall(text) for text in batch.to_pylist()]
+            counts = [[len(w) for w in words], [sum(x in known for x in w) for w in words]]
+            yield pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in counts], names=_SHARE.names)
+
+    share.__annotations__ = {"texts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(share, _SHARE)
+
+
+def _could_be_mnemonic(text: Column) -> Column:
+    return F.lower(text).rlike(rf"(?:[a-z]{{3,8}}[\s,]+){{{D.MNEMONIC_LENGTHS[0] - 1}}}[a-z]{{3,8}}")
+
+
+def mnemonic_hits(lines: DataFrame, wordlist: DataFrame) -> DataFrame:
+    """Lines with 12 or more consecutive words of the list, counted inside the row."""
     kind, severity, title = D.MNEMONIC_KIND
-    listed = _listed(lines.sparkSession, wordlist)
     keys = [c for c in lines.columns if c != "text"]
-    shortest = D.MNEMONIC_LENGTHS[0]
-    rows = lines.where(F.lower("text").rlike(rf"(?:[a-z]{{3,8}}[\s,]+){{{shortest - 1}}}[a-z]{{3,8}}"))
-    words = F.filter(F.split(F.lower("text"), r"[\s,]+"), lambda w: w != "")
-    known = rows.select(*keys, F.posexplode(words).alias("pos", "word")).join(listed, "word")
-    line_key = ["repo_id", "path", "line"]
-    island = F.col("pos") - F.row_number().over(Window.partitionBy(*line_key).orderBy("pos"))
-    runs = known.withColumn("island", island).groupBy(*keys, "island").agg(F.count(F.lit(1)).alias("run"))
-    longest = runs.groupBy(*keys).agg(F.max("run").alias("run")).where(F.col("run") >= shortest)
-    length = F.array_max(F.filter(F.array(*[F.lit(n) for n in D.MNEMONIC_LENGTHS]), lambda n: n <= F.col("run")))
+    longest = _longest_run(_known_words(wordlist))
+    runs = lines.where(_could_be_mnemonic(F.col("text"))).select(*keys, longest(F.lower("text")).alias("run"))
+    length = F.array_max(F.filter(F.lit(D.MNEMONIC_LENGTHS), lambda n: n <= F.col("run")))
     reason = F.concat(F.lit(f"{title} of "), length, F.lit(" words"))
-    return longest.select(*keys, _hit(kind, severity, reason).alias("h")).select(*keys, "h.*")
+    hits = runs.where(F.col("run") >= D.MNEMONIC_LENGTHS[0]).select(*keys, _hit(kind, severity, reason).alias("h"))
+    return hits.select(*keys, "h.*")
 
 
-def _listed(spark, wordlist: DataFrame) -> DataFrame:
-    words = bounded_values(wordlist, "word", 2 * D.WORDLIST_SIZE)
-    return F.broadcast(spark.createDataFrame([(w,) for w in words], "word string"))
+def word_shares(files: DataFrame, wordlist: DataFrame, content: str = "content") -> DataFrame:
+    """``files`` with words and known_share of their contents."""
+    share = _word_share(_known_words(wordlist))
+    rows = files.where(F.col(content).isNotNull()).withColumn("_share", share(F.lower(content)))
+    known = F.when(F.col("_share.words") > 0, F.col("_share.known") / F.col("_share.words"))
+    return rows.withColumn("words", F.col("_share.words")).withColumn("known_share", known).drop("_share")
 
 
 def wordlist_files(
     files: DataFrame, wordlist: DataFrame, min_words: int = D.WORDLIST_MIN_WORDS, share: float = D.WORDLIST_SHARE
 ) -> DataFrame:
     """Files that are themselves word lists: (repo_id, path, words, known_share)."""
-    listed = _listed(files.sparkSession, wordlist).withColumn("known", F.lit(1))
-    tokens = F.regexp_extract_all(F.lower("content"), F.lit(D.WORD_TOKEN), F.lit(0))
-    rows = files.where(F.col("content").isNotNull()).select("repo_id", "path", tokens.alias("tokens"))
-    long_enough = rows.where(F.size("tokens") >= min_words)
-    known = long_enough.select("repo_id", "path", F.explode("tokens").alias("word")).join(listed, "word", "left")
-    shares = known.groupBy("repo_id", "path").agg(
-        F.count(F.lit(1)).alias("words"), F.avg(F.coalesce("known", F.lit(0))).alias("known_share")
-    )
-    return shares.where(F.col("known_share") >= share)
+    shares = word_shares(files.select("repo_id", "path", "content"), wordlist)
+    return shares.where((F.col("words") >= min_words) & (F.col("known_share") >= share)).drop("content")
+
+
+def without_word_lists(files: DataFrame, wordlist: DataFrame, content: str = "content") -> DataFrame:
+    """``files`` whose contents are read and are no word list."""
+    shares = word_shares(files, wordlist, content)
+    is_list = (F.col("words") >= D.WORDLIST_MIN_WORDS) & (F.col("known_share") >= D.WORDLIST_SHARE)
+    return shares.where(~F.coalesce(is_list, F.lit(False))).select(*files.columns)
 
 
 # --- files and findings --------------------------------------------------------------------
+def _may_hit(text: Column, min_length: int) -> Column:
+    return _any_literal(text) | _long_token(text, min_length)
+
+
 def scan_lines(
     lines: DataFrame,
     floor: float = D.ENTROPY_FLOOR,
     min_length: int = D.MIN_TOKEN_LENGTH,
 ) -> DataFrame:
-    return secret_pattern_hits(lines).unionByName(entropy_hits(lines, floor, min_length))
+    """Pattern and entropy hits of a lines table in one pass."""
+    text, path = F.col("text"), F.col("path")
+    entropy = F.array_compact(F.array(_entropy_hit(text, path, floor, min_length)))
+    return _scan(lines.where(_may_hit(text, min_length)), F.concat(_pattern_hits(text, path), entropy))
 
 
 def candidate_file(content: Column, min_length: int = D.MIN_TOKEN_LENGTH) -> Column:
     """Whether any rule can fire somewhere in the file; tested before splitting it."""
-    return content.rlike(_ANY_RULE) | content.rlike(token_pattern(min_length))
+    return _may_hit(content, min_length)
 
 
 def secret_hits(
@@ -195,12 +284,14 @@ def secret_hits(
     floor: float = D.ENTROPY_FLOOR,
     min_length: int = D.MIN_TOKEN_LENGTH,
 ) -> DataFrame:
-    lines = explode_lines(files, keep=candidate_file(F.col("content"), min_length))
-    hits = scan_lines(lines, floor, min_length)
+    """All hits of files: one scan, in which only files and then lines that can hit leave their row."""
+    others = [c for c in files.columns if c != "content"]
+    lines = F.transform(X.lines_of(F.col("content")), lambda line, n: F.struct((n + 1).alias("line"), line.alias("text")))
+    likely = F.filter(lines, lambda x: _may_hit(x["text"], min_length))
+    rows = files.where(F.col("content").isNotNull() & candidate_file(F.col("content"), min_length))
+    hits = scan_lines(rows.select(*others, F.explode(likely).alias("x")).select(*others, "x.*"), floor, min_length)
     if wordlist is not None:
-        lists = wordlist_files(files, wordlist).select("repo_id", "path")
-        prose = files.join(lists, ["repo_id", "path"], "left_anti")
-        hits = hits.unionByName(mnemonic_hits(explode_lines(prose), wordlist))
+        hits = hits.unionByName(mnemonic_hits(explode_lines(without_word_lists(files, wordlist)), wordlist))
     return hits
 
 

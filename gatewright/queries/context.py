@@ -347,33 +347,49 @@ def brace_depth(spark, d):
     )
 
 
+_LANGUAGES = ["TypeScript", "JavaScript", "Go", "Rust", "Java", "Python", "Solidity", "Ruby"]
+
+
+def _ignorable(lang: str) -> str:
+    return " OR ".join(["t = ''", *(f"starts_with(t, '{p}')" for p in symbols.PROFILES[lang][2])])
+
+
 def _decl_sql() -> str:
     parts = []
-    for lang in ("TypeScript", "JavaScript", "Go", "Rust", "Java"):
-        rules = symbols.PROFILES[lang][3]
-        name = "coalesce(" + ", ".join(f"nullif(regexp_extract(t, {S.q(p)}, 1), '')" for p, _, _ in rules) + ")"
-        kind = S.case([(f"regexp_matches(t, {S.q(p)})", f"'{k}'") for p, k, _ in rules])
-        parts.append(f"SELECT repo_id, path, line, {name} AS name, {kind} AS kind FROM cl WHERE language = '{lang}' AND NOT starts_with(t, '//')")
+    for lang in _LANGUAGES:
+        rules = [(p.replace("\\z", "$"), k) for p, k, _ in symbols.PROFILES[lang][3]]
+        rules = [(p.replace("(?!=)", "([^=]|$)"), k) for p, k in rules]
+        name = "coalesce(" + ", ".join(f"nullif(regexp_extract(t, {S.q(p)}, 1), '')" for p, _ in rules) + ")"
+        kind = S.case([(f"regexp_matches(t, {S.q(p)})", f"'{k}'") for p, k in rules])
+        parts.append(f"SELECT repo_id, path, language, line, {name} AS name, {kind} AS kind FROM cl WHERE language = '{lang}' AND NOT ({_ignorable(lang)})")
     return " UNION ALL ".join(parts)
 
 
-@query("symbol_declarations", f"WITH {_CL}, dc AS ({_decl_sql()}) SELECT * FROM dc WHERE name IS NOT NULL")
+@query("symbol_declarations", f"WITH {_CL}, dc AS ({_decl_sql()}) SELECT repo_id, path, line, name, kind FROM dc WHERE name IS NOT NULL")
 def symbol_declarations(spark, d):
-    langs = ["TypeScript", "JavaScript", "Go", "Rust", "Java"]
-    out = symbols.declarations(symbols.line_facts(_code(spark, d)))
-    return out.where(F.col("language").isin(langs)).select("repo_id", "path", "line", "name", "kind")
+    return symbols.declarations(symbols.line_facts(_code(spark, d))).select("repo_id", "path", "line", "name", "kind")
+
+
+# Python and Ruby blocks by indentation (id); a Python block starts at its decorators.  Single lines end where they start.
+_INDENTED = """id AS (SELECT repo_id, path, language, line, t, length(text) - length(ltrim(text)) AS ind FROM cl WHERE language IN ('Python', 'Ruby') AND t <> '' AND NOT starts_with(t, '#')),
+ib AS (SELECT dc.repo_id, dc.path, dc.language, dc.line, dc.name, id.ind, (SELECT min(n.line) FROM id n WHERE n.repo_id = dc.repo_id AND n.path = dc.path AND n.line > dc.line AND n.ind <= id.ind) AS nx
+  FROM dc JOIN id ON id.repo_id = dc.repo_id AND id.path = dc.path AND id.line = dc.line WHERE dc.name IS NOT NULL AND dc.kind <> 'assignment'),
+ie AS (SELECT ib.repo_id, ib.path, CASE WHEN language = 'Python' THEN coalesce((SELECT max(b.line) FROM id b WHERE b.repo_id = ib.repo_id AND b.path = ib.path AND b.line < ib.line AND NOT (b.ind = ib.ind AND starts_with(b.t, '@'))), 0) + 1 ELSE ib.line END AS start_line, ib.name,
+  coalesce((SELECT n.line FROM id n WHERE n.repo_id = ib.repo_id AND n.path = ib.path AND n.line = ib.nx AND ib.language = 'Ruby' AND n.ind = ib.ind AND regexp_matches(n.t, '^end\\b')),
+    (SELECT max(b.line) FROM id b WHERE b.repo_id = ib.repo_id AND b.path = ib.path AND b.line >= ib.line AND b.line < coalesce(ib.nx, 1000000000))) AS end_line FROM ib)"""
 
 
 @query(
     "block_end",
-    f"""WITH {_DEPTH}, dc AS ({_decl_sql()}), dl AS (SELECT da.*, dc.name FROM dc JOIN da ON da.repo_id = dc.repo_id AND da.path = dc.path AND da.line = dc.line WHERE dc.name IS NOT NULL),
+    f"""WITH {_DEPTH}, dc AS ({_decl_sql()}), {_INDENTED}, dl AS (SELECT da.*, dc.name FROM dc JOIN da ON da.repo_id = dc.repo_id AND da.path = dc.path AND da.line = dc.line WHERE dc.name IS NOT NULL AND dc.kind <> 'state' AND dc.language NOT IN ('Python', 'Ruby')),
 f AS (SELECT dl.repo_id, dl.path, dl.line, dl.name, dl.depth_after - (dl.o - dl.c) AS base, (SELECT min(x.line) FROM da x WHERE x.repo_id = dl.repo_id AND x.path = dl.path AND x.line >= dl.line AND x.o > 0) AS fo FROM dl)
-SELECT repo_id, path, line AS start_line, name, CAST(coalesce((SELECT min(y.line) FROM da y WHERE y.repo_id = f.repo_id AND y.path = f.path AND y.line >= f.fo AND y.depth_after <= f.base), f.line) AS INT) AS end_line FROM f""",
+SELECT repo_id, path, line AS start_line, name, CAST(coalesce((SELECT min(y.line) FROM da y WHERE y.repo_id = f.repo_id AND y.path = f.path AND y.line >= f.fo AND y.depth_after <= f.base), f.line) AS INT) AS end_line FROM f
+UNION ALL SELECT * FROM ie""",
 )
 def block_end(spark, d):
-    langs = ["TypeScript", "JavaScript", "Go", "Rust", "Java"]
-    out = symbols.extract_symbols(_code(spark, d)).where(F.col("language").isin(langs))
-    return out.select("repo_id", "path", "start_line", "name", "end_line")
+    """The blocks of all languages; assignments and state variables have none."""
+    single = F.col("language").isin("Python", "Solidity") & F.col("kind").isin("variable", "constant")
+    return symbols.extract_symbols(_code(spark, d)).where(~single).select("repo_id", "path", "start_line", "name", "end_line")
 
 
 @query("extract_symbols")

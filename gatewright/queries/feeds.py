@@ -66,7 +66,7 @@ def audit_key(spark, d):
 
 @query(
     "pending_audits",
-    f"""WITH k AS (SELECT event_id, ts, {_KEY} AS key FROM requests), st AS (SELECT key, max(ts) + INTERVAL 1 HOUR AS expires_at FROM k WHERE event_id % 5 <> 0 GROUP BY 1),
+    f"""WITH k AS (SELECT event_id, ts, {_KEY} AS key FROM requests), st AS (SELECT key, max(ts) + INTERVAL 1 HOUR AS expires_at FROM k WHERE 'j' || event_id IN (SELECT job_id FROM audit_jobs WHERE status = 'completed') GROUP BY 1),
 now AS (SELECT max(ts) - INTERVAL 10 DAY AS t FROM k), v AS (SELECT key FROM st, now WHERE expires_at > now.t)
 SELECT 'todo' AS part, count(*) AS n FROM k WHERE key NOT IN (SELECT key FROM v) UNION ALL SELECT 'reusable', count(*) FROM k WHERE key IN (SELECT key FROM v)
 UNION ALL SELECT 'expired', count(*) FROM st, now WHERE expires_at <= now.t""",
@@ -74,7 +74,8 @@ UNION ALL SELECT 'expired', count(*) FROM st, now WHERE expires_at <= now.t""",
 def pending_audits(spark, d):
     wanted = view(spark, d, "requests").select("event_id", "ts", jobs.audit_key().alias("key"))
     stored = (
-        wanted.where(F.col("event_id") % 5 != 0)
+        wanted.withColumn("job_id", F.concat(F.lit("j"), F.col("event_id").cast("string")))
+        .join(view(spark, d, "audit_jobs").where("status = 'completed'").select("job_id"), "job_id", "left_semi")
         .groupBy("key")
         .agg((F.max("ts") + F.expr("INTERVAL 1 HOUR")).alias("expires_at"))
         .select("key", F.lit(jobs.KEY_VERSION).alias("key_version"), "expires_at", F.lit(0).alias("hits"))

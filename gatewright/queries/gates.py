@@ -185,7 +185,7 @@ def score_flag_rules(spark, d):
 # Penalties come from the findings view; repositories r<n> exist on both sides.
 _PEN = """pen AS (SELECT repo_id, dimension, sum(CASE WHEN n <= 3 THEN w ELSE 0 END) AS penalty, count(*) AS c, sum(CASE WHEN n > 3 THEN 1 ELSE 0 END) AS dropped FROM (
  SELECT *, row_number() OVER (PARTITION BY repo_id, dimension, file, rule_id ORDER BY w DESC) AS n FROM (SELECT repo_id, CASE bucket WHEN 'security' THEN 'securityHygiene' WHEN 'deployment' THEN 'deploymentReadiness' ELSE bucket END AS dimension, file, rule_id,
-  CASE severity WHEN 'critical' THEN 25.0 WHEN 'high' THEN 12.0 WHEN 'medium' THEN 5.0 ELSE 1.5 END AS w FROM routed WHERE bucket IN ('documentation', 'reproducibility', 'security', 'deployment') AND severity = 'low')) GROUP BY ALL)"""
+  CASE severity WHEN 'critical' THEN 25.0 WHEN 'high' THEN 12.0 WHEN 'medium' THEN 5.0 ELSE 1.5 END AS w FROM routed WHERE bucket IN ('documentation', 'reproducibility', 'security', 'deployment'))) GROUP BY ALL)"""
 _RULES = f"""{_F}, {_REAL}, {_ROUTED}, {_PEN}, {_FACTS}, {_FLAG_RULES},
 rules AS (SELECT * FROM flagged UNION ALL SELECT repo_id, dimension, 'severity-penalty', CAST(-penalty AS DOUBLE), 'Penalty from ' || CAST(c AS VARCHAR) || ' ' || CASE dimension WHEN 'securityHygiene' THEN 'security' WHEN 'deploymentReadiness' THEN 'deployment' ELSE dimension END || ' finding(s)' || CASE WHEN dropped > 0 THEN '; at most 3 counted per file and rule' ELSE '' END FROM pen),
 dims AS (SELECT f.repo_id, """ + ", ".join(
@@ -350,17 +350,6 @@ def moved_findings(spark, d):
     return diff.moved_findings(diff.finding_status(_enriched(spark, d, 0), _enriched(spark, d, 1)))
 
 
-@query(
-    "moved_findings_counts",
-    f"""WITH {_F}, {_STATUS}, one AS (SELECT repo_id, rule_id, file, line, count(*) FILTER (WHERE status = 'resolved') AS r, count(*) FILTER (WHERE status = 'new') AS f FROM st WHERE status <> 'persistent' GROUP BY ALL)
-SELECT repo_id, rule_id, file, CAST(sum(least(r, f)) AS BIGINT) AS unmoved_pairs FROM one GROUP BY ALL HAVING sum(least(r, f)) > 0""",
-)
-def moved_findings_counts(spark, d):
-    """Pairs at distance zero per file and rule: the part of the pairing SQL can state directly."""
-    moved = moved_findings(spark, d).where(F.col("from_line") == F.col("to_line"))
-    return moved.groupBy("repo_id", "rule_id", "file").agg(F.count(F.lit(1)).alias("unmoved_pairs"))
-
-
 def _side_penalties(spark, d, side: int):
     return scoring.severity_penalty(_routed(spark, d, side)).select(
         "repo_id", "dimension", F.lit("severity-penalty").alias("rule"), (-F.col("penalty")).alias("delta"),
@@ -413,13 +402,15 @@ def score_deltas(spark, d):
 
 @query(
     "metrics_drift",
-    """WITH m AS (SELECT repo_id, side, count(*) AS n, sum(CASE WHEN severity = 'critical' THEN 1 ELSE 0 END) AS c, max(line) AS l, bool_or(id LIKE 'secret-history%') AS h FROM findings WHERE side < 2 GROUP BY 1, 2),
+    """WITH m AS (SELECT repo_id, audit AS side, count(*) AS n, sum(CASE WHEN severity = 'critical' THEN 1 ELSE 0 END) AS c, max(line) AS l, bool_or(id LIKE 'secret-history%') AS h
+ FROM (SELECT *, unnest(CASE WHEN side = 2 THEN [0, 1] ELSE [side] END) AS audit FROM findings) GROUP BY 1, 2),
 a AS (SELECT repo_id, h, unnest(['total', 'critical', 'last_line']) AS metric, unnest([CAST(n AS DOUBLE), c, l]) AS v, side FROM m),
 j AS (SELECT coalesce(b.repo_id, h.repo_id) AS repo_id, coalesce(b.metric, h.metric) AS metric, b.v AS before, h.v AS after, coalesce(b.h AND h.h, false) AS comparable FROM (SELECT * FROM a WHERE side = 0) b FULL JOIN (SELECT * FROM a WHERE side = 1) h ON b.repo_id = h.repo_id AND b.metric = h.metric)
 SELECT *, after - before AS delta FROM j WHERE before IS DISTINCT FROM after""",
 )
 def metrics_drift(spark, d):
-    rows = view(spark, d, "findings").where(F.col("side") < 2)
+    audits = F.when(F.col("side") == 2, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.col("side").cast("int")))
+    rows = view(spark, d, "findings").withColumn("side", F.explode(audits))
     metrics = rows.groupBy("repo_id", "side").agg(
         F.bool_or(F.col("id").startswith("secret-history")).alias("history_scanned"),
         F.count(F.lit(1)).cast("double").alias("total"),
@@ -480,28 +471,54 @@ def recommended_tasks(spark, d):
     return fm.recommended_tasks(fm.collect_blockers(routed), facts)
 
 
+_CHECKED = {
+    "check-readme": "has_readme", "check-license": "has_license", "check-env": "has_env_example", "check-lockfile": "has_lockfile",
+    "check-ci": "has_ci", "check-tests": "has_test_command", "check-secrets": "secret_lines = ''", "check-contracts-tested": "has_contract_tests",
+    "check-screenshots": "has_screenshots", "check-blockers": "blocker_lines = ''",
+}
+
+
 @query(
     "launch_checklist",
-    f"WITH {_FACTS} " + " UNION ALL ".join(
-        f"SELECT repo_id, '{item}' AS item, {flag} AS done FROM facts" + (" WHERE has_contracts" if item == "check-contracts-tested" else "")
-        for item, flag in [("check-readme", "has_readme"), ("check-license", "has_license"), ("check-env", "has_env_example"), ("check-lockfile", "has_lockfile"),
-                           ("check-ci", "has_ci"), ("check-tests", "has_test_command"), ("check-contracts-tested", "has_contract_tests"), ("check-screenshots", "has_screenshots")]
-    ),
+    f"""WITH {_FACTS}, {_F}, ev AS (SELECT repo_id, coalesce(string_agg(DISTINCT file || ':' || line, ',' ORDER BY file || ':' || line) FILTER (rule_id = 'SEC-SECRET-001'), '') AS secret_lines,
+ coalesce(string_agg(DISTINCT file || ':' || line, ',' ORDER BY file || ':' || line) FILTER (severity = 'critical'), '') AS blocker_lines FROM f GROUP BY 1),
+fe AS (SELECT facts.*, coalesce(secret_lines, '') AS secret_lines, coalesce(blocker_lines, '') AS blocker_lines FROM facts LEFT JOIN ev ON ev.repo_id = facts.repo_id), it AS (
+"""
+    + " UNION ALL ".join(
+        f"SELECT repo_id, {n} AS n, '{item}' AS item, {flag} AS done, {lines} AS lines FROM fe" + (" WHERE has_contracts" if item == "check-contracts-tested" else "")
+        for n, (item, flag) in enumerate(_CHECKED.items())
+        for lines in [{"check-secrets": "secret_lines", "check-blockers": "blocker_lines"}.get(item, "''")]
+    )
+    + ") SELECT repo_id, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY n) - 1 AS INTEGER) AS item_ord, item, done, lines FROM it",
 )
 def launch_checklist(spark, d):
-    facts = scans.facts(spark, d)
-    none = facts.select("repo_id", F.array().cast("array<string>").alias("lines"))
-    out = report.launch_checklist(facts, none, none)
-    return out.where(~F.col("item").isin("check-secrets", "check-blockers")).select("repo_id", "item", "done")
+    """All items, with the secrets and the blockers of the findings as evidence."""
+    found = _enriched(spark, d).select("repo_id", "rule_id", "severity", F.concat_ws(":", fm.first_file(), fm.first_line()).alias("at"))
+    lines = lambda rows: rows.groupBy("repo_id").agg(F.array_sort(F.collect_set("at")).alias("lines"))
+    secret, blocking = lines(found.where("rule_id = 'SEC-SECRET-001'")), lines(found.where("severity = 'critical'"))
+    out = report.launch_checklist(scans.facts(spark, d), secret, blocking)
+    shown = F.when(F.col("item").isin("check-secrets", "check-blockers"), F.array_join("evidence", ",")).otherwise("")
+    return out.select("repo_id", "item_ord", "item", "done", shown.alias("lines"))
 
 
 @query(
     "report_limitations",
-    f"WITH {_FACTS} SELECT repo_id, CAST(CASE WHEN has_contracts THEN 4 ELSE 3 END AS INT) AS statements FROM facts",
+    f"""WITH {_FACTS}, sc AS (SELECT repo_id, count(*) FILTER (section = 'security') AS scanned, max(line) > 55 AS whole, count(*) FILTER (severity = 'critical') > 2 AS cut FROM findings GROUP BY 1)
+SELECT facts.repo_id, array_to_string(list_filter(['Files were read, nothing in them was run.', 'Secrets are found by patterns, which can miss some; this replaces no security review.',
+ CASE WHEN scanned = 0 THEN 'Past commits were not looked at: no history.' WHEN NOT whole THEN 'Of the commits only the newest ' || scanned || ' were looked at.' END,
+ CASE WHEN cut THEN 'The file list was incomplete, so some files were not looked at.' END, 'Left out on request: deploymentPlan, launchCopy.',
+ CASE WHEN has_contracts THEN 'What the contracts do was not judged.' END], lambda x: x IS NOT NULL), ' ') AS limitations
+FROM facts LEFT JOIN sc ON sc.repo_id = facts.repo_id""",
 )
 def report_limitations(spark, d):
-    out = report.report_limitations(scans.facts(spark, d), None, None, mode="quick")
-    return out.select("repo_id", F.size("limitations").alias("statements"))
+    """The statements of a quick report; how much was scanned is told by the repository's own findings."""
+    section = F.col("section") == "security"
+    scope = view(spark, d, "findings").groupBy("repo_id").agg(
+        F.count_if(section).alias("scanned"), (F.max("line") > 55).alias("complete"), (F.count_if(F.col("severity") == "critical") > 2).alias("truncated")
+    )
+    history = scope.withColumn("note", F.when(F.col("scanned") == 0, "no history"))
+    out = report.report_limitations(scans.facts(spark, d), history, scope, mode="quick")
+    return out.withColumn("limitations", F.array_join("limitations", " "))
 
 
 @query("report_sections")

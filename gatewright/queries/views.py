@@ -159,7 +159,7 @@ SELECT repo_id, path, [[lines text ord]] AS content,
 FROM code_lines GROUP BY repo_id, path""",
     # Findings of two audits: rows with side 0 and 2 are in the base, 1 and 2 in the head.
     "findings": """
-SELECT 'r' || cast(cast(floor(l_orderkey / 30) as bigint) as string) AS repo_id,
+SELECT 'r' || cast(cast(floor(l_orderkey / 10) as bigint) as string) AS repo_id,
        (l_partkey + l_linenumber) % 3 AS side,
        'src/f' || cast(l_partkey % 12 as string) || CASE l_partkey % 4 WHEN 0 THEN '.test.ts' WHEN 1 THEN '.md' ELSE '.ts' END AS file,
        cast(l_linenumber * 10 + floor(l_quantity) as int) AS line,
@@ -170,8 +170,8 @@ SELECT 'r' || cast(cast(floor(l_orderkey / 30) as bigint) as string) AS repo_id,
          WHEN 10 THEN 'doc-readme-section-run' ELSE 'secret-db-' || cast(l_partkey as string) END AS id,
        CASE l_suppkey % 12 WHEN 0 THEN 'doc' WHEN 1 THEN 'doc' WHEN 2 THEN 'repro' WHEN 3 THEN 'repro' WHEN 4 THEN 'web3'
          WHEN 5 THEN 'hack' WHEN 8 THEN 'quality' WHEN 9 THEN 'hygiene' WHEN 10 THEN 'doc' ELSE 'security' END AS section,
-       CASE WHEN l_returnflag = 'A' THEN 'critical' WHEN l_returnflag = 'N' AND l_linestatus = 'F' THEN 'high'
-         WHEN l_returnflag = 'N' THEN 'medium' WHEN l_linestatus = 'F' THEN 'high' ELSE 'low' END AS severity,
+       CASE WHEN l_returnflag = 'A' AND l_linenumber > 4 THEN 'critical' WHEN l_returnflag = 'R' AND l_linenumber > 3 THEN 'high'
+         WHEN l_returnflag = 'N' AND l_linenumber > 3 THEN 'medium' ELSE 'low' END AS severity,
        l_orderkey * 1000 + l_linenumber * 100 + l_suppkey AS ord, l_partkey AS part, l_suppkey AS supp
 FROM {lineitem}""",
     # Job events: a job is one user's traffic.

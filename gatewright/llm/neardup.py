@@ -187,24 +187,28 @@ def _confirm(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.where(F.when(collisions >= MATCHES, similar).otherwise(False)).select("a", "b")
 
 
-def _middles(met: DataFrame, nodes: DataFrame) -> DataFrame:
-    """leader, members, middle: the shingles that more than half of the nodes of met(a, b) with one leader hold."""
+def _middles(scratch: Scratch, met: DataFrame, nodes: DataFrame) -> DataFrame:
+    """leader, middle: the shingles that more than half of the nodes of met(a, b) with one leader hold.
+
+    One row a leader; written out, like every side with one row a leader, so that a join can split a hot leader.
+    """
     held = met.join(nodes.select(F.col("node").alias("b"), F.explode("shingles").alias("shingle")), "b")
     counts = held.groupBy(F.col("a").alias("leader"), "shingle").agg(F.count("*").alias("n"))
-    members = met.groupBy(F.col("a").alias("leader")).agg(F.count("*").alias("members"))
-    most = counts.join(members, "leader").where(2 * F.col("n") > F.col("members"))
-    middles = most.groupBy("leader").agg(F.collect_list("shingle").alias("middle"))
-    return members.join(middles, "leader", "left").withColumn("middle", F.coalesce("middle", F.array().cast("array<long>")))
+    members = scratch.table(met.groupBy(F.col("a").alias("leader")).agg(F.count("*").alias("members")), "members-of-leaders")
+    most = counts.join(members, "leader").where(2 * F.col("n") > F.col("members")).select("leader", "shingle")
+    middles = scratch.table(most, "middle-shingles").groupBy("leader").agg(F.collect_list("shingle").alias("middle"))
+    every = members.join(middles, "leader", "left")
+    return scratch.table(every.select("leader", F.coalesce("middle", F.array().cast("array<long>")).alias("middle")), "middles")
 
 
-def _differences(met: DataFrame, nodes: DataFrame) -> DataFrame:
+def _differences(scratch: Scratch, met: DataFrame, nodes: DataFrame) -> DataFrame:
     """Of met(a, b, component): what node b lacks of the middle of its leader a, and what it has beyond it.
 
     With `size` of the middle, a pair x, y of one leader is linked if (100 + PERCENT) * (differences that both share)
     is at least due_x + due_y - (100 + PERCENT) * size.
     """
     node = nodes.select(F.col("node").alias("b"), "n_shingles", "common", F.col("shingles").alias("own"))
-    joined = met.select("b", F.col("a").alias("leader"), "component").join(node, "b").join(_middles(met, nodes), "leader")
+    joined = met.select("b", F.col("a").alias("leader"), "component").join(node, "b").join(_middles(scratch, met, nodes), "leader")
     missing = F.size(F.array_except("middle", "own"))
     return joined.select(
         "leader", F.size("middle").alias("size"), F.col("b").alias("node"), "component", "n_shingles", "common",
@@ -223,7 +227,7 @@ def _second_links(scratch: Scratch, members: DataFrame) -> DataFrame:
     """
     whole = 100 + PERCENT
     nearest = members.groupBy("leader").agg(F.min(F.struct("due", "node")).alias("least"))
-    nearest = nearest.select("leader", F.col("least.due").alias("least_due"), F.col("least.node").alias("least_node"))
+    nearest = scratch.table(nearest.select("leader", F.col("least.due").alias("least_due"), F.col("least.node").alias("least_node")), "nearest")
     known = scratch.table(members.join(nearest, "leader"), "members")
     star = known.where((F.col("due") + F.col("least_due") <= whole * F.col("size")) & (F.col("node") != F.col("least_node")))
     star = star.select(F.col("node").alias("a"), F.col("least_node").alias("b"))
@@ -274,7 +278,7 @@ def _links(scratch: Scratch, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     met = scratch.table(met, "pairs-by-component")
     sizes = met.groupBy("a", "component").agg(F.count("*").alias("n"))
     mixed = scratch.table(sizes.groupBy("a").agg(F.count("*").alias("parts")).where("parts > 1").select("a"), "mixed-leaders")
-    members = scratch.table(_differences(met.join(mixed, "a"), full), "differences")
+    members = scratch.table(_differences(scratch, scratch.table(met.join(mixed, "a"), "met-by-leader"), full), "differences")
     return components(scratch, first.unionByName(_second_links(scratch, members)))
 
 

@@ -326,9 +326,14 @@ def unparsed_manifests(text: DataFrame) -> DataFrame:
     return text.where(F.col("path").rlike(UNPARSED)).select("repo_id", "path")
 
 
-def package_managers(corpus: DataFrame) -> DataFrame:
-    """Distinct (repo_id, manager) from lockfiles, manifests and declared fields."""
+def package_managers(listing: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """Distinct (repo_id, manager) from the lockfiles and manifests of an admitted listing, and from declared fields.
+
+    The fields are read from ``files(repo_id, path, content)``, or from the listing's own contents; what they declare,
+    not the files, meets the listing.
+    """
     p, body = F.col("path"), F.col("content")
+    source = listing if files is None else files
     declared = F.when(
         p.rlike(MANIFEST_KINDS["package_json"]),
         F.nullif(
@@ -339,9 +344,11 @@ def package_managers(corpus: DataFrame) -> DataFrame:
     poetry = F.when(
         p.rlike(MANIFEST_KINDS["pyproject"]) & body.rlike(r"(?m)^\s*\[tool\.poetry\]"), F.lit("poetry")
     )
-    found = [F.when(p.rlike(rx), F.lit(name)) for name, rx in MANAGER_PATHS.items()] + [declared, poetry]
-    managers = F.array_compact(F.array(*found))
-    return corpus.select("repo_id", F.explode(managers).alias("manager")).distinct()
+    likely = source.where(p.rlike(MANIFEST_KINDS["package_json"]) | p.rlike(MANIFEST_KINDS["pyproject"]))
+    said = likely.select("repo_id", "path", F.coalesce(declared, poetry).alias("manager")).where(F.col("manager").isNotNull())
+    said = said.join(listing.select("repo_id", "path"), ["repo_id", "path"], "left_semi").select("repo_id", "manager")
+    seen = F.array_compact(F.array(*[F.when(p.rlike(rx), F.lit(name)) for name, rx in MANAGER_PATHS.items()]))
+    return listing.select("repo_id", F.explode(seen).alias("manager")).unionByName(said).distinct()
 
 
 def module_dir(path: Column) -> Column:

@@ -1,13 +1,14 @@
 """Repository-level facts and the findings they imply.
 
-All flags of a repository come from ONE aggregation over the corpus
-(`repo_facts`): booleans and one packed integer, so Spark hash-aggregates them
-with a map-side combine and a hot repository shrinks to one row per map task.
-Content patterns run only on rows whose path qualifies.
+Contents are judged beside the scan: every file becomes one bit set (`file_marks`).  All flags of a repository then
+come from ONE aggregation over its narrow listing (`repo_facts`): booleans, an OR over the bit sets and one packed
+integer, with a map-side combine, so a hot repository shrinks to one row per map task.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,119 +26,157 @@ def _has(cond: Column) -> Column:
     return F.coalesce(F.bool_or(cond), F.lit(False))
 
 
-def _readme_code(path: Column, content: Column) -> Column:
-    names = F.array(*[F.lit(n) for n in D.README_NAMES])
-    priority = F.array_position(names, path) - 1
+# What the contents of one file can say, by bit; the chains and networks that it names follow.
+MARKS = [
+    "pkg_read", "pkg_invalid", "pkg_scripted", "has_test_command", "has_run_command", "py_requirements", "py_project", "py_declares",
+    "gitignore_env", "_runner", "has_contract_addresses", "any_address", "hack_demo_url", "hack_demo_video", "hack_architecture",
+    "hack_submission", "hack_social", "hack_test_results", "mentions_hackathon", "_workflow_blank", "_workflow_idle", "_workflow_empty",
+    *(f"_chain_{n}" for n in D.CHAIN_KEYWORDS), *(f"_net_{n}" for n in D.NETWORK_KEYWORDS),
+]
+assert len(MARKS) < 63
+
+
+def _mark(name: str) -> int:
+    return 1 << MARKS.index(name)
+
+
+def _readme_features(content: Column) -> Column:
     body = X.strip_space(content)
     bits = [F.when(body.rlike(p), F.lit(2**i)).otherwise(0) for i, p in enumerate(D.README_SECTIONS.values())]
-    features = (
+    return (
         X.utf16_length(body).cast("bigint") * _LENGTH
         + F.when(body.rlike(D.README_URL), F.lit(_URL)).otherwise(0)
         + sum(bits[1:], bits[0])
     )
-    return F.when(
-        P.among(path, D.README_NAMES),
-        priority * F.lit(_PRIORITY)
-        + F.when(body.isNull(), F.lit(_UNREAD)).otherwise(features).cast("bigint"),
-    )
 
 
-def repo_facts(corpus: DataFrame, lockfiles_from: str = "admitted") -> DataFrame:
-    """One row of flags per repository.
+def file_marks(files: DataFrame) -> DataFrame:
+    """``files`` with read, marks and readme in place of their content.
 
-    ``corpus(repo_id, path, list_pos, admitted, content)``; document, screenshot
-    and licence flags read the whole tree, the others admitted files only.  With
-    ``lockfiles_from="tree"`` lockfiles classified as binary count as well.
+    ``marks`` has one bit for each thing that a file can say about its repository, ``readme`` the packed features of a
+    README.  Both come from the row alone, beside the scan, so no text is ever joined or shuffled for them; patterns
+    run only where the path qualifies.
     """
     p, body = F.col("path"), F.col("content")
-    entry = F.col("admitted")
-    read = entry & body.isNotNull()
+    pkg = F.when(p == "package.json", body)
+    src = files.select("*", F.when(pkg != "", F.try_parse_json(pkg)).alias("_pkg"), F.coalesce(pkg != "", F.lit(False)).alias("_pkg_read"))
+    src = src.withColumn("_scripts", F.try_variant_get("_pkg", "$.scripts", "map<string,string>"))
+    script = lambda name: F.coalesce(F.element_at("_scripts", F.lit(name)) != "", F.lit(False))
+    bad = F.col("_pkg_read") & (F.col("_pkg").isNull() | F.is_variant_null("_pkg"))
+    scripted = F.col("_pkg_read") & ~bad & (F.coalesce(F.size("_scripts"), F.lit(0)) > 0)
+    on_chain, on_address, on_submit = p.rlike(D.CHAIN_CONFIG_PATH), p.rlike(D.ADDRESS_PATH), p.rlike(D.SUBMISSION_PATH)
+    ignore_line = lambda l: X.strip_space(l)
+    ignores_env = F.exists(X.lines_of(body), lambda l: ignore_line(l).startswith(".env") | ignore_line(l).rlike(r"\A\*\.env/*\z"))
+    pyproject = (p == "pyproject.toml") & (body != "")
+    workflow = p.rlike(D.HYGIENE_WORKFLOW)
+    blank = X.strip_space(body) == ""
+    said = {
+        "pkg_read": F.col("_pkg_read"),
+        "pkg_invalid": bad,
+        "pkg_scripted": scripted,
+        "has_test_command": scripted & (script("test") | script("test:unit")),
+        "has_run_command": scripted & (script("dev") | script("start")),
+        "py_requirements": (p == "requirements.txt") & (body != ""),
+        "py_project": pyproject,
+        "py_declares": pyproject & body.rlike(D.PYPROJECT_DEPS),
+        "gitignore_env": (F.lower(p) == ".gitignore") & ignores_env,
+        "_runner": ((p == "package.json") & body.rlike(D.TEST_RUNNER_DEPENDENCY)) | ((p == "pyproject.toml") & body.contains("pytest")),
+        "has_contract_addresses": on_address & body.rlike(D.ADDRESS),
+        "any_address": (on_chain | on_address | on_submit) & body.rlike(D.ADDRESS),
+        "hack_demo_url": on_submit & F.exists(_urls(body), lambda u: u.rlike(D.DEMO_HOST)),
+        "hack_demo_video": on_submit & F.exists(_urls(body), lambda u: u.rlike(D.VIDEO_HOST)),
+        "hack_architecture": on_submit & body.rlike(D.ARCHITECTURE_HEADING),
+        "hack_submission": on_submit & body.rlike(D.SUBMISSION_TEXT),
+        "hack_social": on_submit & body.rlike(D.SOCIAL_TEXT),
+        "hack_test_results": on_submit & body.rlike(D.TEST_RESULT_TEXT),
+        "mentions_hackathon": body.rlike(D.HACKATHON_TEXT),
+        "_workflow_blank": workflow & blank,
+        "_workflow_idle": workflow & ~blank & ~body.rlike(r"(?m)^on\s*:"),
+        "_workflow_empty": workflow & ~blank & ~body.rlike(r"(?m)^jobs\s*:"),
+        **{f"_chain_{n}": on_chain & body.rlike(r) for n, r in D.CHAIN_KEYWORDS.items()},
+        **{f"_net_{n}": on_submit & body.rlike(r) for n, r in D.NETWORK_KEYWORDS.items()},
+    }
+    bits = reduce(Column.__add__, [F.when(said[name], F.lit(_mark(name)).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for name in MARKS])
+    readme = F.when(P.among(F.regexp_replace(p, r"^\./", ""), D.README_NAMES), _readme_features(body))
+    kept = [c for c in files.columns if c != "content"]
+    return src.select(*kept, body.isNotNull().alias("read"), F.when(body.isNotNull(), bits).alias("marks"), readme.alias("readme"))
+
+
+def path_flags(lockfiles_from: str = "admitted") -> list[Column]:
+    """Aggregates of a listing (path, admitted) that ask for no contents.
+
+    Document, screenshot and licence flags read the whole tree, the others admitted files only.  With
+    ``lockfiles_from="tree"`` lockfiles classified as binary count as well.
+    """
+    p, entry = F.col("path"), F.col("admitted")
     clean = F.regexp_replace(p, r"^\./", "")
     own = entry & ~P.is_sample_material(p)
-    pkg = F.when((p == "package.json") & entry, body)
-    src = corpus.select(
-        "*",
-        clean.alias("_clean"),
-        F.when(pkg != "", F.try_parse_json(pkg)).alias("_pkg"),
-        (pkg != "").alias("_pkg_read"),
-    ).withColumn("_scripts", F.try_variant_get("_pkg", "$.scripts", "map<string,string>"))
-    script = lambda name: F.coalesce(F.element_at("_scripts", F.lit(name)) != "", F.lit(False))
-    pkg_read = F.coalesce(F.col("_pkg_read"), F.lit(False))
-    pkg_bad = pkg_read & (F.col("_pkg").isNull() | F.is_variant_null("_pkg"))
-    scripted = pkg_read & ~pkg_bad & (F.coalesce(F.size("_scripts"), F.lit(0)) > 0)
     lock_scope = F.lit(True) if lockfiles_from == "tree" else entry
-    on_chain = read & p.rlike(D.CHAIN_CONFIG_PATH)
-    on_address = read & p.rlike(D.ADDRESS_PATH)
-    on_submit = read & p.rlike(D.SUBMISSION_PATH)
-    ignore_line = lambda l: X.strip_space(l)
-    ignores_env = F.exists(
-        X.lines_of(body), lambda l: ignore_line(l).startswith(".env") | ignore_line(l).rlike(r"\A\*\.env/*\z")
+    flags = {flag: P.among(clean, names) for _, flag, _, _, names in D.REQUIRED_DOCS}
+    flags |= {
+        "has_screenshots": p.rlike(D.SCREENSHOT),
+        "hack_license": p.rlike(D.HACK_LICENSE_PATH),
+        "has_lockfile": lock_scope & P.among(clean, D.LOCKFILES),
+        "has_ci": entry & p.rlike(D.CI_WORKFLOW),
+        "has_docker": entry & p.rlike(D.DOCKER_PATH),
+        "has_gitignore": entry & (F.lower(p) == ".gitignore"),
+        "has_test_files": entry & p.rlike(D.HYGIENE_TEST_PATH),
+        "_pytest": entry & p.rlike(D.PYTEST_PATH),
+        "has_contracts": own & p.rlike(D.CONTRACT_DIR) & p.rlike(D.CONTRACT_FILE),
+        "has_deploy_scripts": own & p.rlike(D.DEPLOY_PATH),
+        "has_abi": own & p.rlike(D.ABI_JSON) & p.rlike(D.ABI_PATH),
+        "has_contract_tests": own & p.rlike(D.CONTRACT_TEST),
+        "has_audit_note": own & p.rlike(D.AUDIT_NOTE),
+    }
+    return [_has(cond).alias(flag) for flag, cond in flags.items()]
+
+
+def path_facts(listing: DataFrame, lockfiles_from: str = "admitted") -> DataFrame:
+    """The flags of a repository that its listing (repo_id, path, admitted) answers; no file is read."""
+    return listing.groupBy("repo_id").agg(*path_flags(lockfiles_from)).drop("_pytest")
+
+
+def repo_facts(corpus: DataFrame, lockfiles_from: str = "admitted") -> DataFrame:
+    """One row of flags per repository.
+
+    ``corpus(repo_id, path, admitted)`` with the columns of `file_marks`, or with ``content``, which is marked first.
+    All flags come from one hash aggregation of booleans, of one OR over the marks and of one packed integer, so a hot
+    repository shrinks to one row per map task.
+    """
+    if "marks" not in corpus.columns:
+        corpus = file_marks(corpus)
+    entry = F.col("admitted")
+    clean = F.regexp_replace("path", r"^\./", "")
+    names = F.array(*[F.lit(n) for n in D.README_NAMES])
+    features = F.coalesce(F.when(entry, F.col("readme")), F.lit(_UNREAD).cast("bigint"))
+    code = F.when(P.among(clean, D.README_NAMES), (F.array_position(names, clean) - 1) * F.lit(_PRIORITY) + features)
+    wide = corpus.groupBy("repo_id").agg(
+        *path_flags(lockfiles_from),
+        F.min(code).alias("_readme"),
+        F.coalesce(F.bit_or(F.when(entry, F.col("marks"))), F.lit(0)).alias("_marks"),
     )
-    pyproject = read & (p == "pyproject.toml") & (body != "")
-
-    aggs = [_has(P.among(F.col("_clean"), names)).alias(flag) for _, flag, _, _, names in D.REQUIRED_DOCS]
-    aggs += [
-        _has(p.rlike(D.SCREENSHOT)).alias("has_screenshots"),
-        _has(p.rlike(D.HACK_LICENSE_PATH)).alias("hack_license"),
-        F.min(_readme_code(F.col("_clean"), F.when(entry, body))).alias("_readme"),
-        _has(lock_scope & P.among(F.col("_clean"), D.LOCKFILES)).alias("has_lockfile"),
-        _has(entry & p.rlike(D.CI_WORKFLOW)).alias("has_ci"),
-        _has(entry & p.rlike(D.DOCKER_PATH)).alias("has_docker"),
-        _has(pkg_read).alias("pkg_read"),
-        _has(pkg_bad).alias("pkg_invalid"),
-        _has(scripted).alias("pkg_scripted"),
-        _has(scripted & (script("test") | script("test:unit"))).alias("has_test_command"),
-        _has(scripted & (script("dev") | script("start"))).alias("has_run_command"),
-        _has(read & (p == "requirements.txt") & (body != "")).alias("py_requirements"),
-        _has(pyproject).alias("py_project"),
-        _has(pyproject & body.rlike(D.PYPROJECT_DEPS)).alias("py_declares"),
-        _has(entry & (F.lower(p) == ".gitignore")).alias("has_gitignore"),
-        _has(read & (F.lower(p) == ".gitignore") & ignores_env).alias("gitignore_env"),
-        _has(entry & p.rlike(D.HYGIENE_TEST_PATH)).alias("has_test_files"),
-        _has(
-            (read & (p == "package.json") & body.rlike(D.TEST_RUNNER_DEPENDENCY))
-            | (read & (p == "pyproject.toml") & body.contains("pytest"))
-            | (entry & p.rlike(D.PYTEST_PATH))
-        ).alias("has_test_runner"),
-        _has(own & p.rlike(D.CONTRACT_DIR) & p.rlike(D.CONTRACT_FILE)).alias("has_contracts"),
-        _has(own & p.rlike(D.DEPLOY_PATH)).alias("has_deploy_scripts"),
-        _has(own & p.rlike(D.ABI_JSON) & p.rlike(D.ABI_PATH)).alias("has_abi"),
-        _has(own & p.rlike(D.CONTRACT_TEST)).alias("has_contract_tests"),
-        _has(own & p.rlike(D.AUDIT_NOTE)).alias("has_audit_note"),
-        _has(on_address & body.rlike(D.ADDRESS)).alias("has_contract_addresses"),
-        _has((on_chain | on_address | on_submit) & body.rlike(D.ADDRESS)).alias("any_address"),
-        _has(on_submit & F.exists(_urls(body), lambda u: u.rlike(D.DEMO_HOST))).alias("hack_demo_url"),
-        _has(on_submit & F.exists(_urls(body), lambda u: u.rlike(D.VIDEO_HOST))).alias("hack_demo_video"),
-        _has(on_submit & body.rlike(D.ARCHITECTURE_HEADING)).alias("hack_architecture"),
-        _has(on_submit & body.rlike(D.SUBMISSION_TEXT)).alias("hack_submission"),
-        _has(on_submit & body.rlike(D.SOCIAL_TEXT)).alias("hack_social"),
-        _has(on_submit & body.rlike(D.TEST_RESULT_TEXT)).alias("hack_test_results"),
-        _has(read & body.rlike(D.HACKATHON_TEXT)).alias("mentions_hackathon"),
-    ]
-    aggs += [_has(on_chain & body.rlike(r)).alias(f"_chain_{n}") for n, r in D.CHAIN_KEYWORDS.items()]
-    aggs += [_has(on_submit & body.rlike(r)).alias(f"_net_{n}") for n, r in D.NETWORK_KEYWORDS.items()]
-    wide = src.groupBy("repo_id").agg(*aggs)
+    said = lambda name: F.col("_marks").bitwiseAND(F.lit(_mark(name)).cast("bigint")) != 0
 
     def names_of(columns: list[tuple[str, Column]]) -> Column:
         return F.array_sort(F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in columns])))
 
-    chains = names_of([(n, F.col(f"_chain_{n}")) for n in D.CHAIN_KEYWORDS])
-    nets = names_of([(n, F.col(f"_net_{n}")) for n in D.NETWORK_KEYWORDS])
+    chains = names_of([(n, said(f"_chain_{n}")) for n in D.CHAIN_KEYWORDS])
+    nets = names_of([(n, said(f"_net_{n}")) for n in D.NETWORK_KEYWORDS])
     code = F.col("_readme")
     features = F.pmod(code, F.lit(_PRIORITY))
     is_read = code.isNotNull() & (features < _UNREAD)
-    names = F.array(*[F.lit(n) for n in D.README_NAMES])
     bits = F.pmod(features, F.lit(_LENGTH)).cast("int")
-    drop = [c for c in wide.columns if c.startswith("_chain_") or c.startswith("_net_")]
     return (
-        wide.withColumn("chains", chains)
-        .withColumn("networks", F.array_sort(F.array_union(chains, nets)))
+        wide.withColumns({name: said(name) for name in MARKS if not name.startswith("_")})
+        .withColumn("has_test_runner", said("_runner") | F.col("_pytest"))
+        .withColumn("chains", chains)
+        .withColumn("networks", F.array_sort(F.array_union("chains", nets)))
         .withColumn("hack_network", F.size("networks") > 0)
         .withColumn("readme_file", F.get(names, F.floor(code / _PRIORITY).cast("int")))
         .withColumn("readme_length", F.when(is_read, F.floor(features / _LENGTH).cast("int")))
         .withColumn("has_demo_url", F.coalesce(is_read & (bits.bitwiseAND(F.lit(_URL)) > 0), F.lit(False)))
         .withColumn("readme_sections", F.when(is_read, bits.bitwiseAND(F.lit(_URL - 1))))
-        .drop("_readme", *drop)
+        .drop("_readme", "_marks", "_pytest")
     )
 
 
@@ -146,26 +185,36 @@ def _urls(body: Column) -> Column:
 
 
 # --- findings from facts --------------------------------------------------------------
-def doc_findings(facts: DataFrame) -> DataFrame:
+def missing_docs(facts: DataFrame) -> DataFrame:
+    """Findings for required documents that the listing lacks; `path_facts` is enough."""
     out = []
     for i, (fid, flag, sev, title, names) in enumerate(D.REQUIRED_DOCS):
-        proof = F.array(evidence(names[0], None, "nothing in the tree fits"))
+        proof = F.array(evidence(names[0], None, "no such file is listed"))
         out.append(
             (
                 ~F.col(flag),
                 draft("doc", i, fid, "documentation", sev, title, proof,
-                      f"Add {names[0]} at the repository root.",
-                      [f"File {names[0]} is present in the repository root."]),
+                      f"Put a {names[0]} at the top of the tree.",
+                      [f"{names[0]} lies at the top of the tree."]),
             )
         )
+    return explode_drafts(facts, out)
+
+
+def doc_findings(facts: DataFrame) -> DataFrame:
+    return missing_docs(facts).unionByName(readme_findings(facts))
+
+
+def readme_findings(facts: DataFrame) -> DataFrame:
+    out = []
     length = F.col("readme_length")
     at_readme = lambda reason: F.array(evidence(F.col("readme_file"), 1, reason))
     out.append(
         (
             length < D.README_MIN_CHARS,
             draft("doc", 10, "doc-readme-short", "documentation", "medium",
-                  "README is too short to onboard a contributor",
-                  at_readme(F.concat(F.lit("README length = "), length, F.lit(" chars")))),
+                  "The README says too little to start from",
+                  at_readme(F.concat(length, F.lit(" characters")))),
         )
     )
     for i, name in enumerate(D.README_SECTIONS):
@@ -232,9 +281,10 @@ def hackathon_findings(facts: DataFrame) -> DataFrame:
 def hygiene_findings(corpus: DataFrame, facts: DataFrame) -> DataFrame:
     """Environment files, ignore rules, workflows that cannot run, tests nothing runs.
 
-    Evidence lists come from the few qualifying rows only; the lists are bounded
-    because they hold admitted files.
+    ``corpus`` is marked (`file_marks`); a committed environment file is one short row of its repository's list.
     """
+    if "marks" not in corpus.columns:
+        corpus = file_marks(corpus)
     p = F.col("path")
     is_env = p.rlike(D.ENV_FILE) & ~p.rlike(D.ENV_TEMPLATE)
     is_test = p.rlike(D.HYGIENE_TEST_PATH)
@@ -251,13 +301,13 @@ def hygiene_findings(corpus: DataFrame, facts: DataFrame) -> DataFrame:
     committed = F.coalesce(F.size("env_files") > 0, F.lit(False))
     env_proof = F.transform(
         F.col("env_files"),
-        lambda e: evidence(e["path"], None, "present in the tracked tree", "file_tree"),
+        lambda e: evidence(e["path"], None, "the listing has it", "file_tree"),
     )
     ignore_proof = F.array(
         evidence(
             ".gitignore",
             None,
-            F.when(F.col("has_gitignore"), F.lit("no entry matching .env")).otherwise("no .gitignore file exists"),
+            F.when(F.col("has_gitignore"), F.lit("it names no .env")).otherwise("there is no such file"),
             F.when(F.col("has_gitignore"), F.lit("text_match")).otherwise("file_tree"),
         )
     )
@@ -266,24 +316,24 @@ def hygiene_findings(corpus: DataFrame, facts: DataFrame) -> DataFrame:
         (
             committed,
             draft("security", SECURITY_ORD["hygiene"], F.concat(F.lit("env-committed-"), X.slugify(first_env)), "security",
-                  "critical", "A .env file is committed to the repository", env_proof),
+                  "critical", "Environment settings lie in the tree", env_proof),
         ),
         (
             ~committed & ~F.col("gitignore_env"),
-            draft("security", SECURITY_ORD["hygiene"] + 1, "env-not-ignored", "security", "medium", ".env is not ignored",
+            draft("security", SECURITY_ORD["hygiene"] + 1, "env-not-ignored", "security", "medium", "Nothing keeps .env out of commits",
                   ignore_proof),
         ),
         (
             ~F.col("has_gitignore"),
-            draft("hygiene", 0, "repo-no-gitignore", "reproducibility", "low", ".gitignore is missing",
-                  F.array(evidence(".gitignore", None, "no .gitignore at the repository root", "file_tree"))),
+            draft("hygiene", 0, "repo-no-gitignore", "reproducibility", "low", "The tree has no .gitignore",
+                  F.array(evidence(".gitignore", None, "none at the top of the tree", "file_tree"))),
         ),
         (
             F.col("has_test_files") & ~F.col("has_test_runner"),
             draft("hygiene", 10**18, "test-no-runner", "reproducibility", "medium",
-                  "There are tests, but nothing to run them with",
+                  "Nothing is set up to run the tests",
                   F.array(evidence(F.col("first_test")["path"], None,
-                                   "test files present, but no test runner dependency found",
+                                   "tests lie here, and no manifest names a runner",
                                    "dependency_manifest"))),
         ),
     ]
@@ -291,19 +341,17 @@ def hygiene_findings(corpus: DataFrame, facts: DataFrame) -> DataFrame:
 
 
 def workflow_findings(corpus: DataFrame) -> DataFrame:
-    """Workflows lacking a trigger or jobs; row-local.  Unread files are not judged."""
-    body = F.col("content")
-    blank = X.strip_space(body) == ""
-    problems = F.when(blank, F.array(F.lit("the file is empty"))).otherwise(
-        F.array_compact(
-            F.array(
-                F.when(~body.rlike(r"(?m)^on\s*:"), F.lit("no `on:` trigger is declared")),
-                F.when(~body.rlike(r"(?m)^jobs\s*:"), F.lit("no `jobs:` block is declared")),
-            )
+    """Workflows lacking a trigger or jobs, from their marks.  Unread files are not judged."""
+    said = lambda name: F.col("marks").bitwiseAND(F.lit(_mark(name)).cast("bigint")) != 0
+    problems = F.array_compact(
+        F.array(
+            F.when(said("_workflow_blank"), F.lit("the file is empty")),
+            F.when(said("_workflow_idle"), F.lit("no `on:` trigger is declared")),
+            F.when(said("_workflow_empty"), F.lit("no `jobs:` block is declared")),
         )
     )
     rows = (
-        corpus.where(F.col("admitted") & body.isNotNull() & F.col("path").rlike(D.HYGIENE_WORKFLOW))
+        corpus.where(F.col("admitted") & F.col("marks").isNotNull())
         .withColumn("problems", problems)
         .where(F.size("problems") > 0)
     )
@@ -349,13 +397,28 @@ def _signal(key: str, label: str, confidence: float, file, line, reason: str) ->
     )
 
 
-def stack_evidence(corpus: DataFrame) -> DataFrame:
-    """One row per stack signal: path patterns, languages, manifests, host configs."""
-    p, body = F.col("path"), F.col("content")
+def stack_paths(listing: DataFrame) -> DataFrame:
+    """Stack signals of admitted paths: patterns, languages, host configurations."""
+    p = F.col("path")
     own = ~P.is_sample_material(p)
-    rows = corpus.where(F.col("admitted")).withColumn("_lang", P.language_of(p))
-    manifest = F.when((p == "package.json") & (body != ""), F.try_parse_json(body))
-    rows = rows.withColumn("_pkg", manifest)
+    rows = listing.where(F.col("admitted")).withColumn("_lang", P.language_of(p))
+    signals = [F.when(own & p.rlike(rx), _signal(k, l, c, p, None, f"the path says {l}")) for k, l, rx, c in D.STACK_PATHS]
+    signals += [
+        F.when(own & F.col("_lang").isin(*langs), _signal(k, l, c, p, None, f"{l} source file"))
+        for k, l, langs, c in D.STACK_LANGUAGES
+    ]
+    signals += [
+        F.when(own & P.basename(p).isin(*names), _signal(k, l, c, file, None, f"{file} present"))
+        for k, l, names, file, c in D.STACK_HOSTS
+    ]
+    return rows.select("repo_id", F.explode(F.array_compact(F.array(*signals))).alias("s")).select("repo_id", "s.*")
+
+
+def stack_contents(files: DataFrame) -> DataFrame:
+    """(repo_id, path, signal): stack signals of the few manifests whose contents tell, one scan and nothing joined."""
+    p, body = F.col("path"), F.col("content")
+    rows = files.where(p.isin("package.json", *{file for _, _, file, _ in D.STACK_MANIFESTS}) & (body != ""))
+    rows = rows.withColumn("_pkg", F.when(p == "package.json", F.try_parse_json(body)))
     deps = F.array_union(
         *[
             F.coalesce(
@@ -371,37 +434,29 @@ def stack_evidence(corpus: DataFrame) -> DataFrame:
     )
     rows = rows.withColumn("_deps", deps)
     signals = [
-        F.when(own & p.rlike(rx), _signal(k, l, c, p, None, f"Path matches {l} pattern"))
-        for k, l, rx, c in D.STACK_PATHS
-    ]
-    signals += [
-        F.when(own & F.col("_lang").isin(*langs), _signal(k, l, c, p, None, f"{l} source file"))
-        for k, l, langs, c in D.STACK_LANGUAGES
-    ]
-    signals += [
-        F.when(
-            F.arrays_overlap("_deps", F.array(*[F.lit(n) for n in names])),
-            _signal(k, l, c, "package.json", None, f"{l} dependency"),
-        )
+        F.when(F.arrays_overlap("_deps", F.array(*[F.lit(n) for n in names])), _signal(k, l, c, "package.json", None, f"{l} is required"))
         for k, l, names, c in D.STACK_DEPENDENCIES
     ]
-    signals += [
-        F.when((p == file) & (body != ""), _signal(k, l, c, file, 1, f"{file} present"))
-        for k, l, file, c in D.STACK_MANIFESTS
-    ]
-    signals += [
-        F.when(own & P.basename(p).isin(*names), _signal(k, l, c, file, None, f"{file} present"))
-        for k, l, names, file, c in D.STACK_HOSTS
-    ]
-    return rows.select("repo_id", F.explode(F.array_compact(F.array(*signals))).alias("s")).select(
-        "repo_id", "s.*"
-    )
+    signals += [F.when(p == file, _signal(k, l, c, file, 1, f"{file} present")) for k, l, file, c in D.STACK_MANIFESTS]
+    return rows.select("repo_id", "path", F.explode(F.array_compact(F.array(*signals))).alias("s"))
+
+
+def stack_evidence(listing: DataFrame, files: DataFrame | None = None) -> DataFrame:
+    """One row per stack signal of a listing (repo_id, path, admitted) and its files (repo_id, path, content).
+
+    Without ``files`` the listing is a corpus and holds the contents itself.  Signals of contents, not the contents,
+    meet the listing.
+    """
+    contents = stack_contents(listing if files is None else files)
+    admitted = listing.where("admitted").select("repo_id", "path")
+    told = contents.join(admitted, ["repo_id", "path"], "left_semi").select("repo_id", "s.*")
+    return stack_paths(listing).unionByName(told)
 
 
-def detect_stack(corpus: DataFrame) -> DataFrame:
+def detect_stack(listing: DataFrame, files: DataFrame | None = None) -> DataFrame:
     """Per (repo, key): label, best confidence, number of signals; kept at 0.5 and above."""
     return (
-        stack_evidence(corpus)
+        stack_evidence(listing, files)
         .groupBy("repo_id", "key")
         .agg(
             F.min("label").alias("label"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,39 +37,56 @@ class Audit:
 
 def corpus_of(tree: DataFrame, files: DataFrame, **limits: int) -> DataFrame:
     """Whole tree with ``admitted`` and, for admitted files that were read, ``content``."""
-    graded = admission.admit_files(tree, **limits).withColumn("admitted", F.col("skip_reason").isNull())
-    joined = attach_content(graded.drop("kind", "skip_reason"), files)
+    joined = attach_content(listing_of(tree, **limits), files)
     return joined.withColumn("content", F.when(F.col("admitted"), F.col("content")))
 
 
+def listing_of(tree: DataFrame, **limits: int) -> DataFrame:
+    """The whole tree with ``admitted``; no contents."""
+    graded = admission.admit_files(tree, **limits).withColumn("admitted", F.col("skip_reason").isNull())
+    return graded.drop("kind", "skip_reason")
+
+
+def marked_of(listing: DataFrame, files: DataFrame) -> DataFrame:
+    """The listing with what each file's contents say (`presence.file_marks`): bit sets are joined, texts are not."""
+    marks = presence.file_marks(likely_text(files).select("repo_id", "path", "content"))
+    return listing.join(marks, ["repo_id", "path"], "left")
+
+
+def likely_text(files: DataFrame) -> DataFrame:
+    """Files read that their path alone does not rule out; admission, which asks for the size too, decides later."""
+    return files.where(F.col("content").isNotNull() & (admission.file_kind(F.col("path"), F.lit(0)) == "text"))
+
+
 def raw_findings(
-    corpus: DataFrame,
+    marked: DataFrame,
+    files: DataFrame,
     facts: DataFrame,
     commit_files: DataFrame | None = None,
     wordlist: DataFrame | None = None,
     entropy_floor: float = D.ENTROPY_FLOOR,
 ) -> DataFrame:
-    """Drafts of every analyzer.  Branches are independent; each filters before it splits text."""
-    files = corpus.where(F.col("admitted") & F.col("content").isNotNull()).select(
-        "repo_id", "path", "list_pos", "size", "content"
-    )
+    """Drafts of every analyzer.  Scanners run on the files where they lie; their hits, not the texts, meet the listing."""
+    texts = likely_text(files).select("repo_id", "path", "content")
+    admitted = marked.where("admitted").select("repo_id", "path", "list_pos", "size")
+
+    def placed(hits: DataFrame) -> DataFrame:
+        return hits.join(admitted, ["repo_id", "path"])
+
     parts = [
         presence.doc_findings(facts),
         presence.repro_findings(facts),
         presence.web3_findings(facts),
         presence.hackathon_findings(facts),
-        presence.hygiene_findings(corpus, facts),
-        secrets.secret_findings(secrets.secret_hits(files.drop("size"), wordlist, entropy_floor)),
-        injection.injection_findings(injection.injection_hits(files.drop("size"))),
-        residue.residue_findings(residue.residue_hits(files)),
+        presence.hygiene_findings(marked, facts),
+        secrets.secret_findings(placed(secrets.secret_hits(texts, wordlist, entropy_floor))),
+        injection.injection_findings(placed(injection.injection_hits(texts)).drop("size")),
+        residue.residue_findings(placed(residue.residue_hits(texts))),
     ]
     if commit_files is not None:
-        hits = history.history_secret_hits(commit_files, entropy_floor)
+        hits = history.history_secret_hits(commit_files, entropy_floor, wordlist=wordlist)
         parts.append(history.history_findings(hits))
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    return reduce(DataFrame.unionByName, parts)
 
 
 def audit(
@@ -89,15 +107,16 @@ def audit(
     With ``folder`` (shared by all executors) the facts and the enriched findings, both small next to the corpus, are
     written there once and read by every section; without it each section computes them anew.
     """
-    corpus = corpus_of(tree, files)
-    facts = presence.repo_facts(corpus, lockfiles_from)
+    listing = listing_of(tree)
+    marked = stored(marked_of(listing, files), folder, "marked")
+    facts = presence.repo_facts(marked, lockfiles_from)
     scope = None
     if commit_files is not None:
         recent = history.recent_commits(commit_files, history_commits).select("repo_id", "sha")
         scope = history.history_scope(facts, commit_files, history_commits)
         commit_files = commit_files.join(recent, ["repo_id", "sha"], "left_semi")
     facts = stored(facts, folder, "facts")
-    everything = fm.enrich_findings(raw_findings(corpus, facts, commit_files, wordlist, entropy_floor))
+    everything = fm.enrich_findings(raw_findings(marked, files, facts, commit_files, wordlist, entropy_floor))
     everything = stored(everything, folder, "findings")
     real, fixtures = fm.split_fixtures(everything)
     routed = fm.route_findings(real)
@@ -121,7 +140,7 @@ def audit(
         gate_findings=gated,
         checks=checks,
         verdict=gate.gate_verdict(checks),
-        stack=presence.detect_stack(corpus),
+        stack=presence.detect_stack(listing, files),
         scope=scope,
         truncated=truncated,
     )

@@ -95,7 +95,7 @@ def unparsed_manifests(spark, d):
     ) + " UNION ALL SELECT repo_id, 'pnpm' FROM corpus WHERE path LIKE '%package.json' AND content LIKE '%\"packageManager\": \"pnpm@%' UNION ALL SELECT repo_id, 'poetry' FROM corpus WHERE path = 'pyproject.toml' AND contains(content, '[tool.poetry]')) SELECT DISTINCT repo_id, manager FROM m",
 )
 def package_managers(spark, d):
-    return manifests.package_managers(scans.corpus(spark, d).where("admitted"))
+    return manifests.package_managers(scans.listing(spark, d).where("admitted"), _files(spark, d))
 
 
 # --- modules --------------------------------------------------------------------------------------

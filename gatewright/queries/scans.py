@@ -8,19 +8,28 @@ from pyspark.sql import functions as F
 from gatewright import dims as D
 from gatewright.functions import paths as P
 from gatewright.operators import admission, presence
-from gatewright.plans.audit import corpus_of
+from gatewright.plans.audit import corpus_of, listing_of, marked_of
 from gatewright.queries import sql as S
 from gatewright.queries.registry import query, table, view
 from gatewright.sources import corpus as source
-from gatewright.sources.tables import upsert
+from gatewright.sources.tables import run_folder, stored, upsert
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
     return corpus_of(view(spark, d, "tree"), view(spark, d, "files"))
 
 
+def listing(spark: SparkSession, d: str) -> DataFrame:
+    return listing_of(view(spark, d, "tree"))
+
+
+def marked(spark: SparkSession, d: str) -> DataFrame:
+    """The listing with the marks of its files: no text is joined."""
+    return marked_of(listing(spark, d), view(spark, d, "files"))
+
+
 def facts(spark: SparkSession, d: str) -> DataFrame:
-    return presence.repo_facts(corpus(spark, d))
+    return presence.repo_facts(marked(spark, d))
 
 
 # --- sources ----------------------------------------------------------------------------
@@ -185,8 +194,7 @@ def _flat(findings: DataFrame) -> DataFrame:
 
 @query("required_docs", _DOC_SQL)
 def required_docs(spark, d):
-    found = presence.doc_findings(facts(spark, d))
-    return _flat(found.where(F.col("id").isin([r[0] for r in D.REQUIRED_DOCS])))
+    return _flat(presence.missing_docs(presence.path_facts(listing(spark, d))))
 
 
 _TRIM = r"regexp_replace(content, '^[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+|[\s\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+$', '', 'g')"
@@ -204,9 +212,9 @@ body AS (SELECT repo_id, path, {_TRIM} AS b FROM readme)"""
     ),
 )
 def readme_quality(spark, d):
-    found = presence.doc_findings(facts(spark, d)).where(F.col("id").startswith("doc-readme-"))
+    found = presence.readme_findings(facts(spark, d))
     first = F.get("evidence", F.lit(0))
-    length = F.regexp_extract(first["reason"], r"= (\d+) chars", 1)
+    length = F.regexp_extract(first["reason"], r"\A(\d+) characters", 1)
     return found.select(
         "repo_id", "id", "severity", first["file"].alias("file"), F.nullif(length, F.lit("")).cast("int").alias("n")
     )
@@ -287,7 +295,8 @@ UNION ALL SELECT fl.repo_id, 'test-no-runner', 'medium', 1, tst.path FROM fl JOI
 UNION ALL SELECT repo_id, 'ci-workflow-invalid-' || {S.slug("path")}, 'high', 1, path FROM wf WHERE why <> ''""",
 )
 def hygiene_rules(spark, d):
-    found = presence.hygiene_findings(corpus(spark, d), facts(spark, d))
+    rows = stored(marked(spark, d), run_folder(spark), "marked")
+    found = presence.hygiene_findings(rows, presence.repo_facts(rows))
     first = F.get("evidence", F.lit(0))
     return found.select(
         "repo_id", "id", "severity", F.size("evidence").cast("bigint").alias("proofs"), first["file"].alias("file")
@@ -316,7 +325,7 @@ def _stack_sql() -> str:
 
 @query("detect_stack", _stack_sql() + " SELECT repo_id, key, confidence, signals FROM stack")
 def detect_stack(spark, d):
-    return presence.detect_stack(corpus(spark, d)).drop("label")
+    return presence.detect_stack(listing(spark, d), view(spark, d, "files")).drop("label")
 
 
 _BUCKETS = ", ".join(f"('{k}', '{b}', '{n}')" for k, b, n in D.STACK_BUCKETS)
@@ -329,7 +338,7 @@ _BUCKETS = ", ".join(f"('{k}', '{b}', '{n}')" for k, b, n in D.STACK_BUCKETS)
     + " FROM h GROUP BY repo_id",
 )
 def stack_buckets(spark, d):
-    out = presence.stack_buckets(presence.detect_stack(corpus(spark, d)))
+    out = presence.stack_buckets(presence.detect_stack(listing(spark, d), view(spark, d, "files")))
     return out.select("repo_id", *[F.array_join(b, ",").alias(b) for b in ("languages", "frameworks", "runtimes")])
 
 
@@ -342,7 +351,7 @@ _FW = {k: label for k, label, *_ in [*D.STACK_PATHS, *D.STACK_DEPENDENCIES, *D.S
     " SELECT repo_id, string_agg(label, ',' ORDER BY -confidence, label) AS frameworks FROM f GROUP BY repo_id",
 )
 def frameworks(spark, d):
-    out = presence.frameworks(presence.detect_stack(corpus(spark, d)))
+    out = presence.frameworks(presence.detect_stack(listing(spark, d), view(spark, d, "files")))
     return out.select("repo_id", F.array_join("frameworks", ",").alias("frameworks"))
 
 

@@ -8,6 +8,7 @@ from gatewright import dims as D
 from gatewright.operators import admission, history, injection, residue, secrets
 from gatewright.queries import sql as S
 from gatewright.queries.registry import query, view
+from gatewright.sources.tables import run_folder
 
 _DOC_LINES = r"""x AS (SELECT repo_id, path, string_split_regex(content, '\r?\n') AS a FROM doc_files),
 dl AS (SELECT repo_id, path, CAST(i AS INT) AS line, a[i] AS text FROM (SELECT *, unnest(range(1, len(a) + 1)) AS i FROM x)),
@@ -122,7 +123,7 @@ def duplicate_windows_file(spark, d):
     f"WITH {_WINDOWS} SELECT repo_id, path, start, key, copies, CAST(first_start AS INT) AS first_start FROM (SELECT *, count(*) OVER (PARTITION BY key) AS copies, min(start) OVER (PARTITION BY key) AS first_start FROM k) WHERE copies > 1",
 )
 def duplicate_windows_corpus(spark, d):
-    return residue.repeated_windows(_doc_windows(spark, d), "corpus")
+    return residue.repeated_windows(_doc_windows(spark, d), "corpus", run_folder(spark))
 
 
 @query("duplicate_blocks")

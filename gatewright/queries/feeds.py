@@ -175,7 +175,7 @@ def stream_secret_scan(spark, d):
 def stream_job_states(spark, d):
     label = _stream(spark, d, "events")
     events = spark.sql(views.spark_sql("job_events", lambda t: label))
-    return _run(spark, feeds.job_states(events), "update", ["job_id"], ["attempts"]).select("job_id", "status", "attempts")
+    return _run(spark, feeds.job_states(events), "update", ["job_id"], ["version"]).select("job_id", "status", "attempts")
 
 
 _FLIPS = "WITH v AS (SELECT DISTINCT repo_id, created_at AS ts, overall >= 40 AS ship FROM audit_jobs), l AS (SELECT *, lag(ship) OVER (PARTITION BY repo_id ORDER BY ts, ship) AS was_ship FROM v) SELECT repo_id, ts, ship, was_ship FROM l WHERE was_ship <> ship"
@@ -185,6 +185,14 @@ def _verdicts(rows: DataFrame) -> DataFrame:
     return rows.select("repo_id", F.col("created_at").alias("ts"), (F.col("overall") >= 40).alias("ship"))
 
 
+@query("stream_gate_alerts", _FLIPS)
+def stream_gate_alerts(spark, d):
+    label = _stream(spark, d, "events")
+    verdicts = _verdicts(spark.sql(views.spark_sql("audit_jobs", lambda t: label)))
+    out = _run(spark, feeds.gate_alerts(verdicts), "update", ["repo_id", "ts", "ship"], ["version"])
+    return out.where("stands").select("repo_id", "ts", "ship", "was_ship")
+
+
 @query("gate_alerts", _FLIPS)
 def gate_alerts(spark, d):
     return feeds.gate_alerts_batch(_verdicts(view(spark, d, "audit_jobs")).distinct())

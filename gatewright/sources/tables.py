@@ -61,16 +61,54 @@ def upsert(current: DataFrame, changes: DataFrame, keys: list[str], order: list[
 def upsert_batch(path: str, keys: list[str], order: list[str]):
     """``foreachBatch`` sink with last-wins semantics.
 
-    Versions are written to ``path/v=<batch>`` and read back by taking the newest
-    version per key, so a replayed batch overwrites its own folder and nothing
-    is lost when an executor dies in the middle of a write.
+    Changes are written to ``path/delta/v=<batch>``, so a replayed batch overwrites its own folder and nothing is lost
+    when an executor dies in the middle of a write.  `compact` folds them into a base from time to time.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        latest_per_key(batch, keys, order).write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        latest_per_key(batch, keys, order).write.mode("overwrite").parquet(f"{path}/delta/v={batch_id}")
 
     return write
 
 
+def _finished(spark: SparkSession, folder: str, column: str) -> list[int]:
+    """The numbers n of the folders ``folder/<column>=n`` whose write came to its end."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(folder)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return []
+    names = [s.getPath().getName() for s in files.listStatus(root)]
+    there = [n for n in names if n.startswith(f"{column}=") and files.exists(jvm.org.apache.hadoop.fs.Path(f"{folder}/{n}/_SUCCESS"))]
+    return sorted(int(n.partition("=")[2]) for n in there)
+
+
 def read_upserted(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
-    return latest_per_key(spark.read.parquet(path), keys, ["v"]).drop("v")
+    """The table that an `upsert_batch` sink keeps: its newest base and the changes since."""
+    bases = _finished(spark, f"{path}/base", "b")
+    since = bases[-1] if bases else -1
+    deltas = [v for v in _finished(spark, f"{path}/delta", "v") if v > since]
+    parts = []
+    if deltas:
+        reader = spark.read.option("basePath", f"{path}/delta")
+        parts.append(reader.parquet(*(f"{path}/delta/v={v}" for v in deltas)).withColumn("v", F.col("v").cast("long")))
+    if bases:
+        base = spark.read.parquet(f"{path}/base/b={since}").drop("bucket")
+        if not parts:
+            return base
+        parts.append(base.withColumn("v", F.lit(since).cast("long")).select(parts[0].columns))
+    rows = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    return (latest_per_key(rows, keys, ["v"]) if len(deltas) + len(bases) > 1 else rows).drop("v")
+
+
+def compact(spark: SparkSession, path: str, keys: list[str], buckets: int = 64) -> None:
+    """Fold the changes so far into a new base of hash buckets, so that a read looks at one version of a key.
+
+    A base is used once its write has come to its end; readers of older files are not disturbed.
+    """
+    deltas = _finished(spark, f"{path}/delta", "v")
+    if not deltas or deltas[-1] in _finished(spark, f"{path}/base", "b"):
+        return
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    rows = read_upserted(spark, path, keys).withColumn("bucket", bucket)
+    rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/base/b={deltas[-1]}")

@@ -57,8 +57,9 @@ def _advance(status: str, attempts: int, event: str, retryable: bool, retry_limi
 def _event_time(events: DataFrame, late: str | None) -> tuple[DataFrame, str]:
     """With ``late`` events under a watermark, so that state older than it is settled; else all state is kept."""
     timeout = GroupStateTimeout.NoTimeout if late is None else GroupStateTimeout.EventTimeTimeout
-    marked = events if late is None else events.withWatermark("ts", late)
-    return marked.withColumn("at", F.unix_micros("ts")), timeout
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    timed = timed if late is None else timed.withWatermark("ts", late)
+    return timed.withColumn("at", F.unix_micros("ts")), timeout
 
 
 _SINCE = -(1 << 62)
@@ -127,6 +128,7 @@ def gate_alerts(verdicts: DataFrame, late: str | None = None) -> DataFrame:
     such an alert comes again with ``stands`` false.  Of the rows with one (repo_id, ts, ship) that with the highest
     ``version`` counts.  State is the ordered verdicts that the watermark has not settled, and the flag before them.
     """
+    kind = verdicts.schema["ts"].dataType
     verdicts, timeout = _event_time(verdicts, late)
 
     def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -150,7 +152,7 @@ def gate_alerts(verdicts: DataFrame, late: str | None = None) -> DataFrame:
 
     schema = "last boolean, version long, at array<long>, ship array<boolean>"
     found = verdicts.groupBy("repo_id").applyInPandasWithState(fold, ALERT_SCHEMA, schema, "update", timeout)
-    return found.select("repo_id", F.timestamp_micros("at").alias("ts"), "ship", "was_ship", "stands", "version")
+    return found.select("repo_id", F.timestamp_micros("at").cast(kind).alias("ts"), "ship", "was_ship", "stands", "version")
 
 
 def gate_alerts_batch(verdicts: DataFrame) -> DataFrame:

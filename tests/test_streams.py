@@ -2,6 +2,7 @@
 
 import datetime as dt
 import random
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -48,8 +49,9 @@ def test_alerts_of_files_out_of_order(spark, verdicts, tmp_path):
 def test_alerts_go_on_after_a_stop(spark, verdicts, tmp_path):
     schema = "repo_id string, ts timestamp, ship boolean"
     half = len(verdicts) // 2
-    base = feeds.stream_folder(spark, "alerts", str(tmp_path / "shared"))
-    assert base == feeds.stream_folder(spark, "alerts", str(tmp_path / "shared"))
+    name = f"alerts-{uuid.uuid4().hex}"  # a stream that no earlier run of the tests has begun
+    base = feeds.stream_folder(spark, name, str(tmp_path / "shared"))
+    assert base == feeds.stream_folder(spark, name, str(tmp_path / "shared"))
     write_files(spark, verdicts[:half], schema, str(tmp_path / "in"), ["a"])
     first = alerts(spark, stream(spark, schema, str(tmp_path / "in")), base)
     write_files(spark, verdicts[half:], schema, str(tmp_path / "in"), ["b"])

@@ -223,7 +223,7 @@ def readme_findings(facts: DataFrame) -> DataFrame:
             (
                 (length >= D.README_MIN_CHARS) & missing,
                 draft("doc", 11 + i, f"doc-readme-section-{name}", "documentation", "low",
-                      f'README is missing a "{name}" section',
+                      f"The README has no part on {name}",
                       at_readme("no heading or link fits")),
             )
         )
@@ -488,11 +488,11 @@ def free_check(tree: DataFrame) -> DataFrame:
     p = F.col("path")
     base = P.basename(p)
     checks = [
-        ("has-readme", P.among(base, D.README_NAMES), True, "No README anywhere in the repository"),
-        ("has-license", P.among(base, D.LICENSE_NAMES), True, "No LICENSE file anywhere in the repository"),
-        ("has-env-example", P.among(base, D.ENV_EXAMPLE_NAMES), True, "No .env.example"),
-        ("has-lockfile", p.rlike(D.FREE_LOCKFILE), False, "No lockfile"),
-        ("has-ci", p.rlike(D.FREE_CI), False, "No CI configuration"),
+        ("has-readme", P.among(base, D.README_NAMES), True, "no README is listed"),
+        ("has-license", P.among(base, D.LICENSE_NAMES), True, "no licence is listed"),
+        ("has-env-example", P.among(base, D.ENV_EXAMPLE_NAMES), True, "no settings template is listed"),
+        ("has-lockfile", p.rlike(D.FREE_LOCKFILE), False, "no lock file is listed"),
+        ("has-ci", p.rlike(D.FREE_CI), False, "no CI set-up is listed"),
     ]
     short = F.struct(F.length(p).alias("n"), F.col("list_pos"), p.alias("path"))
     first = F.struct(F.lit(0).alias("n"), F.col("list_pos"), p.alias("path"))

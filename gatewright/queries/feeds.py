@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gatewright.operators import findings as fm
 from gatewright.operators import jobs, scoring, secrets
 from gatewright.operators import gate as gates
+from gatewright.plans import audit
 from gatewright.queries import content, views
 from gatewright.queries import sql as S
 from gatewright.queries.registry import query, table, view
@@ -119,7 +120,7 @@ s AS (SELECT repo_id, count(*) AS findings, sum(CASE WHEN n <= 3 THEN w ELSE 0 E
 SELECT r.repo_id, coalesce(findings, 0) AS findings, CAST(greatest(0.0, floor((100.0 - coalesce(penalty, 0)) * 10 + 0.5) / 10) AS DOUBLE) AS security, true AS ship FROM r LEFT JOIN s ON s.repo_id = r.repo_id""",
 )
 def document_gate(spark: SparkSession, d: str) -> DataFrame:
-    """Scan every document, turn hits into findings, score the security dimension, decide the gate."""
+    """The secret scanner alone: every document scanned, findings, score of the security dimension, gate."""
     files = view(spark, d, "doc_files").select("repo_id", "path", "list_pos", "content")
     repos = files.select("repo_id").distinct()
     hits = secrets.secret_hits(files, floor=3.5)
@@ -140,6 +141,20 @@ def document_gate(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query("document_audit")
+def document_audit(spark: SparkSession, d: str) -> DataFrame:
+    """The whole audit over the document corpus: all scanners, facts, findings, scores and gate of every repository."""
+    rows = view(spark, d, "doc_files")
+    result = audit.audit(rows.select("repo_id", "path", "size", "list_pos"), rows.select("repo_id", "path", "content"), folder=run_folder(spark))
+    counts = result.findings.groupBy("repo_id").agg(F.count(F.lit(1)).alias("findings"))
+    verdict = result.verdict.select("repo_id", "status", "ship", "blockers")
+    return (
+        result.scores.select("repo_id", "overall", "documentation", "reproducibility", "securityHygiene", "deploymentReadiness")
+        .join(verdict, "repo_id")
+        .join(counts, "repo_id", "left")
+    )
+
+
 # --- streams ------------------------------------------------------------------------------------------
 def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
     """A driver table as a file stream, under a view name the view SQL can use."""

@@ -12,7 +12,7 @@ from gatewright.plans import audit
 from gatewright.queries import content, views
 from gatewright.queries import sql as S
 from gatewright.queries.registry import query, table, view
-from gatewright.sources.tables import read_upserted, run_folder, upsert_batch
+from gatewright.sources.tables import read_upserted, run_folder, stored, upsert_batch
 from gatewright.streaming import feeds
 
 
@@ -124,8 +124,8 @@ def document_gate(spark: SparkSession, d: str) -> DataFrame:
     files = view(spark, d, "doc_files").select("repo_id", "path", "list_pos", "content")
     repos = files.select("repo_id").distinct()
     hits = secrets.secret_hits(files, floor=3.5)
-    # Narrow next to the text, and read by scoring and by the gate: kept, so the text is scanned once.
-    found = fm.enrich_findings(secrets.secret_findings(hits)).persist()
+    # Narrow next to the text, and read by scoring and by the gate: written once, so the text is scanned once.
+    found = stored(fm.enrich_findings(secrets.secret_findings(hits)), run_folder(spark), "findings")
     routed = found.withColumn("bucket", F.lit("security"))
     penalty = scoring.severity_penalty(routed)
     rules = penalty.select(

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -160,30 +160,30 @@ class PrefixBpe:
                 size -= length_of[token]
             yield ids[::-1]
 
-    def _pieces_of(self, pieces: set[bytes]) -> Callable[[bytes], bytes]:
-        """Decimal ids, joined by commas, of pieces.  Long ones are known to the function returned alone."""
-        known, own = self._pieces, {}
-        new = sorted(known.missing(pieces))
-        for piece, ids in zip(new, self.encode_pieces(new)):
-            (known if len(piece) <= CACHED_CHARS else own)[piece] = b",".join([b"%d" % i for i in ids])
-            back = b"".join([self.bytes_of[i] for i in ids])
-            if back != piece:
-                self._odd[piece] = back
-        return (lambda piece: own[piece] if len(piece) > CACHED_CHARS else known[piece]) if own else known.__getitem__
-
-    def _parts_of(self, cache: TwoGenerations, parts: set[str], lead: str) -> Callable[[str], bytes]:
-        """The same of parts, which are cut into pieces; short ones are put into `cache`.
+    def _learn(self, cache: TwoGenerations, parts: set[str], lead: str) -> None:
+        """Put the parts that are new into `cache`: decimal ids joined by commas.  `_forget` takes long ones out again.
 
         Each part is also decoded from its ids; one that does not come back as it was is noted with what came back.
         """
         cut = [(part, [p.encode() for p in self.pieces(lead + part)]) for part in cache.missing(parts)]
-        ids_of = self._pieces_of({p for _, pieces in cut for p in pieces})
-        own: dict[str, bytes] = {}
+        known = self._pieces
+        new = sorted(known.missing({p for _, pieces in cut for p in pieces}))
+        for piece, ids in zip(new, self.encode_pieces(new)):
+            known[piece] = b",".join([b"%d" % i for i in ids])
+            back = b"".join([self.bytes_of[i] for i in ids])
+            if back != piece:
+                self._odd[piece] = back
         for part, pieces in cut:
-            (cache if len(part) <= CACHED_CHARS else own)[part] = b",".join(map(ids_of, pieces))
+            cache[part] = b",".join([known[p] for p in pieces])
             if self._odd and not self._odd.keys().isdisjoint(pieces):
                 self._changed[lead + part] = b"".join([self._odd.get(p, p) for p in pieces]).decode("utf-8", "replace")
-        return (lambda part: own[part] if len(part) > CACHED_CHARS else cache[part]) if own else cache.__getitem__
+        self._forget(known, new)
+
+    @staticmethod
+    def _forget(cache: TwoGenerations, keys: Iterable) -> None:
+        for key in keys:
+            if len(key) > CACHED_CHARS:
+                cache.pop(key, None)
 
     def encode_batch(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
         """(decimal ids joined by commas, text decoded from the ids) of each text."""
@@ -198,8 +198,16 @@ class PrefixBpe:
                 later.update(parts[1:])
                 doc.append(parts)
             split.append(doc)
-        head_of = self._parts_of(self._first, first, "")
-        get, changed = self._parts_of(self._later, later, " "), self._changed
+        self._learn(self._first, first, "")
+        self._learn(self._later, later, " ")
+        try:
+            yield from self._put_together(split)
+        finally:
+            self._forget(self._first, first)
+            self._forget(self._later, later)
+
+    def _put_together(self, split: list[list[list[str]]]) -> Iterator[tuple[bytes, str]]:
+        get, changed = self._later.__getitem__, self._changed
         for doc in split:
             ids: list[bytes] = []
             out: list[str] = []
@@ -207,7 +215,7 @@ class PrefixBpe:
                 if n:
                     ids.append(b"%d" % self.special)
                     out.append(SPECIAL)
-                if head := head_of(parts[0]):
+                if head := self._first[parts[0]]:
                     ids.append(head)
                 if len(parts) > 1:
                     ids.append(b",".join(map(get, parts[1:])))
@@ -218,7 +226,8 @@ class PrefixBpe:
             yield b",".join(ids), "".join(out)
 
     def encode(self, text: str) -> tuple[bytes, str]:
-        return next(self.encode_batch([text]))
+        (coded,) = self.encode_batch([text])
+        return coded
 
 
 _CODERS: dict[str, PrefixBpe] = {}

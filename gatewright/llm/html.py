@@ -86,6 +86,12 @@ class Block:
     heading: bool
     label: str = ""
     region: int = 0
+    counted: tuple[int, int] | None = None  # stop words and words, once asked for
+
+    def stops(self, stop_words: frozenset[str]) -> tuple[int, int]:
+        if self.counted is None:
+            self.counted = _stops(self.text, stop_words)
+        return self.counted
 
 
 @dataclass
@@ -168,7 +174,7 @@ def _stops(text: str, stop_words: frozenset[str]) -> tuple[int, int]:
 
 def knows_language(blocks: list[Block], stop_words: frozenset[str]) -> bool:
     """Whether the page's text outside links has a fair share of the stop words; if not, they say nothing about it."""
-    counts = [_stops(b.text, stop_words) for b in blocks if b.link_chars <= MAX_LINK_DENSITY * len(b.text)]
+    counts = [b.stops(stop_words) for b in blocks if b.link_chars <= MAX_LINK_DENSITY * len(b.text)]
     return sum(n for n, _ in counts) >= STOP_KNOWN * sum(words for _, words in counts)
 
 
@@ -185,7 +191,7 @@ def _settle_regions(blocks: list[Block], regions: list[_Region], stop_words: fro
         known = knows_language(blocks, stop_words)
         for block in blocks:
             if block.link_chars <= MAX_LINK_DENSITY * len(block.text):
-                n = _stops(block.text, stop_words)[0] if known else len(block.text)
+                n = block.stops(stop_words)[0] if known else len(block.text)
                 whole += n
                 regions[block.region].stops += n
                 if not block.region and block.content:
@@ -322,7 +328,7 @@ def first_pass(block: Block, stop_words: frozenset[str] = STOP_WORDS, known: boo
         return "bad"
     if size < SHORT_CHARS:
         return "short"
-    stops, words = _stops(block.text, stop_words)
+    stops, words = block.stops(stop_words)
     share = stops / max(1, words) if known else 1.0
     if share >= STOP_HIGH:
         return "good" if size > LONG_CHARS else "near"

@@ -35,19 +35,24 @@ def slugify(value: Column) -> Column:
     return F.lower(F.regexp_replace(dashed, r"\A-|-\z", ""))
 
 
-def shannon_entropy(token: Column) -> Column:
-    """Bits per character.
+def char_counts(token: Column) -> Column:
+    """How often each distinct character of a text without line breaks occurs: the runs of its sorted characters."""
+    ordered = F.array_join(F.array_sort(F.split(token, "")), "")
+    return F.transform(F.regexp_extract_all(ordered, F.lit(r"(.)\1*"), F.lit(0)), F.length)
 
-    One count per distinct character, taken as the length lost when that
-    character is removed; no explode and no Python.
-    """
-    size = F.length(token)
-    counts = F.transform(distinct_chars(token), lambda ch: size - F.length(F.replace(token, ch, F.lit(""))))
-    return F.aggregate(counts, F.lit(0.0), lambda acc, n: acc - (n / size) * F.log2(n / size))
 
+def entropy_of(counts: Column) -> Column:
+    """Bits per character, from the counts of the characters; no explode and no Python."""
+
+    def bits(size: Column) -> Column:
+        return F.aggregate(counts, F.lit(0.0), lambda acc, n: acc - (n / size) * F.log2(n / size))
 
-def distinct_chars(token: Column) -> Column:
-    return F.array_distinct(F.split(token, ""))
+    return bind(F.aggregate(counts, F.lit(0), lambda acc, n: acc + n), bits)
+
+
+def shannon_entropy(token: Column) -> Column:
+    """Bits per character of a token."""
+    return bind(char_counts(token), entropy_of)
 
 
 def strip_urls(value: Column) -> Column:

@@ -67,7 +67,6 @@ def file_marks(files: DataFrame) -> DataFrame:
     on_chain, on_address, on_submit = p.rlike(D.CHAIN_CONFIG_PATH), p.rlike(D.ADDRESS_PATH), p.rlike(D.SUBMISSION_PATH)
     ignore_line = lambda l: X.strip_space(l)
     ignores_env = F.exists(X.lines_of(body), lambda l: ignore_line(l).startswith(".env") | ignore_line(l).rlike(r"\A\*\.env/*\z"))
-    pyproject = (p == "pyproject.toml") & (body != "")
     workflow = p.rlike(D.HYGIENE_WORKFLOW)
     blank = X.strip_space(body) == ""
     said = {
@@ -76,27 +75,47 @@ def file_marks(files: DataFrame) -> DataFrame:
         "pkg_scripted": scripted,
         "has_test_command": scripted & (script("test") | script("test:unit")),
         "has_run_command": scripted & (script("dev") | script("start")),
-        "py_requirements": (p == "requirements.txt") & (body != ""),
-        "py_project": pyproject,
-        "py_declares": pyproject & body.rlike(D.PYPROJECT_DEPS),
-        "gitignore_env": (F.lower(p) == ".gitignore") & ignores_env,
-        "_runner": ((p == "package.json") & body.rlike(D.TEST_RUNNER_DEPENDENCY)) | ((p == "pyproject.toml") & body.contains("pytest")),
-        "has_contract_addresses": on_address & body.rlike(D.ADDRESS),
-        "any_address": (on_chain | on_address | on_submit) & body.rlike(D.ADDRESS),
-        "hack_demo_url": on_submit & F.exists(_urls(body), lambda u: u.rlike(D.DEMO_HOST)),
-        "hack_demo_video": on_submit & F.exists(_urls(body), lambda u: u.rlike(D.VIDEO_HOST)),
-        "hack_architecture": on_submit & body.rlike(D.ARCHITECTURE_HEADING),
-        "hack_submission": on_submit & body.rlike(D.SUBMISSION_TEXT),
-        "hack_social": on_submit & body.rlike(D.SOCIAL_TEXT),
-        "hack_test_results": on_submit & body.rlike(D.TEST_RESULT_TEXT),
+        "py_requirements": body != "",
+        "py_project": body != "",
+        "py_declares": (body != "") & body.rlike(D.PYPROJECT_DEPS),
+        "gitignore_env": ignores_env,
+        "_runner": F.when(p == "package.json", body.rlike(D.TEST_RUNNER_DEPENDENCY)).otherwise(body.contains("pytest")),
+        "has_contract_addresses": body.rlike(D.ADDRESS),
+        "any_address": body.rlike(D.ADDRESS),
+        "hack_demo_url": F.exists(_urls(body), lambda u: u.rlike(D.DEMO_HOST)),
+        "hack_demo_video": F.exists(_urls(body), lambda u: u.rlike(D.VIDEO_HOST)),
+        "hack_architecture": body.rlike(D.ARCHITECTURE_HEADING),
+        "hack_submission": body.rlike(D.SUBMISSION_TEXT),
+        "hack_social": body.rlike(D.SOCIAL_TEXT),
+        "hack_test_results": body.rlike(D.TEST_RESULT_TEXT),
         "mentions_hackathon": body.rlike(D.HACKATHON_TEXT),
-        "_workflow_blank": workflow & blank,
-        "_workflow_idle": workflow & ~blank & ~body.rlike(r"(?m)^on\s*:"),
-        "_workflow_empty": workflow & ~blank & ~body.rlike(r"(?m)^jobs\s*:"),
-        **{f"_chain_{n}": on_chain & body.rlike(r) for n, r in D.CHAIN_KEYWORDS.items()},
-        **{f"_net_{n}": on_submit & body.rlike(r) for n, r in D.NETWORK_KEYWORDS.items()},
+        "_workflow_blank": blank,
+        "_workflow_idle": ~blank & ~body.rlike(r"(?m)^on\s*:"),
+        "_workflow_empty": ~blank & ~body.rlike(r"(?m)^jobs\s*:"),
+        **{f"_chain_{n}": body.rlike(r) for n, r in D.CHAIN_KEYWORDS.items()},
+        **{f"_net_{n}": body.rlike(r) for n, r in D.NETWORK_KEYWORDS.items()},
     }
-    bits = reduce(Column.__add__, [F.when(said[name], F.lit(_mark(name)).cast("bigint")).otherwise(F.lit(0).cast("bigint")) for name in MARKS])
+
+    none = F.lit(0).cast("bigint")
+
+    def bit(name: str) -> Column:
+        return F.when(said[name], F.lit(_mark(name)).cast("bigint")).otherwise(none)
+
+    # A path is asked once what it is; only then are the patterns of its kind tried.
+    kinds = [
+        (p == "package.json", ["pkg_read", "pkg_invalid", "pkg_scripted", "has_test_command", "has_run_command", "_runner"]),
+        (p == "pyproject.toml", ["py_project", "py_declares", "_runner"]),
+        (p == "requirements.txt", ["py_requirements"]),
+        (F.lower(p) == ".gitignore", ["gitignore_env"]),
+        (on_address, ["has_contract_addresses"]),
+        (on_chain | on_address | on_submit, ["any_address"]),
+        (on_submit, [n for n in MARKS if n.startswith(("hack_", "_net_"))]),
+        (on_chain, [n for n in MARKS if n.startswith("_chain_")]),
+        (workflow, [n for n in MARKS if n.startswith("_workflow_")]),
+    ]
+    assert {n for _, names in kinds for n in names} == set(MARKS) - {"mentions_hackathon"}
+    told = [F.when(kind, reduce(Column.__add__, map(bit, names))).otherwise(none) for kind, names in kinds]
+    bits = reduce(Column.__add__, told, bit("mentions_hackathon"))
     readme = F.when(P.among(F.regexp_replace(p, r"^\./", ""), D.README_NAMES), _readme_features(body))
     kept = [c for c in files.columns if c != "content"]
     return src.select(*kept, body.isNotNull().alias("read"), F.when(body.isNotNull(), bits).alias("marks"), readme.alias("readme"))

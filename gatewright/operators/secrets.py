@@ -160,8 +160,8 @@ def _entropy_hit(text: Column, path: Column, floor: float, min_length: int) -> C
     def judged(bare: Column) -> Column:
         def high(token: Column) -> Column:
             # Entropy cannot pass log2 of the alphabet: rules out most plain hex at once.
-            varied = F.size(X.distinct_chars(token)) >= math.floor(2**floor)
-            return varied & (X.shannon_entropy(token) >= floor) & non_credential_shape(token, bare).isNull()
+            varied = lambda counts: (F.size(counts) >= math.floor(2**floor)) & (X.entropy_of(counts) >= floor)
+            return X.bind(X.char_counts(token), varied) & non_credential_shape(token, bare).isNull()
 
         return F.exists(entropy_tokens(bare, min_length), high)
 

@@ -156,10 +156,13 @@ def document_audit(spark: SparkSession, d: str) -> DataFrame:
 
 
 # --- streams ------------------------------------------------------------------------------------------
-def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
-    """A driver table as a file stream, under a view name the view SQL can use."""
+def _stream(spark: SparkSession, d: str, name: str) -> str:
+    """A driver table, one file or a folder of them, as a file stream under a view name the view SQL can use.
+
+    Spark streams no single file, but it streams what a pattern matches; this one matches the table alone.
+    """
     schema = table(spark, d, name).schema
-    raw = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(d)
+    raw = spark.readStream.schema(schema).parquet(f"{d}/{name}.parque[t]")
     label = f"gw_stream_{name}"
     raw.createOrReplaceTempView(label)
     return label
@@ -169,7 +172,7 @@ def _run(spark: SparkSession, stream: DataFrame, mode: str, keys: list[str], ord
     """Run to the end of the data into an upsert table in a new folder below the shared one."""
     base = run_folder(spark)
     feeds.run_available(stream, f"{base}/state", mode, upsert_batch(f"{base}/out", keys, order))
-    return read_upserted(spark, f"{base}/out", keys)
+    return read_upserted(spark, f"{base}/out", keys, stream.schema)
 
 
 @query(

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gatewright.operators import jobs
+from gatewright.queries import catalogue
 from gatewright.sources import tables
 from gatewright.streaming import feeds
 
@@ -146,3 +147,30 @@ def test_tables_overwrite_their_own_partitions(spark, tmp_path):
     out = spark.read.parquet(path)
     assert [tuple(r) for r in out.where(F.col("repo_bucket") == one).collect()] == [("r7", 2, one)]
     assert out.where(F.col("repo_bucket") != one).where("x = 1").count() == out.count() - 1
+
+
+DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
+KEY = "token = " + "q7Zr2LmX9vKc4TbN8wYd" + "1HsG5pFj3RaU6eQx0MoB"
+
+
+def documents(rows):
+    return [(n, KEY + f"{n:04d}" if n % 2 else "plain words", "en", f"s{n % 2}", 50) for n in rows]
+
+
+@pytest.mark.parametrize("folder", [False, True])
+def test_streams_read_a_table_of_one_file_or_of_a_folder(spark, tmp_path, folder):
+    path = f"{tmp_path}/documents.parquet"
+    if folder:
+        spark.createDataFrame(documents(range(6)), DOCUMENTS).repartition(3).write.parquet(path)
+    else:
+        spark.createDataFrame(documents(range(6)), DOCUMENTS).toPandas().to_parquet(path)
+    spark.createDataFrame(documents([7]), DOCUMENTS).write.parquet(f"{tmp_path}/documents.parquet.old")
+    found = catalogue.QUERIES["stream_secret_scan"](spark, str(tmp_path))
+    batch = catalogue.QUERIES["history_secret_hits"](spark, str(tmp_path))
+    rows = sorted((r.repo_id, r.file, r.sha) for r in found.collect())
+    assert len(rows) == 3 and rows == sorted((r.repo_id, r.file, r.sha) for r in batch.collect())
+
+
+def test_streams_of_an_empty_table_find_nothing(spark, tmp_path):
+    spark.createDataFrame([], DOCUMENTS).write.parquet(f"{tmp_path}/documents.parquet")
+    assert catalogue.QUERIES["stream_secret_scan"](spark, str(tmp_path)).collect() == []

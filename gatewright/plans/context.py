@@ -24,7 +24,8 @@ def repo_map(corpus: DataFrame, repos: DataFrame | None = None, folder: str | No
     files = corpus.where(F.col("admitted") & F.col("content").isNotNull()).select("repo_id", "path", "content")
     parsed = stored(manifests.parse_manifests(files), folder, "manifests")
     usage = inventory.language_usage(text)
-    entry = stored(ep.entrypoints(ep.entrypoint_signals(corpus.where(F.col("admitted")))), folder, "entrypoints")
+    signals = stored(ep.entrypoint_signals(corpus.where(F.col("admitted"))), folder, "signals")
+    entry = stored(ep.entrypoints(signals), folder, "entrypoints")
     listed = inventory.listed_files(text)
     found = stored(modules.detect_modules(text, parsed, repos), folder, "modules")
     contained = modules.module_files(text, found)

@@ -11,7 +11,7 @@ from gatewright.plans import context as plan
 from gatewright.queries import scans
 from gatewright.queries import sql as S
 from gatewright.queries.registry import query, view
-from gatewright.sources.tables import run_folder
+from gatewright.sources.tables import run_folder, stored
 
 _KIND_OF = S.case([(S.hit("path", rx), f"'{k}'") for k, rx in manifests.MANIFEST_KINDS.items()])
 _KIND_ORDER = "list_position([" + ", ".join(f"'{k}'" for k in manifests.MANIFEST_KINDS) + "], kind)"
@@ -152,7 +152,9 @@ ee AS (SELECT *, CAST(row_number() OVER (PARTITION BY repo_id ORDER BY confidenc
 
 @query("entrypoints", f"WITH {ADMITTED}, {ENTRIES} SELECT * FROM ee")
 def entrypoints(spark, d):
-    out = ep.entrypoints(ep.entrypoint_signals(scans.corpus(spark, d).where("admitted")))
+    # Read by the ranks and by the totals, and narrow next to the corpus: written once.
+    signals = stored(ep.entrypoint_signals(scans.corpus(spark, d).where("admitted")), run_folder(spark), "signals")
+    out = ep.entrypoints(signals)
     lines = F.transform("lines", lambda n: F.coalesce(n.cast("string"), F.lit("-")))
     return out.withColumn("reasons", F.array_join("reasons", "; ")).withColumn("lines", F.array_join(lines, ","))
 

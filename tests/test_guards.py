@@ -9,6 +9,7 @@ from gatewright.functions import text as X
 from gatewright.functions.patterns import RULES as D
 from gatewright.operators import presence
 from gatewright.operators.intel import entrypoints as ep
+from gatewright.operators.intel import imports
 from gatewright.queries import registry
 
 TEXTS = [
@@ -71,3 +72,25 @@ def test_views_keep_generated_methods_short(spark, tmp_path, own, kept):
         assert spark.conf.get("spark.sql.codegen.hugeMethodLimit") == kept
     finally:
         spark.conf.unset("spark.sql.codegen.hugeMethodLimit")
+
+
+LINES = {
+    "a.sol": ['import "./A.sol";', 'import {B} from "./B.sol";', "contract C {"], "a.go": ['import "fmt"', 'import x "a/b"', "func F() {"],
+    "a.rs": ["use crate::m1;", "pub use a::b;", "pub mod c;", "extern crate d;", "fn e() {}"], "A.java": ["import a.B;", "import static a.C;", "class D {"],
+    "a.kt": ["import a.b", "fun c()"], "a.rb": ["require_relative 'm'", "require 'json'", "load 'x.rb'", "end"], "a.sh": [". ./env.sh", "source lib.sh", "ls"],
+    "a.proto": ['import "a.proto";', 'import public "b.proto";', "message C {"], "a.graphql": ['#import "./a.graphql"', "type B {"],
+    "a.ts": ['import { a } from "./a";', 'export * from "b";', 'const c = require("c");', '// import "no"', "}"], "a.js": ['import "d"', "var e = 1"],
+    "a.py": ["import os, sys as s", "from .a import b", "x = 1"],
+}
+
+
+def test_lines_of_every_language_are_found(spark):
+    files = spark.createDataFrame([("r", path, "\n".join(lines)) for path, lines in LINES.items()], "repo_id string, path string, content string")
+    found = {(r.path, r.line) for r in imports.extract_imports(files).collect()}
+    no = {"contract", "func", "fn", "class", "fun", "end", "ls", "message", "type", "//", "}", "var", "x"}
+    assert found == {(p, n) for p, lines in LINES.items() for n, text in enumerate(lines, 1) if text.split()[0] not in no}
+    rules = [(language, pattern) for language, held in imports.LINE_RULES.items() for pattern, _ in held]
+    texts = [text for lines in LINES.values() for text in lines]
+    for language, pattern in rules:
+        met = [t for t in texts if re.search(pattern, t, re.A)]
+        assert met and all(any(word in t for word in imports.LINE_WORDS[language]) for t in met)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gatewright import dims as D
 from gatewright.operators import presence
+from gatewright.operators.admission import classify_files
 from gatewright.operators.intel import entrypoints as ep
 from gatewright.operators.intel import graph, imports, inventory, manifests, modules, symbols
 from gatewright.operators.scale import top_k
@@ -20,18 +21,21 @@ def repo_map(corpus: DataFrame, repos: DataFrame | None = None, folder: str | No
 
     Listing and parsed manifests are narrow and feed most sections; with ``folder`` they are written there once.
     """
-    text = stored(inventory.text_files(corpus.where(F.col("admitted")).drop("content")), folder, "text")
+    listing = stored(classify_files(corpus.drop("content")), folder, "listing")
+    admitted = listing.where(F.col("admitted")).drop("kind")
+    text = listing.where(F.col("admitted") & (F.col("kind") == "text")).drop("kind")
     files = corpus.where(F.col("admitted") & F.col("content").isNotNull()).select("repo_id", "path", "content")
-    parsed = stored(manifests.parse_manifests(files), folder, "manifests")
+    parsed = stored(manifests.parse_manifests(files, folder=folder), folder, "manifests")
     usage = inventory.language_usage(text)
-    signals = stored(ep.entrypoint_signals(corpus.where(F.col("admitted"))), folder, "signals")
+    signals = stored(ep.entrypoint_signals(files, admitted), folder, "signals")
     entry = stored(ep.entrypoints(signals), folder, "entrypoints")
     listed = inventory.listed_files(text)
-    found = stored(modules.detect_modules(text, parsed, repos), folder, "modules")
+    found = stored(modules.detect_modules(text, parsed, repos, folder=folder), folder, "modules")
     contained = modules.module_files(text, found)
     edges = stored(modules.module_dependencies(found, parsed), folder, "module-edges")
     config = listed.where(F.col("list") == "config")
     return {
+        "listing": listing.drop("kind"),
         "languages": usage,
         "primary_language": inventory.primary_language(usage, repos),
         "frameworks": presence.frameworks(presence.detect_stack(corpus)),
@@ -48,12 +52,17 @@ def repo_map(corpus: DataFrame, repos: DataFrame | None = None, folder: str | No
 
 
 def dependency_graph(
-    corpus: DataFrame, found: DataFrame | None = None, root_prefixes: DataFrame | None = None, folder: str | None = None
+    corpus: DataFrame, found: DataFrame | None = None, root_prefixes: DataFrame | None = None, folder: str | None = None,
+    listing: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Edges, nodes and limitations; with ``folder`` the resolved imports and the edges are written there once."""
+    """Edges, nodes and limitations; with ``folder`` the resolved imports and the edges are written there once.
+
+    ``listing``: the corpus without contents, where it has been written already (`repo_map`).
+    """
+    listing = corpus.drop("content") if listing is None else listing
     files = corpus.where(F.col("admitted") & F.col("content").isNotNull()).select("repo_id", "path", "content")
-    text = inventory.text_files(corpus.where(F.col("admitted")).drop("content"))
-    resolved = stored(imports.resolve_imports(imports.extract_imports(files), corpus, found, root_prefixes), folder, "imports")
+    text = inventory.text_files(listing.where(F.col("admitted")))
+    resolved = stored(imports.resolve_imports(imports.extract_imports(files), listing, found, root_prefixes), folder, "imports")
     edges = stored(graph.dependency_edges(resolved), folder, "edges")
     return {
         "imports": resolved,

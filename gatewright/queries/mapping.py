@@ -109,7 +109,8 @@ mx AS (SELECT DISTINCT mo.repo_id, mo.path AS module, dd.dep AS depends_on FROM
 
 
 def _map(spark, d):
-    return plan.repo_map(scans.corpus(spark, d), folder=run_folder(spark))
+    folder = run_folder(spark)
+    return plan.repo_map(scans.corpus_once(spark, d, folder), folder=folder)
 
 
 @query("detect_modules", f"WITH {MODULES} SELECT * FROM mo")
@@ -234,9 +235,10 @@ SELECT pl.repo_id, primary_language, coalesce(modules, '') AS modules, coalesce(
 FROM pl LEFT JOIN c_modules USING (repo_id) LEFT JOIN c_files USING (repo_id) LEFT JOIN c_edges USING (repo_id) LEFT JOIN c_dependencies USING (repo_id) LEFT JOIN c_symbols USING (repo_id)""",
 )
 def repository_context(spark, d):
-    corpus, folder = scans.corpus(spark, d), run_folder(spark)
+    folder = run_folder(spark)
+    corpus = scans.corpus_once(spark, d, folder)
     parts = plan.repo_map(corpus, folder=folder)
-    links = plan.dependency_graph(corpus, parts["modules"], folder=folder)
+    links = plan.dependency_graph(corpus, parts["modules"], folder=folder, listing=parts["listing"])
     out = plan.repo_context(parts, links, plan.symbol_map(corpus), folder=folder)
     number = lambda x: x.cast("long").cast("string")
     shown = {

@@ -1,7 +1,10 @@
 from helpers import corpus, rows
 from pyspark.sql import functions as F
 
-from gatewright.operators.intel import graph, imports
+from gatewright.operators.intel import entrypoints as ep
+from gatewright.operators.intel import graph, imports, manifests
+from gatewright.queries import scans
+from gatewright.sources.tables import run_folder
 
 
 def test_imports_and_edges(spark):
@@ -79,3 +82,17 @@ def test_imports_ask_once(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert plan.count("Exchange hashpartitioning") == 2
 
+
+
+def test_map_reads_few_texts(spark):
+    """The files of the map's corpus are those of the view, and a reader of other paths leaves the documents' texts."""
+    small = "/root/testdata/sf0.001"
+    once = scans.corpus_once(spark, small, run_folder(spark))
+    plain = scans.corpus(spark, small)
+    assert sorted(once.columns) == sorted(plain.columns)
+    assert once.select(plain.columns).exceptAll(plain).count() == plain.exceptAll(once.select(plain.columns)).count() == 0
+    listing = once.where("admitted").drop("content")
+    for signals in (ep.content_signals(once), manifests.manifests(once), ep.manifest_targets(once)):
+        assert "doc_id:bigint,text" not in signals._jdf.queryExecution().executedPlan().toString()
+    files = once.where("admitted AND content IS NOT NULL")
+    assert rows(ep.entrypoint_signals(files, listing), "repo_id", "path", "kind") == rows(ep.entrypoint_signals(plain.where("admitted")), "repo_id", "path", "kind")
